@@ -13,7 +13,9 @@ removed, and overlapping removals join to maximal repeats.
 
 A tree is held as that depth-20 cut, since nothing deeper changes what is
 removed.  Nodes are built by partial aggregation and joined back, so a passage
-that a third of all documents share is no hot task.
+that a third of all documents share is no hot task.  Documents whose whole word
+sequence an earlier one has are settled by a digest before: all their windows
+start earlier, and the first copy stands for them in every tree.
 
 Defined results: null texts have no words; texts under 20 words lose none;
 the first occurrence is by doc_id, then position; rows sharing a doc_id are
@@ -31,11 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .text import Words, shingles, sliced, words
+from .common import cut, sized_broadcast
+from .text import Words, mix, shingles, sliced, words
 
 WINDOW, EDGE, SAMPLED = 20, 10, 8
 _REACH = WINDOW - SAMPLED + 1
+#: Rows of small sides that are broadcast once they are counted; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+_ALL = 2**62
 
 
 def _sliding(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
@@ -96,39 +101,76 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(e[at].view(np.int64)), pa.array(e[at + EDGE].view(np.int64)), b.column("doc_id").cast(pa.int64()).take(pa.array(d)), pa.array((at - w.offsets[d]).astype(np.int32))], names=["a", "b", "doc_id", "pos"])
 
 
-def repeated_windows(documents: DataFrame) -> DataFrame:
-    """doc_id, at: ascending starts of the windows of each document that also start earlier."""
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in sliced(batches):
+        w = words(b.column("text"))
+        n = np.diff(w.offsets)
+        within = np.arange(len(w.hash)) - np.repeat(w.offsets[:-1], n)
+        sums = []
+        for salt in (np.uint64(0x51ED270B), np.uint64(0x7F4A7C15F39CC060)):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.hash ^ mix(within.astype(np.uint64) + salt)))])
+            sums.append((total[w.offsets[1:]] - total[w.offsets[:-1]]).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=["doc_id", "n_words", "d1", "d2"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        begin, end = [], []
+        for starts in b.column("at").to_pylist():
+            s = np.array(starts, np.int64)
+            first = np.concatenate([[True], s[1:] > s[:-1] + WINDOW])
+            begin.append(s[first].tolist())
+            end.append((s[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(s) - 1]])] + WINDOW).tolist())
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(begin, kind), pa.array(end, kind)], names=["doc_id", "begin", "end"])
+
+
+def repeated_runs(documents: DataFrame) -> DataFrame:
+    """doc_id, begin, end: the word runs of each document that windows which also start earlier cover; checkpointed."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    samples = docs.mapInArrow(_samples, "h long, doc_id long, pos int")
+    digests = cut(docs.mapInArrow(_digests, "doc_id long, n_words long, d1 long, d2 long").filter(F.col("n_words") >= WINDOW))
+    first = digests.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first != last")
+    copies = cut(digests.join(first, ["d1", "d2"]).filter("doc_id != first").select("doc_id").distinct())
+    single = docs.join(sized_broadcast(copies, copies.count(), BROADCAST_ROWS), "doc_id", "left_anti")
+
+    samples = single.mapInArrow(_samples, "h long, doc_id long, pos int")
     repeated = samples.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    near = samples.join(repeated, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
-    suffixes = cut(docs.join(near, "doc_id").mapInArrow(_suffixes, "a long, b long, doc_id long, pos int"))
+    near = cut(samples.join(repeated, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("at")))
+    size = near.agg(F.count("*") + F.coalesce(F.sum(F.size("at")), F.lit(0)) / 4).first()[0]
+    suffixes = cut(docs.join(sized_broadcast(near, size, BROADCAST_ROWS), "doc_id").mapInArrow(_suffixes, "a long, b long, doc_id long, pos int"))
     nodes = suffixes.groupBy("a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last")).filter("first != last").select("a", "b", "first")
     later = suffixes.join(nodes, ["a", "b"]).filter("doc_id != first.doc_id OR pos != first.pos")
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    starts = later.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    whole = copies.select("doc_id", F.array(F.lit(0).cast("long")).alias("begin"), F.array(F.lit(_ALL).cast("long")).alias("end"))
+    runs = starts.join(sized_broadcast(copies, copies.count(), BROADCAST_ROWS), "doc_id", "left_anti").mapInArrow(_runs, "doc_id long, begin array<long>, end array<long>")
+    return cut(runs.unionByName(whole))
 
 
-def removed_words(n_words: int, starts: np.ndarray) -> np.ndarray:
-    """Mask of the words that repeated windows at `starts` cover."""
+def removed_words(n_words: int, begin: list[int], end: list[int]) -> np.ndarray:
+    """Mask of the words in the runs."""
     edge = np.zeros(n_words + 1, np.int64)
-    starts = starts[starts + WINDOW <= n_words]
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + WINDOW, -1)
+    np.add.at(edge, np.minimum(begin, n_words), 1)
+    np.add.at(edge, np.minimum(end, n_words), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def _cut_text(raw: bytes, starts: np.ndarray | None) -> tuple[list[bytes], int]:
+def _cut_text(raw: bytes, begin: list[int] | None, end: list[int] | None) -> tuple[list[bytes], int]:
     """Kept words and how many were removed."""
-    w = [x for x in raw.split()]
-    if starts is None or not len(starts):
+    w = raw.split()
+    if not begin:
         return w, 0
-    gone = removed_words(len(w), starts)
+    gone = removed_words(len(w), begin, end)
     return [x for x, g in zip(w, gone.tolist(), strict=True) if not g], int(gone.sum())
 
 
-def _starts(batch: pa.RecordBatch) -> list[np.ndarray | None]:
-    column = batch.column("_at")
-    return [None if x is None else np.array(x, np.int64) for x in column.to_pylist()]
+def _with_runs(documents: DataFrame) -> DataFrame:
+    runs = repeated_runs(documents).select(F.col("doc_id").alias("_id"), F.col("begin").alias("_begin"), F.col("end").alias("_end"))
+    size = runs.agg(F.count("*") + F.coalesce(F.sum(F.size("_begin")), F.lit(0)) / 2).first()[0]
+    return documents.join(sized_broadcast(runs, size, BROADCAST_ROWS), documents["doc_id"].cast("long") == F.col("_id"), "left").drop("_id")
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(batch.column("text").to_pylist(), batch.column("_begin").to_pylist(), batch.column("_end").to_pylist(), strict=True)
 
 
 def digest(documents: DataFrame) -> DataFrame:
@@ -137,14 +179,12 @@ def digest(documents: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             out = []
-            for text, starts in zip(b.column("text").to_pylist(), _starts(b), strict=True):
-                kept, gone = _cut_text((text or "").encode(), starts)
+            for text, begin, end in _rows(b):
+                kept, gone = _cut_text((text or "").encode(), begin, end)
                 out.append((len(kept) + gone, gone, hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    at = repeated_windows(documents).withColumnRenamed("at", "_at")
-    return docs.join(at, "doc_id", "left").mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_runs(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(documents: DataFrame) -> DataFrame:
@@ -153,31 +193,12 @@ def remove(documents: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             out = []
-            for text, starts in zip(b.column("text").to_pylist(), _starts(b), strict=True):
-                if text is not None and starts is not None:
-                    kept, gone = _cut_text(text.encode(), starts)
+            for text, begin, end in _rows(b):
+                if text is not None and begin:
+                    kept, gone = _cut_text(text.encode(), begin, end)
                     text = b" ".join(kept).decode() if gone else text
                 out.append(text)
             k = b.schema.get_field_index("text")
-            yield b.set_column(k, "text", pa.array(out, b.schema.field(k).type)).drop_columns(["_at"])
+            yield b.set_column(k, "text", pa.array(out, b.schema.field(k).type)).drop_columns(["_begin", "_end"])
 
-    at = repeated_windows(documents).select(F.col("doc_id").alias("_id"), F.col("at").alias("_at"))
-    joined = documents.join(at, documents["doc_id"] == F.col("_id"), "left").drop("_id")
-    return joined.mapInArrow(rows, documents.schema)
-
-
-def spans(documents: DataFrame) -> DataFrame:
-    """doc_id, start, length of the maximal repeats, in words, that removal takes from each document."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for k, starts in zip(b.column("doc_id").to_pylist(), b.column("at").to_pylist(), strict=True):
-                s = np.array(starts, np.int64)
-                first = np.concatenate([[True], s[1:] > s[:-1] + WINDOW])
-                begin = s[first]
-                last = s[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(s) - 1]])] + WINDOW
-                out += [(k, int(x), int(y - x)) for x, y in zip(begin, last, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], names=["doc_id", "start", "length"])
-
-    return repeated_windows(documents).mapInArrow(rows, "doc_id long, start long, length long")
+    return _with_runs(documents).mapInArrow(rows, documents.schema)
