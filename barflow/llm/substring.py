@@ -1,19 +1,21 @@
 """Removal of repeated word runs by prefix-partitioned suffix trees.
 
 A suffix is a document's words from one position on.  Suffixes are split into
-groups by prefixes of variable length: first by sampled 8-word prefixes that
-occur at least twice in the corpus (winnowing picks the least hash of each
-stretch of 13, so every repeated 20-word run holds a shared sampled prefix at
-the same place), then by their first 10 words, and groups still too large by
-20.  Only suffixes near a repeated sampled prefix are materialised, as the two
-edge labels (hashes of words 1-10 and 11-20) that lead to a node of depth 20
-of their group's tree.  A node of that depth with two suffixes or more is a
-deep internal node: its first suffix stays, the windows of the others are
-removed, and overlapping removals join to maximal repeats.
+small groups by prefixes of variable length: the least-hashed 8-word run among
+the first 20 words (their minimizer, so equal runs of 20 words always meet in
+one group), cut where it begins.  Only groups whose minimizer occurs at least
+twice in the corpus are materialised, one row for the neighbouring suffixes of
+one occurrence, each suffix as the hash of its first 20 words: the edge that
+leads to a node of depth 20 of the group's tree.  A node of that depth with two
+suffixes or more is a deep internal node: its first suffix stays, the windows
+of the others are removed, and overlapping removals join to maximal repeats.
 
 A tree is held as that depth-20 cut, since nothing deeper changes what is
-removed.  Nodes are built by partial aggregation and joined back, so a passage
-that a third of all documents share is no hot task.  Documents whose whole word
+removed.  In a group the first occurrence, found by partial aggregation, is
+joined to all others and settles the nodes it stands in; the few suffixes of
+nodes without it are aggregated by node.  No group is ever gathered in a task,
+so a passage that a third of all documents share is only a skewed join.
+Documents whose whole word
 sequence an earlier one has are settled by a digest before: all their windows
 start earlier, and the first copy stands for them in every tree.
 
@@ -53,20 +55,20 @@ def _sliding(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
     return x
 
 
-def sampled_positions(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Word positions (over the batch) of the sampled prefixes and their hashes."""
-    n = len(w.hash)
-    if n < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+_PLACE = np.uint64(30)
+
+
+def minimizers(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows of a batch, the start of each one's minimizer, and the hashes of all 8-word runs."""
+    if len(w.hash) < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     g = shingles(w.hash, SAMPLED)
-    low = _sliding(g, _REACH, np.minimum)  # over the prefixes of the window that starts here
+    # the hash's high bits, then the place: equal ones give the leftmost, in every occurrence alike
+    keyed = (g >> _PLACE << _PLACE) | np.arange(len(g), dtype=np.uint64)
+    low = _sliding(keyed, _REACH, np.minimum) & ((np.uint64(1) << _PLACE) - np.uint64(1))
     end = np.repeat(w.offsets[1:], np.diff(w.offsets))
-    whole = np.arange(len(low)) + WINDOW <= end[: len(low)]
-    low = np.where(whole, low, np.uint64(0))
-    pad = np.zeros(_REACH - 1, np.uint64)
-    best = _sliding(np.concatenate([pad, low, pad]), _REACH, np.maximum)[: len(g)]
-    at = np.flatnonzero((best == g) & (best > 0))
-    return at, g[at]
+    at = np.flatnonzero(np.arange(len(low)) + WINDOW <= end[: len(low)])
+    return at, low[at].astype(np.int64), g
 
 
 def _owners(w: Words, at: np.ndarray) -> np.ndarray:
@@ -76,29 +78,31 @@ def _owners(w: Words, at: np.ndarray) -> np.ndarray:
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches):
         w = words(b.column("text"))
-        at, h = sampled_positions(w)
-        d = _owners(w, at)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("doc_id").cast(pa.int64()).take(pa.array(d)), pa.array((at - w.offsets[d]).astype(np.int32))], names=["h", "doc_id", "pos"])
+        at, place, g = minimizers(w)
+        place = place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
+        d = _owners(w, place)
+        yield pa.RecordBatch.from_arrays([pa.array(g[place].view(np.int64)), b.column("doc_id").cast(pa.int64()).take(pa.array(d)), pa.array((place - w.offsets[d]).astype(np.int32))], names=["h", "doc_id", "pos"])
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches, limit=1 << 20):
         w = words(b.column("text"))
-        if len(w.hash) < WINDOW:
+        at, place, g = minimizers(w)
+        if not len(at):
             continue
-        marks = b.column("at").combine_chunks() if isinstance(b.column("at"), pa.ChunkedArray) else b.column("at")
+        marks = b.column("at")
         lists = np.diff(marks.offsets.to_numpy())
-        place = marks.flatten().to_numpy(zero_copy_only=False) + np.repeat(w.offsets[:-1], lists)
-        stop = np.repeat(w.offsets[1:], lists)
-        near = np.zeros(len(w.hash) + 1, np.int32)
-        inside = place < stop
-        np.add.at(near, np.maximum(np.maximum(place - _REACH + 1, np.repeat(w.offsets[:-1], lists)), 0)[inside], 1)
-        np.add.at(near, place[inside] + 1, -1)
-        e = shingles(w.hash, EDGE)
-        end = np.repeat(w.offsets[1:], np.diff(w.offsets))
-        at = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (np.arange(len(w.hash)) + WINDOW <= end))
-        d = _owners(w, at)
-        yield pa.RecordBatch.from_arrays([pa.array(e[at].view(np.int64)), pa.array(e[at + EDGE].view(np.int64)), b.column("doc_id").cast(pa.int64()).take(pa.array(d)), pa.array((at - w.offsets[d]).astype(np.int32))], names=["a", "b", "doc_id", "pos"])
+        near = np.zeros(len(w.hash), bool)
+        known = marks.flatten().to_numpy(zero_copy_only=False) + np.repeat(w.offsets[:-1], lists)
+        near[known[known < np.repeat(w.offsets[1:], lists)]] = True
+        at, place = at[near[place]], place[near[place]]
+        if not len(at):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)]))
+        nodes = shingles(w.hash, WINDOW)[at].view(np.int64)
+        d = _owners(w, at[first])
+        columns = [g[place[first]].view(np.int64), b.column("doc_id").cast(pa.int64()).take(pa.array(d)), (at[first] - w.offsets[d]).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([*(x if isinstance(x, pa.Array) else pa.array(x) for x in columns), pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(nodes))], names=["h", "doc_id", "start", "nodes"])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,10 +141,17 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
     repeated = samples.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     near = cut(samples.join(repeated, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("at")))
     size = near.agg(F.count("*") + F.coalesce(F.sum(F.size("at")), F.lit(0)) / 4).first()[0]
-    suffixes = cut(docs.join(sized_broadcast(near, size, BROADCAST_ROWS), "doc_id").mapInArrow(_suffixes, "a long, b long, doc_id long, pos int"))
-    nodes = suffixes.groupBy("a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last")).filter("first != last").select("a", "b", "first")
-    later = suffixes.join(nodes, ["a", "b"]).filter("doc_id != first.doc_id OR pos != first.pos")
-    starts = later.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    suffixes = docs.join(sized_broadcast(near, size, BROADCAST_ROWS), "doc_id").mapInArrow(_suffixes, "h long, doc_id long, start int, nodes array<long>")
+    leaders = suffixes.groupBy("h").agg(F.min(F.struct("doc_id", "start", "nodes")).alias("lead")).select("h", F.col("lead.doc_id").alias("d0"), F.col("lead.start").alias("s0"), F.col("lead.nodes").alias("n0"))
+    members = suffixes.join(leaders, "h").filter("doc_id != d0 OR start != s0")
+    placed = F.transform("nodes", lambda x, k: F.struct((F.col("start") + k).alias("start"), x.alias("node")))
+    settled = F.transform(F.filter(placed, lambda x: F.array_contains("n0", x["node"])), lambda x: x["start"])
+    members = cut(members.select("h", "doc_id", settled.alias("settled"), F.filter(placed, lambda x: ~F.array_contains("n0", x["node"])).alias("rest")))
+    rest = members.select("h", "doc_id", F.explode("rest").alias("x")).select("h", "doc_id", "x.start", "x.node")
+    nodes = rest.groupBy("h", "node").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).filter("first != last").select("h", "node", "first")
+    later = rest.join(nodes, ["h", "node"]).filter("doc_id != first.doc_id OR start != first.start").select("doc_id", F.array("start").alias("settled"))
+    starts = members.filter(F.size("settled") > 0).select("doc_id", "settled").unionByName(later)
+    starts = starts.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("settled")))).alias("at"))
     whole = copies.select("doc_id", F.array(F.lit(0).cast("long")).alias("begin"), F.array(F.lit(_ALL).cast("long")).alias("end"))
     runs = starts.join(sized_broadcast(copies, copies.count(), BROADCAST_ROWS), "doc_id", "left_anti").mapInArrow(_runs, "doc_id long, begin array<long>, end array<long>")
     return cut(runs.unionByName(whole))
