@@ -92,17 +92,23 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         marks = b.column("at")
         lists = np.diff(marks.offsets.to_numpy())
-        near = np.zeros(len(w.hash), bool)
-        known = marks.flatten().to_numpy(zero_copy_only=False) + np.repeat(w.offsets[:-1], lists)
-        near[known[known < np.repeat(w.offsets[1:], lists)]] = True
+        coded = marks.flatten().to_numpy(zero_copy_only=False)
+        known, flag = (coded >> 1) + np.repeat(w.offsets[:-1], lists), coded & 1
+        inside = known < np.repeat(w.offsets[1:], lists)
+        near, early = np.zeros(len(w.hash), bool), np.zeros(len(w.hash), bool)
+        near[known[inside]], early[known[inside & (flag == 1)]] = True, True
         at, place = at[near[place]], place[near[place]]
         if not len(at):
             continue
         first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)]))
         nodes = shingles(w.hash, WINDOW)[at].view(np.int64)
         d = _owners(w, at[first])
-        columns = [g[place[first]].view(np.int64), b.column("doc_id").cast(pa.int64()).take(pa.array(d)), (at[first] - w.offsets[d]).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([*(x if isinstance(x, pa.Array) else pa.array(x) for x in columns), pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(nodes))], names=["h", "doc_id", "start", "nodes"])
+        h = g[place[first]]
+        lead = early[place[first]]
+        again = np.lexsort((first, h, d))
+        lead[again[1:][(h[again[1:]] == h[again[:-1]]) & (d[again[1:]] == d[again[:-1]])]] = False
+        columns = [lead, h.view(np.int64), b.column("doc_id").cast(pa.int64()).take(pa.array(d)), (at[first] - w.offsets[d]).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([*(x if isinstance(x, pa.Array) else pa.array(x) for x in columns), pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(nodes))], names=["lead", "h", "doc_id", "start", "nodes"])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +126,12 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         begin, end = [], []
-        for starts in b.column("at").to_pylist():
-            s = np.array(starts, np.int64)
+        column = b.column("at")
+        edges, inner = column.offsets.to_numpy(), column.values
+        all_starts, all_masks = inner.field("start").to_numpy(zero_copy_only=False), inner.field("mask").to_numpy(zero_copy_only=False)
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            on = (all_masks[x:y, None] >> np.arange(_REACH)) & 1 == 1
+            s = np.unique((all_starts[x:y, None] + np.arange(_REACH))[on]).astype(np.int64)
             first = np.concatenate([[True], s[1:] > s[:-1] + WINDOW])
             begin.append(s[first].tolist())
             end.append((s[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(s) - 1]])] + WINDOW).tolist())
@@ -138,20 +148,22 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
     single = docs.join(sized_broadcast(copies, copies.count(), BROADCAST_ROWS), "doc_id", "left_anti")
 
     samples = single.mapInArrow(_samples, "h long, doc_id long, pos int")
-    repeated = samples.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    near = cut(samples.join(repeated, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("at")))
+    repeated = samples.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0")).filter("n > 1").select("h", "d0")
+    # places of repeated minimizers, doubled, plus one in the document that is their first
+    mark = F.col("pos") * 2 + (F.col("doc_id") == F.col("d0")).cast("int")
+    near = cut(samples.join(repeated, "h").groupBy("doc_id").agg(F.collect_list(mark).alias("at")))
     size = near.agg(F.count("*") + F.coalesce(F.sum(F.size("at")), F.lit(0)) / 4).first()[0]
-    suffixes = docs.join(sized_broadcast(near, size, BROADCAST_ROWS), "doc_id").mapInArrow(_suffixes, "h long, doc_id long, start int, nodes array<long>")
-    leaders = suffixes.groupBy("h").agg(F.min(F.struct("doc_id", "start", "nodes")).alias("lead")).select("h", F.col("lead.doc_id").alias("d0"), F.col("lead.start").alias("s0"), F.col("lead.nodes").alias("n0"))
-    members = suffixes.join(leaders, "h").filter("doc_id != d0 OR start != s0")
-    placed = F.transform("nodes", lambda x, k: F.struct((F.col("start") + k).alias("start"), x.alias("node")))
-    settled = F.transform(F.filter(placed, lambda x: F.array_contains("n0", x["node"])), lambda x: x["start"])
-    members = cut(members.select("h", "doc_id", settled.alias("settled"), F.filter(placed, lambda x: ~F.array_contains("n0", x["node"])).alias("rest")))
-    rest = members.select("h", "doc_id", F.explode("rest").alias("x")).select("h", "doc_id", "x.start", "x.node")
+    suffixes = docs.join(sized_broadcast(near, size, BROADCAST_ROWS), "doc_id").mapInArrow(_suffixes, "lead boolean, h long, doc_id long, start int, nodes array<long>")
+    leaders = suffixes.filter("lead").groupBy("h").agg(F.first("nodes").alias("n0"))  # one row each but for repeated rows
+    members = suffixes.filter("NOT lead").join(leaders, "h")
+    mask = F.expr("aggregate(transform(nodes, (x, k) -> if(array_contains(n0, x), cast(power(2, k) AS int), 0)), 0, (a, b) -> a + b)")
+    others = F.filter(F.transform("nodes", lambda x, k: F.struct((F.col("start") + k).alias("start"), x.alias("node"))), lambda x: ~F.array_contains("n0", x["node"]))
+    members = members.select("h", "doc_id", "start", mask.alias("mask"), others.alias("rest"))
+    members = cut(members.select(F.when(F.size("rest") > 0, F.col("h")).alias("h"), "doc_id", "start", "mask", F.when(F.size("rest") > 0, F.col("rest")).alias("rest")))
+    rest = members.filter("rest IS NOT NULL").select("h", "doc_id", F.explode("rest").alias("x")).select("h", "doc_id", "x.start", "x.node")
     nodes = rest.groupBy("h", "node").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).filter("first != last").select("h", "node", "first")
-    later = rest.join(nodes, ["h", "node"]).filter("doc_id != first.doc_id OR start != first.start").select("doc_id", F.array("start").alias("settled"))
-    starts = members.filter(F.size("settled") > 0).select("doc_id", "settled").unionByName(later)
-    starts = starts.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("settled")))).alias("at"))
+    later = rest.join(nodes, ["h", "node"]).filter("doc_id != first.doc_id OR start != first.start").select("doc_id", "start", F.lit(1).alias("mask"))
+    starts = members.filter("mask > 0").select("doc_id", "start", "mask").unionByName(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("at"))
     whole = copies.select("doc_id", F.array(F.lit(0).cast("long")).alias("begin"), F.array(F.lit(_ALL).cast("long")).alias("end"))
     runs = starts.join(sized_broadcast(copies, copies.count(), BROADCAST_ROWS), "doc_id", "left_anti").mapInArrow(_runs, "doc_id long, begin array<long>, end array<long>")
     return cut(runs.unionByName(whole))
