@@ -21,9 +21,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def sized_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Broadcast only when the counted rows stay under the limit; otherwise the join shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+#: Sides of joins up to this measured size are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 128 << 20
+
+
+def sized_broadcast(df: DataFrame, size: float) -> DataFrame:
+    """Broadcast only a side whose measured size, in bytes, is under BROADCAST_BYTES; otherwise the join shuffles."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def fold(doc_id: Column | str, n: int) -> Column:

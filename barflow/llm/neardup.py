@@ -38,7 +38,6 @@ BANDS, ROWS = 24, 3
 #: Link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_500_000
-BROADCAST_MEMBERS = 1_000_000
 
 _RNG = np.random.default_rng(9)
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,7 +135,7 @@ def _member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cluster_components(documents: DataFrame, members: DataFrame, n_members: int) -> DataFrame:
     """rep, component.  members: rep, h1, h2, cluster, blocks, block."""
     m = members.withColumnRenamed("rep", "doc_id")
-    joined = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized_broadcast(m, n_members, BROADCAST_MEMBERS), "doc_id")
+    joined = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized_broadcast(m, 80 * n_members), "doc_id")
     sets = joined.select(F.col("doc_id").alias("rep"), "cluster", "blocks", "block", "h1", "h2", "text").mapInArrow(_member_sets, "rep long, cluster long, blocks long, block long, s binary")
     small = sets.filter("blocks = 1").groupBy("cluster").applyInArrow(_link, "src long, dst long").select(F.col("src").alias("rep"), F.col("dst").alias("component"))
     if members.filter("blocks > 1").limit(1).count() == 0:

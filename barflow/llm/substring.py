@@ -40,8 +40,6 @@ from .text import Words, mix, shingles, sliced, words
 
 WINDOW, EDGE, SAMPLED = 20, 10, 8
 _REACH = WINDOW - SAMPLED + 1
-#: Rows of small sides that are broadcast once they are counted; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 _ALL = 2**62
 
 
@@ -145,15 +143,15 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
     digests = cut(docs.mapInArrow(_digests, "doc_id long, n_words long, d1 long, d2 long").filter(F.col("n_words") >= WINDOW))
     first = digests.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first != last")
     copies = cut(digests.join(first, ["d1", "d2"]).filter("doc_id != first").select("doc_id").distinct())
-    single = docs.join(sized_broadcast(copies, copies.count(), BROADCAST_ROWS), "doc_id", "left_anti")
+    single = docs.join(sized_broadcast(copies, 32 * copies.count()), "doc_id", "left_anti")
 
     samples = single.mapInArrow(_samples, "h long, doc_id long, pos int")
     repeated = samples.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0")).filter("n > 1").select("h", "d0")
     # places of repeated minimizers, doubled, plus one in the document that is their first
     mark = F.col("pos") * 2 + (F.col("doc_id") == F.col("d0")).cast("int")
     near = cut(samples.join(repeated, "h").groupBy("doc_id").agg(F.collect_list(mark).alias("at")))
-    size = near.agg(F.count("*") + F.coalesce(F.sum(F.size("at")), F.lit(0)) / 4).first()[0]
-    suffixes = docs.join(sized_broadcast(near, size, BROADCAST_ROWS), "doc_id").mapInArrow(_suffixes, "lead boolean, h long, doc_id long, start int, nodes array<long>")
+    size = near.agg(64 * F.count("*") + F.coalesce(F.sum(F.size("at")), F.lit(0)) * 4).first()[0]
+    suffixes = docs.join(sized_broadcast(near, size), "doc_id").mapInArrow(_suffixes, "lead boolean, h long, doc_id long, start int, nodes array<long>")
     leaders = suffixes.filter("lead").groupBy("h").agg(F.first("nodes").alias("n0"))  # one row each but for repeated rows
     members = suffixes.filter("NOT lead").join(leaders, "h")
     mask = F.expr("aggregate(transform(nodes, (x, k) -> if(array_contains(n0, x), cast(power(2, k) AS int), 0)), 0, (a, b) -> a + b)")
@@ -165,7 +163,7 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
     later = rest.join(nodes, ["h", "node"]).filter("doc_id != first.doc_id OR start != first.start").select("doc_id", "start", F.lit(1).alias("mask"))
     starts = members.filter("mask > 0").select("doc_id", "start", "mask").unionByName(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("at"))
     whole = copies.select("doc_id", F.array(F.lit(0).cast("long")).alias("begin"), F.array(F.lit(_ALL).cast("long")).alias("end"))
-    runs = starts.join(sized_broadcast(copies, copies.count(), BROADCAST_ROWS), "doc_id", "left_anti").mapInArrow(_runs, "doc_id long, begin array<long>, end array<long>")
+    runs = starts.join(sized_broadcast(copies, 32 * copies.count()), "doc_id", "left_anti").mapInArrow(_runs, "doc_id long, begin array<long>, end array<long>")
     return cut(runs.unionByName(whole))
 
 
@@ -188,8 +186,8 @@ def _cut_text(raw: bytes, begin: list[int] | None, end: list[int] | None) -> tup
 
 def _with_runs(documents: DataFrame) -> DataFrame:
     runs = repeated_runs(documents).select(F.col("doc_id").alias("_id"), F.col("begin").alias("_begin"), F.col("end").alias("_end"))
-    size = runs.agg(F.count("*") + F.coalesce(F.sum(F.size("_begin")), F.lit(0)) / 2).first()[0]
-    return documents.join(sized_broadcast(runs, size, BROADCAST_ROWS), documents["doc_id"].cast("long") == F.col("_id"), "left").drop("_id")
+    size = runs.agg(80 * F.count("*") + F.coalesce(F.sum(F.size("_begin")), F.lit(0)) * 16).first()[0]
+    return documents.join(sized_broadcast(runs, size), documents["doc_id"].cast("long") == F.col("_id"), "left").drop("_id")
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:

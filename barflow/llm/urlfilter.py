@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import sized_broadcast
 
-#: Rules up to this number are broadcast after they are counted; more are joined by a shuffle.
-BROADCAST_RULES = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,10 +42,10 @@ def short(full: Column) -> Column:
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
     """pages with host, path, rule and verdict.  rules: columns host, path, verdict."""
     r = rules.select(F.translate("host", _UPPER, _LOWER).alias("h"), F.col("path").alias("p"), F.col("verdict").alias("v")).filter("h IS NOT NULL AND p IS NOT NULL").distinct()
-    number = r.count()
+    size = r.agg(F.coalesce(F.sum(F.length("h") + F.length("p") + 160), F.lit(0))).first()[0]
     lengths = [x[0] for x in r.select(F.length("p")).distinct().orderBy(F.length("p")).collect()]  # at most as many as a URL has characters
     r = r.select(digest(F.col("h"), F.col("p")).alias("full"), F.concat("h", "p").alias("rule"), F.length("h").alias("host_length"), "v")
-    r = sized_broadcast(r.withColumn("short", short(F.col("full"))), number, BROADCAST_RULES)
+    r = sized_broadcast(r.withColumn("short", short(F.col("full"))), size)
 
     urls = pages.select(F.col(url).alias("_u")).filter(F.col("_u").isNotNull()).distinct().select("_u", host(F.col("_u")).alias("_h"), path(F.col("_u")).alias("_p")).filter("_h != ''")
     labels = F.split("_h", r"\.")
