@@ -223,3 +223,8 @@ def remove(documents: DataFrame) -> DataFrame:
             yield b.set_column(k, "text", pa.array(out, b.schema.field(k).type)).drop_columns(["_begin", "_end"])
 
     return _with_runs(documents).mapInArrow(rows, documents.schema)
+
+
+def spans(documents: DataFrame) -> DataFrame:
+    """doc_id, start, length of the maximal repeats, in words, that removal takes; a whole copy's length reaches past its end."""
+    return repeated_runs(documents).select("doc_id", F.explode(F.arrays_zip("begin", "end")).alias("x")).select("doc_id", F.col("x.begin").alias("start"), (F.col("x.end") - F.col("x.begin")).alias("length"))
