@@ -41,7 +41,7 @@ def simulate(rows: DataFrame, portfolio: bool = False, fill_mode: str = "parity"
         sim = Simulator(json.loads(pdf["config"].iloc[0]), fill_mode)
         short = {s for s, n in zip(pdf["symbol"], pdf["n"], strict=True) if n < sim.cfg["backtest"]["warmup"] + 10}
         signal = pdf["signal"].tolist()
-        times = pdf["ts"].dt.to_pydatetime()
+        times = [x.to_pydatetime() for x in pdf["ts"]]
         for j, r in enumerate(pdf[["symbol", "asset_class", "k", "n", "open", "high", "low", "close", "next_open", "htf_rows"]].itertuples(index=False)):
             if r.symbol in short:
                 continue

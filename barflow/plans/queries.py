@@ -771,3 +771,12 @@ SELECT symbol, ts, round(close, 7) AS close, round(CASE WHEN n >= 9 THEN f END,
 def stream_signals(spark, sf_dir):
     e = live.event_stream(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"))
     return rounded(live.run_available(live.crossing_averages(e)).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+@query()
+def stream_positions(spark, sf_dir):
+    """The batch fold's trades again, from two micro-batches with state between them."""
+    cfg = {**CFG, "risk": {**CFG["risk"], "min_rr": 1.0}}
+    rows = bt.prepared(bars(spark, sf_dir), bars(spark, sf_dir, "1h"), cfg).withColumn("signal", F.to_json("signal")).persist()
+    halves = [rows.filter("ts < '2024-01-15'"), rows.filter("ts >= '2024-01-15'")]
+    return rounded(bt.trades_of(live.run_available(live.live_positions(live.replay(halves), cfg))))
