@@ -146,13 +146,14 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
     single = docs.join(sized_broadcast(copies, 32 * copies.count()), "doc_id", "left_anti")
 
     samples = single.mapInArrow(_samples, "h long, doc_id long, pos int")
-    repeated = samples.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0")).filter("n > 1").select("h", "d0")
+    # written before they are joined, so that adaptive execution can split the join of a frequent prefix
+    repeated = cut(samples.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0")).filter("n > 1").select("h", "d0"))
     # places of repeated minimizers, doubled, plus one in the document that is their first
     mark = F.col("pos") * 2 + (F.col("doc_id") == F.col("d0")).cast("int")
     near = cut(samples.join(repeated, "h").groupBy("doc_id").agg(F.collect_list(mark).alias("at")))
     size = near.agg(64 * F.count("*") + F.coalesce(F.sum(F.size("at")), F.lit(0)) * 4).first()[0]
     suffixes = docs.join(sized_broadcast(near, size), "doc_id").mapInArrow(_suffixes, "lead boolean, h long, doc_id long, start int, nodes array<long>")
-    leaders = suffixes.filter("lead").groupBy("h").agg(F.first("nodes").alias("n0"))  # one row each but for repeated rows
+    leaders = cut(suffixes.filter("lead").groupBy("h").agg(F.first("nodes").alias("n0")))  # one row each but for repeated rows
     members = suffixes.filter("NOT lead").join(leaders, "h")
     mask = F.expr("aggregate(transform(nodes, (x, k) -> if(array_contains(n0, x), cast(power(2, k) AS int), 0)), 0, (a, b) -> a + b)")
     others = F.filter(F.transform("nodes", lambda x, k: F.struct((F.col("start") + k).alias("start"), x.alias("node"))), lambda x: ~F.array_contains("n0", x["node"]))
