@@ -160,7 +160,7 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
     members = members.select("h", "doc_id", "start", mask.alias("mask"), others.alias("rest"))
     members = cut(members.select(F.when(F.size("rest") > 0, F.col("h")).alias("h"), "doc_id", "start", "mask", F.when(F.size("rest") > 0, F.col("rest")).alias("rest")))
     rest = members.filter("rest IS NOT NULL").select("h", "doc_id", F.explode("rest").alias("x")).select("h", "doc_id", "x.start", "x.node")
-    nodes = rest.groupBy("h", "node").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).filter("first != last").select("h", "node", "first")
+    nodes = cut(rest.groupBy("h", "node").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).filter("first != last").select("h", "node", "first"))
     later = rest.join(nodes, ["h", "node"]).filter("doc_id != first.doc_id OR start != first.start").select("doc_id", "start", F.lit(1).alias("mask"))
     starts = members.filter("mask > 0").select("doc_id", "start", "mask").unionByName(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("at"))
     whole = copies.select("doc_id", F.array(F.lit(0).cast("long")).alias("begin"), F.array(F.lit(_ALL).cast("long")).alias("end"))
