@@ -167,7 +167,8 @@ def components(documents: DataFrame) -> DataFrame:
     clusters = connected_components(stars)
     sizes = classes.select("rep", "h1", "h2", "n")
     members = clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")).join(sizes, "rep")
-    count = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    # written before it is joined, so that adaptive execution can split the join of a large cluster
+    count = cut(members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")))
     members = members.join(count, "cluster").select("rep", "h1", "h2", "cluster", "blocks", F.when(F.col("blocks") == 1, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"))
     members = cut(members)
     linked = cluster_components(documents, members, members.count())
