@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+#: Links in a partition: a round over few links is not dealt from hundreds of nearly empty files.
+LINKS = 200_000
+
+
 def _sum(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 30))), F.sum("v")).first())
 
@@ -23,6 +27,7 @@ def connected_components(links: DataFrame, a: str = "src", b: str = "dst") -> Da
     e = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct())
     state = _sum(e)
     while state[0]:
+        e = e.coalesce(max(1, -(-state[0] // LINKS)))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
