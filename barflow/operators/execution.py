@@ -22,11 +22,66 @@ def slipped(price: Column, bps: float) -> Column:
     return price * F.when(F.col("side") == "buy", 1.0 + bps / 1e4).otherwise(1.0 - bps / 1e4)
 
 
+#: Children of a node in the search tree over a symbol's bars, as a power of two.
+_FAN = 5
+
+
+def _numbered(orders: DataFrame, bars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bars with their place n in the symbol's history, and orders with the place of the first later bar."""
+    at = bars.select("symbol", "ts", F.lit(0).alias("late"), F.struct("open", "high", "low").alias("bar"), F.lit(None).cast(orders.select(F.struct(*orders.columns)).dtypes[0][1]).alias("order"))
+    sent = orders.select("symbol", "ts", F.lit(1).alias("late"), F.lit(None).cast(at.schema["bar"].dataType).alias("bar"), F.struct(*orders.columns).alias("order"))
+    seen = F.sum(1 - F.col("late")).over(Window.partitionBy("symbol").orderBy("ts", "late").rowsBetween(Window.unboundedPreceding, 0))
+    both = at.unionByName(sent).withColumn("seen", seen)
+    return both.filter("late = 0").select("symbol", F.col("ts").alias("bar_ts"), (F.col("seen") - 1).alias("n"), "bar.*"), both.filter("late = 1").select("order.*", F.col("seen").alias("n"))
+
+
+def _tree(bars: DataFrame, levels: int) -> DataFrame:
+    """symbol, level, parent, children: lowest low, highest high and presence of an open in each child, at most 2 ** _FAN of them."""
+    blocks = bars.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("block", F.expr(f"shiftright(n, {_FAN} * level)"))
+    stats = blocks.groupBy("symbol", "level", "block").agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.max(F.col("open").isNotNull()).alias("op"))
+    return stats.groupBy("symbol", "level", F.shiftright("block", _FAN).alias("parent")).agg(F.array_sort(F.collect_list(F.struct("block", "lo", "hi", "op"))).alias("children"))
+
+
+def _first_child(since: Column) -> Column:
+    """First child block from `since` on in which some bar fills the order, or NULL."""
+
+    def fills(x: Column) -> Column:
+        return F.when(F.col("type") == "market", x["op"]).when(F.col("down"), x["lo"] <= F.col("price")).otherwise(x["hi"] >= F.col("price"))
+
+    return F.get(F.filter("children", lambda x: (x["block"] >= since) & fills(x)), F.lit(0))["block"]
+
+
 def first_fills(orders: DataFrame, bars: DataFrame, bps: float = 3.0) -> DataFrame:
-    """Each order's first filling bar after it was submitted (ts), slipped."""
-    b = bars.select("symbol", F.col("ts").alias("bar_ts"), "open", "high", "low", "close")
-    met = orders.join(b, "symbol").filter("bar_ts > ts").withColumn("fill", fill_price()).filter("fill IS NOT NULL")
-    return met.groupBy("order_id").agg(F.min_by(F.struct("symbol", "side", "type", "qty", "bar_ts", slipped(F.col("fill"), bps).alias("fill_price")), "bar_ts").alias("x")).select("order_id", "x.*")
+    """Each order's first filling bar after it was submitted (ts), slipped; order_id is unique.
+
+    Bars form a tree of lows and highs.  An order meets one node a level on
+    the way up, right of its place, then one a level down to its bar, so its
+    cost is the tree's depth however long the history or the wait is.  An
+    order without its price, side or a filling bar has no row.
+    """
+    longest = bars.groupBy("symbol").count().agg(F.max("count")).first()[0] or 0
+    levels = max(1, -(-int(longest).bit_length() // _FAN))
+    numbered, sent = _numbered(orders, bars)
+    buy, limit, stop = F.col("side") == "buy", F.col("type") == "limit", F.col("type") == "stop"
+    sent = sent.withColumn("price", F.when(F.col("side").isNotNull() & limit, F.col("limit_price")).when(F.col("side").isNotNull() & stop, F.col("stop_price"))).withColumn("down", buy == limit)
+    tree = _tree(numbered, levels)
+
+    # up: blocks of a level begin right of what the level below has covered, rounded up
+    up = sent.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    up = up.withColumn("since", F.expr(f"shiftright(n + shiftleft(1L, {_FAN} * level) - 1, {_FAN} * level)")).withColumn("parent", F.shiftright("since", _FAN))
+    hits = up.join(tree, ["symbol", "level", "parent"]).withColumn("block", _first_child(F.col("since"))).filter("block IS NOT NULL")
+    keep = [*orders.columns, "price", "down", "level", "block"]
+    found = hits.groupBy("order_id").agg(F.min_by(F.struct(*keep), "level").alias("x")).select("x.*")
+
+    # down: an order that is not at this level takes a key of its own that no node has
+    aside = -1 - F.pmod(F.xxhash64("order_id"), F.lit(1 << 31))
+    for level in range(levels - 1, 0, -1):
+        here = F.col("level") == level
+        below = tree.filter(F.col("level") == level - 1).select("symbol", "parent", "children")
+        found = found.withColumn("parent", F.when(here, F.col("block")).otherwise(aside)).join(below, ["symbol", "parent"], "left")
+        found = found.select(*orders.columns, "price", "down", F.when(here, level - 1).otherwise(F.col("level")).alias("level"), F.when(here, _first_child(F.lit(0))).otherwise(F.col("block")).alias("block"))
+    met = found.join(numbered.withColumnRenamed("n", "block"), ["symbol", "block"]).withColumn("fill", fill_price()).filter("fill IS NOT NULL")
+    return met.select("order_id", "symbol", "side", "type", "qty", "bar_ts", slipped(F.col("fill"), bps).alias("fill_price"))
 
 
 def limit_price(bps: float = 2.0) -> Column:
