@@ -132,13 +132,14 @@ def _member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.filter(pa.array(same))
 
 
-def cluster_components(documents: DataFrame, members: DataFrame, n_members: int) -> DataFrame:
-    """rep, component.  members: rep, h1, h2, cluster, blocks, block."""
+def cluster_components(documents: DataFrame, members: DataFrame, n_members: int, n_wide: int) -> DataFrame:
+    """rep, component.  members: rep, h1, h2, cluster, blocks, block; n_wide: clusters of several blocks."""
+    per_cluster = 64 * n_wide
     m = members.withColumnRenamed("rep", "doc_id")
     joined = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized_broadcast(m, 80 * n_members), "doc_id")
     sets = joined.select(F.col("doc_id").alias("rep"), "cluster", "blocks", "block", "h1", "h2", "text").mapInArrow(_member_sets, "rep long, cluster long, blocks long, block long, s binary")
     small = sets.filter("blocks = 1").groupBy("cluster").applyInArrow(_link, "src long, dst long").select(F.col("src").alias("rep"), F.col("dst").alias("component"))
-    if members.filter("blocks > 1").limit(1).count() == 0:
+    if n_wide == 0:
         return small
     wide = cut(sets.filter("blocks > 1"))
     # the hub block meets every block
@@ -147,11 +148,11 @@ def cluster_components(documents: DataFrame, members: DataFrame, n_members: int)
     found = connected_components(hub)
     state = wide.select("rep", "cluster", "blocks").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     main = state.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("main"))
-    rest = state.join(main, "cluster").filter("component != main.component")
+    rest = state.join(sized_broadcast(main, per_cluster), "cluster").filter("component != main.component")
     many = rest.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("rows"))
-    rest = cut(rest.join(many, "cluster").select("rep", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rows")).alias("row")))
+    rest = cut(rest.join(sized_broadcast(many, per_cluster), "cluster").select("rep", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rows")).alias("row")))
     left = wide.join(rest, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    right = wide.join(many, "cluster").withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("other", F.col("block"))
+    right = wide.join(sized_broadcast(many, per_cluster), "cluster").withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("other", F.col("block"))
     pick = ["rep", "cluster", "row", "other", "s"]
     more = left.select(*pick).unionByName(right.select(*pick)).groupBy("cluster", "row", "other").applyInArrow(_link, "src long, dst long").filter("src != dst")
     return small.unionByName(connected_components(hub.unionByName(more)).select(F.col("id").alias("rep"), "component"))
@@ -166,12 +167,15 @@ def components(documents: DataFrame) -> DataFrame:
     stars = spread.join(buckets, "bucket").filter("rep != low").select(F.col("rep").alias("src"), F.col("low").alias("dst"))
     clusters = connected_components(stars)
     sizes = classes.select("rep", "h1", "h2", "n")
-    members = clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")).join(sizes, "rep")
-    count = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    members = members.join(count, "cluster").select("rep", "h1", "h2", "cluster", "blocks", F.when(F.col("blocks") == 1, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"))
-    members = cut(members)
-    linked = cluster_components(documents, members, members.count())
-    settled = members.select("rep", "h1", "h2").join(linked, "rep").select("h1", "h2", F.col("component"))
+    found = cut(clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")).join(sizes, "rep"))
+    # only clusters of several blocks need their size, at most one a BLOCK_DOCS members or BLOCK_SHINGLES shingles
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    wide = cut(found.groupBy("cluster").agg(blocks.alias("blocks")).filter("blocks > 1"))
+    n_wide = wide.count()
+    members = found.join(sized_broadcast(wide, 64 * n_wide), "cluster", "left").select("rep", "h1", "h2", "cluster", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks"))
+    members = members.withColumn("block", F.when(F.col("blocks") == 1, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("rep"), F.col("blocks"))))
+    linked = cluster_components(documents, members, found.count(), n_wide)
+    settled = found.select("rep", "h1", "h2").join(linked, "rep").select("h1", "h2", F.col("component"))
     classes_of = print_.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     by_class = classes_of.join(settled, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     rows = print_.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("h1")).alias("h1"), F.when(F.col("n_shingles") > 0, F.col("h2")).alias("h2"))
