@@ -177,6 +177,7 @@ def components(documents: DataFrame) -> DataFrame:
     linked = cluster_components(documents, members, found.count(), n_wide)
     settled = found.select("rep", "h1", "h2").join(linked, "rep").select("h1", "h2", F.col("component"))
     classes_of = print_.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    by_class = classes_of.join(settled, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
+    # written, so that the rows of a large group of copies are split in the join
+    by_class = cut(classes_of.join(settled, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component")))
     rows = print_.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("h1")).alias("h1"), F.when(F.col("n_shingles") > 0, F.col("h2")).alias("h2"))
     return rows.join(by_class, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
