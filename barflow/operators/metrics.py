@@ -118,11 +118,25 @@ def sensitivity_summary(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("combos"), F.avg("sharpe").alias("sharpe_mean"), F.stddev_pop("sharpe").alias("sharpe_std"), F.min("sharpe").alias("sharpe_min"), F.max("sharpe").alias("sharpe_max"), F.avg(pf).alias("pf_mean"), F.stddev_pop(pf).alias("pf_std"), (F.avg("sharpe") / (F.stddev_pop("sharpe") + 1e-9)).alias("stability"))
 
 
+def mc_returns(trades: DataFrame, start: float = 100_000.0, block: int = 1 << 16) -> DataFrame:
+    """idx (place by seq, from 0) and r (pnl over starting equity) of every trade; seq is unique.
+
+    Trades are counted in blocks of seq and numbered inside their block, so only
+    the counts, one row a block, meet in one window.
+    """
+    rows = trades.select("seq", "pnl", F.floor(F.col("seq") / block).alias("block"))
+    sizes = rows.groupBy("block").count()
+    before = sizes.select("block", (F.sum("count").over(Window.orderBy("block")) - F.col("count")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("block").orderBy("seq")) - 1
+    return rows.withColumn("_n", place).join(before, "block").select((F.col("before") + F.col("_n")).alias("idx"), (F.col("pnl") / start).alias("r"))
+
+
 def mc_draws(spark: SparkSession, n_runs: int, n_draws: int, n_trades: int, seed: int = 42) -> DataFrame:
     """run, k, idx: bootstrap draws with replacement, the same in every engine (md5 of seed, run and place)."""
     text = F.concat_ws(":", F.lit(seed).cast("string"), F.col("run").cast("string"), F.col("k").cast("string"))
-    rows = spark.range(n_runs).select(F.col("id").alias("run"), F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("k"))
-    return rows.withColumn("idx", F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % n_trades)
+    per = max(n_draws, 1)
+    rows = spark.range(n_runs * n_draws).select(F.expr(f"id div {per}").alias("run"), (F.col("id") % per).alias("k"))
+    return rows.withColumn("idx", F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % max(n_trades, 1))
 
 
 def mc_paths(draws: DataFrame, returns: DataFrame, start: float = 100_000.0, ruin: float = 0.5) -> DataFrame:

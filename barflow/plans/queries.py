@@ -539,10 +539,11 @@ _DRAW = "dw AS (SELECT run, k, CAST('0x' || substr(md5('42:' || run || ':' || k)
 _PATH = f"WITH {TRADES}, {_DRAW}, pa AS (SELECT run, k, 100000 + sum(r * 100000) OVER q AS equity FROM dw JOIN ix USING (idx) WINDOW q AS (PARTITION BY run ORDER BY k ROWS UNBOUNDED PRECEDING)), pk AS (SELECT *, greatest(max(equity) OVER (PARTITION BY run ORDER BY k ROWS UNBOUNDED PRECEDING), 100000) AS peak FROM pa), mc AS (SELECT run, arg_max(equity, k) AS final_equity, greatest(max((peak - equity) / peak), 0) AS max_dd, least(min(equity), 100000) <= 50000 AS ruined FROM pk GROUP BY run)"
 
 
-def _paths(spark, sf_dir):
-    r = trades(spark, sf_dir).orderBy("seq").limit(500)
-    r = r.select((F.row_number().over(Window.orderBy("seq")) - 1).cast("long").alias("idx"), (F.col("pnl") / 100000).alias("r"))
-    return mt.mc_paths(mt.mc_draws(spark, 200, 100, 500), r)
+def _paths(spark, sf_dir, runs=1000):
+    """Runs of as many draws as there are trades, from all of them; the SQL above draws 100 of the first 500."""
+    r = trades(spark, sf_dir)
+    n = r.count()
+    return mt.mc_paths(mt.mc_draws(spark, runs, n, n), mt.mc_returns(r))
 
 
 @query(f"{_PATH} SELECT run, {r6('final_equity', 'max_dd')}, ruined FROM mc")
