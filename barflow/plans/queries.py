@@ -634,8 +634,9 @@ _ORD = "o AS (SELECT event_id AS order_id, symbol, ts, CASE WHEN event_id % 2 =
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order of every tick, of both sides and three types; the SQL above keeps one tick in twenty, all of them buys."""
     k = F.col("event_id")
-    return src.ticks(t(spark, sf_dir, "events")).filter(k % 20 == 0).select(k.alias("order_id"), "symbol", "ts", F.when(k % 2 == 0, "buy").otherwise("sell").alias("side"), F.element_at(F.array(F.lit("market"), F.lit("limit"), F.lit("stop")), (k % 3 + 1).cast("int")).alias("type"), (1.0 + k % 4).alias("qty"), (F.col("px") + (k % 5 - 2) * 0.01).alias("limit_price"), (F.col("px") + (k % 7 - 3) * 0.01).alias("stop_price"))
+    return src.ticks(t(spark, sf_dir, "events")).select(k.alias("order_id"), "symbol", "ts", F.when(k % 2 == 0, "buy").otherwise("sell").alias("side"), F.element_at(F.array(F.lit("market"), F.lit("limit"), F.lit("stop")), (k % 3 + 1).cast("int")).alias("type"), (1.0 + k % 4).alias("qty"), (F.col("px") + (k % 5 - 2) * 0.01).alias("limit_price"), (F.col("px") + (k % 7 - 3) * 0.01).alias("stop_price"))
 
 
 _RULE = "CASE WHEN type = 'market' THEN open WHEN type = 'limit' AND side = 'buy' AND low <= limit_price THEN least(limit_price, open) WHEN type = 'limit' AND side = 'sell' AND high >= limit_price THEN greatest(limit_price, open) WHEN type = 'stop' AND side = 'buy' AND high >= stop_price THEN greatest(stop_price, open) WHEN type = 'stop' AND side = 'sell' AND low <= stop_price THEN least(stop_price, open) END"

@@ -6,6 +6,8 @@ import random
 
 import pytest
 
+from test_execution import walk
+
 from barflow.operators import metrics as mt
 from barflow.plans import queries as q
 
@@ -17,6 +19,37 @@ def write(spark, path, name, rows, schema):
     return str(path)
 
 
+@pytest.fixture(scope="module")
+def ticks_dir(spark, tmp_path_factory):
+    """Events with odd and even ids of two symbols, some days of them."""
+    rng = random.Random(5)
+    rows = [(k, START + dt.timedelta(minutes=7 * k, seconds=k % 50), rng.randint(1, 9), ("view", "click")[k % 2 if k % 3 else 0], float(rng.randint(100, 90000)) / 100) for k in range(1, 2400)]
+    return write(spark, tmp_path_factory.mktemp("ticks"), "events", rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+
+
+def test_every_tick_is_an_order(spark, ticks_dir):
+    b = [tuple(r) for r in q.bars(spark, ticks_dir).select("symbol", "ts", "open", "high", "low", "close").collect()]
+    sent = {r.event_id: r for r in q.src.ticks(spark.read.parquet(f"{ticks_dir}/events.parquet")).collect()}
+    want = {}
+    for k, r in sent.items():
+        side, kind = ("buy", "sell")[k % 2], ("market", "limit", "stop")[k % 3]
+        if f := walk((k, r.symbol, r.ts, side, kind, 1.0 + k % 4, r.px + (k % 5 - 2) * 0.01, r.px + (k % 7 - 3) * 0.01), b):
+            want[k] = (side, kind, f[0], round(f[1] * (1 + (3 if side == "buy" else -3) / 1e4), 9))
+    got = {r.order_id: (r.side, r.type, r.bar_ts, r.fill_price) for r in q.fill_rule(spark, ticks_dir).collect()}
+    assert got.keys() == want.keys() and all(got[k] == (*w[:3], pytest.approx(w[3], abs=2e-9)) for k, w in want.items())
+    groups = {}
+    for k, (side, kind, at, price) in want.items():
+        slip = (price - sent[k].px) * (1 if side == "buy" else -1) / sent[k].px * 1e4
+        groups.setdefault((kind, side), []).append((slip, (at - sent[k].ts).total_seconds() * 1000))
+    slips = {(r.type, r.side): r for r in q.fill_slippage(spark, ticks_dir).collect()}
+    assert slips.keys() == groups.keys() and len(groups) == 6
+    for key, g in groups.items():
+        assert slips[key].fills == len(g) and slips[key].slippage_bps == pytest.approx(sum(x for x, _ in g) / len(g), abs=1e-5) and slips[key].latency_ms == pytest.approx(sum(x for _, x in g) / len(g), abs=1)
+    cancels = {r.order_id: r for r in q.order_cancel(spark, ticks_dir).collect()}
+    assert cancels.keys() == sent.keys() and all(r.cancelled == (k % 60 == 0) for k, r in cancels.items())
+    assert {r.status for k, r in cancels.items() if k % 3 == 1} == {"open"}
+
+
 def test_monte_carlo_draws_from_all_trades(spark, tmp_path):
     rng = random.Random(1)
     orders = [(k * 300 + 7, rng.choice("OF"), 250000.0 + rng.gauss(0, 90000) - 4000, START, f"{k % 3}-X") for k in range(620)]
