@@ -407,9 +407,10 @@ _EVERY = f"{B15}, nb AS (SELECT *, row_number() OVER {W.format('')} AS n FROM b)
 FROM sg JOIN nb ON sg.symbol = nb.symbol AND nb.n BETWEEN sg.n + 1 AND sg.n + 20 GROUP BY 1, 2, 3)
 SELECT symbol, n, side, coalesce(stop_at, -1) AS stop_at, coalesce(target_at, -1) AS target_at, CASE WHEN stop_at IS NOT NULL AND (target_at IS NULL OR stop_at <= target_at) THEN 0 ELSE 1 END AS label FROM z WHERE stop_at IS NOT NULL OR target_at IS NOT NULL""")
 def barrier_labels(spark, sf_dir):
+    """Every bar as a long and as a short signal; the SQL above has one bar in ten, as longs."""
     b = bars(spark, sf_dir).withColumn("n", F.row_number().over(ind.by()).cast("long"))
-    sign = F.when(F.col("n") % 2 == 0, 1).otherwise(-1)
-    s = b.filter("n % 10 = 0").select("symbol", "n", F.when(F.col("n") % 2 == 0, "long").otherwise("short").alias("side"), (F.col("close") - sign * 0.01).alias("stop"), (F.col("close") + sign * 0.02).alias("take_profit"))
+    sign = F.when(F.col("side") == "long", 1).otherwise(-1)
+    s = b.withColumn("side", F.explode(F.array(F.lit("long"), F.lit("short")))).select("symbol", "n", "side", (F.col("close") - sign * 0.01).alias("stop"), (F.col("close") + sign * 0.02).alias("take_profit"))
     return ml.barrier_labels(s, b).fillna(-1, ["stop_at", "target_at"])
 
 
@@ -618,13 +619,13 @@ def cv_folds(spark, sf_dir):
 
 @query()
 def gbt_train_score(spark, sf_dir):
-    rows = with_signals(spark, sf_dir)
-    feats = ml.market_features(rows).withColumn("n", F.col("n").cast("long"))
-    names = ["ret_1", "ret_5", "atr_pct", "rsi", "vol_z", "dist_20h_atr", "adx_delta"]
-    sign = F.when(F.col("n") % 2 == 0, 1).otherwise(-1)
-    s = feats.filter("n % 5 = 0 AND n > 60").select("symbol", "n", F.when(F.col("n") % 2 == 0, "long").otherwise("short").alias("side"), (F.col("close") - sign * 0.01).alias("stop"), (F.col("close") + sign * 0.02).alias("take_profit"))
-    data = feats.join(ml.barrier_labels(s, feats).select("symbol", "n", "label"), ["symbol", "n"]).select("symbol", "n", "label", *names).na.drop().persist()
-    model = ml.train_gbt(data, names, rounds=5, depth=3, min_rows=1)
+    """Trained on all labelled signals, scores every row of the feature matrix; a signal that met no barrier has a score without a label."""
+    rows = with_signals(spark, sf_dir).persist()
+    g = F.col("signal")
+    s = rows.filter(g.isNotNull()).select("symbol", "n", *[g[c].alias(c) for c in ("side", "stop", "take_profit")])
+    labels = ml.barrier_labels(s, rows).select("symbol", "n", "label")
+    data = ml.feature_matrix(rows, CFG).join(labels, ["symbol", "n"], "left").select("symbol", "n", "label", *ml.FEATURES).persist()
+    model = ml.train_gbt(data.filter("label IS NOT NULL"), ml.FEATURES)
     return rounded(ml.score(model, data).select("symbol", "n", "label", "score"))
 
 

@@ -50,6 +50,60 @@ def test_every_tick_is_an_order(spark, ticks_dir):
     assert {r.status for k, r in cancels.items() if k % 3 == 1} == {"open"}
 
 
+def met(signal, after):
+    """Places of the first stop and target in the next bars, by a walk."""
+    _, n, side, stop, target = signal
+    ahead = [r for r in after if n < r.n <= n + 20]
+    stops = [r.n for r in ahead if (r.low <= stop if side == "long" else r.high >= stop)]
+    targets = [r.n for r in ahead if (r.high >= target if side == "long" else r.low <= target)]
+    return min(stops, default=-1), min(targets, default=-1)
+
+
+def outcome(stop_at, target_at):
+    return None if stop_at == target_at == -1 else int(stop_at == -1 or -1 < target_at < stop_at)
+
+
+def by_symbol(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: r.ts):
+        out.setdefault(r.symbol, []).append(r)
+    return out
+
+
+def test_every_bar_is_labelled_on_both_sides(spark, ticks_dir):
+    want = {}
+    for symbol, own in by_symbol(q.bars(spark, ticks_dir).collect()).items():
+        own = [type("Bar", (), {"n": k, **r.asDict()}) for k, r in enumerate(own, 1)]
+        for r in own:
+            for side, sign in (("long", 1), ("short", -1)):
+                at = met((symbol, r.n, side, r.close - sign * 0.01, r.close + sign * 0.02), own[r.n : r.n + 20])
+                if outcome(*at) is not None:
+                    want[symbol, r.n, side] = (*at, outcome(*at))
+    got = {(r.symbol, r.n, r.side): (r.stop_at, r.target_at, r.label) for r in q.barrier_labels(spark, ticks_dir).collect()}
+    assert got == want and {side for _, _, side in want} == {"long", "short"}
+
+
+def test_model_is_trained_on_all_labelled_signals(spark, monkeypatch):
+    sf, seen = "/root/testdata/sf0.01", {}
+
+    def train(rows, features, **settings):
+        seen.update(rows=rows.collect(), features=features, settings=settings)
+
+    monkeypatch.setattr(q.ml, "train_gbt", train)
+    got = {(r.symbol, r.n): r.label for r in q.gbt_train_score(spark, sf).collect()}
+    assert seen["features"] == q.ml.FEATURES and seen["settings"] == {}
+    rows = by_symbol(q.with_signals(spark, sf).collect())
+    place = {(r.symbol, r.n): (own, r) for own in rows.values() for r in own}
+    want = {}
+    for m in q.ml.feature_matrix(q.with_signals(spark, sf), q.CFG).collect():
+        own, r = place[m.symbol, m.n]
+        want[m.symbol, m.n] = outcome(*met((r.symbol, r.n, r.signal.side, r.signal.stop, r.signal.take_profit), own))
+    assert got == want
+    trained = {(r.symbol, r.n): r.label for r in seen["rows"]}
+    assert trained == {k: v for k, v in want.items() if v is not None} and len(trained) >= 100
+    assert {r.side for r in seen["rows"]} == {1.0, -1.0}
+
+
 def test_monte_carlo_draws_from_all_trades(spark, tmp_path):
     rng = random.Random(1)
     orders = [(k * 300 + 7, rng.choice("OF"), 250000.0 + rng.gauss(0, 90000) - 4000, START, f"{k % 3}-X") for k in range(620)]
