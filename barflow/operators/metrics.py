@@ -93,6 +93,16 @@ def make_windows(start: dt.datetime, end: dt.datetime, train_months: int = 6, te
     return out
 
 
+def cover_windows(start: dt.datetime | None, end: dt.datetime | None, days: int = 8) -> list[dict]:
+    """Test windows that cover start to end without a gap, as many of at least `days` as fit (one if none does), split at whole hours from start."""
+    if start is None:
+        return []
+    n = max(1, (end - start) // dt.timedelta(days=days))
+    hours = (end - start) // dt.timedelta(hours=1)
+    edges = [start + dt.timedelta(hours=hours * k // n) for k in range(n)] + [end]
+    return [{"window": k, "test_start": a, "test_end": b} for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+
+
 def windows_frame(spark: SparkSession, start: str, end: str, train_months: int = 6, test_months: int = 2, n: int = 4) -> DataFrame:
     """The same windows as rows, months added step by step so that a clamped day stays clamped."""
     step = F.sequence(F.lit(1), F.lit(n))

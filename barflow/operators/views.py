@@ -42,11 +42,11 @@ def stats(trades: DataFrame, start: float = 100_000.0) -> DataFrame:
     return trades.agg(F.bround(start + F.sum("pnl"), 2).alias("equity"), F.count_if(F.col("pnl") > 0).alias("wins"), F.count_if(F.col("pnl") <= 0).alias("losses"), F.bround(F.sum("pnl"), 2).alias("realised"))
 
 
-def halt_edges(marks: DataFrame, limit: float = 0.04) -> DataFrame:
-    """Times at which a day's loss from its first equity first reaches the limit."""
-    day = Window.partitionBy(F.to_date("ts")).orderBy("ts")
+def halt_edges(marks: DataFrame, limit: float = 0.04, *key: str) -> DataFrame:
+    """Times at which a day's loss from its first equity first reaches the limit, of one curve or of each key's."""
+    day = Window.partitionBy(*key, F.to_date("ts")).orderBy("ts")
     halted = marks.withColumn("loss", 1 - F.col("equity") / F.first("equity").over(day)).withColumn("halted", F.max((F.col("loss") >= limit).cast("int")).over(day.rowsBetween(Window.unboundedPreceding, 0)) == 1)
-    return halted.withColumn("before", F.coalesce(F.lag("halted").over(day), F.lit(False))).filter("halted AND NOT before").select("ts", "equity", "loss")
+    return halted.withColumn("before", F.coalesce(F.lag("halted").over(day), F.lit(False))).filter("halted AND NOT before").select(*key, "ts", "equity", "loss")
 
 
 def entry_text() -> Column:

@@ -444,9 +444,10 @@ def backtest_metrics(spark, sf_dir):
 
 @query()
 def walkforward_metrics(spark, sf_dir):
-    windows = [{"window": k, "test_start": f"2024-01-{1 + 8 * k:02d}", "test_end": f"2024-01-{9 + 8 * k:02d}"} for k in range(3)]
+    b, h = bars(spark, sf_dir).persist(), bars(spark, sf_dir, "1h").persist()
+    windows = mt.cover_windows(h.agg(F.min("ts")).first()[0], b.agg(F.max("ts")).first()[0])
     cfg = {**CFG, "risk": {**CFG["risk"], "min_rr": 1.0}, "backtest": {**CFG["backtest"], "warmup": 60, "min_htf": 55}}
-    events = bt.simulate(bt.run_windows(bars(spark, sf_dir), bars(spark, sf_dir, "1h"), windows, cfg), True).persist()
+    events = bt.simulate(bt.run_windows(b, h, windows, cfg), True).persist()
     return rounded(mt.with_empty_runs(mt.compute_metrics(bt.trades_of(events)), spark.createDataFrame([(str(w["window"]),) for w in windows], "run_id string")))
 
 
@@ -737,7 +738,8 @@ def risk_stats(spark, sf_dir):
 
 @query(f"{B15}, mk AS (SELECT ts, 1000 * close AS equity FROM b WHERE symbol = 'view'), l AS (SELECT *, 1 - equity / first_value(equity) OVER d AS loss FROM mk WINDOW d AS (PARTITION BY CAST(ts AS DATE) ORDER BY ts)) SELECT ts, round(equity, 7) AS equity, round(loss, 7) AS loss FROM l WHERE loss >= 0.0005 QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) = 1")
 def halt_edges(spark, sf_dir):
-    return rounded(views.halt_edges(bars(spark, sf_dir).filter("symbol = 'view'").select("ts", (1000 * F.col("close")).alias("equity")), 0.0005))
+    """Edges of every symbol's marks; the SQL above has those of 'view' alone."""
+    return rounded(views.halt_edges(bars(spark, sf_dir).select("symbol", "ts", (1000 * F.col("close")).alias("equity")), 0.0005, "symbol"))
 
 
 @query(f"WITH {TRADES} SELECT 'EXIT' AS type, exit_time AS ts, 'exit ' || symbol AS title, printf('EXIT %s %s take_profit pnl %.2f (%.2fR)', upper(side), symbol, pnl, r_multiple) AS body FROM tr")

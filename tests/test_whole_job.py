@@ -104,6 +104,39 @@ def test_model_is_trained_on_all_labelled_signals(spark, monkeypatch):
     assert {r.side for r in seen["rows"]} == {1.0, -1.0}
 
 
+def test_windows_cover_every_bar(spark, monkeypatch):
+    sf, seen = "/root/testdata/sf0.01", []
+    whole = q.bt.run_windows
+    monkeypatch.setattr(q.bt, "run_windows", lambda b, h, windows, cfg: seen.extend(windows) or whole(b, h, windows, cfg))
+    runs = q.walkforward_metrics(spark, sf)
+    times = [r.ts for r in q.bars(spark, sf).union(q.bars(spark, sf, "1h")).collect()]
+    assert all(any(w["test_start"] <= x <= w["test_end"] for w in seen) for x in times)
+    assert seen[0]["test_start"] == min(times) and seen[-1]["test_end"] == max(times)
+    assert {r.run_id for r in runs.select("run_id").collect()} == {str(w["window"]) for w in seen}
+
+
+def test_windows_grow_with_the_table():
+    for hours in (0, 5, 8 * 24 - 1, 8 * 24, 100 * 24 + 7):
+        end = START + dt.timedelta(hours=hours, minutes=15)
+        w = mt.cover_windows(START, end)
+        assert len(w) == max(1, hours // (8 * 24)) and (w[0]["test_start"], w[-1]["test_end"]) == (START, end)
+        assert all(a["test_end"] == b["test_start"] for a, b in zip(w, w[1:]))
+    assert mt.cover_windows(None, None) == []
+
+
+def test_halt_edges_of_every_symbol(spark, ticks_dir):
+    want = set()
+    for symbol, own in by_symbol(q.bars(spark, ticks_dir).collect()).items():
+        first, halted = {}, set()
+        for r in own:
+            loss = 1 - r.close / first.setdefault(r.ts.date(), r.close)
+            if loss >= 0.0005 and r.ts.date() not in halted:
+                halted.add(r.ts.date())
+                want.add((symbol, r.ts))
+    got = {(r.symbol, r.ts) for r in q.halt_edges(spark, ticks_dir).collect()}
+    assert got == want and {s for s, _ in want} == {"view", "click"}
+
+
 def test_monte_carlo_draws_from_all_trades(spark, tmp_path):
     rng = random.Random(1)
     orders = [(k * 300 + 7, rng.choice("OF"), 250000.0 + rng.gauss(0, 90000) - 4000, START, f"{k % 3}-X") for k in range(620)]
