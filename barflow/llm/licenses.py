@@ -5,7 +5,11 @@ have feed a multinomial logistic regression with an `unknown` class, whose
 probabilities are calibrated by a temperature fitted on held-out paragraphs.
 A prediction counts when its probability reaches MIN_PROBABILITY and the
 family's nearest template shares MIN_OVERLAP of its n-grams with the
-paragraph.
+paragraph.  Paragraphs are lines, and runs of adjacent lines without a blank
+one between them, as a wrapped notice is torn over several: runs have
+RUN_LINES lines and RUN_WORDS words at most (more than any template has).  Of
+notices that share a line, the one with most of a template's n-grams counts,
+then the shortest, then the first.
 
 The model is small and fixed in size (it is fitted on TRAINING paragraphs
 below), so its tables are literals of the plan: one narrow pass, no join, no
@@ -23,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_PROBABILITY, MIN_OVERLAP = 0.5, 0.6
+RUN_LINES, RUN_WORDS = 16, 60
 
 # Notices of public licence families; the first of each is its template, as are all that follow.
 TEMPLATES = {
@@ -37,14 +42,29 @@ TEMPLATES = {
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part may be reproduced without permission."],
     "public-domain": ["This work is in the public domain.", "Dedicated to the public domain under CC0 1.0."],
 }
+_FULLER = {
+    "apache": ["SPDX-License-Identifier: Apache-2.0", "Apache License, Version 2.0, January 2004", "Released under the Apache License.", "Distributed under the Apache 2.0 license."],
+    "bsd": ["SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause", "BSD 3-Clause License", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+    "cc-by": ["SPDX-License-Identifier: CC-BY-4.0", "Available under the Creative Commons Attribution License."],
+    "cc-by-nc": ["SPDX-License-Identifier: CC-BY-NC-4.0", "Available under the Creative Commons Attribution-NonCommercial License."],
+    "cc-by-sa": ["SPDX-License-Identifier: CC-BY-SA-4.0", "Available under the Creative Commons Attribution-ShareAlike License."],
+    "gpl": ["SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only", "GNU General Public License, version 3", "Released under the GPL license.", "You should have received a copy of the GNU General Public License along with this program."],
+    "mit": ["SPDX-License-Identifier: MIT", "The MIT License (MIT)", "MIT License", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify and merge."],
+    "mpl": ["SPDX-License-Identifier: MPL-2.0", "Mozilla Public License Version 2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at mozilla.org."],
+    "public-domain": ["SPDX-License-Identifier: CC0-1.0", "SPDX-License-Identifier: Unlicense", "This is free and unencumbered software released into the public domain."],
+}
+for _name, _own in _FULLER.items():
+    TEMPLATES[_name] += _own
 UNKNOWN = [
     "The driver must hold a valid license.", "Her license was renewed in the spring.", "They released the record under a new name.", "A version of the work was shown in public.",
     "The general was a public man and free of charge.", "He reserved all the seats on the right.", "The software is sold under contract.", "The foundation published its terms.",
     "Licensed premises must close at ten.", "The files were copied to the source.", "You may use the room under the roof.", "Permission to land was not granted.", "The creative team shared the work.",
     "All rights of way are open to the public.", "We are licensed to sell and to serve.", "The source of the river is in the hills.",
+    "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: ISC", "SPDX-License-Identifier: EPL-2.0", "SPDX-License-Identifier: BSL-1.0", "The Zlib License", "ISC License", "Eclipse Public License, version 2.0", "Boost Software License", "Licensed under the Zlib license.",
+    "A license is required to drive this car.", "She studied at MIT and holds a pilot license.", "The domain of the function is the real line.", "The table was reserved for the general public.", "The wish was granted and the work was done.",
 ]
-#: A paragraph that holds none of these has no chance above MIN_PROBABILITY of a family, as every notice has one.
-ANCHORS = r"(?i)licen[cs]e|cc0|rights reserved|redistribut|hereby granted|public domain"
+#: A run of lines that holds none of these has no chance above MIN_PROBABILITY of a family, as every notice has one; single words, so that none is torn by a line's end.
+ANCHORS = r"(?i)licen[cs]|cc0|reserved|redistribut|hereby|domain|\b[al]?gpl|\bmpl\b|\bcc[- ]by|creative ?commons|\bcommons\b|copyleft"
 _OPENINGS = ["", "Note that this text is ", "See the file for details. ", "Copyright 2020 the authors. ", "Notice: "]
 
 
@@ -106,7 +126,7 @@ def _let(value: Column, use) -> Column:  # noqa: ANN001
 
 
 def _judge(paragraph: Column, model: Model) -> Column:
-    """Struct of probability, family and overlap of the likeliest family of one paragraph."""
+    """Struct of probability, family, overlap and matched n-grams of the likeliest family of one paragraph."""
     table = F.create_map(*[x for g, row in zip(model.vocabulary, model.weights, strict=True) for x in (F.lit(g), F.array(*[F.lit(float(round(v, 6))) for v in row]))])
     bias = F.array(*[F.lit(float(v)) for v in model.bias])
     templates = F.array(*[F.array(*[_strings(sorted(grams(t))) for t in TEMPLATES.get(f, [])]).cast("array<array<string>>") for f in model.families])
@@ -121,22 +141,43 @@ def _judge(paragraph: Column, model: Model) -> Column:
             (F.lit(1.0) / F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))).alias("probability"),
             F.element_at(_strings(model.families), k).alias("family"),
             F.coalesce(F.array_max(F.transform(F.element_at(templates, k), lambda t: F.size(F.array_intersect(known, t)) / F.size(t))), F.lit(0.0)).alias("overlap"),
+            F.coalesce(F.array_max(F.transform(F.element_at(templates, k), lambda t: _let(F.size(F.array_intersect(known, t)), lambda n: F.when(n / F.size(t) >= MIN_OVERLAP, n)))), F.lit(0)).alias("matched"),
         )))
 
     return _let(F.array_intersect(_grams(paragraph), _strings(model.vocabulary)), of_known)
 
 
+def _runs(lines: Column) -> Column:
+    """first, last and text of each line, and of each run of adjacent lines that are not blank, that holds an anchor."""
+
+    def from_line(line: Column) -> Column:
+        def run(k: Column) -> Column:
+            return _let(F.slice(lines, line["i"] + 1, k), lambda own: F.struct(
+                line["i"].alias("first"), (line["i"] + k - 1).alias("last"), F.array_join(F.transform(own, lambda x: x["text"]), " ").alias("text"),
+                (F.exists(own, lambda x: x["hot"]) & ((k == 1) | (~F.exists(own, lambda x: x["words"] == 0) & (F.aggregate(own, F.lit(0), lambda n, x: n + x["words"]) <= RUN_WORDS)))).alias("ok"),
+            ))
+
+        return F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN_LINES), F.size(lines) - line["i"])), run), lambda r: r["ok"])
+
+    near = F.filter(lines, lambda x: (x["words"] > 0) & F.exists(F.slice(lines, x["i"] + 1, RUN_LINES), lambda y: y["hot"]))
+    return F.flatten(F.transform(near, from_line))
+
+
 def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, n_paragraphs, license (likeliest confirmed), probability, licenses (all confirmed), n_notices, n_unconfirmed."""
     model = model or Model()
     text = F.coalesce(F.col("text"), F.lit(""))
     paragraphs = F.filter(F.split(text, r"\n+"), lambda p: F.length(F.trim(p)) > 0)
-    noted = F.filter(paragraphs, lambda p: p.rlike(ANCHORS))
-    rows = documents.select("doc_id", F.when(F.length(text) > 0, F.size(paragraphs)).otherwise(0).alias("n_paragraphs"), F.when(text.rlike(ANCHORS), noted).otherwise(F.array().cast("array<string>")).alias("noted"))
-    none = F.struct(F.lit(0.0).alias("probability"), F.lit("unknown").alias("family"), F.lit(0.0).alias("overlap"))
-    rows = rows.withColumn("judged", F.transform("noted", lambda p: _judge(p, model))).drop("noted")
-    named = F.filter("judged", lambda j: (j["family"] != "unknown") & (j["probability"] >= MIN_PROBABILITY))
-    sure = F.filter(named, lambda j: j["overlap"] >= MIN_OVERLAP)
-    best = F.reduce(sure, none, lambda a, b: F.when(b["probability"] > a["probability"], b).otherwise(a))
-    rows = rows.select("doc_id", "n_paragraphs", best.alias("best"), F.array_sort(F.array_distinct(F.transform(sure, lambda j: j["family"]))).alias("licenses"), F.size(sure).alias("n_notices"), (F.size(named) - F.size(sure)).alias("n_unconfirmed"))
+    rows = documents.select("doc_id", F.when(F.length(text) > 0, F.size(paragraphs)).otherwise(0).alias("n_paragraphs"), F.when(text.rlike(ANCHORS), F.split(text, r"\n")).otherwise(F.array().cast("array<string>")).alias("lines"))
+    rows = rows.withColumn("lines", F.transform("lines", lambda p, i: F.struct(i.alias("i"), p.alias("text"), F.size(F.regexp_extract_all(p, F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("words"), p.rlike(ANCHORS).alias("hot"))))
+    rows = rows.withColumn("runs", _runs(F.col("lines"))).drop("lines")
+    none = F.struct(F.lit(0.0).alias("probability"), F.lit("unknown").alias("family"), F.lit(0.0).alias("overlap"), F.lit(0).alias("matched"))
+    rows = rows.withColumn("judged", F.transform("runs", lambda r: _let(_judge(r["text"], model), lambda j: F.struct((-j["matched"]).alias("rank"), (r["last"] - r["first"]).alias("more"), r["first"].alias("first"), r["last"].alias("last"), j.alias("j"))))).drop("runs")
+    rows = rows.withColumn("named", F.array_sort(F.filter("judged", lambda r: (r["j"]["family"] != "unknown") & (r["j"]["probability"] >= MIN_PROBABILITY)))).drop("judged")
+    sure = F.filter("named", lambda r: r["j"]["overlap"] >= MIN_OVERLAP)
+    rows = rows.withColumn("sure", F.aggregate(sure, F.slice("named", 1, 0), lambda acc, r: F.when(F.exists(acc, lambda a: (a["first"] <= r["last"]) & (r["first"] <= a["last"])), acc).otherwise(F.concat(acc, F.array(r)))))
+    held = lambda r: F.exists("sure", lambda a: (a["first"] <= r["last"]) & (r["last"] <= a["last"]))
+    unsure = F.filter("named", lambda r: (r["more"] == 0) & (r["j"]["overlap"] < MIN_OVERLAP) & ~held(r))
+    best = F.reduce(F.transform("sure", lambda r: r["j"]), none, lambda a, b: F.when(b["probability"] > a["probability"], b).otherwise(a))
+    rows = rows.select("doc_id", "n_paragraphs", best.alias("best"), F.array_sort(F.array_distinct(F.transform("sure", lambda r: r["j"]["family"]))).alias("licenses"), F.size("sure").alias("n_notices"), F.size(unsure).alias("n_unconfirmed"))
     return rows.select("doc_id", "n_paragraphs", F.when(F.col("n_notices") > 0, F.col("best.family")).alias("license"), F.round("best.probability", 6).alias("probability"), F.concat_ws(",", "licenses").alias("licenses"), "n_notices", "n_unconfirmed")
