@@ -72,6 +72,7 @@ def search(block: Block, q: np.ndarray, own: int, k: int, floor: float) -> tuple
     order = order[q[order] != 0]
     acc, rest_v = np.zeros(len(block.ids), kind), block.norms.copy()
     rest_q = float((q.astype(np.float64) ** 2).sum())
+    others = block.ids != own  # rows of the query's own id are no answers, so they bound nothing
     theta, live = floor, None
     for s in range(0, len(order), SEGMENT):
         seg = order[s : s + SEGMENT]
@@ -82,8 +83,9 @@ def search(block: Block, q: np.ndarray, own: int, k: int, floor: float) -> tuple
             break
         if rest_q <= 0.3 * float((q.astype(np.float64) ** 2).sum()):
             slack = np.sqrt(np.maximum(rest_v, 0) * max(rest_q, 0.0)) * (1 + 1e-5) + 1
-            if len(acc) > k:
-                theta = max(theta, float(np.partition(acc - slack, len(acc) - k - 1)[len(acc) - k - 1]))  # one more than k: the query itself may be there
+            least = (acc - slack)[others]
+            if len(least) > k:
+                theta = max(theta, float(np.partition(least, len(least) - k)[len(least) - k]))
             live = np.flatnonzero(acc + slack >= theta)
             if len(live) <= FEW * len(acc) + k:
                 break
