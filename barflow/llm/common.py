@@ -49,3 +49,36 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, where:
         share = F.when(F.col("y") == y, F.lit(min(1.0, bound / 2 / max(n, 1)))).otherwise(share)
     chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
+#: Rows of one key that one task of a join may meet; a key with more is dealt over several tasks.
+DEAL = 4096
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until the frame has no column of them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while f"_{name}".lower() in taken:
+            name += "_"
+        taken.add(f"_{name}".lower())
+        out.append(f"_{name}")
+    return out
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], by: str, limit: int = DEAL) -> DataFrame:
+    """Inner join of rows with keyed (checkpointed, one row a key, its number of rows in n), hot keys dealt over tasks.
+
+    Keys of more than `limit` rows, at most one in `limit` rows, get as many
+    copies in `keyed` as it takes to leave each task about `limit` of theirs;
+    a row of such a key goes to the copy that the hash of its column `by` names.
+    """
+    parts = F.ceil(F.col("n") / limit)
+    hot = keyed.filter(F.col("n") > limit).select(*on, parts.alias("_parts"))
+    count = hot.count()
+    if not count:
+        return rows.join(keyed, on)
+    salted = rows.join(sized_broadcast(hot, (16 * len(on) + 32) * count), on, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1).cast("long")))).drop("_parts")
+    copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return salted.join(copies, [*on, "_salt"]).drop("_salt")

@@ -1,46 +1,54 @@
-"""Removal of repeated word runs by prefix-partitioned suffix trees.
-
-A suffix is a document's words from one position on.  Suffixes are split into
-small groups by prefixes of variable length: the least-hashed 8-word run among
-the first 20 words (their minimizer, so equal runs of 20 words always meet in
-one group), cut where it begins.  Only groups whose minimizer occurs at least
-twice in the corpus are materialised, one row for the neighbouring suffixes of
-one occurrence, each suffix as the hash of its first 20 words: the edge that
-leads to a node of depth 20 of the group's tree.  A node of that depth with two
-suffixes or more is a deep internal node: its first suffix stays, the windows
-of the others are removed, and overlapping removals join to maximal repeats.
-
-A tree is held as that depth-20 cut, since nothing deeper changes what is
-removed.  In a group the first occurrence, found by partial aggregation, is
-joined to all others and settles the nodes it stands in; the few suffixes of
-nodes without it are aggregated by node.  No group is ever gathered in a task,
-so a passage that a third of all documents share is only a skewed join.
-Documents whose whole word
-sequence an earlier one has are settled by a digest before: all their windows
-start earlier, and the first copy stands for them in every tree.
+"""Removal of repeated word runs by prefix-partitioned sparse suffix trees.
+
+A suffix is a document's words from one position on.  Of each 20-word window
+one suffix is kept, the one at its minimizer (the least-hashed 8-word run that
+begins among the window's first 13 words): equal windows keep it at the same
+place, so each repeat of 20 words or more runs through a shared suffix.  A
+suffix carries the words that its windows reach, up to 12 to the left and 20
+from its place on.
+
+1. Prefixes are counted, beginning with 8 words.  A prefix that occurs once
+   leads to a leaf, so its suffixes are never written out.
+2. Suffixes are split by prefix into groups of FOREST rows at most, each with
+   as many whole prefixes as fit.  A group's subtrees are built in memory as a
+   suffix array with the lengths of common prefixes; an internal node of depth
+   20 - o, cut by the o words to the left, holds the occurrences of one window.
+   Its first leaf stays, the windows of the others go, and overlapping windows
+   join to maximal repeats.
+3. A prefix of more than HOT suffixes is lengthened to the 20 words of each
+   window that runs through it.  Such a prefix is one node, whose leaves need no
+   order: the first is found by partial aggregation and joined back with the
+   hot nodes dealt over many tasks.  So no passage, however frequent, is
+   gathered in one task.
+
+Documents whose whole word sequence an earlier one has are settled before by a
+128-bit digest: all their windows start earlier, and the first copy stands for
+them in every tree.  Words of subtrees are compared themselves, those of
+lengthened prefixes by 128-bit digests.
 
 Defined results: null texts have no words; texts under 20 words lose none;
 the first occurrence is by doc_id, then position; rows sharing a doc_id are
 taken as one document and lose what any of them loses; a row without doc_id
-neither loses nor takes away words.
+neither loses nor takes away words; other columns may have any names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sized_broadcast
+from .common import cut, fresh, sized_broadcast, spread_join
 from .text import Words, mix, shingles, sliced, words
 
-WINDOW, EDGE, SAMPLED = 20, 10, 8
+WINDOW, SAMPLED = 20, 8
 _REACH = WINDOW - SAMPLED + 1
-_ALL = 2**62
+#: Suffixes of a prefix beyond which it is lengthened, and suffixes whose subtrees are built at once.
+HOT, FOREST = 4096, 1 << 16
 
 
 def _sliding(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
@@ -73,52 +81,148 @@ def _owners(w: Words, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(w.offsets, at, side="right") - 1
 
 
-def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in sliced(batches):
-        w = words(b.column("text"))
-        at, place, g = minimizers(w)
-        place = place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
-        d = _owners(w, place)
-        yield pa.RecordBatch.from_arrays([pa.array(g[place].view(np.int64)), b.column("doc_id").cast(pa.int64()).take(pa.array(d)), pa.array((place - w.offsets[d]).astype(np.int32))], names=["h", "doc_id", "pos"])
+def _edges(change: np.ndarray) -> np.ndarray:
+    """Where runs begin, given between which neighbours there is a change."""
+    return np.flatnonzero(np.concatenate([[True], change]))
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in sliced(batches, limit=1 << 20):
-        w = words(b.column("text"))
-        at, place, g = minimizers(w)
-        if not len(at):
-            continue
-        marks = b.column("at")
-        lists = np.diff(marks.offsets.to_numpy())
-        coded = marks.flatten().to_numpy(zero_copy_only=False)
-        known, flag = (coded >> 1) + np.repeat(w.offsets[:-1], lists), coded & 1
-        inside = known < np.repeat(w.offsets[1:], lists)
-        near, early = np.zeros(len(w.hash), bool), np.zeros(len(w.hash), bool)
-        near[known[inside]], early[known[inside & (flag == 1)]] = True, True
-        at, place = at[near[place]], place[near[place]]
-        if not len(at):
-            continue
-        first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)]))
-        nodes = shingles(w.hash, WINDOW)[at].view(np.int64)
-        d = _owners(w, at[first])
-        h = g[place[first]]
-        lead = early[place[first]]
-        again = np.lexsort((first, h, d))
-        lead[again[1:][(h[again[1:]] == h[again[:-1]]) & (d[again[1:]] == d[again[:-1]])]] = False
-        columns = [lead, h.view(np.int64), b.column("doc_id").cast(pa.int64()).take(pa.array(d)), (at[first] - w.offsets[d]).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([*(x if isinstance(x, pa.Array) else pa.array(x) for x in columns), pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(nodes))], names=["lead", "h", "doc_id", "start", "nodes"])
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
+
+
+_SEEDS = (np.uint64(0x51ED270B), np.uint64(0x7F4A7C15F39CC060))
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document: number of words, digest of all, and hash and place of the 8-word prefix of each kept suffix."""
     for b in sliced(batches):
         w = words(b.column("text"))
         n = np.diff(w.offsets)
         within = np.arange(len(w.hash)) - np.repeat(w.offsets[:-1], n)
         sums = []
-        for salt in (np.uint64(0x51ED270B), np.uint64(0x7F4A7C15F39CC060)):
+        for salt in _SEEDS:
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.hash ^ mix(within.astype(np.uint64) + salt)))])
-            sums.append((total[w.offsets[1:]] - total[w.offsets[:-1]]).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=["doc_id", "n_words", "d1", "d2"])
+            sums.append(pa.array((total[w.offsets[1:]] - total[w.offsets[:-1]]).view(np.int64)))
+        _, place, g = minimizers(w)
+        place = place[_edges(place[1:] != place[:-1])] if len(place) else place
+        d = _owners(w, place)
+        each = np.bincount(d, minlength=len(w)) if len(d) else np.zeros(len(w), np.int64)
+        columns = [b.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), *sums, _lists(g[place].view(np.int64), each), _lists((place - w.offsets[d]).astype(np.int32), each)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "d1", "d2", "h", "pos"])
+
+
+def _spaced(w: Words) -> tuple[bytes, np.ndarray]:
+    """All words of a batch, each with one space behind, and where each begins there."""
+    size = w.end - w.start
+    begin = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(begin[-1], 0x20, np.uint8)
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[within + np.repeat(begin[:-1], size)] = w.data[within + np.repeat(w.start, size)]
+    return out.tobytes(), begin
+
+
+def _suffixes(hot: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Kept suffixes of repeated prefixes: one row with its words for each, or, of hot prefixes, one row with a digest for each window."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, limit=1 << 20):
+            w = words(b.column("text"))
+            at, place, g = minimizers(w)
+            marks = b.column("at")
+            lists = np.diff(marks.offsets.to_numpy())
+            coded = marks.flatten().to_numpy(zero_copy_only=False)
+            known = (coded >> 1) + np.repeat(w.offsets[:-1], lists)
+            known = known[(known < np.repeat(w.offsets[1:], lists)) & ((coded & 1) == hot)]
+            near = np.zeros(len(w.hash), bool)
+            near[known] = True
+            on = near[place]
+            at, place = at[on], place[on]
+            if not len(at):
+                continue
+            if hot:
+                two = [shingles(mix(w.hash ^ s), WINDOW)[at].view(np.int64) for s in _SEEDS]
+                d = _owners(w, at)
+                columns = [g[place].view(np.int64), b.column("doc_id").cast(pa.int64()).take(pa.array(d)), (at - w.offsets[d]).astype(np.int32), *two]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["h", "doc_id", "start", "n1", "n2"])
+                continue
+            first = _edges((place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1))
+            windows = np.diff(np.append(first, len(at)))
+            begin = at[first]
+            raw, byte = _spaced(w)
+            text = [raw[x:y] for x, y in zip(byte[begin].tolist(), byte[begin + windows + WINDOW - 1].tolist(), strict=True)]
+            d = _owners(w, begin)
+            columns = [g[place[first]].view(np.int64), b.column("doc_id").cast(pa.int64()).take(pa.array(d)), (begin - w.offsets[d]).astype(np.int32), (place[first] - begin).astype(np.int32), windows.astype(np.int32), pa.array(text, pa.binary())]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["h", "doc_id", "start", "lead", "windows", "text"])
+
+    return rows
+
+
+def repeated_in_forest(doc: np.ndarray, start: np.ndarray, lead: np.ndarray, windows: np.ndarray, text: pa.Array) -> np.ndarray:
+    """For each suffix a mask of its windows (bit i: the one at start + i) that stand at an earlier place too.
+
+    lead: words to the left of the suffix's place; text: its words, each with a
+    space behind.  Rows of many prefixes form one forest; their order is free.
+    """
+    m = len(doc)
+    text = text.cast(pa.large_binary())
+    off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + m + 1]
+    data = np.frombuffer(text.buffers()[2], np.uint8)[off[0] : off[-1]]
+    ends = np.concatenate([[0], np.flatnonzero(data == 0x20) + 1]).astype(np.int64)
+    spelled = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+    code = spelled.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)  # the words themselves, as numbers
+    size = windows.astype(np.int64) + WINDOW - 1
+    place = np.cumsum(size) - size + lead
+
+    at = start.astype(np.int64) + lead
+    order = np.lexsort((at, doc))  # rows by place in the corpus, so the first of any rows is the least
+    doc, at, place, lead, windows = doc[order], at[order], place[order], lead[order].astype(np.int64), windows[order].astype(np.int64)
+    reach = windows + WINDOW - 1 - lead
+    right = np.where(np.arange(WINDOW) < reach[:, None], code[np.minimum(place[:, None] + np.arange(WINDOW), len(code) - 1)], -1)
+    pairs = (right[:, 0::2] + 1 << 32) | (right[:, 1::2] + 1)
+    array = np.lexsort(pairs.T[::-1])  # the suffix array, and the length of the prefix that neighbours in it share
+    common = np.logical_and.accumulate(right[array[1:]] == right[array[:-1]], axis=1).sum(axis=1)
+    common = np.minimum(common, np.minimum(reach[array[1:]], reach[array[:-1]]))
+
+    mask, left, active, node = np.zeros(m, np.int64), np.zeros(m, np.int64), np.arange(m), np.zeros(m, np.int64)
+    for o in range(_REACH):
+        if o:
+            active = active[lead[active] >= o]
+            if not len(active):
+                break
+            left[active] = np.unique(left[active] * (len(code) + 1) + code[place[active] - o], return_inverse=True)[1]
+        node[array] = np.cumsum(np.concatenate([[0], common < WINDOW - o]))  # internal nodes of depth WINDOW - o, leaves alone
+        own = active[lead[active] - windows[active] < o]
+        _, first, of = np.unique(node[own] * m + left[own], return_index=True, return_inverse=True)
+        first = own[first[of]]
+        later = (doc[first] != doc[own]) | (at[first] != at[own])
+        mask[own[later]] |= 1 << (lead[own[later]] - o)
+    out = np.zeros(m, np.int64)
+    out[order] = mask
+    return out
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Masks of suffixes that come sorted by prefix, a forest of whole prefixes at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def judged(t: pa.Table) -> pa.RecordBatch:
+        c = {k: t.column(k).to_numpy() for k in ("doc_id", "start", "lead", "windows")}
+        mask = repeated_in_forest(c["doc_id"], c["start"], c["lead"], c["windows"], t.column("text").combine_chunks())
+        on = mask > 0
+        return pa.RecordBatch.from_arrays([pa.array(c["doc_id"][on]), pa.array(c["start"][on]), pa.array(mask[on].astype(np.int32))], names=["doc_id", "start", "mask"])
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) < FOREST:
+            continue
+        t = pa.Table.from_batches(held)
+        h = t.column("h").to_numpy()
+        edge = int(np.searchsorted(h, h[-1]))  # the last prefix may go on in the next batch
+        if edge:
+            yield judged(t.slice(0, edge))
+        held = t.slice(edge).to_batches()
+    if held and (t := pa.Table.from_batches(held)).num_rows:
+        yield judged(t)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,42 +234,42 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, y in zip(edges[:-1], edges[1:], strict=True):
             on = (all_masks[x:y, None] >> np.arange(_REACH)) & 1 == 1
             s = np.unique((all_starts[x:y, None] + np.arange(_REACH))[on]).astype(np.int64)
-            first = np.concatenate([[True], s[1:] > s[:-1] + WINDOW])
+            first = _edges(s[1:] > s[:-1] + WINDOW)
             begin.append(s[first].tolist())
-            end.append((s[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(s) - 1]])] + WINDOW).tolist())
+            end.append((s[np.append(first[1:] - 1, len(s) - 1)] + WINDOW).tolist())
         kind = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(begin, kind), pa.array(end, kind)], names=["doc_id", "begin", "end"])
 
 
+def _in_hot_nodes(docs: DataFrame) -> DataFrame:
+    """doc_id, start, mask of the windows in lengthened prefixes that are no first leaf; docs: doc_id, text, at."""
+    leaves = cut(docs.filter(F.exists("at", lambda x: x.bitwiseAND(1) == 1)).mapInArrow(_suffixes(True), "h long, doc_id long, start int, n1 long, n2 long"))
+    place = F.struct("doc_id", "start")
+    nodes = cut(leaves.groupBy("n1", "n2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter("first != last").select("n1", "n2", "first", "n"))
+    return spread_join(leaves, nodes, ["n1", "n2"], "doc_id", HOT).filter("doc_id != first.doc_id OR start != first.start").select("doc_id", "start", F.lit(1).alias("mask"))
+
+
 def repeated_runs(documents: DataFrame) -> DataFrame:
     """doc_id, begin, end: the word runs of each document that windows which also start earlier cover; checkpointed."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    digests = cut(docs.mapInArrow(_digests, "doc_id long, n_words long, d1 long, d2 long").filter(F.col("n_words") >= WINDOW))
-    first = digests.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first != last")
-    copies = cut(digests.join(first, ["d1", "d2"]).filter("doc_id != first").select("doc_id").distinct())
-    single = docs.join(sized_broadcast(copies, 32 * copies.count()), "doc_id", "left_anti")
-
-    samples = single.mapInArrow(_samples, "h long, doc_id long, pos int")
-    # written before they are joined, so that adaptive execution can split the join of a frequent prefix
-    repeated = cut(samples.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0")).filter("n > 1").select("h", "d0"))
-    # places of repeated minimizers, doubled, plus one in the document that is their first
-    mark = F.col("pos") * 2 + (F.col("doc_id") == F.col("d0")).cast("int")
-    near = cut(samples.join(repeated, "h").groupBy("doc_id").agg(F.collect_list(mark).alias("at")))
+    prints = cut(docs.mapInArrow(_prefixes, "doc_id long, n_words long, d1 long, d2 long, h array<long>, pos array<int>").filter(F.col("n_words") >= WINDOW))
+    first = cut(prints.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("first != last").select("d1", "d2", "first", "n"))
+    copies = cut(spread_join(prints.select("doc_id", "n_words", "d1", "d2"), first, ["d1", "d2"], "doc_id", HOT).filter("doc_id != first").groupBy("doc_id").agg(F.max("n_words").alias("n_words")))
+    some = sized_broadcast(copies.select("doc_id"), 32 * copies.count())
+
+    prefixes = prints.join(some, "doc_id", "left_anti").select("doc_id", "pos", F.posexplode("h").alias("i", "h")).select("h", "doc_id", F.col("pos")[F.col("i")].alias("pos"))
+    repeated = cut(prefixes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    mark = F.col("pos") * 2 + (F.col("n") > HOT).cast("int")
+    near = cut(spread_join(prefixes, repeated, ["h"], "doc_id", HOT).groupBy("doc_id").agg(F.collect_list(mark).alias("at")))
     size = near.agg(64 * F.count("*") + F.coalesce(F.sum(F.size("at")), F.lit(0)) * 4).first()[0]
-    suffixes = docs.join(sized_broadcast(near, size), "doc_id").mapInArrow(_suffixes, "lead boolean, h long, doc_id long, start int, nodes array<long>")
-    leaders = cut(suffixes.filter("lead").groupBy("h").agg(F.first("nodes").alias("n0")))  # one row each but for repeated rows
-    members = suffixes.filter("NOT lead").join(leaders, "h")
-    mask = F.expr("aggregate(transform(nodes, (x, k) -> if(array_contains(n0, x), cast(power(2, k) AS int), 0)), 0, (a, b) -> a + b)")
-    others = F.filter(F.transform("nodes", lambda x, k: F.struct((F.col("start") + k).alias("start"), x.alias("node"))), lambda x: ~F.array_contains("n0", x["node"]))
-    members = members.select("h", "doc_id", "start", mask.alias("mask"), others.alias("rest"))
-    members = cut(members.select(F.when(F.size("rest") > 0, F.col("h")).alias("h"), "doc_id", "start", "mask", F.when(F.size("rest") > 0, F.col("rest")).alias("rest")))
-    rest = members.filter("rest IS NOT NULL").select("h", "doc_id", F.explode("rest").alias("x")).select("h", "doc_id", "x.start", "x.node")
-    nodes = cut(rest.groupBy("h", "node").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).filter("first != last").select("h", "node", "first"))
-    later = rest.join(nodes, ["h", "node"]).filter("doc_id != first.doc_id OR start != first.start").select("doc_id", "start", F.lit(1).alias("mask"))
-    starts = members.filter("mask > 0").select("doc_id", "start", "mask").unionByName(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("at"))
-    whole = copies.select("doc_id", F.array(F.lit(0).cast("long")).alias("begin"), F.array(F.lit(_ALL).cast("long")).alias("end"))
-    runs = starts.join(sized_broadcast(copies, 32 * copies.count()), "doc_id", "left_anti").mapInArrow(_runs, "doc_id long, begin array<long>, end array<long>")
-    return cut(runs.unionByName(whole))
+    marked = docs.join(sized_broadcast(near, size), "doc_id")
+    suffixes = marked.mapInArrow(_suffixes(False), "h long, doc_id long, start int, lead int, windows int, text binary")
+    found = suffixes.repartition("h").sortWithinPartitions("h").mapInArrow(_forests, "doc_id long, start int, mask int")
+    if repeated.filter(F.col("n") > HOT).limit(1).count():
+        found = found.unionByName(_in_hot_nodes(marked))
+    starts = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("at"))
+    whole = copies.select("doc_id", F.array(F.lit(0).cast("long")).alias("begin"), F.array("n_words").alias("end"))
+    return cut(starts.join(some, "doc_id", "left_anti").mapInArrow(_runs, "doc_id long, begin array<long>, end array<long>").unionByName(whole))
 
 
 def removed_words(n_words: int, begin: list[int], end: list[int]) -> np.ndarray:
@@ -185,14 +289,12 @@ def _cut_text(raw: bytes, begin: list[int] | None, end: list[int] | None) -> tup
     return [x for x, g in zip(w, gone.tolist(), strict=True) if not g], int(gone.sum())
 
 
-def _with_runs(documents: DataFrame) -> DataFrame:
-    runs = repeated_runs(documents).select(F.col("doc_id").alias("_id"), F.col("begin").alias("_begin"), F.col("end").alias("_end"))
-    size = runs.agg(80 * F.count("*") + F.coalesce(F.sum(F.size("_begin")), F.lit(0)) * 16).first()[0]
-    return documents.join(sized_broadcast(runs, size), documents["doc_id"].cast("long") == F.col("_id"), "left").drop("_id")
-
-
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    return zip(batch.column("text").to_pylist(), batch.column("_begin").to_pylist(), batch.column("_end").to_pylist(), strict=True)
+def _with_runs(documents: DataFrame) -> tuple[DataFrame, str, str]:
+    """The documents with the lists of their runs' begins and ends, and those columns' names."""
+    key, begin, end = fresh(documents, "key", "begin", "end")
+    runs = repeated_runs(documents).select(F.col("doc_id").alias(key), F.col("begin").alias(begin), F.col("end").alias(end))
+    size = runs.agg(80 * F.count("*") + F.coalesce(F.sum(F.size(begin)), F.lit(0)) * 16).first()[0]
+    return documents.join(sized_broadcast(runs, size), documents["doc_id"].cast("long") == F.col(key), "left").drop(key), begin, end
 
 
 def digest(documents: DataFrame) -> DataFrame:
@@ -201,12 +303,13 @@ def digest(documents: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             out = []
-            for text, begin, end in _rows(b):
-                kept, gone = _cut_text((text or "").encode(), begin, end)
+            for text, x, y in zip(*(b.column(c).to_pylist() for c in ("text", begin, end)), strict=True):
+                kept, gone = _cut_text((text or "").encode(), x, y)
                 out.append((len(kept) + gone, gone, hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _with_runs(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    met, begin, end = _with_runs(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return met.mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(documents: DataFrame) -> DataFrame:
@@ -215,17 +318,18 @@ def remove(documents: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             out = []
-            for text, begin, end in _rows(b):
-                if text is not None and begin:
-                    kept, gone = _cut_text(text.encode(), begin, end)
+            for text, x, y in zip(*(b.column(c).to_pylist() for c in ("text", begin, end)), strict=True):
+                if text is not None and x:
+                    kept, gone = _cut_text(text.encode(), x, y)
                     text = b" ".join(kept).decode() if gone else text
                 out.append(text)
             k = b.schema.get_field_index("text")
-            yield b.set_column(k, "text", pa.array(out, b.schema.field(k).type)).drop_columns(["_begin", "_end"])
+            yield b.set_column(k, "text", pa.array(out, b.schema.field(k).type)).drop_columns([begin, end])
 
-    return _with_runs(documents).mapInArrow(rows, documents.schema)
+    met, begin, end = _with_runs(documents)
+    return met.mapInArrow(rows, documents.schema)
 
 
 def spans(documents: DataFrame) -> DataFrame:
-    """doc_id, start, length of the maximal repeats, in words, that removal takes; a whole copy's length reaches past its end."""
+    """doc_id, start, length, in words, of the maximal repeats that removal takes; a whole copy is one as long as its document."""
     return repeated_runs(documents).select("doc_id", F.explode(F.arrays_zip("begin", "end")).alias("x")).select("doc_id", F.col("x.begin").alias("start"), (F.col("x.end") - F.col("x.begin")).alias("length"))

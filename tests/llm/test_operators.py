@@ -32,7 +32,9 @@ def test_substring_on_odd_rows(spark, odd):
     assert substring.digest(odd).count() == 11 and substring.digest(odd.filter("false")).count() == 0
     cleaned = substring.remove(odd)
     assert cleaned.columns == odd.columns and cleaned.filter("doc_id = 5").first().text == "x y" and cleaned.filter("doc_id = 4").first().text == RUN
-    assert {(r.doc_id, r.start, r.length) for r in substring.spans(odd).filter("doc_id = 5").collect()} == {(5, 1, 30)}
+    assert {(r.doc_id, r.start, r.length) for r in substring.spans(odd).filter("doc_id IN (5, 6)").collect()} == {(5, 1, 30), (6, 0, 30)}
+    clash = odd.withColumns({c: F.lit(1) for c in ("_begin", "_end", "_key", "_id", "at", "n")})
+    assert substring.remove(clash).columns == clash.columns and substring.remove(clash).filter("doc_id = 5").first().text == "x y"
 
 
 def brute_substring(texts):
@@ -48,7 +50,11 @@ def brute_substring(texts):
     return out
 
 
-def test_substring_by_brute_force(spark):
+@pytest.mark.parametrize("hot,forest", [(4096, 1 << 16), (4096, 8), (3, 8)])
+def test_substring_by_brute_force(spark, monkeypatch, hot, forest):
+    """Also with prefixes lengthened from 3 suffixes on, and with forests of a few suffixes."""
+    monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "FOREST", forest)
     rng = np.random.default_rng(4)
     pieces = [" ".join(rng.choice(list("abcd"), 26)) for _ in range(8)]
     texts = [" ".join(rng.choice([*pieces, *"wxyz"], int(rng.integers(1, 9)))) for _ in range(60)]
@@ -56,6 +62,27 @@ def test_substring_by_brute_force(spark):
     assert got == brute_substring(texts)
 
 
+def test_forest_against_windows():
+    """Masks of one forest equal a walk over all windows, whatever the order of its rows."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    rows, seen, want = [], {}, {}
+    for doc in range(60):
+        lead, k = int(rng.integers(0, 13)), 0
+        k = int(rng.integers(1, lead + 2))
+        w = [*rng.choice(["a", "b"], lead, p=[0.95, 0.05]), *"abababab", *rng.choice(["a", "b"], k + 19 - lead - 8, p=[0.95, 0.05])]
+        rows.append((doc, 5, lead, k, w))
+    for doc, start, lead, k, w in rows:
+        for i in range(k):
+            key = (lead - i, tuple(w[i : i + 20]))
+            want[doc] = want.get(doc, 0) | (int(key in seen) << i)
+            seen[key] = doc
+    mixed = [rows[i] for i in rng.permutation(len(rows))]
+    got = substring.repeated_in_forest(*(np.array([r[c] for r in mixed], np.int64) for c in range(4)), pa.array([("".join(f"{x} " for x in r[4])).encode() for r in mixed]))
+    assert {r[0]: int(m) for r, m in zip(mixed, got, strict=True)} == want and any(want.values())
+
+
 def test_near_duplicates_on_odd_rows(spark, odd):
     got = {r.doc_id: r for r in neardup.components(odd).collect()}
     assert [got[k].n_shingles for k in (0, 1, 2, 3)] == [0, 0, 0, 1] and all(got[k].component_id == k and got[k].kept for k in (0, 1, 2, 3, 7))
