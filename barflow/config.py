@@ -45,14 +45,30 @@ def set_path(config: dict[str, Any], path: str, value: Any) -> dict[str, Any]:
     return config
 
 
+PERIODS = [("momentum", "ema_fast"), ("momentum", "ema_slow"), ("momentum", "rsi_period"), ("momentum", "htf_ema"), ("mean_reversion", "bb_period"), ("mean_reversion", "rsi_period"), ("breakout", "lookback"), ("regime", "adx_period"), ("regime", "atr_period")]
+
+
+def faults(config: dict[str, Any]) -> str | None:
+    """What makes the settings of strategies unusable: a period that is no whole number above 0, a limit that is no number."""
+    for section, key in PERIODS:
+        v = config[section].get(key)
+        if not isinstance(v, int) or isinstance(v, bool) or v < 1:
+            return f"{section}.{key} must be a whole number above 0: {v!r}"
+    for section in ("momentum", "mean_reversion", "breakout", "regime", "risk", "backtest"):
+        for key, v in config[section].items():
+            if not isinstance(v, (int, float)):
+                return f"{section}.{key} must be a number: {v!r}"
+    return None
+
+
 def substitute_env(value: Any, env: dict[str, str] | None = None) -> Any:
-    """Replace ${VAR} in all strings of nested mappings and lists; an unset variable is empty."""
+    """Replace ${VAR} (capitals, digits and _) in all strings of nested mappings and lists; an unset variable is empty."""
     env = os.environ if env is None else env
     if isinstance(value, dict):
         return {k: substitute_env(v, env) for k, v in value.items()}
     if isinstance(value, list):
         return [substitute_env(v, env) for v in value]
-    return re.sub(r"\$\{(\w+)\}", lambda m: env.get(m[1], ""), value) if isinstance(value, str) else value
+    return re.sub(r"\$\{([A-Z_][A-Z0-9_]*)\}", lambda m: env.get(m[1], ""), value) if isinstance(value, str) else value
 
 
 def load_config(path: str) -> dict[str, Any]:

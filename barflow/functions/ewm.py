@@ -1,22 +1,24 @@
-"""Exponentially weighted means as a block scan of window functions.
-
-y[t] = (1 - a) y[t-1] + a x[t], started at the first value.  Rows are cut into
-blocks of BLOCK; inside a block the sum is a window expression, and the carry
-into a block is a short weighted sum of the tails of those before it, which
-are one row a block.  Only leading NULLs are allowed here; `ewm_gaps` handles
-gaps the way pandas does.
+"""Exponentially weighted means as a scan by doubling.
+
+y[t] = (1 - a) y[t-1] + a x[t], started at the first value, is a weighted sum
+of all values so far.  Round k adds to each row's sum that of the row 2^k
+before it, weighted by (1 - a)^(2^k), until that weight no longer counts in a
+double: about ten rounds for the usual periods.  All rounds are lags over one
+window, so a whole set of means shuffles and sorts its rows once and joins
+nothing.  Only leading NULLs are allowed here; `ewm_gaps` handles gaps the way
+pandas does.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 32
+#: Weights below this add nothing to a double.
+LEAST = 1e-19
 
 
 @dataclass(frozen=True)
@@ -37,40 +39,19 @@ def wilder(source: str, period: int, name: str) -> Mean:
     return Mean(source, 1.0 / period, period, name)
 
 
-def _power(base: float, k: Column) -> Column:
-    return F.pow(F.lit(base), k)
-
-
 def ewm(df: DataFrame, means: Sequence[Mean], keys: Sequence[str] = ("symbol",), order: str = "ts") -> DataFrame:
     """df with a column for each mean, NULL before it has its values."""
-    keys = list(keys)
     w = Window.partitionBy(*keys).orderBy(order)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_r", F.row_number().over(w) - 1)
-    rows = rows.withColumns({"_b": F.floor(F.col("_r") / BLOCK), "_j": (F.col("_r") % BLOCK).cast("double")})
-    rows = rows.withColumns({f"_n{k}": F.count(m.source).over(so_far) for k, m in enumerate(means)})
-    block = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    scan = [(k, m, 1.0 - m.alpha) for k, m in enumerate(means) if m.alpha < 1.0]
-    local = {}
-    for k, m, q in scan:
-        part = F.when(F.col(m.source).isNull(), 0.0).when(F.col(f"_n{k}") == 1, F.col(m.source)).otherwise(F.col(m.source) * m.alpha)
-        local[f"_l{k}"] = F.sum(part * _power(q, -F.col("_j"))).over(block) * _power(q, F.col("_j"))
-    rows = rows.withColumns(local)
-    if scan:
-        tails = rows.groupBy(*keys, "_b").agg(*[F.max_by(f"_l{k}", "_j").alias(f"_t{k}") for k, _, _ in scan])
-        ahead = Window.partitionBy(*keys).orderBy("_b")
-        carry = {}
-        for k, _, q in scan:
-            depth = max(1, math.ceil(math.log(1e-19) / (BLOCK * math.log(q))))
-            carry[f"_c{k}"] = sum((F.coalesce(F.lag(f"_t{k}", i).over(ahead), F.lit(0.0)) * q ** (BLOCK * (i - 1)) for i in range(1, depth + 1)), F.lit(0.0))
-        tails = tails.select(*keys, "_b", *[c.alias(n) for n, c in carry.items()])
-        rows = rows.join(tails, [*keys, "_b"])
-    out = {}
-    for k, m in enumerate(means):
-        y = F.col(m.source) if m.alpha >= 1.0 else F.col(f"_l{k}") + F.col(f"_c{k}") * _power(1.0 - m.alpha, F.col("_j") + 1)
-        out[m.name] = F.when(F.col(f"_n{k}") >= m.needs, y)
-    rows = rows.withColumns(out)
-    return rows.drop(*[c for c in rows.columns if c.startswith("_")])
+    rows = df.withColumns({f"_n{k}": F.count(m.source).over(so_far) for k, m in enumerate(means)})
+    first = lambda k, m: F.when(F.col(f"_n{k}") == 1, F.col(m.source)).otherwise(F.col(m.source) * m.alpha)
+    rows = rows.withColumns({f"_y{k}": F.coalesce(first(k, m), F.lit(0.0)) for k, m in enumerate(means)})
+    step = 1
+    while going := {f"_y{k}": (1.0 - m.alpha) ** step for k, m in enumerate(means) if (1.0 - m.alpha) ** step > LEAST}:
+        rows = rows.withColumns({y: F.col(y) + F.coalesce(F.lag(y, step).over(w), F.lit(0.0)) * weight for y, weight in going.items()})
+        step *= 2
+    rows = rows.withColumns({m.name: F.when(F.col(f"_n{k}") >= m.needs, F.col(f"_y{k}")) for k, m in enumerate(means)})
+    return rows.drop(*[f"_{x}{k}" for k in range(len(means)) for x in "ny"])
 
 
 def ewm_gaps(df: DataFrame, mean: Mean, keys: Sequence[str] = ("symbol",), order: str = "ts") -> DataFrame:

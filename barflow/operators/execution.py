@@ -104,6 +104,7 @@ def netting(fills: DataFrame, fee_bps: float = 5.0) -> DataFrame:
     """Final position of each symbol after its fills in order: averages in, reduces, drops what exceeds a close.
 
     The fold is an aggregate over the symbol's ordered fills, inside the JVM.
+    A fill of no quantity changes nothing; a flat position has average price 0.
     """
     ordered = fills.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("seq", F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty")).alias("q"), "price"))).alias("f"))
     zero = F.struct(F.lit(0.0).alias("pos"), F.lit(0.0).alias("avg"), F.lit(0.0).alias("realised"), F.lit(0.0).alias("fees"))
@@ -112,7 +113,7 @@ def netting(fills: DataFrame, fee_bps: float = 5.0) -> DataFrame:
         same = (s["pos"] == 0) | (F.signum(s["pos"]) == F.signum(f["q"]))
         closed = F.least(F.abs(s["pos"]), F.abs(f["q"]))
         pos = F.when(same, s["pos"] + f["q"]).otherwise(s["pos"] - F.signum(s["pos"]) * closed)
-        avg = F.when(same, (F.abs(s["pos"]) * s["avg"] + F.abs(f["q"]) * f["price"]) / (F.abs(s["pos"]) + F.abs(f["q"]))).when(pos == 0, 0.0).otherwise(s["avg"])
+        avg = F.when(same, F.coalesce((F.abs(s["pos"]) * s["avg"] + F.abs(f["q"]) * f["price"]) / F.nullif(F.abs(s["pos"]) + F.abs(f["q"]), F.lit(0.0)), F.lit(0.0))).when(pos == 0, 0.0).otherwise(s["avg"])
         won = F.when(same, 0.0).otherwise(F.signum(s["pos"]) * (f["price"] - s["avg"]) * closed)
         return F.struct(pos.alias("pos"), avg.alias("avg"), (s["realised"] + won).alias("realised"), (s["fees"] + F.abs(f["q"]) * f["price"] * fee_bps / 1e4).alias("fees"))
 

@@ -84,17 +84,22 @@ def adx(df: DataFrame, n: int = 14, name: str = "adx") -> DataFrame:
     return ewm(out, [wilder("dx", n, name)]).select(*df.columns, name)
 
 
-def add_all_indicators(df: DataFrame, cfg: dict = DEFAULTS, emas: Sequence[int] = ()) -> DataFrame:
-    """The bars with all thirteen indicator columns (and ema_<n> for further periods), in two scans of averages."""
+def add_all_indicators(df: DataFrame, cfg: dict = DEFAULTS, emas: Sequence[int] = (), rsis: Sequence[int] = (), ranges: Sequence[int] = ()) -> DataFrame:
+    """The bars with all thirteen indicator columns, in two scans of averages.
+
+    Further periods add ema_<n>, rsi_<n>, support_<n> and resistance_<n> to the same scans.
+    """
     m, r, b, x = cfg["momentum"], cfg["mean_reversion"], cfg["breakout"], cfg["regime"]
+    gains = {"": m["rsi_period"], **{f"_{n}": n for n in rsis}}
     first = [
-        ema("close", m["ema_fast"], "ema_fast"), ema("close", m["ema_slow"], "ema_slow"), wilder("gain", m["rsi_period"], "avg_gain"), wilder("loss", m["rsi_period"], "avg_loss"),
-        wilder("tr", x["atr_period"], "atr"), wilder("tr", x["adx_period"], "tr_w"), wilder("plus_dm", x["adx_period"], "plus_w"), wilder("minus_dm", x["adx_period"], "minus_w"), *[ema("close", n, f"ema_{n}") for n in emas],
+        ema("close", m["ema_fast"], "ema_fast"), ema("close", m["ema_slow"], "ema_slow"), wilder("tr", x["atr_period"], "atr"), wilder("tr", x["adx_period"], "tr_w"), wilder("plus_dm", x["adx_period"], "plus_w"), wilder("minus_dm", x["adx_period"], "minus_w"),
+        *[ema("close", n, f"ema_{n}") for n in emas], *[wilder(side, n, f"avg_{side}{k}") for k, n in gains.items() for side in ("gain", "loss")],
     ]
-    out = ewm(directional(df), first).withColumns({"rsi": rsi_of(F.col("avg_gain"), F.col("avg_loss")), "dx": dx_of(F.col("tr_w"), F.col("plus_w"), F.col("minus_w"))})
+    out = ewm(directional(df), first).withColumns({**{f"rsi{k}": rsi_of(F.col(f"avg_gain{k}"), F.col(f"avg_loss{k}")) for k in gains}, "dx": dx_of(F.col("tr_w"), F.col("plus_w"), F.col("minus_w"))})
     out = ewm(out, [wilder("dx", x["adx_period"], "adx")])
-    out = out.withColumns({**bollinger("close", r["bb_period"], r["bb_std"]), **support_resistance(b["lookback"]), "vol_surge": volume_surge(20), "atr_pct": 100.0 * F.col("atr") / F.nullif("close", F.lit(0.0))})
-    return out.drop("tr", "gain", "loss", "plus_dm", "minus_dm", "avg_gain", "avg_loss", "tr_w", "plus_w", "minus_w", "dx")
+    spans = {f"{name}_{n}": c for n in ranges for name, c in support_resistance(n).items()}
+    out = out.withColumns({**bollinger("close", r["bb_period"], r["bb_std"]), **support_resistance(b["lookback"]), **spans, "vol_surge": volume_surge(20), "atr_pct": 100.0 * F.col("atr") / F.nullif("close", F.lit(0.0))})
+    return out.drop("tr", "gain", "loss", "plus_dm", "minus_dm", *[f"avg_{side}{k}" for k in gains for side in ("gain", "loss")], "tr_w", "plus_w", "minus_w", "dx")
 
 
 def with_htf(ltf: DataFrame, htf: DataFrame, period: int = 50) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,25 +34,31 @@ def _ready() -> Column:
     return F.col("atr").isNotNull() & (F.col("atr") > 0)
 
 
-def momentum(cfg: dict = DEFAULTS) -> Column:
+def _named(names: dict[str, str] | None, *columns: str) -> list[Column]:
+    """Columns under the names that a variant of the settings has for them."""
+    return [F.col((names or {}).get(c, c)) for c in columns]
+
+
+def momentum(cfg: dict = DEFAULTS, names: dict[str, str] | None = None) -> Column:
     """A cross of the averages with strength, volume and the longer trend behind it."""
     c = cfg["momentum"]
-    fast, slow, close, atr, surge = F.col("ema_fast"), F.col("ema_slow"), F.col("close"), F.col("atr"), F.col("vol_surge")
-    f0, s0 = F.lag("ema_fast").over(by()), F.lag("ema_slow").over(by())
+    close, atr, surge = F.col("close"), F.col("atr"), F.col("vol_surge")
+    fast, slow, strength = _named(names, "ema_fast", "ema_slow", "rsi")
+    f0, s0 = F.lag(fast).over(by()), F.lag(slow).over(by())
     enough = (F.col("n") >= max(c["ema_slow"], c["rsi_period"], 20) + 2) & (F.col("htf_rows") >= c["htf_ema"] + 1) & _ready() & (surge >= c["volume_mult"])
-    conviction = 0.5 * F.least(F.abs(F.col("rsi") - 50.0) / 30.0, F.lit(1.0)) + 0.5 * clamp((surge - c["volume_mult"]) / c["volume_mult"], 0.0, 1.0)
+    conviction = 0.5 * F.least(F.abs(strength - 50.0) / 30.0, F.lit(1.0)) + 0.5 * clamp((surge - c["volume_mult"]) / c["volume_mult"], 0.0, 1.0)
     out = None
-    for side, sign, cross, strong, trend in (("long", 1.0, (f0 <= s0) & (fast > slow), F.col("rsi") > c["rsi_min_long"], F.col("htf_close") > F.col("htf_ema")), ("short", -1.0, (f0 >= s0) & (fast < slow), F.col("rsi") < c["rsi_max_short"], F.col("htf_close") < F.col("htf_ema"))):
+    for side, sign, cross, strong, trend in (("long", 1.0, (f0 <= s0) & (fast > slow), strength > c["rsi_min_long"], F.col("htf_close") > F.col("htf_ema")), ("short", -1.0, (f0 >= s0) & (fast < slow), strength < c["rsi_max_short"], F.col("htf_close") < F.col("htf_ema"))):
         stop = close - sign * c["stop_atr"] * atr
         made = _signal(side, "momentum", stop, close + sign * c["reward"] * F.abs(close - stop), conviction)
         out = F.when(enough & cross & strong & trend, made) if out is None else out.when(enough & cross & strong & trend, made)
     return out
 
 
-def mean_reversion(cfg: dict = DEFAULTS) -> Column:
+def mean_reversion(cfg: dict = DEFAULTS, names: dict[str, str] | None = None) -> Column:
     """A close beyond a band with an extreme oscillator, back to the middle."""
     c = cfg["mean_reversion"]
-    close, atr, r = F.col("close"), F.col("atr"), F.col("rsi")
+    close, atr, (r,) = F.col("close"), F.col("atr"), _named(names, "rsi")
     enough = (F.col("n") >= max(c["bb_period"], c["rsi_period"]) + 5) & F.col("bb_mid").isNotNull() & _ready()
     if c["squeeze_on"]:
         enough = enough & (F.min("bb_width").over(frame(5)) <= c["squeeze_pct"])
@@ -66,10 +74,11 @@ def mean_reversion(cfg: dict = DEFAULTS) -> Column:
     return out
 
 
-def breakout(cfg: dict = DEFAULTS) -> Column:
+def breakout(cfg: dict = DEFAULTS, names: dict[str, str] | None = None) -> Column:
     """A close beyond the range of quiet bars on volume, along the longer trend."""
     c = cfg["breakout"]
-    close, atr, surge, res, sup = F.col("close"), F.col("atr"), F.col("vol_surge"), F.col("resistance"), F.col("support")
+    close, atr, surge = F.col("close"), F.col("atr"), F.col("vol_surge")
+    res, sup = _named(names, "resistance", "support")
     quiet = F.avg("atr_pct").over(frame(c["lookback"])) <= 2.0 * c["consolidation_pct"]
     enough = (F.col("n") >= c["lookback"] + 5) & quiet & _ready() & (surge >= c["volume_mult"])
     out = None
@@ -83,23 +92,40 @@ def breakout(cfg: dict = DEFAULTS) -> Column:
     return out
 
 
-def enrich(ltf: DataFrame, htf: DataFrame, cfg: dict = DEFAULTS) -> DataFrame:
-    """Bars with indicators, the longer bar as of each, the bar's number n (from 1) and the regime."""
-    out = with_htf(add_all_indicators(ltf, cfg), htf, cfg["momentum"]["htf_ema"])
+def enrich(ltf: DataFrame, htf: DataFrame, cfg: dict = DEFAULTS, **more: Sequence[int]) -> DataFrame:
+    """Bars with indicators (more: further periods of them), the longer bar as of each, the bar's number n (from 1) and the regime."""
+    out = with_htf(add_all_indicators(ltf, cfg, **more), htf, cfg["momentum"]["htf_ema"])
     return out.withColumns({"n": F.row_number().over(by()), "regime": regime(cfg)})
 
 
-def with_signals(enriched: DataFrame, cfg: dict = DEFAULTS) -> DataFrame:
-    """Each bar with the signal of every strategy and the selected one (NULL if there is none)."""
-    out = enriched.withColumns({"momentum": momentum(cfg), "mean_reversion": mean_reversion(cfg), "breakout": breakout(cfg)})
+#: Strategies by name: each makes a signal column (NULL where it has none) from settings and, if a variant of them has its own, names of columns.
+STRATEGIES: dict[str, Callable[..., Column]] = {"momentum": momentum, "mean_reversion": mean_reversion, "breakout": breakout}
+
+
+def register(name: str, make: Callable[..., Column], regimes: Sequence[str]) -> None:
+    """Add a strategy: make(cfg, names) returns its signal column; it may trade in the regimes named, after those already there."""
+    STRATEGIES[name] = make
+    for r in regimes:
+        ELIGIBLE.setdefault(r, []).append(name)
+
+
+def select_signal(made: dict[str, Column], cfg: dict = DEFAULTS, market: Column | None = None) -> Column:
+    """The signal of most conviction among the strategies (by name) that may trade in the bar's regime."""
+    market = F.col("regime") if market is None else market
     chosen = F.lit(None).cast(_SIGNAL)
     for name, strategies in ELIGIBLE.items():
         best = None
-        for s in [s for s in strategies if s in cfg["enabled"]]:
-            best = F.col(s) if best is None else F.when(best.isNull() | (F.col(s)["conviction"] > best["conviction"]), F.coalesce(F.col(s), best)).otherwise(best)
+        for s in [s for s in strategies if s in cfg["enabled"] and s in made]:
+            best = made[s] if best is None else F.when(best.isNull() | (made[s]["conviction"] > best["conviction"]), F.coalesce(made[s], best)).otherwise(best)
         if best is not None:
-            chosen = F.when(F.col("regime") == name, best).otherwise(chosen)
-    return out.withColumn("signal", chosen)
+            chosen = F.when(market == name, best).otherwise(chosen)
+    return chosen
+
+
+def with_signals(enriched: DataFrame, cfg: dict = DEFAULTS) -> DataFrame:
+    """Each bar with the signal of every strategy and the selected one (NULL if there is none)."""
+    out = enriched.withColumns({name: make(cfg) for name, make in STRATEGIES.items()})
+    return out.withColumn("signal", select_signal({name: F.col(name) for name in STRATEGIES}, cfg))
 
 
 def reward_risk(entry: Column, stop: Column, target: Column) -> Column:

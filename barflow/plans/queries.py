@@ -400,14 +400,14 @@ def dash_positions(spark, sf_dir):
     return rounded(views.open_positions(p, ex.latest_marks(b)).select("symbol", "side", "mark", "unrealized", "r"))
 
 
-_EVERY = f"{B15}, nb AS (SELECT *, row_number() OVER {W.format('')} AS n FROM b), sg AS (SELECT symbol, n, CASE WHEN n % 2 = 0 THEN 'long' ELSE 'short' END AS side, close - CASE WHEN n % 2 = 0 THEN 0.01 ELSE -0.01 END AS stop, close + CASE WHEN n % 2 = 0 THEN 0.02 ELSE -0.02 END AS take_profit FROM nb WHERE n % 10 = 0)"
+_EVERY = f"{B15}, nb AS (SELECT *, row_number() OVER {W.format('')} AS n FROM b), sg AS (SELECT symbol, n, side, close - CASE WHEN side = 'long' THEN 1 ELSE -1 END * 0.01::DOUBLE AS stop, close + CASE WHEN side = 'long' THEN 1 ELSE -1 END * 0.02::DOUBLE AS take_profit FROM nb, (VALUES ('long'), ('short')) z(side))"
 
 
 @query(f"""{_EVERY}, z AS (SELECT sg.symbol, sg.n, sg.side, min(CASE WHEN CASE WHEN side = 'long' THEN low <= stop ELSE high >= stop END THEN nb.n END) AS stop_at, min(CASE WHEN CASE WHEN side = 'long' THEN high >= take_profit ELSE low <= take_profit END THEN nb.n END) AS target_at
 FROM sg JOIN nb ON sg.symbol = nb.symbol AND nb.n BETWEEN sg.n + 1 AND sg.n + 20 GROUP BY 1, 2, 3)
 SELECT symbol, n, side, coalesce(stop_at, -1) AS stop_at, coalesce(target_at, -1) AS target_at, CASE WHEN stop_at IS NOT NULL AND (target_at IS NULL OR stop_at <= target_at) THEN 0 ELSE 1 END AS label FROM z WHERE stop_at IS NOT NULL OR target_at IS NOT NULL""")
 def barrier_labels(spark, sf_dir):
-    """Every bar as a long and as a short signal; the SQL above has one bar in ten, as longs."""
+    """Every bar as a long and as a short signal."""
     b = bars(spark, sf_dir).withColumn("n", F.row_number().over(ind.by()).cast("long"))
     sign = F.when(F.col("side") == "long", 1).otherwise(-1)
     s = b.withColumn("side", F.explode(F.array(F.lit("long"), F.lit("short")))).select("symbol", "n", "side", (F.col("close") - sign * 0.01).alias("stop"), (F.col("close") + sign * 0.02).alias("take_profit"))
@@ -417,9 +417,11 @@ def barrier_labels(spark, sf_dir):
 # ---- backtests (path-dependent: tests compare them with hand-worked scenarios)
 
 
+BT = {**CFG, "risk": {**CFG["risk"], "min_rr": 1.0}}
+
+
 def _simulated(spark, sf_dir, portfolio=False):
-    cfg = {**CFG, "risk": {**CFG["risk"], "min_rr": 1.0}}
-    return bt.simulate(bt.prepared(bars(spark, sf_dir), bars(spark, sf_dir, "1h"), cfg), portfolio).persist()
+    return bt.simulate(bt.prepared(bars(spark, sf_dir), bars(spark, sf_dir, "1h"), BT), BT, portfolio).persist()
 
 
 @query()
@@ -446,17 +448,21 @@ def backtest_metrics(spark, sf_dir):
 def walkforward_metrics(spark, sf_dir):
     b, h = bars(spark, sf_dir).persist(), bars(spark, sf_dir, "1h").persist()
     windows = mt.cover_windows(h.agg(F.min("ts")).first()[0], b.agg(F.max("ts")).first()[0])
-    cfg = {**CFG, "risk": {**CFG["risk"], "min_rr": 1.0}, "backtest": {**CFG["backtest"], "warmup": 60, "min_htf": 55}}
-    events = bt.simulate(bt.run_windows(b, h, windows, cfg), True).persist()
+    cfg = {**BT, "backtest": {**CFG["backtest"], "warmup": 60, "min_htf": 55}}
+    events = bt.simulate(bt.run_windows(b, h, windows, cfg), cfg, True).persist()
     return rounded(mt.with_empty_runs(mt.compute_metrics(bt.trades_of(events)), spark.createDataFrame([(str(w["window"]),) for w in windows], "run_id string")))
 
 
+#: The default scan: three values each of three momentum settings.
+GRID = {"ema_fast": [7, 9, 12], "ema_slow": [18, 21, 26], "rsi_period": [10, 14, 21]}
+
+
 @query()
 def sens_scan(spark, sf_dir):
-    cfg = {**CFG, "risk": {**CFG["risk"], "min_rr": 1.0}}
-    rows, combos = bt.run_grid(bars(spark, sf_dir).persist(), bars(spark, sf_dir, "1h").persist(), {"ema_fast": [7, 9], "breakout.lookback": [15, 20]}, cfg)
-    runs = spark.createDataFrame([(str(k), c["ema_fast"], c["breakout.lookback"]) for k, c in enumerate(combos)], "run_id string, ema_fast int, lookback int")
-    return rounded(mt.with_empty_runs(mt.compute_metrics(bt.trades_of(bt.simulate(rows, True).persist())), runs).join(runs, "run_id"))
+    rows, settings, runs = bt.run_grid(bars(spark, sf_dir), bars(spark, sf_dir, "1h"), GRID, BT)
+    frame = spark.createDataFrame([(k, *c.values(), e) for k, c, e in runs], "run_id string, ema_fast int, ema_slow int, rsi_period int, error string")
+    events = bt.simulate(rows, BT, True, runs=settings, catch=True).persist()
+    return rounded(bt.grid_results(mt.with_empty_runs(mt.compute_metrics(bt.trades_of(events)), frame.select("run_id")), events, frame))
 
 
 # ---- metrics
@@ -537,12 +543,12 @@ def walkforward_agg(spark, sf_dir):
     return rounded(mt.walkforward_aggregate(mt.compute_metrics(trades(spark, sf_dir))))
 
 
-_DRAW = "dw AS (SELECT run, k, CAST('0x' || substr(md5('42:' || run || ':' || k), 1, 8) AS BIGINT) % 500 AS idx FROM (SELECT unnest(range(200)) AS run), (SELECT unnest(range(100)) AS k)), ix AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS idx, pnl / 100000 AS r FROM tr QUALIFY idx < 500)"
+_DRAW = "dw AS (SELECT run, k, CAST('0x' || substr(md5('42:' || run || ':' || k), 1, 8) AS BIGINT) % (SELECT count(*) FROM tr) AS idx FROM (SELECT unnest(range(1000)) AS run), (SELECT unnest(range((SELECT count(*) FROM tr))) AS k)), ix AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS idx, pnl / 100000 AS r FROM tr)"
 _PATH = f"WITH {TRADES}, {_DRAW}, pa AS (SELECT run, k, 100000 + sum(r * 100000) OVER q AS equity FROM dw JOIN ix USING (idx) WINDOW q AS (PARTITION BY run ORDER BY k ROWS UNBOUNDED PRECEDING)), pk AS (SELECT *, greatest(max(equity) OVER (PARTITION BY run ORDER BY k ROWS UNBOUNDED PRECEDING), 100000) AS peak FROM pa), mc AS (SELECT run, arg_max(equity, k) AS final_equity, greatest(max((peak - equity) / peak), 0) AS max_dd, least(min(equity), 100000) <= 50000 AS ruined FROM pk GROUP BY run)"
 
 
 def _paths(spark, sf_dir, runs=1000):
-    """Runs of as many draws as there are trades, from all of them; the SQL above draws 100 of the first 500."""
+    """Runs of as many draws as there are trades, from all of them."""
     r = trades(spark, sf_dir)
     n = r.count()
     return mt.mc_paths(mt.mc_draws(spark, runs, n, n), mt.mc_returns(r))
@@ -560,7 +566,7 @@ def mc_summary(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES (7), (9), (12)) a(ema_fast), (VALUES (18), (21), (26)) b(ema_slow), (VALUES (10), (14), (21)) c(rsi_period)")
 def sens_grid(spark, sf_dir):
-    g = bt.grid_frame(spark, {"ema_fast": [7, 9, 12], "ema_slow": [18, 21, 26], "rsi_period": [10, 14, 21]})
+    g = bt.grid_frame(spark, GRID)
     return g.select(*[F.col(c).cast("int").alias(c) for c in g.columns])
 
 
@@ -632,11 +638,11 @@ def gbt_train_score(spark, sf_dir):
 
 # ---- execution
 
-_ORD = "o AS (SELECT event_id AS order_id, symbol, ts, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, ['market', 'limit', 'stop'][event_id % 3 + 1] AS type, 1.0 + event_id % 4 AS qty, px + (event_id % 5 - 2) * 0.01 AS limit_price, px + (event_id % 7 - 3) * 0.01 AS stop_price FROM tk WHERE event_id % 20 = 0)"
+_ORD = "o AS (SELECT event_id AS order_id, symbol, ts, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, ['market', 'limit', 'stop'][event_id % 3 + 1] AS type, 1.0 + event_id % 4 AS qty, px + (event_id % 5 - 2) * 0.01 AS limit_price, px + (event_id % 7 - 3) * 0.01 AS stop_price FROM tk)"
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order of every tick, of both sides and three types; the SQL above keeps one tick in twenty, all of them buys."""
+    """An order of every tick, of both sides and three types."""
     k = F.col("event_id")
     return src.ticks(t(spark, sf_dir, "events")).select(k.alias("order_id"), "symbol", "ts", F.when(k % 2 == 0, "buy").otherwise("sell").alias("side"), F.element_at(F.array(F.lit("market"), F.lit("limit"), F.lit("stop")), (k % 3 + 1).cast("int")).alias("type"), (1.0 + k % 4).alias("qty"), (F.col("px") + (k % 5 - 2) * 0.01).alias("limit_price"), (F.col("px") + (k % 7 - 3) * 0.01).alias("stop_price"))
 
@@ -736,9 +742,9 @@ def risk_stats(spark, sf_dir):
     return views.stats(trades(spark, sf_dir))
 
 
-@query(f"{B15}, mk AS (SELECT ts, 1000 * close AS equity FROM b WHERE symbol = 'view'), l AS (SELECT *, 1 - equity / first_value(equity) OVER d AS loss FROM mk WINDOW d AS (PARTITION BY CAST(ts AS DATE) ORDER BY ts)) SELECT ts, round(equity, 7) AS equity, round(loss, 7) AS loss FROM l WHERE loss >= 0.0005 QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) = 1")
+@query(f"{B15}, mk AS (SELECT symbol, ts, 1000 * close AS equity FROM b), l AS (SELECT *, 1 - equity / first_value(equity) OVER d AS loss FROM mk WINDOW d AS (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts)) SELECT symbol, ts, round(equity, 7) AS equity, round(loss, 7) AS loss FROM l WHERE loss >= 0.0005 QUALIFY row_number() OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts) = 1")
 def halt_edges(spark, sf_dir):
-    """Edges of every symbol's marks; the SQL above has those of 'view' alone."""
+    """Edges of every symbol's marks."""
     return rounded(views.halt_edges(bars(spark, sf_dir).select("symbol", "ts", (1000 * F.col("close")).alias("equity")), 0.0005, "symbol"))
 
 
@@ -781,7 +787,6 @@ def stream_signals(spark, sf_dir):
 @query()
 def stream_positions(spark, sf_dir):
     """The batch fold's trades again, from two micro-batches with state between them."""
-    cfg = {**CFG, "risk": {**CFG["risk"], "min_rr": 1.0}}
-    rows = bt.prepared(bars(spark, sf_dir), bars(spark, sf_dir, "1h"), cfg).withColumn("signal", F.to_json("signal")).persist()
+    rows = bt.prepared(bars(spark, sf_dir), bars(spark, sf_dir, "1h"), BT).withColumn("signal", F.to_json("signal")).persist()
     halves = [rows.filter("ts < '2024-01-15'"), rows.filter("ts >= '2024-01-15'")]
-    return rounded(bt.trades_of(live.run_available(live.live_positions(live.replay(halves), cfg))))
+    return rounded(bt.trades_of(live.run_available(live.live_positions(live.replay(halves), BT))))
