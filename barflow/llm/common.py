@@ -67,8 +67,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], by: str, limit: int = DEAL) -> DataFrame:
-    """Inner join of rows with keyed (checkpointed, one row a key, its number of rows in n), hot keys dealt over tasks.
+def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], by: str, limit: int = DEAL, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of rows with keyed (checkpointed, one row a key, its number of rows in n), hot keys dealt over tasks.
 
     Keys of more than `limit` rows, at most one in `limit` rows, get as many
     copies in `keyed` as it takes to leave each task about `limit` of theirs;
@@ -78,7 +78,7 @@ def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], by: str, limit
     hot = keyed.filter(F.col("n") > limit).select(*on, parts.alias("_parts"))
     count = hot.count()
     if not count:
-        return rows.join(keyed, on)
+        return rows.join(keyed, on, how)
     salted = rows.join(sized_broadcast(hot, (16 * len(on) + 32) * count), on, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1).cast("long")))).drop("_parts")
     copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    return salted.join(copies, [*on, "_salt"]).drop("_salt")
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -15,16 +15,17 @@ from its place on.
    20 - o, cut by the o words to the left, holds the occurrences of one window.
    Its first leaf stays, the windows of the others go, and overlapping windows
    join to maximal repeats.
-3. A prefix of more than HOT suffixes is lengthened to the 20 words of each
-   window that runs through it.  Such a prefix is one node, whose leaves need no
-   order: the first is found by partial aggregation and joined back with the
-   hot nodes dealt over many tasks.  So no passage, however frequent, is
-   gathered in one task.
+3. A prefix of more than HOT suffixes is lengthened.  Of its suffixes with the
+   same words all but the first are settled at once, found by partial
+   aggregation and joined with hot ones dealt over many tasks; the others are
+   cut into two halves of their windows, which share more words (8, then 14 or
+   15, up to the 20 of a single window), until their prefixes fit a group.  So no
+   passage, however frequent, is gathered in one task.
 
 Documents whose whole word sequence an earlier one has are settled before by a
 128-bit digest: all their windows start earlier, and the first copy stands for
 them in every tree.  Words of subtrees are compared themselves, those of
-lengthened prefixes by 128-bit digests.
+equal suffixes of lengthened prefixes by 128-bit digests.
 
 Defined results: null texts have no words; texts under 20 words lose none;
 the first occurrence is by doc_id, then position; rows sharing a doc_id are
@@ -36,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -122,7 +124,7 @@ def _spaced(w: Words) -> tuple[bytes, np.ndarray]:
 
 
 def _suffixes(hot: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Kept suffixes of repeated prefixes: one row with its words for each, or, of hot prefixes, one row with a digest for each window."""
+    """Kept suffixes of repeated prefixes with their words, those of hot prefixes or the others."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, limit=1 << 20):
@@ -139,20 +141,57 @@ def _suffixes(hot: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             at, place = at[on], place[on]
             if not len(at):
                 continue
-            if hot:
-                two = [shingles(mix(w.hash ^ s), WINDOW)[at].view(np.int64) for s in _SEEDS]
-                d = _owners(w, at)
-                columns = [g[place].view(np.int64), b.column("doc_id").cast(pa.int64()).take(pa.array(d)), (at - w.offsets[d]).astype(np.int32), *two]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["h", "doc_id", "start", "n1", "n2"])
-                continue
             first = _edges((place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1))
             windows = np.diff(np.append(first, len(at)))
             begin = at[first]
             raw, byte = _spaced(w)
             text = [raw[x:y] for x, y in zip(byte[begin].tolist(), byte[begin + windows + WINDOW - 1].tolist(), strict=True)]
             d = _owners(w, begin)
-            columns = [g[place[first]].view(np.int64), b.column("doc_id").cast(pa.int64()).take(pa.array(d)), (begin - w.offsets[d]).astype(np.int32), (place[first] - begin).astype(np.int32), windows.astype(np.int32), pa.array(text, pa.binary())]
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["h", "doc_id", "start", "lead", "windows", "text"])
+            yield _rows(g[place[first]].view(np.int64), b.column("doc_id").cast(pa.int64()).take(pa.array(d)), begin - w.offsets[d], place[first] - begin, windows, text)
+
+    return rows
+
+
+def _rows(h: np.ndarray, doc_id: pa.Array, start: np.ndarray, lead: np.ndarray, windows: np.ndarray, text: list[bytes], **more: np.ndarray) -> pa.RecordBatch:
+    small = {"start": start, "lead": lead, "windows": windows}
+    columns = {"h": pa.array(h), "doc_id": doc_id, **{k: pa.array(v.astype(np.int32)) for k, v in small.items()}, "text": pa.array(text, pa.binary()), **{k: pa.array(v) for k, v in more.items()}}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+_SUFFIX = "h long, doc_id long, start int, lead int, windows int, text binary"
+_PART = f"{_SUFFIX}, lo int, hi int, c1 long, c2 long"
+
+
+def _parts(halve: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Suffixes, whole or cut into two by their windows, with their prefix (h) and two digests of all words.
+
+    A suffix has windows that begin lo to hi words before its place, so all have
+    lo words to the left and 20 - hi from the place on in common: the prefix.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = {k: b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "lead", "windows", "lo", "hi")}
+            texts = b.column("text").to_pylist()
+            w = words(b.column("text").cast(pa.large_string()))
+            mid = (c["lo"] + c["hi"] + 1) // 2
+            for lo, hi in ((c["lo"], mid - 1), (mid, c["hi"])) if halve else ((c["lo"], c["hi"]),):
+                most, least = np.minimum(c["lead"], hi), np.maximum(c["lead"] - c["windows"] + 1, lo)
+                on = np.flatnonzero(most >= least)
+                if not len(on):
+                    continue
+                lo, hi, most, least = lo[on], hi[on], most[on], least[on]
+                skip, size = c["lead"][on] - most, most - least + WINDOW
+                first = w.offsets[on] + skip
+                begin, end = w.start[first] - w.start[w.offsets[on]], w.end[first + size - 1] + 1 - w.start[w.offsets[on]]
+                text = [texts[k][x:y] for k, x, y in zip(on.tolist(), begin.tolist(), end.tolist(), strict=True)]
+                edge = np.concatenate([[0], np.cumsum(size)])
+                place = np.arange(edge[-1]) - np.repeat(edge[:-1] + most, size)  # of each word, counted from the suffix's
+                own = w.hash[np.repeat(first, size) + np.arange(edge[-1]) - np.repeat(edge[:-1], size)]
+                terms = [mix(own ^ mix((place + WINDOW).astype(np.uint64) + s)) for s in _SEEDS]
+                shared = (place >= -np.repeat(lo, size)) & (place < WINDOW - np.repeat(hi, size))
+                sums = [np.add.reduceat(x, edge[:-1]).view(np.int64) for x in (np.where(shared, terms[0], np.uint64(0)), *terms)]
+                yield _rows(sums[0], b.column("doc_id").take(pa.array(on)), c["start"][on] + skip, most, most - least + 1, text, lo=lo.astype(np.int32), hi=hi.astype(np.int32), c1=sums[1], c2=sums[2])
 
     return rows
 
@@ -241,12 +280,25 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(begin, kind), pa.array(end, kind)], names=["doc_id", "begin", "end"])
 
 
-def _in_hot_nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, start, mask of the windows in lengthened prefixes that are no first leaf; docs: doc_id, text, at."""
-    leaves = cut(docs.filter(F.exists("at", lambda x: x.bitwiseAND(1) == 1)).mapInArrow(_suffixes(True), "h long, doc_id long, start int, n1 long, n2 long"))
-    place = F.struct("doc_id", "start")
-    nodes = cut(leaves.groupBy("n1", "n2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter("first != last").select("n1", "n2", "first", "n"))
-    return spread_join(leaves, nodes, ["n1", "n2"], "doc_id", HOT).filter("doc_id != first.doc_id OR start != first.start").select("doc_id", "start", F.lit(1).alias("mask"))
+def _lengthened(marked: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, start, mask of suffixes of hot prefixes that an earlier one equals, and the others with prefixes that fit a group."""
+    rows = marked.filter(F.exists("at", lambda x: x.bitwiseAND(1) == 1)).mapInArrow(_suffixes(True), _SUFFIX).withColumns({"lo": F.lit(0), "hi": F.lit(_REACH - 1)})
+    place, settled, groups = F.struct("doc_id", "start"), [], []
+    for k in range(_REACH.bit_length() + 1):  # until each part is a single window
+        rows = cut(rows.mapInArrow(_parts(k > 0), _PART))
+        same = cut(rows.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter("first != last").select("c1", "c2", "first", "n"))
+        met = cut(spread_join(rows, same, ["c1", "c2"], "doc_id", HOT, "left"))
+        again = F.col("first").isNotNull() & (place != F.col("first"))
+        settled.append(met.filter(again).select("doc_id", "start", F.expr("(1 << windows) - 1").alias("mask")))
+        left = met.filter(~again).select(*rows.columns)
+        hot = cut(left.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("h"))
+        count = hot.count()
+        few = sized_broadcast(hot, 16 * count)  # at most one in HOT rows
+        groups.append(left.join(few, "h", "left_anti").select(*(x.split()[0] for x in _SUFFIX.split(", "))))
+        if not count:
+            break
+        rows = left.join(few, "h", "left_semi").select(*rows.columns)
+    return reduce(DataFrame.unionByName, settled), groups
 
 
 def repeated_runs(documents: DataFrame) -> DataFrame:
@@ -263,11 +315,12 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
     near = cut(spread_join(prefixes, repeated, ["h"], "doc_id", HOT).groupBy("doc_id").agg(F.collect_list(mark).alias("at")))
     size = near.agg(64 * F.count("*") + F.coalesce(F.sum(F.size("at")), F.lit(0)) * 4).first()[0]
     marked = docs.join(sized_broadcast(near, size), "doc_id")
-    suffixes = marked.mapInArrow(_suffixes(False), "h long, doc_id long, start int, lead int, windows int, text binary")
-    found = suffixes.repartition("h").sortWithinPartitions("h").mapInArrow(_forests, "doc_id long, start int, mask int")
+    suffixes, settled = marked.mapInArrow(_suffixes(False), _SUFFIX), None
     if repeated.filter(F.col("n") > HOT).limit(1).count():
-        found = found.unionByName(_in_hot_nodes(marked))
-    starts = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("at"))
+        settled, groups = _lengthened(marked)
+        suffixes = reduce(DataFrame.unionByName, groups, suffixes)
+    found = suffixes.repartition("h").sortWithinPartitions("h").mapInArrow(_forests, "doc_id long, start int, mask int")
+    starts = (found.unionByName(settled) if settled else found).groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("at"))
     whole = copies.select("doc_id", F.array(F.lit(0).cast("long")).alias("begin"), F.array("n_words").alias("end"))
     return cut(starts.join(some, "doc_id", "left_anti").mapInArrow(_runs, "doc_id long, begin array<long>, end array<long>").unionByName(whole))
 
