@@ -147,7 +147,8 @@ def _suffixes(hot: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             raw, byte = _spaced(w)
             text = [raw[x:y] for x, y in zip(byte[begin].tolist(), byte[begin + windows + WINDOW - 1].tolist(), strict=True)]
             d = _owners(w, begin)
-            yield _rows(g[place[first]].view(np.int64), b.column("doc_id").cast(pa.int64()).take(pa.array(d)), begin - w.offsets[d], place[first] - begin, windows, text)
+            bounds = {"lo": np.zeros(len(d), np.int32), "hi": np.full(len(d), _REACH - 1, np.int32)} if hot else {}
+            yield _rows(g[place[first]].view(np.int64), b.column("doc_id").cast(pa.int64()).take(pa.array(d)), begin - w.offsets[d], place[first] - begin, windows, text, **bounds)
 
     return rows
 
@@ -282,10 +283,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lengthened(marked: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """doc_id, start, mask of suffixes of hot prefixes that an earlier one equals, and the others with prefixes that fit a group."""
-    rows = marked.filter(F.exists("at", lambda x: x.bitwiseAND(1) == 1)).mapInArrow(_suffixes(True), _SUFFIX).withColumns({"lo": F.lit(0), "hi": F.lit(_REACH - 1)})
+    rows = marked.filter(F.exists("at", lambda x: x.bitwiseAND(1) == 1)).mapInArrow(lambda batches: _parts(False)(_suffixes(True)(batches)), _PART)
     place, settled, groups = F.struct("doc_id", "start"), [], []
     for k in range(_REACH.bit_length() + 1):  # until each part is a single window
-        rows = cut(rows.mapInArrow(_parts(k > 0), _PART))
+        rows = cut(rows.mapInArrow(_parts(True), _PART) if k else rows)
         same = cut(rows.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter("first != last").select("c1", "c2", "first", "n"))
         met = cut(spread_join(rows, same, ["c1", "c2"], "doc_id", HOT, "left"))
         again = F.col("first").isNotNull() & (place != F.col("first"))
