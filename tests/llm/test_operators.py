@@ -88,7 +88,55 @@ def test_near_duplicates_on_odd_rows(spark, odd):
     assert [got[k].n_shingles for k in (0, 1, 2, 3)] == [0, 0, 0, 1] and all(got[k].component_id == k and got[k].kept for k in (0, 1, 2, 3, 7))
     assert got[6].component_id == 4 and got[5].component_id == 4 and not got[6].kept and got[9].component_id == 8
     assert neardup.components(odd).count() == 11 and neardup.components(odd.filter("false")).count() == 0
-    assert neardup.components(odd.withColumn("doc_id", F.when(F.col("doc_id") != 4, F.col("doc_id")))).filter("doc_id IS NULL").first().kept
+    nameless = neardup.components(odd.withColumn("doc_id", F.when(F.col("doc_id") != 4, F.col("doc_id")))).filter("doc_id IS NULL").first()
+    assert nameless.component_id == 5 and not nameless.kept
+    clash = odd.withColumns({c: F.lit(1) for c in ("_key", "_rep", "_h1", "_h2", "component", "n", "bucket")})
+    kept = neardup.keep(clash)
+    assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 7, 8]
+
+
+def test_near_duplicates_of_shared_and_missing_ids(spark):
+    a, b = [f"a{k}" for k in range(40)], [f"b{k}" for k in range(40)]
+    near = lambda w: " ".join([*w[:-1], "z"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(a)), (8, near(b)), (None, near(a) + " y"), (None, "c d e f g h"), (None, "c d e f g h"), (None, "p q r s t u"), (9, "k l m n o p"), (9, " ".join(b)), (11, "k l m n o p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.component_id, r.kept) for r in neardup.components(df).collect()]
+    assert sorted(x for x in got if x[0]) == [(5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 5, False), (9, 5, False), (11, 5, False)]
+    assert sorted((str(x[1]), x[2]) for x in got if x[0] is None) == [("5", False), ("None", True), ("None", True), ("None", True)]
+    kept = neardup.keep(df).collect()
+    assert sorted((r.doc_id is None, r.text) for r in kept if r.doc_id is None) == [(True, "c d e f g h"), (True, "p q r s t u")] and [r.doc_id for r in kept if r.doc_id] == [5]
+
+
+@pytest.mark.parametrize("bucket", [512, 4])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, bucket):
+    """Also with buckets of over 4 members dealt to pairs of bands."""
+    monkeypatch.setattr(neardup, "BUCKET", bucket)
+    rng = np.random.default_rng(12)
+    base = [[f"{g}w{k}" for k in range(80)] for g in range(6)]
+    texts = []
+    for _ in range(150):
+        w = list(base[int(rng.integers(0, 6))])
+        for p in rng.integers(0, 80, int(rng.integers(0, 5))):
+            w[p] = f"n{rng.integers(0, 10**6)}"
+        texts.append(" ".join(w) if rng.random() > 0.1 else " ".join(rng.choice(list("abc"), 9)))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    label = list(range(len(texts)))
+    for _ in texts:
+        label = [min(label[j] for j, y in enumerate(sets) if 100 * len(x & y) >= 75 * len(x | y)) for x in sets]
+    assert [r.component_id for r in neardup.components(frame(spark, texts)).orderBy("doc_id").collect()] == label
+
+
+def test_texts_that_share_a_passage_do_not_run_together(spark):
+    """Pairs of similarity 0.2 to 0.3 share a band often; signatures keep nearly all of them out of the links."""
+    rng = np.random.default_rng(3)
+    core = [f"c{k}" for k in range(50)]
+    texts = [" ".join([*core, *(f"t{d}x{k}" for k in range(int(rng.integers(50, 80))))]) for d in range(1500)]
+    docs = frame(spark, texts)
+    print_ = docs.mapInArrow(neardup._fingerprint, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary")
+    classes = print_.select(F.col("doc_id").alias("rep"), "bands", "sig").persist()
+    links = neardup.candidate_links(classes).distinct().count()
+    in_one_bucket = classes.select(F.explode("bands").alias("k")).groupBy("k").count().agg(F.max("count")).first()[0]
+    assert in_one_bucket > 300 and links < in_one_bucket, (in_one_bucket, links)
 
 
 def test_large_cluster_in_several_blocks(spark, monkeypatch):
