@@ -160,7 +160,7 @@ def _rows(h: np.ndarray, doc_id: pa.Array, start: np.ndarray, lead: np.ndarray,
 
 
 _SUFFIX = "h long, doc_id long, start int, lead int, windows int, text binary"
-_PART = f"{_SUFFIX}, lo int, hi int, c1 long, c2 long"
+_PART = f"{_SUFFIX}, lo int, hi int, c1 long, c2 long, more array<int>"
 
 
 def _parts(halve: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -168,6 +168,8 @@ def _parts(halve: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
     A suffix has windows that begin lo to hi words before its place, so all have
     lo words to the left and 20 - hi from the place on in common: the prefix.
+    Whole suffixes of one document with the same words are one row, the first,
+    with the starts of the others in `more`.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,11 +194,25 @@ def _parts(halve: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 terms = [mix(own ^ mix((place + WINDOW).astype(np.uint64) + s)) for s in _SEEDS]
                 shared = (place >= -np.repeat(lo, size)) & (place < WINDOW - np.repeat(hi, size))
                 sums = [np.add.reduceat(x, edge[:-1]).view(np.int64) for x in (np.where(shared, terms[0], np.uint64(0)), *terms)]
-                yield _rows(sums[0], b.column("doc_id").take(pa.array(on)), c["start"][on] + skip, most, most - least + 1, text, lo=lo.astype(np.int32), hi=hi.astype(np.int32), c1=sums[1], c2=sums[2])
+                start, keep, more = c["start"][on] + skip, np.arange(len(on)), [[]] * len(on)
+                if not halve:
+                    keep, more = _first_of(b.column("doc_id"), start, sums[1], sums[2])
+                doc = b.column("doc_id").take(pa.array(on[keep]))
+                row = _rows(sums[0][keep], doc, start[keep], most[keep], (most - least + 1)[keep], [text[k] for k in keep.tolist()], lo=lo[keep].astype(np.int32), hi=hi[keep].astype(np.int32), c1=sums[1][keep], c2=sums[2][keep])
+                yield row.append_column("more", pa.array(more, pa.list_(pa.int32())))
 
     return rows
 
 
+def _first_of(doc_id: pa.Array, start: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+    """The first row of each document and digest, and the starts of the others beside it."""
+    doc = doc_id.to_numpy(zero_copy_only=False)
+    order = np.lexsort((start, c2, c1, doc))
+    edge = _edges((doc[order][1:] != doc[order][:-1]) | (c1[order][1:] != c1[order][:-1]) | (c2[order][1:] != c2[order][:-1]))
+    ends = np.append(edge[1:], len(order))
+    return order[edge], [start[order[x + 1 : y]].tolist() for x, y in zip(edge.tolist(), ends.tolist(), strict=True)]
+
+
 def repeated_in_forest(doc: np.ndarray, start: np.ndarray, lead: np.ndarray, windows: np.ndarray, text: pa.Array) -> np.ndarray:
     """For each suffix a mask of its windows (bit i: the one at start + i) that stand at an earlier place too.
 
@@ -282,23 +298,27 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lengthened(marked: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """doc_id, start, mask of suffixes of hot prefixes that an earlier one equals, and the others with prefixes that fit a group."""
+    """doc_id and at (start, mask) of suffixes of hot prefixes that an earlier one equals, and the others with prefixes that fit a group."""
     rows = marked.filter(F.exists("at", lambda x: x.bitwiseAND(1) == 1)).mapInArrow(lambda batches: _parts(False)(_suffixes(True)(batches)), _PART)
-    place, settled, groups = F.struct("doc_id", "start"), [], []
+    all_windows = F.expr("(1 << windows) - 1").alias("mask")
+    settled, groups = [], []
     for k in range(_REACH.bit_length() + 1):  # until each part is a single window
         rows = cut(rows.mapInArrow(_parts(True), _PART) if k else rows)
-        same = cut(rows.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter("first != last").select("c1", "c2", "first", "n"))
-        met = cut(spread_join(rows, same, ["c1", "c2"], "doc_id", HOT, "left"))
-        again = F.col("first").isNotNull() & (place != F.col("first"))
-        settled.append(met.filter(again).select("doc_id", "start", F.expr("(1 << windows) - 1").alias("mask")))
-        left = met.filter(~again).select(*rows.columns)
+        if not k:
+            settled.append(rows.filter(F.size("more") > 0).select("doc_id", F.transform("more", lambda s: F.struct(s.alias("start"), all_windows)).alias("at")))
+        first = F.min(F.struct("doc_id", "start", "h", "lead", "windows", "lo", "hi", "text")).alias("x")
+        distinct = cut(rows.groupBy("c1", "c2").agg(first, F.count("*").alias("n")))
+        same = distinct.filter("n > 1").select("c1", "c2", "n", F.col("x.doc_id").alias("first"), F.col("x.start").alias("place"))
+        met = spread_join(rows.select("c1", "c2", "doc_id", "start", "windows"), same, ["c1", "c2"], "doc_id", HOT).filter("doc_id != first OR start != place")
+        settled.append(met.select("doc_id", F.array(F.struct("start", all_windows)).alias("at")))
+        left = distinct.select("x.*")
         hot = cut(left.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("h"))
         count = hot.count()
         few = sized_broadcast(hot, 16 * count)  # at most one in HOT rows
         groups.append(left.join(few, "h", "left_anti").select(*(x.split()[0] for x in _SUFFIX.split(", "))))
         if not count:
             break
-        rows = left.join(few, "h", "left_semi").select(*rows.columns)
+        rows = left.join(few, "h", "left_semi")
     return reduce(DataFrame.unionByName, settled), groups
 
 
@@ -321,7 +341,8 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
         settled, groups = _lengthened(marked)
         suffixes = reduce(DataFrame.unionByName, groups, suffixes)
     found = suffixes.repartition("h").sortWithinPartitions("h").mapInArrow(_forests, "doc_id long, start int, mask int")
-    starts = (found.unionByName(settled) if settled else found).groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("at"))
+    found = found.select("doc_id", F.array(F.struct("start", "mask")).alias("at"))
+    starts = (found.unionByName(settled) if settled else found).groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at"))
     whole = copies.select("doc_id", F.array(F.lit(0).cast("long")).alias("begin"), F.array("n_words").alias("end"))
     return cut(starts.join(some, "doc_id", "left_anti").mapInArrow(_runs, "doc_id long, begin array<long>, end array<long>").unionByName(whole))
 
