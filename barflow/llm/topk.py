@@ -1,12 +1,15 @@
 """Exact top-k inner-product search over an impact-ordered score-at-a-time index.
 
-Components are quantised to integers; a dimension of an index block is a
-posting list and the product of a query's component with the largest
-component of the block is the (quantised) impact of that list.  A query
-processes the lists in segments of descending impact, adds to accumulators,
-and stops only on proof: when what the rest can add (by Cauchy-Schwarz over
-the unprocessed components) leaves few possible members, those are rescored
-exactly.  Impacts are bounded from the index, so no member can be lost.
+Components are quantised to integers.  A dimension of an index block is a
+posting list, cut into segments by quantised impact, the number of bits of a
+component: a segment holds the postings of one dimension and one level.  For a
+query, the impact of a segment is the level plus the number of bits of the
+query's own component there, so a unit more doubles what a posting can add.
+Segments of all lists are processed by descending impact and added to
+accumulators.  The search stops only on proof: what the segments of lower
+impact can still add to a vector is bounded, level by level, by
+Cauchy-Schwarz; once the k best lower bounds leave few possible members, those
+are rescored exactly.
 
 Queries and index are cut into blocks by hash; each pair of blocks is one
 bounded task, and only k rows a query and block are shuffled on.
@@ -28,9 +31,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 64
-QUERY_BLOCK, INDEX_BLOCK = 512, 8192
-#: Posting lists in a segment; possible members below this share of a block are rescored.
-SEGMENT, FEW = 8, 0.04
+QUERY_BLOCK, INDEX_BLOCK = 2048, 8192
+#: Impact levels of an index at most, the lowest joined; possible members below this share of a block are rescored.
+LEVELS, FEW = 8, 0.04
+#: Queries searched together.
+TOGETHER = 64
 RESULT = "query_row long, query_id long, vec_id long, score long"
 
 
@@ -50,52 +55,72 @@ def _pack(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "dims": pa.array([dims], pa.int64()), "ids": pa.array([rows.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()), "m": pa.array([m.tobytes()], pa.binary())})
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    """Number of bits of the absolute value: the quantised impact of a component."""
+    return np.frexp(np.abs(x.astype(np.float64)))[1]
+
+
 class Block:
-    """Posting lists (components of one dimension) with what bounds their impact."""
+    """Posting segments of an index block by impact level, and the norm of each vector's components of a level."""
 
     def __init__(self, ids: bytes, m: bytes, dims: int):
         self.ids = np.frombuffer(ids, np.int64)
         self.m = np.frombuffer(m, np.int64).reshape(len(self.ids), dims)
-        # floats hold these integers exactly while sums stay under 2^53
-        self.lists = np.ascontiguousarray(self.m.T.astype(np.float64 if self.m.size and np.abs(self.m).max() ** 2 * max(dims, 1) >= 2**22 else np.float32))
-        self.squares = self.lists**2
-        self.norms = self.squares.sum(axis=0)
-        self.top = np.abs(self.lists).max(axis=1, initial=0)
-
-
-def search(block: Block, q: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and scores of every vector of the block that can be among the k best with a score of at least `floor`."""
-    dims = min(len(q), len(block.lists))
-    kind = block.lists.dtype.type
-    q = q[:dims].astype(kind)
-    order = np.argsort(-np.abs(q) * block.top[:dims], kind="stable")
-    order = order[q[order] != 0]
-    acc, rest_v = np.zeros(len(block.ids), kind), block.norms.copy()
-    rest_q = float((q.astype(np.float64) ** 2).sum())
-    others = block.ids != own  # rows of the query's own id are no answers, so they bound nothing
-    theta, live = floor, None
-    for s in range(0, len(order), SEGMENT):
-        seg = order[s : s + SEGMENT]
-        acc += q[seg] @ block.lists[seg]
-        rest_q -= float((q[seg].astype(np.float64) ** 2).sum())
-        rest_v -= block.squares[seg].sum(axis=0)
-        if s + SEGMENT >= len(order):
-            break
-        if rest_q <= 0.3 * float((q.astype(np.float64) ** 2).sum()):
-            slack = np.sqrt(np.maximum(rest_v, 0) * max(rest_q, 0.0)) * (1 + 1e-5) + 1
-            least = (acc - slack)[others]
-            if len(least) > k:
-                theta = max(theta, float(np.partition(least, len(least) - k)[len(least) - k]))
-            live = np.flatnonzero(acc + slack >= theta)
-            if len(live) <= FEW * len(acc) + k:
+        bits = _bits(self.m)
+        found = np.unique(bits[bits > 0])
+        self.levels = found[-LEVELS:]
+        bits = np.where(bits > 0, np.maximum(bits, self.levels.min(initial=99)), 0)
+        self.most = float(np.abs(self.m).max(initial=0))
+        lists = np.ascontiguousarray(self.m.T)
+        kept = [np.where(bits.T == b, lists, 0) for b in self.levels]
+        self.segments = [x.astype(np.float64) for x in kept] if self.most >= 1 << 12 else [x.astype(np.float32) for x in kept]
+        self.norms = np.array([np.sqrt((x.astype(np.float64) ** 2).sum(axis=0)) for x in kept]).reshape(len(kept), len(self.ids))
+
+
+def search(block: Block, qs: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the positions and scores of every vector of the block that can be among its k best with a score of at least `floor`.
+
+    qs: one query a row.  A step takes the segments of one impact of all
+    queries that are not settled yet; the first takes those of impacts too high
+    to prove anything after them.
+    """
+    dims = min(qs.shape[1], block.m.shape[1])
+    qs, n = qs[:, :dims], len(block.ids)
+    live = [np.arange(n)] * len(qs)
+    largest = float(np.abs(qs).max(initial=0)) * block.most * max(dims, 1)
+    if 0 < largest < 2**53 and n > k:  # so that accumulators hold whole numbers exactly
+        kind = np.float32 if largest < 2**24 else np.float64
+        bits, squares = _bits(qs), qs.astype(np.float64) ** 2
+        energy = np.maximum(squares.sum(axis=1), 1e-9)
+        floats = qs.astype(kind)
+        rest = lambda rows, e: np.stack([np.where(bits[rows] < e - b, squares[rows], 0).sum(axis=1) for b in block.levels], axis=1)
+        impacts = sorted({int(a + b) for a in np.unique(bits[bits > 0]) for b in block.levels}, reverse=True)
+        start = next((e for e in impacts if (rest(slice(None), e).min(axis=1) <= 0.1 * energy).mean() > 0.5), impacts[-1])
+        open_, acc, theta = np.arange(len(qs)), np.zeros((len(qs), n), kind), np.array(floor, np.float64)
+        for e in impacts[impacts.index(start) :]:
+            for b, segment in zip(block.levels, block.segments, strict=True):
+                of_impact = bits[open_] >= e - b if e == start else bits[open_] == e - b
+                of_impact &= bits[open_] > 0
+                if of_impact.any():
+                    acc += np.where(of_impact, floats[open_], kind(0)) @ segment[:dims].astype(kind, copy=False)
+            slack = (np.sqrt(rest(open_, e)) @ block.norms) * (1 + 1e-6) + 1e-3 if e != impacts[-1] else np.zeros((len(open_), 1))
+            going = []
+            for j, i in enumerate(open_.tolist()):
+                least = (acc[j] - slack[j])[block.ids != own[i]]  # rows of the query's own id are no answers, so they bound nothing
+                if len(least) > k:
+                    theta[i] = max(theta[i], float(np.partition(least, len(least) - k)[len(least) - k]))
+                live[i] = np.flatnonzero(acc[j] + slack[j] >= theta[i])
+                if len(live[i]) > FEW * n + k:
+                    going.append(j)
+            open_, acc = open_[going], acc[going]
+            if not len(open_):
                 break
-    else:
-        live = None
-    if live is None or len(live) > FEW * len(acc) + k:
-        live = np.flatnonzero(acc >= theta) if len(order) else np.arange(len(acc))
-    scores = block.m[live, :dims] @ np.asarray(q, np.int64)
-    keep = block.ids[live] != own
-    return live[keep], scores[keep]
+    out = []
+    for i, at in enumerate(live):
+        scores = block.m[at, :dims] @ qs[i].astype(np.int64)
+        keep = block.ids[at] != own[i]
+        out.append((at[keep], scores[keep]))
+    return out
 
 
 def _search_pairs(k: int):  # noqa: ANN202
@@ -104,15 +129,17 @@ def _search_pairs(k: int):  # noqa: ANN202
         blocks = [Block(*x) for x in zip(index.column("ids").to_pylist(), index.column("m").to_pylist(), index.column("dims").to_pylist(), strict=True)]
         for number, ids, m, dims in zip(queries.column("block").to_pylist(), queries.column("ids").to_pylist(), queries.column("m").to_pylist(), queries.column("dims").to_pylist(), strict=True):
             ids = np.frombuffer(ids, np.int64)
-            for j, q in enumerate(np.frombuffer(m, np.int64).reshape(len(ids), dims)):
-                vec, score, floor = np.zeros(0, np.int64), np.zeros(0, np.int64), -math.inf
+            qs = np.frombuffer(m, np.int64).reshape(len(ids), dims)
+            for first in range(0, len(ids), TOGETHER):
+                own = ids[first : first + TOGETHER]
+                best, floor = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(own), np.full(len(own), -math.inf)
                 for b in blocks:
-                    at, s = search(b, q, ids[j], k, floor)
-                    vec, score = np.concatenate([vec, b.ids[at]]), np.concatenate([score, s])
-                    top = np.lexsort((vec, -score))[:k]
-                    vec, score = vec[top], score[top]
-                    floor = float(score[-1]) if len(top) == k else -math.inf
-                out.append([np.full(len(vec), (number << 32) + j), np.full(len(vec), ids[j]), vec, score])
+                    for j, (at, s) in enumerate(search(b, qs[first : first + TOGETHER], own, k, floor)):
+                        vec, score = np.concatenate([best[j][0], b.ids[at]]), np.concatenate([best[j][1], s])
+                        top = np.lexsort((vec, -score))[:k]
+                        best[j], floor[j] = (vec[top], score[top]), float(score[top][-1]) if len(top) == k else -math.inf
+                for j, (vec, score) in enumerate(best):
+                    out.append([np.full(len(vec), (number << 32) + first + j), np.full(len(vec), own[j]), vec, score])
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in RESULT.split(", ")])
 

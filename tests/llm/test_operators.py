@@ -182,12 +182,34 @@ def test_top_k_against_brute_force(spark):
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     q = [(k, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for k, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     for k, v in q:
-        if k % 20 == 0 and k != 20:
+        if k % 20 == 0 and k != 20:  # id 20 has two vectors, so two lists of answers: below
             scores = sorted((-sum(a * b for a, b in zip(v, u)), j) for j, u in q if j != k)[:5]
             assert [(s, j) for _, j, s in sorted(got[k])] == [(-s, j) for s, j in scores]
     assert topk.top_k(df.filter("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("scale,copies", [(64, 31), (1 << 20, 1), (1 << 27, 1)])
+def test_top_k_of_repeated_ids_and_huge_components(spark, scale, copies):
+    """Many rows of the query's own id, ties, and integers beyond what 32-bit floats hold."""
+    rng = np.random.default_rng(9)
+    dims = 24
+    vectors = [(20, [float(np.float32(x)) for x in rng.normal(0, 0.3, dims)]) for _ in range(copies)]
+    vectors += [(k, [float(np.float32(x)) for x in rng.normal(0, 0.3, dims)]) for k in range(21, 500) if k % 20]
+    vectors += [(600 + k, vectors[copies][1]) for k in range(4)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    q = [(k, [int(np.floor(scale * x)) for x in v]) for k, v in vectors]
+    want = sorted(tuple(sorted((-sum(a * b for a, b in zip(v, u)), j) for j, u in q if j != 20)[:20]) for k, v in q if k == 20)
+    rows = [r for r in topk.top_k(df, F.col("vec_id") == 20, 20, scale).collect()]
+    assert len(rows) == 20 * copies
+    lists = {}
+    for w in want:
+        for rank, (s, j) in enumerate(w, 1):
+            lists[rank, j, -s] = lists.get((rank, j, -s), 0) + 1
+    for r in rows:
+        lists[r["rank"], r.vec_id, r.score] -= 1
+    assert not any(lists.values())
+
+
 def test_url_rules(spark):
     urls = ["HTTP://Www.Example.ORG/es/1?x=/en/1", "http://a.org", "http://a.org/", "b.com/de/", None, "", "http://x.com/de/1#f", "http://example.org/en/12", "http://notexample.org/es/", "http://c.net/de/", "http://com/fr/"]
     rules = spark.createDataFrame([("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("com", "/de/", "block"), (None, "/", "block")], "host string, path string, verdict string")

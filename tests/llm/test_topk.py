@@ -15,7 +15,7 @@ def test_copies_of_the_query_do_not_hide_answers():
             m[:copies], ids[:copies] = m[0] * 4, 1000
             q = m[0] // 4
             block = topk.Block(ids.astype(np.int64).tobytes(), m.tobytes(), dims)
-            at, scores = topk.search(block, q, 1000, k, -np.inf)
+            at, scores = topk.search(block, q[None, :], np.array([1000]), k, np.array([-np.inf]))[0]
             got = sorted(zip(-scores, block.ids[at]))[:k]
             full = m @ q
             assert got == sorted((-full[j], ids[j]) for j in range(copies, 300))[:k]
