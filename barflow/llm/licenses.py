@@ -1,21 +1,27 @@
 """License families of paragraphs, by DataFrame functions alone.
 
-A trained paragraph classifier: word 1- and 2-grams that training paragraphs
-have feed a multinomial logistic regression with an `unknown` class, whose
-probabilities are calibrated by a temperature fitted on held-out paragraphs.
-A prediction counts when its probability reaches MIN_PROBABILITY and the
-family's nearest template shares MIN_OVERLAP of its n-grams with the
-paragraph.  Paragraphs are lines, and runs of adjacent lines without a blank
-one between them, as a wrapped notice is torn over several: runs have
+A trained paragraph classifier: word 1- and 2-grams of training paragraphs feed
+a multinomial logistic regression with an `unknown` class, whose probabilities
+are calibrated by a temperature fitted on sentences that are not in the
+training set.  A prediction counts when its probability reaches
+MIN_PROBABILITY and a template of the family has MIN_OVERLAP of its n-grams in
+the paragraph.  Paragraphs are lines, and runs of adjacent lines without a
+blank one between them, as a wrapped notice is torn over several: runs have
 RUN_LINES lines and RUN_WORDS words at most (more than any template has).  Of
 notices that share a line, the one with most of a template's n-grams counts,
 then the shortest, then the first.
 
-The model is small and fixed in size (it is fitted on TRAINING paragraphs
-below), so its tables are literals of the plan: one narrow pass, no join, no
-shuffle, no Python on the executors.  Defined results: a null or empty text
-has no paragraph; a text without a family has null license and probability 0;
-ties go to the family first by name; repeated rows each give a row.
+Only runs that hold a word of `gate()` are classified.  The gate follows from
+the templates and loses nothing: of each template it has so many words that
+the n-grams without them are less than MIN_OVERLAP of it, so a run with none of
+its words confirms no template (tests compare with a scan of all runs).
+
+The model is small and fixed in size (it is fitted on the sentences below), so
+its tables are literals of the plan: one narrow pass, no join, no shuffle, no
+Python on the executors.  Defined results: a null or empty text has no
+paragraph; a text without a family has null license and probability 0; ties go
+to the family first by name; repeated rows each give a row; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,46 +32,73 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_PROBABILITY, MIN_OVERLAP = 0.5, 0.6
+MIN_PROBABILITY, MIN_OVERLAP = 0.5, 0.62
 RUN_LINES, RUN_WORDS = 16, 60
 
-# Notices of public licence families; the first of each is its template, as are all that follow.
+# Notices of public licence families, in their usual words; each is a template and a training paragraph.
 TEMPLATES = {
-    "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
-    "bsd": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation."],
-    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."],
+    "agpl": [
+        "GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later", "Licensed under the AGPL.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+    ],
+    "apache": [
+        "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "SPDX-License-Identifier: Apache-2.0", "Apache License, Version 2.0, January 2004", "Released under the Apache License.", "Distributed under the Apache 2.0 license.",
+    ],
+    "bsd": [
+        "Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause", "BSD 3-Clause License", "BSD 2-Clause License", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    ],
+    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0", "Available under the Creative Commons Attribution License."],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0", "Available under the Creative Commons Attribution-NonCommercial License."],
+    "cc-by-nc-sa": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-SA-4.0", "Available under the Creative Commons Attribution-NonCommercial-ShareAlike License."],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0", "Available under the Creative Commons Attribution-ShareAlike License."],
+    "gpl": [
+        "This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+        "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only", "GNU General Public License, version 3", "Released under the GPL license.", "You should have received a copy of the GNU General Public License along with this program.",
+    ],
+    "isc": ["ISC License", "SPDX-License-Identifier: ISC", "Licensed under the ISC license.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "lgpl": [
+        "GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-or-later", "SPDX-License-Identifier: LGPL-2.1-only", "Licensed under the LGPL.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+    ],
+    "mit": [
+        "Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "SPDX-License-Identifier: MIT", "The MIT License (MIT)", "MIT License", "Licensed under the MIT license.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify and merge.",
+    ],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License Version 2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at mozilla.org."],
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part may be reproduced without permission."],
-    "public-domain": ["This work is in the public domain.", "Dedicated to the public domain under CC0 1.0."],
+    "public-domain": ["This work is in the public domain.", "Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "SPDX-License-Identifier: Unlicense", "This is free and unencumbered software released into the public domain."],
 }
-_FULLER = {
-    "apache": ["SPDX-License-Identifier: Apache-2.0", "Apache License, Version 2.0, January 2004", "Released under the Apache License.", "Distributed under the Apache 2.0 license."],
-    "bsd": ["SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause", "BSD 3-Clause License", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
-    "cc-by": ["SPDX-License-Identifier: CC-BY-4.0", "Available under the Creative Commons Attribution License."],
-    "cc-by-nc": ["SPDX-License-Identifier: CC-BY-NC-4.0", "Available under the Creative Commons Attribution-NonCommercial License."],
-    "cc-by-sa": ["SPDX-License-Identifier: CC-BY-SA-4.0", "Available under the Creative Commons Attribution-ShareAlike License."],
-    "gpl": ["SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only", "GNU General Public License, version 3", "Released under the GPL license.", "You should have received a copy of the GNU General Public License along with this program."],
-    "mit": ["SPDX-License-Identifier: MIT", "The MIT License (MIT)", "MIT License", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify and merge."],
-    "mpl": ["SPDX-License-Identifier: MPL-2.0", "Mozilla Public License Version 2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at mozilla.org."],
-    "public-domain": ["SPDX-License-Identifier: CC0-1.0", "SPDX-License-Identifier: Unlicense", "This is free and unencumbered software released into the public domain."],
-}
-for _name, _own in _FULLER.items():
-    TEMPLATES[_name] += _own
 UNKNOWN = [
     "The driver must hold a valid license.", "Her license was renewed in the spring.", "They released the record under a new name.", "A version of the work was shown in public.",
     "The general was a public man and free of charge.", "He reserved all the seats on the right.", "The software is sold under contract.", "The foundation published its terms.",
     "Licensed premises must close at ten.", "The files were copied to the source.", "You may use the room under the roof.", "Permission to land was not granted.", "The creative team shared the work.",
     "All rights of way are open to the public.", "We are licensed to sell and to serve.", "The source of the river is in the hills.",
-    "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: ISC", "SPDX-License-Identifier: EPL-2.0", "SPDX-License-Identifier: BSL-1.0", "The Zlib License", "ISC License", "Eclipse Public License, version 2.0", "Boost Software License", "Licensed under the Zlib license.",
+    "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: EPL-2.0", "SPDX-License-Identifier: BSL-1.0", "The Zlib License", "Eclipse Public License, version 2.0", "Boost Software License", "Licensed under the Zlib license.",
     "A license is required to drive this car.", "She studied at MIT and holds a pilot license.", "The domain of the function is the real line.", "The table was reserved for the general public.", "The wish was granted and the work was done.",
+    "All rights reserved for members only.", "All seats are reserved for members of the club.", "Civil rights reserved a place in her speeches.", "The rights to the film were reserved by the studio.", "All tables reserved until nine.",
+    "The public domain of the king was sold.", "This work is in the public interest.", "The house is in the public park.", "Work in the public sector is steady.",
+    "Free software is a matter of taste.", "The Mozilla office is in the city.", "The Apache people lived in the south.", "An Apache helicopter, version two, was shown.", "The commons were a creative place.", "The house of commons sat until four.",
+    "He redistributed the land and used it in modified form.", "A copy of the letter was sent to any person who asked.", "The licence fee pays for public radio.", "BSD is short for many things.", "The clause has three parts.", "Permission is needed to use the hall for any purpose with or without a fee.",
 ]
-#: A run of lines that holds none of these has no chance above MIN_PROBABILITY of a family, as every notice has one; single words, so that none is torn by a line's end.
-ANCHORS = r"(?i)licen[cs]|cc0|reserved|redistribut|hereby|domain|\b[al]?gpl|\bmpl\b|\bcc[- ]by|creative ?commons|\bcommons\b|copyleft"
+# Sentences for the calibration only, none of them above.
+HELD_OUT = {
+    "agpl": ["You may copy it under the terms of the GNU Affero General Public License version 3."], "apache": ["This module is distributed under the terms of the Apache License, Version 2.0.", "Apache License 2.0"],
+    "bsd": ["Distributed under a 3-clause BSD license.", "The code is BSD licensed."], "cc-by": ["Text is available under Creative Commons Attribution 4.0."], "cc-by-nc": ["Shared as Creative Commons Attribution-NonCommercial 3.0 (CC BY-NC)."],
+    "cc-by-nc-sa": ["Published as CC BY-NC-SA 3.0, Attribution-NonCommercial-ShareAlike."], "cc-by-sa": ["Text is available under the Creative Commons Attribution-ShareAlike License 3.0."],
+    "gpl": ["You can use it under the GNU General Public License, version 2.", "It is free software under the GPL."], "isc": ["This package has the ISC license."], "lgpl": ["The library is covered by the GNU Lesser General Public License."],
+    "mit": ["This project is licensed under the MIT License - see the file for details.", "MIT licensed."], "mpl": ["The files are subject to the Mozilla Public License, version 1.1."],
+    "proprietary": ["Copyright 2019 by the publisher, all rights reserved.", "No part of this book may be reproduced, all rights reserved."], "public-domain": ["The author has placed it in the public domain.", "Released into the public domain (CC0)."],
+    "unknown": [
+        "The licensed guide met us at the gate.", "A public license board sits in the town.", "He reserved the right to answer.", "The software was free for a month.", "She modified the terms of the lease.", "Rights and duties were read out.", "The version in the library is older.",
+        "They redistribute food to the poor.", "The domain was sold last year.", "A creative mind needs no permission.", "The general manager used the source.", "It was granted free of charge to the school.", "Copies of the notice hang in all rooms.", "The clause was struck from the contract.",
+    ],
+}
 _OPENINGS = ["", "Note that this text is ", "See the file for details. ", "Copyright 2020 the authors. ", "Notice: "]
+#: Words that the gate takes late and last, as other texts have many of them.
+FREQUENT = frozenset("code copy copyright file free general met program public published software source terms text use used version work works".split())
+STOP_WORDS = frozenset("a all along an and any are as at be by can for found from have if in into is it may not of on one or out part that the this to under was with without you your 0 1 2 3 4".split())
 
 
 def grams(text: str) -> set[str]:
@@ -74,27 +107,43 @@ def grams(text: str) -> set[str]:
     return {*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))} - {""}
 
 
+def gate() -> list[str]:
+    """Words of which a run must hold one to confirm any template."""
+    every = [grams(t) for own in TEMPLATES.values() for t in own]
+    spread = {w: sum(w in t for t in every) for t in every for w in t if " " not in w}
+    chosen: set[str] = set()
+    for t in sorted(every, key=lambda t: (len(t), sorted(t))):
+        without = set(t)
+        for w in sorted((w for w in t if " " not in w), key=lambda w: (w not in chosen, (w in FREQUENT) + 2 * (w in STOP_WORDS), -spread[w], w)):
+            if len(without) < MIN_OVERLAP * len(t):
+                break
+            chosen.add(w)
+            without = {g for g in without if w not in g.split(" ")}
+    return sorted(chosen)
+
+
 class Model:
     """Weights by n-gram and class, fitted by full-batch gradient steps with an L2 penalty."""
 
     def __init__(self, penalty: float = 0.02, rounds: int = 400):
-        rows = [(o + t, name, k) for name, own in TEMPLATES.items() for t in own for k, o in enumerate(_OPENINGS)]
-        rows += [(o + t, "unknown", k) for t in UNKNOWN for k, o in enumerate(_OPENINGS)]
-        rows += [(t.replace("2.0", v).replace("4.0", v).replace("version 3", f"version {v}"), name, 0) for name, own in TEMPLATES.items() for t in own for v in ("1", "2", "3")]
+        rows = [(o + t, name) for name, own in [*TEMPLATES.items(), ("unknown", UNKNOWN)] for t in own for o in _OPENINGS]
+        rows += [(t.replace("2.0", v).replace("4.0", v).replace("version 3", f"version {v}"), name) for name, own in TEMPLATES.items() for t in own for v in ("1", "2", "3")]
         self.families = [*sorted(TEMPLATES), "unknown"]
-        self.vocabulary = sorted({g for t, _, _ in rows for g in grams(t)})
-        place = {g: k for k, g in enumerate(self.vocabulary)}
-        x = np.zeros((len(rows), len(self.vocabulary)))
-        for k, (t, _, _) in enumerate(rows):
-            x[k, [place[g] for g in grams(t)]] = 1
-        x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-        y = np.eye(len(self.families))[[self.families.index(name) for _, name, _ in rows]]
-        held = np.array([k == len(_OPENINGS) - 1 for _, _, k in rows])
-        self.weights, self.bias = self._fit(x[~held], y[~held], penalty, rounds)
-        z = x[held] @ self.weights + self.bias
-        losses = {t: -np.log(self._soft(z * t)[y[held] == 1]).mean() for t in (0.5, 1.0, 1.5, 2.0, 3.0, 4.0)}
+        self.vocabulary = sorted({g for t, _ in rows for g in grams(t)})
+        x, y = self._matrix(rows)
+        self.weights, self.bias = self._fit(x, y, penalty, rounds)
+        x, y = self._matrix([(t, name) for name, own in HELD_OUT.items() for t in own])
+        z = x @ self.weights + self.bias
+        losses = {t: -np.log(self._soft(z * t)[y == 1]).mean() for t in np.geomspace(0.25, 16, 25).round(4).tolist()}
         self.temperature = min(losses, key=losses.get)
 
+    def _matrix(self, rows: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+        place = {g: k for k, g in enumerate(self.vocabulary)}
+        x = np.zeros((len(rows), len(place)))
+        for k, (t, _) in enumerate(rows):
+            x[k, [place[g] for g in grams(t) if g in place]] = 1
+        return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1)), np.eye(len(self.families))[[self.families.index(name) for _, name in rows]]
+
     @staticmethod
     def _soft(z: np.ndarray) -> np.ndarray:
         e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -148,7 +197,7 @@ def _judge(paragraph: Column, model: Model) -> Column:
 
 
 def _runs(lines: Column) -> Column:
-    """first, last and text of each line, and of each run of adjacent lines that are not blank, that holds an anchor."""
+    """first, last and text of each line, and of each run of adjacent lines that are not blank, that holds a word of the gate."""
 
     def from_line(line: Column) -> Column:
         def run(k: Column) -> Column:
@@ -164,20 +213,19 @@ def _runs(lines: Column) -> Column:
 
 
 def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, n_paragraphs, license (likeliest confirmed), probability, licenses (all confirmed), n_notices, n_unconfirmed."""
+    """doc_id, n_paragraphs, license (likeliest confirmed), probability, licenses (all confirmed), n_notices."""
     model = model or Model()
+    hot = f"(?<![a-z0-9])(?:{'|'.join(gate())})(?![a-z0-9])"
     text = F.coalesce(F.col("text"), F.lit(""))
     paragraphs = F.filter(F.split(text, r"\n+"), lambda p: F.length(F.trim(p)) > 0)
-    rows = documents.select("doc_id", F.when(F.length(text) > 0, F.size(paragraphs)).otherwise(0).alias("n_paragraphs"), F.when(text.rlike(ANCHORS), F.split(text, r"\n")).otherwise(F.array().cast("array<string>")).alias("lines"))
-    rows = rows.withColumn("lines", F.transform("lines", lambda p, i: F.struct(i.alias("i"), p.alias("text"), F.size(F.regexp_extract_all(p, F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("words"), p.rlike(ANCHORS).alias("hot"))))
+    rows = documents.select("doc_id", F.when(F.length(text) > 0, F.size(paragraphs)).otherwise(0).alias("n_paragraphs"), F.when(F.lower(text).rlike(hot), F.split(text, r"\n")).otherwise(F.array().cast("array<string>")).alias("lines"))
+    rows = rows.withColumn("lines", F.transform("lines", lambda p, i: F.struct(i.alias("i"), p.alias("text"), F.size(F.regexp_extract_all(p, F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("words"), F.lower(p).rlike(hot).alias("hot"))))
     rows = rows.withColumn("runs", _runs(F.col("lines"))).drop("lines")
     none = F.struct(F.lit(0.0).alias("probability"), F.lit("unknown").alias("family"), F.lit(0.0).alias("overlap"), F.lit(0).alias("matched"))
     rows = rows.withColumn("judged", F.transform("runs", lambda r: _let(_judge(r["text"], model), lambda j: F.struct((-j["matched"]).alias("rank"), (r["last"] - r["first"]).alias("more"), r["first"].alias("first"), r["last"].alias("last"), j.alias("j"))))).drop("runs")
     rows = rows.withColumn("named", F.array_sort(F.filter("judged", lambda r: (r["j"]["family"] != "unknown") & (r["j"]["probability"] >= MIN_PROBABILITY)))).drop("judged")
     sure = F.filter("named", lambda r: r["j"]["overlap"] >= MIN_OVERLAP)
     rows = rows.withColumn("sure", F.aggregate(sure, F.slice("named", 1, 0), lambda acc, r: F.when(F.exists(acc, lambda a: (a["first"] <= r["last"]) & (r["first"] <= a["last"])), acc).otherwise(F.concat(acc, F.array(r)))))
-    held = lambda r: F.exists("sure", lambda a: (a["first"] <= r["last"]) & (r["last"] <= a["last"]))
-    unsure = F.filter("named", lambda r: (r["more"] == 0) & (r["j"]["overlap"] < MIN_OVERLAP) & ~held(r))
     best = F.reduce(F.transform("sure", lambda r: r["j"]), none, lambda a, b: F.when(b["probability"] > a["probability"], b).otherwise(a))
-    rows = rows.select("doc_id", "n_paragraphs", best.alias("best"), F.array_sort(F.array_distinct(F.transform("sure", lambda r: r["j"]["family"]))).alias("licenses"), F.size("sure").alias("n_notices"), F.size(unsure).alias("n_unconfirmed"))
-    return rows.select("doc_id", "n_paragraphs", F.when(F.col("n_notices") > 0, F.col("best.family")).alias("license"), F.round("best.probability", 6).alias("probability"), F.concat_ws(",", "licenses").alias("licenses"), "n_notices", "n_unconfirmed")
+    rows = rows.select("doc_id", "n_paragraphs", best.alias("best"), F.array_sort(F.array_distinct(F.transform("sure", lambda r: r["j"]["family"]))).alias("licenses"), F.size("sure").alias("n_notices"))
+    return rows.select("doc_id", "n_paragraphs", F.when(F.col("n_notices") > 0, F.col("best.family")).alias("license"), F.round("best.probability", 6).alias("probability"), F.concat_ws(",", "licenses").alias("licenses"), "n_notices")

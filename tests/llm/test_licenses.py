@@ -1,5 +1,8 @@
 """Notices that are wrapped, short, reworded or not in the templates."""
 
+import re
+
+import numpy as np
 import pytest
 
 from barflow.llm import licenses
@@ -28,3 +31,79 @@ def test_notice(found, k):
     text, family = CASES[k]
     assert found[k].license == family, (text, found[k])
     assert found[k].n_notices == (family is not None)
+
+
+MORE = [
+    ("SPDX-License-Identifier: LGPL-2.1-only", "lgpl"), ("GNU Lesser General Public License", "lgpl"), ("GNU Affero General Public License, version 3", "agpl"), ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa"), ("SPDX-License-Identifier: ISC", "isc"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "isc"),
+    ("All rights reserved for members only seats.", None), ("All seats were reserved.", None), ("A pilot license is needed.\nMIT is far away.", None), ("SPDX-License-Identifier: EPL-2.0", None),
+]
+
+
+def brute(text, model):
+    """The whole scan without a gate: every line and every run is judged."""
+    lines = [(i, t, len(re.findall("[A-Za-z0-9]+", t))) for i, t in enumerate((text or "").split("\n"))] if text else []
+    found = []
+    for i, _, n in lines:
+        for k in range(1, min(licenses.RUN_LINES, len(lines) - i) + 1):
+            own = lines[i : i + k]
+            if not n or k > 1 and (any(x[2] == 0 for x in own) or sum(x[2] for x in own) > licenses.RUN_WORDS):
+                continue
+            known = licenses.grams(" ".join(x[1] for x in own)) & set(model.vocabulary)
+            x = np.zeros(len(model.vocabulary))
+            x[[model.vocabulary.index(g) for g in known]] = 1 / max(len(known), 1) ** 0.5
+            z = (x @ model.weights + model.bias) * model.temperature
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            family = model.families[int(z.argmax())]
+            shares = [(len(known & licenses.grams(t)), len(licenses.grams(t))) for t in licenses.TEMPLATES.get(family, [])]
+            matched = max((a for a, b in shares if a / b >= licenses.MIN_OVERLAP), default=0)
+            if family != "unknown" and p.max() >= licenses.MIN_PROBABILITY and matched:
+                found.append((-matched, k, i, i + k - 1, family, p.max()))
+    sure = []
+    for f in sorted(found):
+        if not any(g[2] <= f[3] and f[2] <= g[3] for g in sure):
+            sure.append(f)
+    best = max(sure, key=lambda f: f[5], default=None)
+    return best and best[4], ",".join(sorted({f[4] for f in sure})), len(sure)
+
+
+def test_scan_against_brute_force(spark):
+    """Notices, torn and joined at random, beside near misses and other words, very long texts, ties and repeated rows."""
+    rng = np.random.default_rng(2)
+    model = licenses.Model()
+    pool = [w for own in [*licenses.TEMPLATES.values(), licenses.UNKNOWN, *licenses.HELD_OUT.values()] for t in own for w in [t]]
+    texts = [t for t, _ in [*CASES, *MORE]]
+    for _ in range(80):
+        words = []
+        for _ in range(int(rng.integers(1, 4))):
+            own = pool[int(rng.integers(len(pool)))].split()
+            own = own[int(rng.integers(0, 3)) :] if rng.random() < 0.3 else own
+            words += [*own, *rng.choice(["tree", "the", "this", "river", "work", "is", "free"], int(rng.integers(0, 4)))]
+        texts.append("".join(w + ("\n" if rng.random() < 0.15 else "\n\n" if rng.random() < 0.03 else " ") for w in words))
+    texts += [texts[-1], None, "", "\n\n", "the river " * 30_000 + "\nReleased under the MIT License.\n" + "a tree " * 30_000]
+    rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, lines string").repartition(4)
+    got = {r.doc_id: (r.license, r.licenses, r.n_notices) for r in licenses.scan(rows, model).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == brute(t, model), t
+    assert sum(g[2] for g in got.values()) > 60
+
+
+@pytest.mark.parametrize("text,family", MORE)
+def test_families_and_near_misses(text, family):
+    assert brute(text, licenses.Model())[0] == family
+
+
+def test_gate_covers_every_template():
+    words = set(licenses.gate())
+    assert not words & licenses.STOP_WORDS
+    for own in licenses.TEMPLATES.values():
+        for t in own:
+            g = licenses.grams(t)
+            assert len([x for x in g if not words & set(x.split(" "))]) < licenses.MIN_OVERLAP * len(g)
+
+
+def test_calibration():
+    """The temperature is fitted on sentences that training has not seen, and lies inside its range."""
+    seen = {t for own in [*licenses.TEMPLATES.values(), licenses.UNKNOWN] for t in own}
+    assert not seen & {t for own in licenses.HELD_OUT.values() for t in own}
+    assert 0.25 < licenses.Model().temperature < 16
