@@ -1,8 +1,9 @@
 """Order-preserving packing of token streams by dynamic programming.
 
 Documents are tokenized and laid end to end in scan order.  Windows of at
-most `window` tokens cover the stream; window cuts are chosen among document
-ends, sentence ends and forced positions so that padding plus truncation
+most `window` tokens cover the stream; window cuts are chosen among all document
+ends, sentence ends and forced positions (multiples of the window, and a window
+after each other cut, which pads nothing) so that padding plus truncation
 penalties are least.  With cost padding(j, i) = window - (j - i) the
 transition separates, so the best predecessor within reach is the front of a
 monotone queue; windows whose length is a power of two carry no padding and
@@ -76,10 +77,15 @@ def choose_cuts(ends: np.ndarray, costs: np.ndarray, window: int = WINDOW) -> li
 
     ends: candidate positions, ascending, no two more than `window` apart (nor the first from 0); costs: of a cut at each.
     """
-    pos = [0, *ends.tolist()]
-    pay = [0.0, *costs.tolist()]
-    at = {p: k for k, p in enumerate(pos)}
-    powers = [1 << b for b in range(window.bit_length()) if 1 << b <= window]
+    place = np.concatenate([[0], ends]).astype(np.int64)
+    pos, pay = place.tolist(), [0.0, *costs.tolist()]
+    # the cuts that lie a power of two before each
+    known = np.full(place[-1] + 1, -1)
+    known[place] = np.arange(len(place))
+    before = place[:, None] - (1 << np.arange(window.bit_length()))
+    before = np.where(before >= 0, known[np.maximum(before, 0)], -1)
+    whole = before[before >= 0].tolist()
+    edge = np.concatenate([[0], np.cumsum((before >= 0).sum(axis=1))]).tolist()
     best, back = [0.0] * len(pos), [0] * len(pos)
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
     for j in range(1, len(pos)):
@@ -88,8 +94,8 @@ def choose_cuts(ends: np.ndarray, costs: np.ndarray, window: int = WINDOW) -> li
             queue.popleft()
         value, i = queue[0]
         value += window - p
-        for b in powers:
-            if (k := at.get(p - b)) is not None and best[k] <= value:
+        for k in whole[edge[j] : edge[j + 1]]:
+            if best[k] <= value:
                 value, i = best[k], k
         best[j], back[j] = value + pay[j], i
         key = best[j] + p
@@ -108,10 +114,7 @@ def candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray,
     n = len(ids)
     cost = np.full(n + 1, np.inf)
     stop = np.flatnonzero(sentence_end[ids]) + 1
-    # of sentence ends less than 16 tokens apart one is enough
-    if len(stop):
-        keep = np.concatenate([[True], (stop[1:] >> 4) != (stop[:-1] >> 4)])
-        cost[stop[keep]] = SENTENCE_COST
+    cost[stop] = SENTENCE_COST
     cost[doc_ends] = 0.0
     cost[0] = np.inf
     cost[np.arange(window, n, window)] = np.minimum(cost[np.arange(window, n, window)], FORCED_COST)
@@ -124,7 +127,6 @@ def candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray,
     at = np.flatnonzero(np.isfinite(cost))
     # a cut a whole window after a boundary pads nothing
     far = at[at < n - window] + window
-    far = far[::8]
     cost[far] = np.minimum(cost[far], FORCED_COST)
     at = np.flatnonzero(np.isfinite(cost))
     return at, cost[at]

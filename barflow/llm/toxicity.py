@@ -11,7 +11,9 @@ folds of a bounded sample (SAMPLE rows, documented bound), so none is fitted
 to what another has memorised; every text is scored whole.  Defined results:
 a null text counts as empty; without labels of both classes every score is
 the share of the class that is there (0 if none); repeated rows are scored
-each.
+each, and label rows of one document that contradict one another count each;
+other columns are ignored.  The lexicon has every entry that meets MIN_TEXTS and
+MIN_RATIO; it is bounded by the sample, which is the one bound of training.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from .common import cut, labelled_sample
 from .text import sliced
 
 SAMPLE = 9_000
-LEXICON_SIZE = 4_000
 THRESHOLD = 0.3
 #: A learned entry stands in that many toxic training texts at least, and so many times as often in them as in others.
 MIN_TEXTS, MIN_RATIO = 4, 12.0
@@ -73,7 +74,9 @@ def features(text: str | None, learned: dict[str, float]) -> list[float]:
         at = [k for k, x in enumerate(w) if any(p in hot for p in _WORD.findall(x))]
         you = np.array([k for k, x in enumerate(w) if x.strip(".,!?;:") in SECOND_PERSON])
         if len(you):
-            near = float(sum(1.0 / (1.0 + np.abs(you - k).min()) for k in at))
+            at, after = np.array(at), np.searchsorted(you, at)
+            far = np.minimum(np.abs(you[np.minimum(after, len(you) - 1)] - at), np.abs(at - you[np.maximum(after - 1, 0)]))
+            near = float((1.0 / (1.0 + far)).sum())
     hidden = sum(1 for x in _DISGUISED.findall(low) if (y := x.translate(LOOK_ALIKE)) in INSULTS or y in learned)
     letters = sum(map(len, counts.elements())) if n < 50 else sum(len(w) * c for w, c in counts.items())
     capital = sum(map(str.isupper, text))
@@ -159,22 +162,19 @@ class Model:
         if self.trees is None:
             return np.full(len(texts), self.prior)
         raw = self.trees.raw(np.array([features(t, self.learned) for t in texts], float).reshape(-1, FEATURES))
-        at, rate = self.steps
-        even = 1 / (1 + np.exp(-raw))
-        # the steps of the calibration are many ties; a small share of the raw probability orders them
-        return np.clip(0.97 * np.interp(raw, at, rate) + 0.03 * even, 0, 1)
+        return np.clip(np.interp(raw, *self.steps), 0, 1)
 
 
 def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches):
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-            seen[int(y == 1)].update({p for w in set(_WORD.findall((text or "").lower())) if len(w) <= 40 for p in beginnings(w)})
+            seen[int(y == 1)].update({p for w in set(_WORD.findall((text or "").lower())) for p in beginnings(w)})
         rows = [(p, seen[1][p], seen[0][p]) for p in seen[0].keys() | seen[1].keys()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["entry", "toxic", "clean"])
 
 
-def learn_lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """Entries whose share of toxic texts is MIN_RATIO times that of the others, with the log of that ratio."""
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
@@ -182,9 +182,7 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> dict[str, floa
         return {}
     ratio = (F.sum("toxic") / pos) / ((F.sum("clean") + 1) / (neg + 1))
     best = sample.mapInArrow(_beginnings, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("n"), ratio.alias("ratio")).filter((F.col("n") >= MIN_TEXTS) & (F.col("ratio") >= MIN_RATIO))
-    # an entry that many toxic texts share and no other has outranks one of few texts
-    rows = best.orderBy(F.desc(F.log("ratio") * F.col("n")), "entry").limit(size).collect()
-    return {r["entry"]: float(np.log(r["ratio"])) for r in rows}
+    return {r["entry"]: float(np.log(r["ratio"])) for r in best.collect()}
 
 
 def fit(documents: DataFrame, labels: DataFrame, training: Column, column: str = "toxic", bound: int = SAMPLE) -> Model:

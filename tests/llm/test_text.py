@@ -2,12 +2,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from barflow.llm import decontaminate, neardup, packing, substring, toxicity
 from barflow.llm.text import shingle_set, shingles, sliced, words
 
+settings.register_profile("busy", deadline=None)  # times depend on what else the machine does
+settings.load_profile("busy")
+
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="ab \n\tÉé. ", max_size=40)), max_size=6)
 
 
