@@ -54,3 +54,11 @@ def unrealized(mark: Column) -> Column:
 def r_multiple(mark: Column) -> Column:
     risk = F.abs(F.col("entry_price") - F.col("initial_stop"))
     return F.coalesce(F.when(F.col("side") == "long", mark - F.col("entry_price")).otherwise(F.col("entry_price") - mark) / F.nullif(risk, F.lit(0.0)), F.lit(0.0))
+
+
+def exit_check(side: Column, high: Column, low: Column, stop: Column, target: Column) -> dict[str, Column]:
+    """How a bar ends a position: exit_reason (`stop` before `take_profit`, else NULL) and exit_price, the level itself."""
+    long = side == "long"
+    stopped = F.when(long, low <= stop).otherwise(high >= stop)
+    reached = F.when(long, high >= target).otherwise(low <= target)
+    return {"exit_reason": F.when(stopped, "stop").when(reached, "take_profit"), "exit_price": F.when(stopped, stop).when(reached, target)}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import with_settings
+from ..config import DEFAULTS, with_settings
 from ..functions.ewm import ema, ewm
 from ..functions.status import STATUS, normalised_status
 from ..functions.timeframe import floor_to, next_close
@@ -414,22 +414,69 @@ def barrier_labels(spark, sf_dir):
     return ml.barrier_labels(s, b).fillna(-1, ["stop_at", "target_at"])
 
 
-# ---- backtests (path-dependent: tests compare them with hand-worked scenarios)
+_NEXT = f"lead({{}}) OVER {W.format('')}"
 
 
+@query(f"""{B15}, nx AS (SELECT symbol, ts, close, {_NEXT.format('high')} AS nh, {_NEXT.format('low')} AS nl FROM b), ps AS (SELECT *, CASE WHEN side = 'long' THEN 1 ELSE -1 END AS d FROM nx, (VALUES ('long'), ('short')) z(side) WHERE nh IS NOT NULL),
+lv AS (SELECT *, close - d * 0.01::DOUBLE AS stop, close + d * 0.02::DOUBLE AS target FROM ps), o AS (SELECT *, CASE WHEN CASE WHEN d > 0 THEN nl <= stop ELSE nh >= stop END THEN 'stop' WHEN CASE WHEN d > 0 THEN nh >= target ELSE nl <= target END THEN 'take_profit' END AS exit_reason FROM lv)
+SELECT symbol, ts, side, exit_reason, round(CASE exit_reason WHEN 'stop' THEN stop WHEN 'take_profit' THEN target END, 7) AS exit_price FROM o""")
+def single_exit(spark, sf_dir):
+    """A position of each side at every close, checked against the next bar."""
+    b = bars(spark, sf_dir).withColumns({"nh": F.lead("high").over(ind.by()), "nl": F.lead("low").over(ind.by())}).filter("nh IS NOT NULL")
+    p = b.withColumn("side", F.explode(F.array(F.lit("long"), F.lit("short")))).withColumn("d", F.when(F.col("side") == "long", 1).otherwise(-1))
+    p = p.withColumns({"stop": F.col("close") - F.col("d") * 0.01, "target": F.col("close") + F.col("d") * 0.02})
+    return rounded(p.withColumns(risk.exit_check(F.col("side"), F.col("nh"), F.col("nl"), F.col("stop"), F.col("target"))).select("symbol", "ts", "side", "exit_reason", "exit_price"))
+
+
+# ---- backtests (path-dependent: runs of one symbol as a recursion of the fold's step, portfolios by tests)
+
 BT = {**CFG, "risk": {**CFG["risk"], "min_rr": 1.0}}
 
 
+def fold_sql(warmup: int, min_htf: int, min_rr: float) -> str:
+    """The fold of one symbol's bars with their selected signals (tables e and g) as a recursion: table fd, one row a bar."""
+    c, k = DEFAULTS["risk"], DEFAULTS["backtest"]
+    return f"""sg AS (SELECT symbol, ts, CASE WHEN side = 'long' THEN 1 ELSE -1 END AS x_sg, strategy AS x_st, entry AS x_en, stop AS x_sp, take_profit AS x_tp, conviction AS x_cv FROM g),
+fr AS (SELECT e.symbol, e.n - 1 AS k, count(*) OVER (PARTITION BY e.symbol) AS nn, e.ts, e.high, e.low, e.close, lead(e.open) OVER (PARTITION BY e.symbol ORDER BY e.ts) AS nopen, coalesce(e.htf_rows, 0) AS hr, coalesce(x_sg, 0) AS x_sg, x_st, x_en, x_sp, x_tp, x_cv FROM e LEFT JOIN sg ON e.symbol = sg.symbol AND e.ts = sg.ts),
+fz AS (SELECT *, nn >= {warmup + 10} AND k >= {warmup} AND k < nn - 1 AS live, nn >= {warmup + 10} AND k = nn - 1 AS final FROM fr),
+fd AS (
+  SELECT symbol, -1::BIGINT AS k, NULL::TIMESTAMP AS ts, false AS live, 0 AS p_sg, NULL::VARCHAR AS p_st, 0::DOUBLE AS p_q, 0::DOUBLE AS p_en, 0::DOUBLE AS p_sp, 0::DOUBLE AS p_tp, 0::DOUBLE AS p_in, 0::DOUBLE AS p_be, NULL::TIMESTAMP AS p_ts,
+    0 AS q_sg, NULL::VARCHAR AS q_st, 0::DOUBLE AS q_sp, 0::DOUBLE AS q_tp, 0::DOUBLE AS q_q, 0::DOUBLE AS won, {k['equity']}::DOUBLE AS eq, NULL::DATE AS dy, 0::DOUBLE AS d0, NULL::DATE AS wk, 0::DOUBLE AS w0, false AS dh, false AS wh, 0::BIGINT AS seq,
+    NULL::VARCHAR AS t_why, 0::DOUBLE AS t_px, 0 AS t_sg, NULL::VARCHAR AS t_st, NULL::TIMESTAMP AS t_ts, 0::DOUBLE AS t_en, 0::DOUBLE AS t_q, 0::DOUBLE AS t_in FROM fz GROUP BY symbol
+  UNION ALL
+  SELECT symbol, k, ts, live, CASE WHEN why IS NULL THEN p_sg ELSE 0 END, p_st, p_q, p_en, sp, p_tp, p_in, be, p_ts,
+    CASE WHEN takes THEN x_sg ELSE 0 END, x_st, x_sp, x_tp, size, won2, eq2, CASE WHEN live THEN CAST(ts AS DATE) ELSE dy END, d1, CASE WHEN live THEN CAST(date_trunc('week', ts) AS DATE) ELSE wk END, w1, dh2, wh2, seq + CASE WHEN why IS NULL THEN 0 ELSE 1 END,
+    why, px, p_sg, p_st, p_ts, p_en, p_q, p_in
+  FROM (SELECT *, live AND NOT dh2 AND NOT wh2 AND hr >= {min_htf} AND x_sg <> 0 AND NOT (p_sg <> 0 AND why IS NULL) AND abs(x_en - x_sp) > 0 AND abs(x_tp - x_en) / nullif(abs(x_en - x_sp), 0) >= {min_rr} AND x_sg * (x_en - x_sp) > 0 AND size > 0 AS takes
+  FROM (SELECT *, coalesce(least({c['risk_pct']} * eq2 * ({c['conviction_min']} + {c['conviction_max'] - c['conviction_min']} * x_cv) / nullif(abs(x_en - x_sp), 0), eq2 / x_en), 0) AS size,
+    live AND ((CASE WHEN new_day THEN false ELSE dh END) OR (d1 > 0 AND (d1 - eq2) / nullif(d1, 0) >= {c['daily_halt']})) OR (NOT live AND dh) AS dh2, live AND ((CASE WHEN new_week THEN false ELSE wh END) OR (w1 > 0 AND (w1 - eq2) / nullif(w1, 0) >= {c['weekly_halt']})) OR (NOT live AND wh) AS wh2
+  FROM (SELECT *, CASE WHEN new_day THEN eq2 ELSE d0 END AS d1, CASE WHEN new_week THEN eq2 ELSE w0 END AS w1
+  FROM (SELECT *, CASE WHEN live THEN {k['equity']} + won2 + CASE WHEN p_sg <> 0 AND why IS NULL THEN p_sg * (close - p_en) * p_q ELSE 0 END ELSE eq END AS eq2, live AND CAST(ts AS DATE) IS DISTINCT FROM dy AS new_day, live AND CAST(date_trunc('week', ts) AS DATE) IS DISTINCT FROM wk AS new_week
+  FROM (SELECT *, won + CASE WHEN why IS NULL THEN 0 ELSE p_sg * (px - p_en) * p_q - px * p_q * {k['fee_bps']} / 1e4 END AS won2
+  FROM (SELECT *, CASE why WHEN 'stop' THEN sp WHEN 'take_profit' THEN p_tp WHEN 'end_of_data' THEN close END AS px
+  FROM (SELECT *, CASE WHEN p_sg = 0 THEN NULL WHEN final THEN 'end_of_data' WHEN NOT live THEN NULL WHEN p_sg * (CASE WHEN p_sg > 0 THEN low ELSE high END - sp) <= 0 THEN 'stop' WHEN p_sg * (CASE WHEN p_sg > 0 THEN high ELSE low END - p_tp) >= 0 THEN 'take_profit' END AS why
+  FROM (SELECT *, CASE WHEN live AND p_sg <> 0 AND abs(p_en - p_in) > 0 AND p_sg * (close - p_en) / nullif(abs(p_en - p_in), 0) >= {c['trail_activate_r']} AND p_sg * (be - p_sg * {c['trail_mult']} * abs(p_en - p_in) - p_sp) > 0 THEN be - p_sg * {c['trail_mult']} * abs(p_en - p_in) ELSE p_sp END AS sp
+  FROM (SELECT *, CASE WHEN NOT live OR p_sg = 0 THEN p_be WHEN p_sg > 0 THEN greatest(p_be, close) ELSE least(p_be, close) END AS be
+  FROM (SELECT symbol, k, ts, high, low, close, hr, live, final, x_sg, x_st, x_en, x_sp, x_tp, x_cv, won, eq, dy, d0, wk, w0, dh, wh, seq, CASE WHEN opens THEN q_sg ELSE p_sg END AS p_sg, CASE WHEN opens THEN q_st ELSE p_st END AS p_st, CASE WHEN opens THEN q_q ELSE p_q END AS p_q, CASE WHEN opens THEN fill ELSE p_en END AS p_en,
+    CASE WHEN opens THEN q_sp ELSE p_sp END AS p_sp, CASE WHEN opens THEN q_tp ELSE p_tp END AS p_tp, CASE WHEN opens THEN q_sp ELSE p_in END AS p_in, CASE WHEN opens THEN fill ELSE p_be END AS p_be, CASE WHEN opens THEN ts ELSE p_ts END AS p_ts
+  FROM (SELECT *, live AND q_sg <> 0 AND q_sg * (fill - q_sp) > 0 AS opens
+  FROM (SELECT fd.* EXCLUDE (k, ts, live), fz.k, fz.ts, fz.live, fz.final, high, low, close, hr, x_sg, x_st, x_en, x_sp, x_tp, x_cv, nopen * (1 + q_sg * {k['slippage_bps']} / 1e4) AS fill FROM fd JOIN fz ON fz.symbol = fd.symbol AND fz.k = fd.k + 1)))))))))))))"""
+
+
+_FOLD = f"{SELECTED}, {fold_sql(DEFAULTS['backtest']['warmup'], DEFAULTS['backtest']['min_htf'], 1.0)}"
+
+
 def _simulated(spark, sf_dir, portfolio=False):
     return bt.simulate(bt.prepared(bars(spark, sf_dir), bars(spark, sf_dir, "1h"), BT), BT, portfolio).persist()
 
 
-@query()
+@query(f"""{_FOLD} SELECT 'run' AS run_id, symbol, CASE WHEN t_sg > 0 THEN 'long' ELSE 'short' END AS side, t_st AS strategy, t_ts AS entry_time, ts AS exit_time, round(t_en, 7) AS entry_price, round(t_px, 7) AS exit_price, round(t_q, 7) AS qty,
+  round(t_sg * (t_px - t_en) * t_q - t_px * t_q * 5 / 1e4, 7) AS pnl, round((t_sg * (t_px - t_en) * t_q - t_px * t_q * 5 / 1e4) / (t_en * t_q), 7) AS pnl_pct, round(t_sg * (t_px - t_en) / nullif(abs(t_en - t_in), 0), 7) AS r_multiple, t_why AS exit_reason, round(t_px * t_q * 5 / 1e4, 7) AS fees, seq - 1 AS seq FROM fd WHERE t_why IS NOT NULL""")
 def backtest_trades(spark, sf_dir):
     return rounded(bt.trades_of(_simulated(spark, sf_dir)))
 
 
-@query()
+@query(f"{_FOLD} SELECT 'run' AS run_id, symbol, ts, round(eq, 7) AS equity FROM fd WHERE live")
 def backtest_equity(spark, sf_dir):
     return rounded(bt.equity_of(_simulated(spark, sf_dir)))
 
