@@ -1,4 +1,11 @@
-"""A corpus pipeline of the operators in barflow.llm: each stage works on what the one before kept."""
+"""A corpus pipeline of the operators in barflow.llm: each stage works on what the one before kept.
+
+All stages but the last return rows of their input with its columns, whatever
+further ones there are.  Defined results: null, empty and blank texts pass all
+filters (they have no words to judge, copy or leak) and are packed as their end
+token; of repeated rows of one doc_id one stays if it has words; ties go to the
+smallest doc_id; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -14,21 +21,22 @@ from barflow.llm.text import sliced
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learned from the labels, does not reject."""
+    """Documents that the toxicity model, learned from the labels, does not reject; without labels of both classes the share of toxic ones decides."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
     held = spark.sparkContext.broadcast(model)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            yield b.filter(pa.array(held.value.score(b.column("text").to_pylist()) < toxicity.THRESHOLD))
+            texts = b.column("text").to_pylist()
+            wordless = [not (t or "").strip(" \t\n\v\f\r") for t in texts]
+            yield b.filter(pa.array((held.value.score(texts) < toxicity.THRESHOLD) | wordless))
 
     return docs.mapInArrow(clean, docs.schema)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the smallest doc_id, one row of it."""
-    groups = neardup.components(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(groups, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    """One document of each component of near duplicates: a row of its smallest doc_id; rows without doc_id count where no other has one."""
+    return neardup.keep(docs)
 
 
 def drop_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +57,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("repeated runs", drop_repeated_runs), ("benchmark leaks", drop_leaks), ("packing", pack)]
 
-#: A trained model and tokenizers are beyond SQL; tests compare the stages with brute force.
+#: A trained model and tokenizers are beyond SQL; tests/llm/test_pipeline.py compares each stage with brute force.
 ORACLE_SQL = None
 
 
