@@ -136,6 +136,41 @@ def cancel(orders: DataFrame, ids: DataFrame) -> DataFrame:
     return hit.withColumns({"cancelled": done, "status": F.when(done, "cancelled").otherwise(F.col("status"))}).drop("_hit")
 
 
+def get_orders(orders: DataFrame, ids: DataFrame) -> DataFrame:
+    """The orders named in ids (order_id) as they stand; unknown ids give no row."""
+    return orders.join(ids.select("order_id").distinct(), "order_id", "left_semi")
+
+
+def quote_mid() -> Column:
+    """The middle of a valid quote, else NULL."""
+    return F.when((F.col("bid") > 0) & (F.col("ask") > 0), (F.col("bid") + F.col("ask")) / 2)
+
+
+def market_orders(signals: DataFrame) -> DataFrame:
+    """Market orders of signals (side long or short, entry, qty, bid, ask): intended at the middle, or at the entry without a valid quote."""
+    return signals.withColumns({"side": F.when(F.col("side") == "long", "buy").otherwise("sell"), "type": F.lit("market"), "intended_price": F.coalesce(quote_mid(), "entry")})
+
+
+def exit_orders(positions: DataFrame) -> DataFrame:
+    """Market orders that close positions (side, strategy, reason, bid, ask): the opposite side, logged as `<strategy>-exit:<reason>`."""
+    return positions.withColumns({
+        "side": F.when(F.col("side") == "long", "sell").otherwise("buy"), "type": F.lit("market"), "intended_price": F.coalesce(quote_mid(), F.lit(0.0)), "strategy": F.concat("strategy", F.lit("-exit:"), "reason"),
+    })
+
+
+def entry_orders(signals: DataFrame, fills: DataFrame, timeout_s: float = 30, fallback: list[str] = ("momentum", "breakout"), bps: float = 2.0) -> DataFrame:
+    """The life of each entry (order_id, side buy or sell, strategy, bid, ask, submit_ts): a limit order at the middle less the offset, polled until the timeout.
+
+    fills: order_id, fill_ts of limit orders.  outcome: `filled` in time, else the limit is cancelled and goes to the `market` for the
+    listed strategies, or is `cancelled`; an invalid quote goes to the market at once.  decided_ts: when that is known.
+    """
+    met = signals.withColumn("limit_price", limit_price(bps)).join(fills.groupBy("order_id").agg(F.min("fill_ts").alias("fill_ts")), "order_id", "left")
+    due = F.col("submit_ts") + F.make_dt_interval(secs=F.lit(float(timeout_s)))
+    filled = F.col("limit_price").isNotNull() & (F.col("fill_ts") <= due)
+    outcome = F.when(F.col("limit_price").isNull(), "market").when(filled, "filled").when(F.col("strategy").isin(*fallback), "market").otherwise("cancelled")
+    return met.withColumns({"outcome": outcome, "decided_ts": F.when(F.col("limit_price").isNull(), F.col("submit_ts")).when(filled, F.col("fill_ts")).otherwise(due), "intended_price": F.when(outcome == "filled", F.col("limit_price")).otherwise(quote_mid())})
+
+
 def latest_marks(bars: DataFrame) -> DataFrame:
     newest = Window.partitionBy("symbol").orderBy(F.desc("ts"))
     return bars.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").drop("_r")

@@ -160,3 +160,20 @@ def mc_paths(draws: DataFrame, returns: DataFrame, start: float = 100_000.0, rui
 def mc_summary(paths: DataFrame, start: float = 100_000.0) -> DataFrame:
     q = lambda c, p, n: F.percentile(c, F.lit(p)).alias(n)
     return paths.agg(F.count("*").alias("runs"), F.avg("final_equity").alias("equity_mean"), q("final_equity", 0.05, "equity_p05"), q("final_equity", 0.5, "equity_p50"), q("final_equity", 0.95, "equity_p95"), F.avg("max_dd").alias("dd_mean"), q("max_dd", 0.5, "dd_p50"), q("max_dd", 0.95, "dd_p95"), F.avg((F.col("final_equity") > start).cast("double")).alias("p_profit"), F.avg(F.col("ruined").cast("double")).alias("p_ruin"))
+
+
+# The wording of the summaries.
+def mc_text() -> Column:
+    """Text of a row of mc_summary."""
+    return F.format_string(
+        "Monte Carlo (%d runs):\n  Final Equity   mean=%,.0f  median=%,.0f  p05=%,.0f  p95=%,.0f\n  Max Drawdown   mean=%.2f%%  p95=%.2f%% (bad case)\n  P(profitable)  %.1f%%\n  P(ruin@50%%)    %.2f%%",
+        F.col("runs"), F.col("equity_mean"), F.col("equity_p50"), F.col("equity_p05"), F.col("equity_p95"), F.col("dd_mean") * 100, F.col("dd_p95") * 100, F.col("p_profit") * 100, F.col("p_ruin") * 100,
+    )
+
+
+def sensitivity_text(keys: list[str]) -> Column:
+    """Text of a row of sensitivity_summary over the parameters named."""
+    own = "[" + ", ".join(repr(k) for k in keys) + "]"
+    none = F.when(F.col("combos") == 0, "Sensitivity: no results.").when(F.col("sharpe_mean").isNull(), F.format_string("Sensitivity (%d configs): no completed runs.", "combos"))
+    text = F.format_string(f"Sensitivity (%d configs over {own}):\n  Sharpe        mean=%.2f  std=%.2f  min=%.2f  max=%.2f\n  Profit Factor mean=%.2f  std=%.2f\n  Stability (mean/std Sharpe): %.2f", "combos", "sharpe_mean", "sharpe_std", "sharpe_min", "sharpe_max", "pf_mean", "pf_std", "stability")
+    return F.coalesce(none, text)

@@ -62,3 +62,10 @@ def exit_check(side: Column, high: Column, low: Column, stop: Column, target: Co
     stopped = F.when(long, low <= stop).otherwise(high >= stop)
     reached = F.when(long, high >= target).otherwise(low <= target)
     return {"exit_reason": F.when(stopped, "stop").when(reached, "take_profit"), "exit_price": F.when(stopped, stop).when(reached, target)}
+
+
+def with_universe(rows: DataFrame, universe: DataFrame) -> DataFrame:
+    """Rows with their symbol's asset_class, broker and adapter; unknown symbols have none.  universe: a row a symbol, of which there are few."""
+    from ..sources.bars import small
+
+    return rows.join(small(universe.select("symbol", "asset_class", "broker", "adapter").dropDuplicates(["symbol"])), "symbol", "left")

@@ -62,6 +62,39 @@ def alerts(trades: DataFrame, enabled: list[str]) -> DataFrame:
     return rows.filter(F.col("type").isin(*enabled))
 
 
+def _alert(kind: str, ts: Column, title: Column, body: Column) -> list[Column]:
+    return [F.lit(kind).alias("type"), ts.alias("ts"), title.alias("title"), body.alias("body")]
+
+
+# Titles and bodies of the alerts.
+def entry_alerts(entries: DataFrame) -> DataFrame:
+    """entries: symbol, side, qty, entry, stop, take_profit, strategy, conviction, ts."""
+    rr = F.abs(F.col("take_profit") - F.col("entry")) / F.greatest(F.abs(F.col("entry") - F.col("stop")), F.lit(1e-9))
+    body = F.format_string("`%s` %s qty=%.4f\nEntry: %.4f  Stop: %.4f  Target: %.4f\nStrategy: %s  Conviction: %.2f\nR:R = %.2f", "symbol", "side", "qty", "entry", "stop", "take_profit", "strategy", "conviction", rr)
+    return entries.select(*_alert("ENTRY", F.col("ts"), F.format_string("%s %s entry", "symbol", "side"), body))
+
+
+def exit_alerts(trades: DataFrame) -> DataFrame:
+    body = F.format_string("`%s` %s\nEntry: %.4f  Exit: %.4f\nP&L: $%.2f  R: %.2f\nStrategy: %s  Reason: %s", F.col("symbol"), F.upper("side"), F.col("entry_price"), F.col("exit_price"), F.col("pnl"), F.col("r_multiple"), F.col("strategy"), F.col("exit_reason"))
+    return trades.select(*_alert("EXIT", F.col("exit_time"), F.format_string("%s exit (%s)", "symbol", "exit_reason"), body))
+
+
+def halt_alerts(halts: DataFrame) -> DataFrame:
+    """halts: ts, reason, equity, drawdown."""
+    return halts.select(*_alert("HALT", F.col("ts"), F.lit("Trading halted"), F.format_string("Reason: %s\nEquity: $%,.2f\nDrawdown: %.2f%%", F.col("reason"), F.col("equity"), F.col("drawdown") * 100)))
+
+
+def message_alerts(messages: DataFrame, kind: str = "INFO") -> DataFrame:
+    """messages: ts, body, and title for INFO; an ERROR has the title `Error`."""
+    return messages.select(*_alert(kind, F.col("ts"), F.lit("Error") if kind == "ERROR" else F.col("title"), F.col("body")))
+
+
+def summary_alerts(days: DataFrame) -> DataFrame:
+    """days: ts, equity, day_pnl, day_pct, trades, win_rate, open_positions."""
+    body = F.format_string("Equity: $%,.2f\nDay P&L: $%+,.2f (%+.2f%%)\nTrades today: %d  Win rate: %.1f%%\nOpen positions: %d", F.col("equity"), F.col("day_pnl"), F.col("day_pct") * 100, F.col("trades"), F.col("win_rate") * 100, F.col("open_positions"))
+    return days.select(*_alert("SUMMARY", F.col("ts"), F.lit("Daily summary"), body))
+
+
 def daily_summary_due(ticks: DataFrame, hour: int) -> DataFrame:
     """The first time of each day at or after the hour."""
     return ticks.filter(F.hour("ts") >= hour).groupBy(F.to_date("ts").alias("day")).agg(F.min("ts").alias("due"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -753,6 +754,53 @@ def order_cancel(spark, sf_dir):
     return ex.cancel(o, o.filter("order_id % 60 = 0")).select("order_id", "type", "status", "cancelled")
 
 
+_QUOTED = "qt AS (SELECT event_id, event_type AS strategy, ts, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, CASE WHEN event_id % 10 = 0 THEN 0 ELSE value - 0.005 END AS bid, value + 0.005 AS ask, value AS entry FROM events)"
+
+
+def quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    return t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("strategy"), "ts", F.when(k % 2 == 0, "buy").otherwise("sell").alias("side"), F.when(k % 10 == 0, 0.0).otherwise(F.col("value") - 0.005).alias("bid"), (F.col("value") + 0.005).alias("ask"), F.col("value").alias("entry"))
+
+
+@query(f"""WITH {_QUOTED}, fl AS (SELECT *, CASE WHEN event_id % 3 > 0 THEN ts + to_seconds(event_id % 60) END AS fill_ts, bid > 0 AND ask > 0 AS ok FROM qt)
+SELECT event_id AS order_id, CASE WHEN NOT ok THEN 'market' WHEN fill_ts <= ts + INTERVAL 30 SECOND THEN 'filled' WHEN strategy IN ('view', 'click') THEN 'market' ELSE 'cancelled' END AS outcome,
+  CASE WHEN NOT ok THEN ts WHEN fill_ts <= ts + INTERVAL 30 SECOND THEN fill_ts ELSE ts + INTERVAL 30 SECOND END AS decided_ts, round(CASE WHEN ok THEN (bid + ask) / 2 * CASE WHEN fill_ts <= ts + INTERVAL 30 SECOND THEN CASE WHEN side = 'buy' THEN 1 - 2 / 1e4 ELSE 1 + 2 / 1e4 END ELSE 1 END END, 7) AS intended_price FROM fl""")
+def order_life(spark, sf_dir):
+    q = quoted(spark, sf_dir).withColumnsRenamed({"event_id": "order_id", "ts": "submit_ts"})
+    fills = q.filter("order_id % 3 > 0").select("order_id", (F.col("submit_ts") + F.make_dt_interval(secs=(F.col("order_id") % 60).cast("double"))).alias("fill_ts"))
+    return rounded(ex.entry_orders(q, fills, 30, ["view", "click"]).select("order_id", "outcome", "decided_ts", "intended_price"))
+
+
+@query(f"WITH {_QUOTED} SELECT event_id, CASE WHEN event_id % 4 < 2 THEN 'buy' ELSE 'sell' END AS side, 'market' AS type, round(CASE WHEN bid > 0 AND ask > 0 THEN (bid + ask) / 2 ELSE entry END, 7) AS intended_price FROM qt")
+def market_orders(spark, sf_dir):
+    q = quoted(spark, sf_dir).withColumn("side", F.when(F.col("event_id") % 4 < 2, "long").otherwise("short"))
+    return rounded(ex.market_orders(q).select("event_id", "side", "type", "intended_price"))
+
+
+@query(f"WITH {_QUOTED} SELECT event_id, CASE WHEN event_id % 4 < 2 THEN 'sell' ELSE 'buy' END AS side, strategy || '-exit:stop' AS strategy, round(CASE WHEN bid > 0 AND ask > 0 THEN (bid + ask) / 2 ELSE 0 END, 7) AS intended_price FROM qt")
+def exit_orders(spark, sf_dir):
+    q = quoted(spark, sf_dir).withColumns({"side": F.when(F.col("event_id") % 4 < 2, "long").otherwise("short"), "reason": F.lit("stop")})
+    return rounded(ex.exit_orders(q).select("event_id", "side", "strategy", "intended_price"))
+
+
+@query(f"WITH {TICKS}, {_ORD} SELECT order_id, type, CASE WHEN type = 'limit' THEN 'open' ELSE 'pending' END AS status FROM o WHERE order_id % 7 = 3")
+def order_get(spark, sf_dir):
+    """Orders of the ids asked for, with ids that no order has among them."""
+    ids = t(spark, sf_dir, "events").select(F.col("event_id").alias("order_id")).filter("order_id % 7 = 3").unionByName(spark.createDataFrame([(-1,), (-2,)], "order_id long"))
+    return ex.get_orders(ex.submit(orders(spark, sf_dir)), ids).select("order_id", "type", "status")
+
+
+@query("SELECT event_id, event_type AS symbol, CASE event_type WHEN 'view' THEN 'crypto' WHEN 'click' THEN 'equity' END AS asset_class, CASE event_type WHEN 'view' THEN 'paper' WHEN 'click' THEN 'paper' END AS broker FROM events")
+def universe_lookup(spark, sf_dir):
+    universe = spark.createDataFrame([("view", "crypto", "paper", "crypto"), ("click", "equity", "paper", "equity"), ("other", "forex", "paper", "forex")], "symbol string, asset_class string, broker string, adapter string")
+    return risk.with_universe(t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("symbol")), universe).select("event_id", "symbol", "asset_class", "broker")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def event_props(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
 # ---- dashboard and alerts
 
 _MARKS = "mk AS (SELECT o_orderdate AS ts, 100000 + sum(d) OVER (ORDER BY o_orderdate) AS equity FROM (SELECT o_orderdate, sum((o_totalprice - 250000) / 1000) AS d FROM orders GROUP BY 1))"
@@ -800,6 +848,31 @@ def alert_text(spark, sf_dir):
     return views.alerts(trades(spark, sf_dir).withColumn("exit_reason", F.lit("take_profit")), ["EXIT"])
 
 
+_MONEY = "CASE WHEN {0} < 0 THEN '-' ELSE '+' END || format('{{:,.2f}}', abs({0}))"
+
+
+@query(f"""WITH {TRADES}, dy AS (SELECT CAST(exit_time AS DATE) AS d, sum(pnl) AS p, count(*) AS n, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS w FROM tr GROUP BY 1)
+SELECT 'ENTRY' AS type, entry_time AS ts, symbol || ' long entry' AS title, printf('`%s` long qty=%.4f\nEntry: %.4f  Stop: %.4f  Target: %.4f\nStrategy: %s  Conviction: %.2f\nR:R = %.2f', symbol, 2.0::DOUBLE, 100.0::DOUBLE, 98.5::DOUBLE, 104.5::DOUBLE, side, 0.75::DOUBLE, 3.0::DOUBLE) AS body FROM tr
+UNION ALL SELECT 'EXIT', exit_time, symbol || ' exit (stop)', printf('`%s` %s\nEntry: %.4f  Exit: %.4f\nP&L: $%.2f  R: %.2f\nStrategy: %s  Reason: stop', symbol, upper(side), 100.0::DOUBLE, 98.5::DOUBLE, pnl, r_multiple, side) FROM tr
+UNION ALL SELECT 'HALT', CAST(d AS TIMESTAMP), 'Trading halted', 'Reason: daily' || chr(10) || 'Equity: $' || format('{{:,.2f}}', 100000 + p) || chr(10) || printf('Drawdown: %.2f%%', 4.25::DOUBLE) FROM dy
+UNION ALL SELECT 'ERROR', CAST(d AS TIMESTAMP), 'Error', 'feed ' || n FROM dy UNION ALL SELECT 'INFO', CAST(d AS TIMESTAMP), 'Started', 'day ' || n FROM dy
+UNION ALL SELECT 'SUMMARY', CAST(d AS TIMESTAMP), 'Daily summary', 'Equity: $' || format('{{:,.2f}}', 100000 + p) || chr(10) || 'Day P&L: $' || {_MONEY.format('p')} || ' (' || printf('%+.2f%%', p / 1000) || ')' || chr(10) || printf('Trades today: %d  Win rate: %.1f%%', n, w * 100) || chr(10) || 'Open positions: 2' FROM dy""")
+def alert_builders(spark, sf_dir):
+    tr = trades(spark, sf_dir).withColumn("strategy", F.col("side"))
+    d = views.day_summary(tr).select(F.col("day").cast("timestamp_ntz").alias("ts"), (100000 + F.col("day_pnl")).alias("equity"), "day_pnl", "day_pct", "trades", "win_rate", F.lit(2).alias("open_positions"), F.lit("daily").alias("reason"), F.lit(0.0425).alias("drawdown"))
+    entry = {"qty": 2.0, "entry": 100.0, "stop": 98.5, "take_profit": 104.5, "conviction": 0.75, "side": "long"}
+    parts = [
+        views.entry_alerts(tr.withColumns({k: F.lit(v) for k, v in entry.items()}).withColumn("ts", F.col("entry_time"))), views.exit_alerts(tr.withColumns({"entry_price": F.lit(100.0), "exit_price": F.lit(98.5), "exit_reason": F.lit("stop")})), views.halt_alerts(d),
+        views.message_alerts(d.withColumn("body", F.concat(F.lit("feed "), "trades")), "ERROR"), views.message_alerts(d.withColumns({"title": F.lit("Started"), "body": F.concat(F.lit("day "), "trades")})), views.summary_alerts(d),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"{ALL_METRICS}, z AS (SELECT count(*) AS n, avg(sharpe) AS a, stddev_pop(sharpe) AS b, min(sharpe) AS c, max(sharpe) AS d, avg(CASE WHEN isfinite(profit_factor) THEN profit_factor END) AS e, stddev_pop(CASE WHEN isfinite(profit_factor) THEN profit_factor END) AS f FROM mm) SELECT printf('Sensitivity (%d configs over [''a'', ''b'']):\n  Sharpe        mean=%.2f  std=%.2f  min=%.2f  max=%.2f\n  Profit Factor mean=%.2f  std=%.2f\n  Stability (mean/std Sharpe): %.2f', n, a, b, c, d, e, f, a / (b + 1e-9)) AS text FROM z")
+def sens_text(spark, sf_dir):
+    return mt.sensitivity_summary(mt.compute_metrics(trades(spark, sf_dir))).select(mt.sensitivity_text(["a", "b"]).alias("text"))
+
+
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, min(ts) AS due FROM events WHERE hour(ts) >= 20 GROUP BY 1")
 def daily_summary_due(spark, sf_dir):
     return views.daily_summary_due(t(spark, sf_dir, "events"), 20).withColumn("day", F.col("day").cast("string"))

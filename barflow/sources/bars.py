@@ -117,6 +117,15 @@ def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     return calendar_events(spark.createDataFrame(rows, "time string, currency string, impact string, name string"))
 
 
+#: Rows up to which a dimension is broadcast.
+SMALL_ROWS = 100_000
+
+
+def small(dimension: DataFrame) -> DataFrame:
+    """The dimension as a broadcast side if its rows, counted, are few; otherwise a join with it shuffles."""
+    return F.broadcast(dimension) if dimension.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else dimension
+
+
 def latest(df: DataFrame, key: str = "symbol", order: str | Column = "ts") -> DataFrame:
     """The newest row of each key: quotes, positions, live signals."""
     rest = [c for c in df.columns if c != key]

@@ -27,8 +27,33 @@ def write_trades(trades: DataFrame, path: str) -> bool:
 
 
 def fill_log(fills: DataFrame) -> DataFrame:
-    """Fills in the log's thirteen columns and number formats."""
-    return fills.select("submit_ts", "fill_ts", "symbol", "side", "strategy", F.format_string("%.6f", "qty").alias("qty"), F.format_string("%.6f", "intended_price").alias("intended_price"), F.format_string("%.6f", "fill_price").alias("fill_price"), F.format_string("%.2f", "slippage_bps").alias("slippage_bps"), "order_type", "status", "broker", F.format_string("%.0f", "latency_ms").alias("latency_ms"))
+    """Fills in the log's thirteen columns and number formats; an unknown price or time is empty."""
+    number = lambda c, form: F.coalesce(F.when(F.col(c).isNotNull(), F.format_string(form, c)), F.lit("")).alias(c)
+    price = lambda c: F.when(F.coalesce(F.col(c), F.lit(0.0)) != 0, F.format_string("%.8f", c)).otherwise("").alias(c)
+    time = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("")).alias(c)
+    return fills.select(time("submit_ts"), time("fill_ts"), "symbol", "side", "strategy", number("qty", "%.8f"), price("intended_price"), price("fill_price"), number("slippage_bps", "%.2f"), "order_type", "status", "broker", number("latency_ms", "%.0f"))
+
+
+def write_equity(equity: DataFrame, path: str) -> None:
+    """The equity curve (ts, equity) as CSV with the columns timestamp and equity."""
+    write_csv(equity.select(F.col("ts").alias("timestamp"), "equity"), path)
+
+
+WALK_COLUMNS = ["window", "test_start", "test_end"]
+SENSITIVITY_COLUMNS = ["n_trades", "sharpe", "sortino", "profit_factor", "max_dd_pct", "win_rate", "expectancy_R", "total_return_pct", "final_equity"]
+
+
+def write_walkforward(results: DataFrame, windows: DataFrame, path: str) -> None:
+    """Metrics of each window (run_id is its number), with the window and its test dates behind them, as CSV."""
+    out = results.join(windows.select(F.col("window").cast("string").alias("run_id"), *WALK_COLUMNS), "run_id")
+    write_csv(out.select(*[c for c in results.columns if c != "run_id"], *WALK_COLUMNS), path)
+
+
+def write_sensitivity(results: DataFrame, keys: list[str], path: str) -> None:
+    """Parameters, metrics and, where a combination failed, its error (the column is left out if none did), as CSV."""
+    out = results.withColumnRenamed("expectancy_r", "expectancy_R")
+    failed = "error" in out.columns and not out.filter("error IS NOT NULL").isEmpty()
+    write_csv(out.select(*keys, *SENSITIVITY_COLUMNS, *(["error"] if failed else [])), path)
 
 
 def append_fills(fills: DataFrame, path: str) -> None:
