@@ -20,7 +20,7 @@ from .fold import Bar, Simulator
 from .signals import STRATEGIES, enrich, regime, select_signal, with_signals
 
 
-def _fold_rows(rows: DataFrame, asset_class: str, *more: Column) -> DataFrame:
+def fold_rows(rows: DataFrame, asset_class: str, *more: Column) -> DataFrame:
     by = Window.partitionBy("symbol").orderBy("ts")
     return rows.select(
         "symbol", F.lit(asset_class).alias("asset_class"), (F.col("n") - 1).alias("k"), F.count("*").over(Window.partitionBy("symbol")).alias("n"), "ts", "open", "high", "low", "close",
@@ -30,7 +30,7 @@ def _fold_rows(rows: DataFrame, asset_class: str, *more: Column) -> DataFrame:
 
 def prepared(ltf: DataFrame, htf: DataFrame, cfg: dict = DEFAULTS, run_id: str = "run", asset_class: str = "crypto") -> DataFrame:
     """Rows of the fold: every bar with its place, next open, count of longer bars and selected signal."""
-    return _fold_rows(with_signals(enrich(ltf, htf, cfg), cfg), asset_class, F.lit(run_id).alias("run_id"), F.col("regime"), F.col("signal"))
+    return fold_rows(with_signals(enrich(ltf, htf, cfg), cfg), asset_class, F.lit(run_id).alias("run_id"), F.col("regime"), F.col("signal"))
 
 
 def simulate(rows: DataFrame, cfg: dict = DEFAULTS, portfolio: bool = False, fill_mode: str = "parity", runs: dict[str, dict] | None = None, catch: bool = False) -> DataFrame:
@@ -134,7 +134,7 @@ def _variants(ltf: DataFrame, htf: DataFrame, settings: dict[str, dict], asset_c
             column = columns.setdefault(json.dumps([name, names, c], sort_keys=True) if name not in c else json.dumps([name, c[name], [names[x] for x in _READS.get(name, names)]]), (f"_s{len(columns)}", make(c, names)))
             made[name] = F.col(column[0])
         chosen.append(F.struct(F.lit(run_id).alias("run_id"), regime(c).alias("regime"), select_signal(made, c, regime(c)).alias("signal")))
-    rows = _fold_rows(rows.withColumns(dict(columns.values())), asset_class, F.explode(F.array(*chosen)).alias("x"))
+    rows = fold_rows(rows.withColumns(dict(columns.values())), asset_class, F.explode(F.array(*chosen)).alias("x"))
     return rows.select("*", "x.*").drop("x")
 
 

@@ -20,7 +20,7 @@ from ..operators import metrics as mt
 from ..operators import ml, risk, signals, views
 from ..operators.asof import asof_backward
 from ..sources import bars as src
-from ..streaming import live
+from ..streaming import live, trading
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -910,3 +910,13 @@ def stream_positions(spark, sf_dir):
     rows = bt.prepared(bars(spark, sf_dir), bars(spark, sf_dir, "1h"), BT).withColumn("signal", F.to_json("signal")).persist()
     halves = [rows.filter("ts < '2024-01-15'"), rows.filter("ts >= '2024-01-15'")]
     return rounded(bt.trades_of(live.run_available(live.live_positions(live.replay(halves), BT))))
+
+
+@query()
+def stream_trading(spark, sf_dir):
+    """From ticks to trades: closed bars of two timeframes, signals and the account's fold, a micro-batch at a time; a test compares it with the batch."""
+    ticks = src.ticks(t(spark, sf_dir, "events")).select("event_id", "symbol", "ts", "value", "px").withColumn("ts", F.col("ts").cast("timestamp")).persist()
+    folder = live.shared_folder(spark, "trading")
+    stream = live.replay([ticks.filter("ts < '2024-01-15'"), ticks.filter("ts >= '2024-01-15'")])
+    trading.trade(trading.closed_bars(stream), BT, folder).trigger(availableNow=True).start().awaitTermination()
+    return rounded(bt.trades_of(trading.events_of(spark, folder)))

@@ -89,14 +89,19 @@ def live_positions(bars: DataFrame, cfg: dict[str, Any]) -> DataFrame:
     return bars.groupBy("run_id").applyInPandasWithState(step, EVENT, "sim binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/barflow-streams"
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, where all executors can read and write; without that setting, in the warehouse (a local session: in a temporary folder)."""
+    import tempfile
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="streams-") if spark.sparkContext.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/streams"
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
 def replay(rows: list[DataFrame], name: str = "replay") -> DataFrame:
     """Batch frames as a stream of one micro-batch each, through files in the shared folder."""
-    spark, path = rows[0].sparkSession, _folder(rows[0].sparkSession, name)
+    spark, path = rows[0].sparkSession, shared_folder(rows[0].sparkSession, name)
     for part in rows:
         part.coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
@@ -105,7 +110,7 @@ def replay(rows: list[DataFrame], name: str = "replay") -> DataFrame:
 def run_available(stream: DataFrame, name: str = "stream") -> DataFrame:
     """All available input through the stream into parquet beside the checkpoints, and what was written."""
     spark = stream.sparkSession
-    base = _folder(spark, name)
+    base = shared_folder(spark, name)
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/data").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
