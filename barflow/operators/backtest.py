@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import copy
 import json
-from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, expand_grid, faults, set_path
 from ..schema import EVENT
-from .fold import Bar, Simulator
+from .fold import Bar, Simulator, event_frame
 from .signals import STRATEGIES, enrich, regime, select_signal, with_signals
 
 
@@ -39,7 +38,6 @@ def simulate(rows: DataFrame, cfg: dict = DEFAULTS, portfolio: bool = False, fil
     runs: settings of the runs that have their own, by run_id.  catch: a run
     that fails gives one row of kind `error` with the reason, and no others.
     """
-    columns = [x.split()[0] for x in EVENT.split(", ")]
 
     def events(pdf) -> list[dict]:  # noqa: ANN001
         pdf = pdf.sort_values(["ts", "symbol"], kind="stable")
@@ -56,17 +54,13 @@ def simulate(rows: DataFrame, cfg: dict = DEFAULTS, portfolio: bool = False, fil
         return sim.events
 
     def one(pdf):  # noqa: ANN001, ANN202
-        import pandas as pd
-
         try:
             found = events(pdf)
         except Exception as e:
             if not catch:
                 raise
             found = [{"kind": "error", "reason": str(e)}]
-        out = pd.DataFrame(found, columns=[c for c in columns if c != "run_id"])
-        out.insert(1, "run_id", pdf["run_id"].iloc[0])
-        return out[columns].astype({"ts": "datetime64[ns]", "entry_time": "datetime64[ns]"})
+        return event_frame(found, pdf["run_id"].iloc[0], EVENT)
 
     keys = ["run_id"] if portfolio else ["run_id", "symbol"]
     return rows.groupBy(*keys).applyInPandas(one, EVENT)
@@ -134,8 +128,9 @@ def _variants(ltf: DataFrame, htf: DataFrame, settings: dict[str, dict], asset_c
             column = columns.setdefault(json.dumps([name, names, c], sort_keys=True) if name not in c else json.dumps([name, c[name], [names[x] for x in _READS.get(name, names)]]), (f"_s{len(columns)}", make(c, names)))
             made[name] = F.col(column[0])
         chosen.append(F.struct(F.lit(run_id).alias("run_id"), regime(c).alias("regime"), select_signal(made, c, regime(c)).alias("signal")))
-    rows = fold_rows(rows.withColumns(dict(columns.values())), asset_class, F.explode(F.array(*chosen)).alias("x"))
-    return rows.select("*", "x.*").drop("x")
+    # exploded afterwards, so that windows see each bar once
+    rows = fold_rows(rows.withColumns(dict(columns.values())), asset_class, F.array(*chosen).alias("x"))
+    return rows.withColumn("x", F.explode("x")).select("*", "x.*").drop("x")
 
 
 #: Columns with a period in their name that a strategy reads.

@@ -159,3 +159,12 @@ class Simulator:
             ("cluster", own is not None and any(s != b.symbol and self.cluster.get(s) == own for s in self.positions)), ("class_cap", sum(p.asset_class == b.asset_class for p in self.positions.values()) >= cap), ("qty", qty <= 0),
         )
         return next((name for name, failed in checks if failed), None), qty
+
+
+def event_frame(events: list[dict], run_id: str, schema: str):  # noqa: ANN201
+    """Events of a run as a frame of the schema; what an event lacks is missing, whatever the other events have."""
+    import pandas as pd
+
+    kinds = {"double": "float64", "timestamp_ntz": "datetime64[ns]"}
+    fields = [f.split() for f in schema.split(", ")]
+    return pd.DataFrame({name: pd.Series([run_id if name == "run_id" else e.get(name) for e in events], dtype=kinds.get(kind, "object")) for name, kind in fields})

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.timeframe import seconds
-from ..operators.fold import Bar, Simulator
+from ..operators.fold import Bar, Simulator, event_frame
 from ..schema import EVENT
 
 AVERAGES = "symbol string, ts timestamp, close double, ema_fast double, ema_slow double, cross string"
@@ -79,12 +79,10 @@ def live_positions(bars: DataFrame, cfg: dict[str, Any]) -> DataFrame:
         for r in rows.itertuples(index=False):
             x = json.loads(r.signal) if isinstance(r.signal, str) else None
             sim.step(Bar(r.symbol, r.asset_class, int(r.k), int(r.n), r.ts.to_pydatetime(), r.open, r.high, r.low, r.close, r.next_open, int(r.htf_rows), tuple(x[c] for c in ("side", "strategy", "entry", "stop", "take_profit", "conviction")) if x else None))
-        columns = [c.split()[0] for c in EVENT.split(", ")]
-        out = pd.DataFrame(sim.events, columns=[c for c in columns if c != "run_id"])
-        out.insert(1, "run_id", key[0])
+        out = event_frame(sim.events, key[0], EVENT)
         sim.events = []
         state.update((pickle.dumps(sim),))
-        yield out[columns].astype({"ts": "datetime64[ns]", "entry_time": "datetime64[ns]"})
+        yield out
 
     return bars.groupBy("run_id").applyInPandasWithState(step, EVENT, "sim binary", "append", GroupStateTimeout.NoTimeout)
 

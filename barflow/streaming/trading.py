@@ -26,7 +26,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.timeframe import seconds
 from ..operators.backtest import fold_rows
-from ..operators.fold import Bar, Simulator
+from ..operators.fold import Bar, Simulator, event_frame
 from ..operators.signals import enrich, with_signals
 from ..schema import BAR, EVENT
 from .live import stream_bars
@@ -46,20 +46,15 @@ def _read(spark: SparkSession, path: str, schema: str, there: bool) -> DataFrame
 
 def fold_account(cfg: dict[str, Any], account: str) -> Callable:
     """A cogroup function: rows to fold and the account's last state give its events and its next state."""
-    columns = [c.split()[0] for c in OUT.split(", ")]
 
     def fold(rows, state):  # noqa: ANN001, ANN202
-        import pandas as pd
-
         sim = pickle.loads(state["sim"].iloc[0]) if len(state) else Simulator(cfg)
         for r in rows.sort_values(["ts", "symbol"]).itertuples(index=False):
             x = json.loads(r.signal) if isinstance(r.signal, str) else None
             x = tuple(x[c] for c in ("side", "strategy", "entry", "stop", "take_profit", "conviction")) if x else None
             sim.step(Bar(r.symbol, r.asset_class, int(r.place), 1 << 60, r.ts.to_pydatetime(), r.open, r.high, r.low, r.close, r.next_open, int(r.htf_rows), x))
         events, sim.events = sim.events, []
-        out = pd.DataFrame([*events, {"kind": "state", "sim": pickle.dumps(sim)}], columns=[c for c in columns if c != "run_id"])
-        out.insert(1, "run_id", account)
-        return out[columns].astype({"ts": "datetime64[ns]", "entry_time": "datetime64[ns]"})
+        return event_frame([*events, {"kind": "state", "sim": pickle.dumps(sim)}], account, OUT)
 
     return fold
 
