@@ -219,6 +219,8 @@ def test_url_rules(spark):
     assert got[1] == ("a.org", "", None, "allow") and got[2] == ("a.org", "/", "org/", "allow")
     assert got[3] == got[4] == got[5] == ("", "", None, "allow")
     assert got[6][2:] == ("com/de/", "block") and got[7][2:] == ("example.org/en/1", "block") and got[8][2:] == ("org/", "allow") and got[9][2] is None and got[10][2:] == ("com/fr/", "allow")
+    clash = pages.withColumns({c: F.lit("c") for c in ("_rule", "_v", "_u", "_verdict", "short", "full", "h", "n")})
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(clash, rules).collect()} == got
     assert urlfilter.judge(pages.filter("false"), rules).count() == 0
     assert urlfilter.judge(pages, rules.filter("false")).filter("rule IS NULL").count() == 12
 
