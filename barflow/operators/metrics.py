@@ -157,6 +157,47 @@ def mc_paths(draws: DataFrame, returns: DataFrame, start: float = 100_000.0, rui
     return path.groupBy("run").agg(F.max_by("equity", "k").alias("final_equity"), F.greatest(F.max((F.col("peak") - F.col("equity")) / F.col("peak")), F.lit(0.0)).alias("max_dd"), (F.least(F.min("equity"), F.lit(start)) <= ruin * start).alias("ruined"))
 
 
+#: Trades up to which their returns are sent to all tasks (32 MB), so that a run is drawn and folded where it is numbered.
+MC_SENT = 4_000_000
+
+
+def monte_carlo(trades: DataFrame, n_runs: int = 1000, seed: int = 42, start: float = 100_000.0, ruin: float = 0.5, sent: int = MC_SENT) -> DataFrame:
+    """mc_paths of n_runs runs of as many draws as there are trades (seq, pnl).
+
+    Up to `sent` trades, counted first, a task folds whole runs over an array
+    of all returns; beyond, draws meet returns in a join and windows fold them.
+    Both draw the same.
+    """
+    import numpy as np
+
+    spark, n = trades.sparkSession, trades.count()
+    returns = mc_returns(trades, start)
+    if n > sent:
+        return mc_paths(mc_draws(spark, n_runs, n, n, seed), returns, start, ruin)
+    rows = returns.collect()
+    array = np.zeros(n)
+    array[[r["idx"] for r in rows]] = [r["r"] for r in rows]
+    held = spark.sparkContext.broadcast(array)
+
+    def fold(batches):  # noqa: ANN001, ANN202
+        from hashlib import md5
+
+        import pyarrow as pa
+
+        r = held.value * start
+        for b in batches:
+            out = []
+            for run in b.column("run").to_pylist() if n else []:
+                head = f"{seed}:{run}:"
+                at = np.fromiter((int.from_bytes(md5(f"{head}{k}".encode()).digest()[:4], "big") for k in range(n)), np.int64, n) % n
+                equity = start + np.cumsum(r[at])
+                peak = np.maximum(np.maximum.accumulate(equity), start)
+                out.append((run, float(equity[-1]), max(float(((peak - equity) / peak).max()), 0.0), min(float(equity.min()), start) <= ruin * start))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.float64(), pa.float64(), pa.bool_()), strict=True)], names=["run", "final_equity", "max_dd", "ruined"])
+
+    return spark.range(n_runs).repartition(min(n_runs, 4 * spark.sparkContext.defaultParallelism)).withColumnRenamed("id", "run").mapInArrow(fold, "run long, final_equity double, max_dd double, ruined boolean")
+
+
 def mc_summary(paths: DataFrame, start: float = 100_000.0) -> DataFrame:
     q = lambda c, p, n: F.percentile(c, F.lit(p)).alias(n)
     return paths.agg(F.count("*").alias("runs"), F.avg("final_equity").alias("equity_mean"), q("final_equity", 0.05, "equity_p05"), q("final_equity", 0.5, "equity_p50"), q("final_equity", 0.95, "equity_p95"), F.avg("max_dd").alias("dd_mean"), q("max_dd", 0.5, "dd_p50"), q("max_dd", 0.95, "dd_p95"), F.avg((F.col("final_equity") > start).cast("double")).alias("p_profit"), F.avg(F.col("ruined").cast("double")).alias("p_ruin"))

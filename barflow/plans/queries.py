@@ -432,10 +432,11 @@ def single_exit(spark, sf_dir):
 # ---- backtests (path-dependent: runs of one symbol as a recursion of the fold's step, portfolios by tests)
 
 BT = {**CFG, "risk": {**CFG["risk"], "min_rr": 1.0}}
+WALK = {**BT, "backtest": {**CFG["backtest"], "warmup": 60, "min_htf": 55}}
 
 
-def fold_sql(warmup: int, min_htf: int, min_rr: float) -> str:
-    """The fold of one symbol's bars with their selected signals (tables e and g) as a recursion: table fd, one row a bar."""
+def fold_sql(warmup: int, min_htf: int, min_rr: float | str) -> str:
+    """The fold of one symbol's bars with their selected signals (tables e and g) as a recursion: table fd, one row a bar.  min_rr may depend on the symbol."""
     c, k = DEFAULTS["risk"], DEFAULTS["backtest"]
     return f"""sg AS (SELECT symbol, ts, CASE WHEN side = 'long' THEN 1 ELSE -1 END AS x_sg, strategy AS x_st, entry AS x_en, stop AS x_sp, take_profit AS x_tp, conviction AS x_cv FROM g),
 fr AS (SELECT e.symbol, e.n - 1 AS k, count(*) OVER (PARTITION BY e.symbol) AS nn, e.ts, e.high, e.low, e.close, lead(e.open) OVER (PARTITION BY e.symbol ORDER BY e.ts) AS nopen, coalesce(e.htf_rows, 0) AS hr, coalesce(x_sg, 0) AS x_sg, x_st, x_en, x_sp, x_tp, x_cv FROM e LEFT JOIN sg ON e.symbol = sg.symbol AND e.ts = sg.ts),
@@ -482,6 +483,40 @@ def backtest_equity(spark, sf_dir):
     return rounded(bt.equity_of(_simulated(spark, sf_dir)))
 
 
+def trades_sql(run: str, symbol: str) -> str:
+    pnl = "(t_sg * (t_px - t_en) * t_q - t_px * t_q * 5 / 1e4)"
+    return f"""SELECT {run} AS run_id, {symbol} AS symbol, CASE WHEN t_sg > 0 THEN 'long' ELSE 'short' END AS side, t_st AS strategy, t_ts AS entry_time, ts AS exit_time, round(t_en, 7) AS entry_price, round(t_px, 7) AS exit_price, round(t_q, 7) AS qty,
+  round({pnl}, 7) AS pnl, round({pnl} / (t_en * t_q), 7) AS pnl_pct, round(t_sg * (t_px - t_en) / nullif(abs(t_en - t_in), 0), 7) AS r_multiple, t_why AS exit_reason, round(t_px * t_q * 5 / 1e4, 7) AS fees, seq - 1 AS seq FROM fd WHERE t_why IS NOT NULL"""
+
+
+_OF_RUN = ("split_part(symbol, '|', 1)", "split_part(symbol, '|', 2)")
+_WINDOWED = "{0} AS (SELECT w || '|' || symbol AS symbol, ts, open, high, low, close, volume FROM {0}0 JOIN ww ON ts BETWEEN a AND z)"
+#: Bars of both timeframes cut into as many windows of at least eight days as fit, each a series of its own.
+_WINDOWS = f"""{bars_sql('b0', '15 minutes')}, {bars_sql('hb0', '1 hour')}, wr AS (SELECT (SELECT min(ts) FROM hb0) AS s, (SELECT max(ts) FROM b0) AS t), wn AS (SELECT *, greatest(1, CAST(epoch(t) - epoch(s) AS BIGINT) // 691200) AS n, CAST(epoch(t) - epoch(s) AS BIGINT) // 3600 AS h FROM wr),
+ww AS (SELECT k AS w, s + to_hours(CAST(h * k // n AS INTEGER)) AS a, CASE WHEN k + 1 = n THEN t ELSE s + to_hours(CAST(h * (k + 1) // n AS INTEGER)) END AS z FROM (SELECT *, unnest(range(n)) AS k FROM wn)), {_WINDOWED.format('b')}"""
+_WALK = SELECTED.replace(bars_sql("b", "15 minutes"), _WINDOWS).replace(bars_sql("hb", "1 hour"), _WINDOWED.format("hb"))
+
+
+@query(f"{_WALK}, {fold_sql(60, 55, 1.0)} {trades_sql(*_OF_RUN)}")
+def walkforward_trades(spark, sf_dir):
+    """Trades of every test window, each symbol an account of its own."""
+    b, h = bars(spark, sf_dir).persist(), bars(spark, sf_dir, "1h").persist()
+    windows = mt.cover_windows(h.agg(F.min("ts")).first()[0], b.agg(F.max("ts")).first()[0])
+    return rounded(bt.trades_of(bt.simulate(bt.run_windows(b, h, windows, WALK), WALK)))
+
+
+#: Two runs over the same signals, which differ in the least reward for a risk.
+_TWO = f"{SELECTED}, rn(run) AS (VALUES ('0'), ('1'))"
+_PAIR = fold_sql(DEFAULTS["backtest"]["warmup"], DEFAULTS["backtest"]["min_htf"], "CASE WHEN symbol LIKE '0|%' THEN 1.0 ELSE 2.8 END").replace("FROM g)", "FROM (SELECT g.* REPLACE (run || '|' || symbol AS symbol) FROM g, rn))", 1).replace("FROM e LEFT JOIN sg", "FROM (SELECT e.* REPLACE (run || '|' || symbol AS symbol) FROM e, rn) e LEFT JOIN sg", 1)
+
+
+@query(f"{_TWO}, {_PAIR} {trades_sql(*_OF_RUN)}")
+def sens_trades(spark, sf_dir):
+    """Trades of a grid's combinations; the one that is at fault has none."""
+    rows, settings, _ = bt.run_grid(bars(spark, sf_dir), bars(spark, sf_dir, "1h"), {"momentum.ema_fast": [9, 0], "risk.min_rr": [1.0, 2.8]}, BT)
+    return rounded(bt.trades_of(bt.simulate(rows, BT, runs=settings, catch=True)))
+
+
 @query()
 def backtest_portfolio(spark, sf_dir):
     return rounded(_simulated(spark, sf_dir, True).filter("kind != 'equity'"))
@@ -496,8 +531,7 @@ def backtest_metrics(spark, sf_dir):
 def walkforward_metrics(spark, sf_dir):
     b, h = bars(spark, sf_dir).persist(), bars(spark, sf_dir, "1h").persist()
     windows = mt.cover_windows(h.agg(F.min("ts")).first()[0], b.agg(F.max("ts")).first()[0])
-    cfg = {**BT, "backtest": {**CFG["backtest"], "warmup": 60, "min_htf": 55}}
-    events = bt.simulate(bt.run_windows(b, h, windows, cfg), cfg, True).persist()
+    events = bt.simulate(bt.run_windows(b, h, windows, WALK), WALK, True).persist()
     return rounded(mt.with_empty_runs(mt.compute_metrics(bt.trades_of(events)), spark.createDataFrame([(str(w["window"]),) for w in windows], "run_id string")))
 
 
@@ -595,21 +629,14 @@ _DRAW = "dw AS (SELECT run, k, CAST('0x' || substr(md5('42:' || run || ':' || k)
 _PATH = f"WITH {TRADES}, {_DRAW}, pa AS (SELECT run, k, 100000 + sum(r * 100000) OVER q AS equity FROM dw JOIN ix USING (idx) WINDOW q AS (PARTITION BY run ORDER BY k ROWS UNBOUNDED PRECEDING)), pk AS (SELECT *, greatest(max(equity) OVER (PARTITION BY run ORDER BY k ROWS UNBOUNDED PRECEDING), 100000) AS peak FROM pa), mc AS (SELECT run, arg_max(equity, k) AS final_equity, greatest(max((peak - equity) / peak), 0) AS max_dd, least(min(equity), 100000) <= 50000 AS ruined FROM pk GROUP BY run)"
 
 
-def _paths(spark, sf_dir, runs=1000):
-    """Runs of as many draws as there are trades, from all of them."""
-    r = trades(spark, sf_dir)
-    n = r.count()
-    return mt.mc_paths(mt.mc_draws(spark, runs, n, n), mt.mc_returns(r))
-
-
 @query(f"{_PATH} SELECT run, {r6('final_equity', 'max_dd')}, ruined FROM mc")
 def mc_paths(spark, sf_dir):
-    return rounded(_paths(spark, sf_dir))
+    return rounded(mt.monte_carlo(trades(spark, sf_dir)))
 
 
 @query(f"{_PATH} SELECT count(*) AS runs, round(avg(final_equity), 7) AS equity_mean, round(quantile_cont(final_equity, 0.05), 7) AS equity_p05, round(quantile_cont(final_equity, 0.5), 7) AS equity_p50, round(quantile_cont(final_equity, 0.95), 7) AS equity_p95, round(avg(max_dd), 7) AS dd_mean, round(quantile_cont(max_dd, 0.5), 7) AS dd_p50, round(quantile_cont(max_dd, 0.95), 7) AS dd_p95, round(avg(CASE WHEN final_equity > 100000 THEN 1.0 ELSE 0.0 END), 7) AS p_profit, round(avg(CASE WHEN ruined THEN 1.0 ELSE 0.0 END), 7) AS p_ruin FROM mc")
 def mc_summary(spark, sf_dir):
-    return rounded(mt.mc_summary(_paths(spark, sf_dir)))
+    return rounded(mt.mc_summary(mt.monte_carlo(trades(spark, sf_dir))))
 
 
 @query("SELECT * FROM (VALUES (7), (9), (12)) a(ema_fast), (VALUES (18), (21), (26)) b(ema_slow), (VALUES (10), (14), (21)) c(rsi_period)")

@@ -168,3 +168,11 @@ def test_monte_carlo_numbers_over_blocks(spark):
     got = mt.mc_returns(spark.createDataFrame(rows[::-1], "seq long, pnl double"), 1.0, block=64).orderBy("idx").collect()
     assert [(r.idx, r.r) for r in got] == [(k, float(k)) for k in range(500)]
     assert mt.mc_draws(spark, 1000, 0, 0).count() == 0
+
+
+def test_monte_carlo_by_join_equals_monte_carlo_by_task(spark):
+    tr = spark.createDataFrame([(k * 5, float((k * 7919) % 2001 - 1000)) for k in range(300)], "seq long, pnl double")
+    two = [{r.run: (r.final_equity, r.max_dd, r.ruined) for r in mt.monte_carlo(tr, 40, start=3000.0, sent=sent).collect()} for sent in (10**6, 0)]
+    assert two[0].keys() == two[1].keys() and all(a[:2] == pytest.approx(two[1][k][:2], abs=1e-6) and a[2] == two[1][k][2] for k, a in two[0].items())
+    assert len({a[2] for a in two[0].values()}) == 2
+    assert mt.monte_carlo(tr.filter("false"), 5).count() == 0
