@@ -8,7 +8,7 @@ enough, and every candidate is verified by exact containment: the share of
 the item's distinct shingles that the whole document has.
 
 The benchmark is the stated query set: it is taken in hash blocks of about
-ITEM_BLOCK items, whose index each task holds, and every block sees every
+ITEM_BYTES bytes of items, whose index each task holds, and every block sees every
 document.  Documents are read where they are; nothing of them is shuffled.
 
 Defined results: A-Z are lower-cased; an item of fewer than five words is one
@@ -33,7 +33,8 @@ N = 5
 THRESHOLD = 0.75
 #: Minima of an item; all must miss for it to be lost (under 1 in 10,000 for a whole item in any window it fits).
 MINIMA = 32
-ITEM_BLOCK = 20_000
+#: Bytes of items that one pass over the documents looks for; bounds what the driver and a broadcast hold.
+ITEM_BYTES = 16 << 20
 RESULT = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
 
 _RNG = np.random.default_rng(5)
@@ -146,7 +147,7 @@ class Index:
 
 def _blocks(benchmark: DataFrame) -> Iterator[Index]:
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
-    n = max(1, math.ceil(rows.count() / ITEM_BLOCK))
+    n = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) / ITEM_BYTES))
     for k in range(n):
         yield Index(sorted(map(tuple, rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()), key=str))
 

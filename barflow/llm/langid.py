@@ -26,6 +26,8 @@ from .text import buffer, sliced
 
 DIMS = 8192
 PER_LANGUAGE = 600
+#: Training texts of all languages together, at most about so many (16 KB each on the driver); many languages share them.
+TOGETHER = 24_000
 CENTROIDS = 4
 #: Cosine distance from the nearest centroid beyond which a text counts as none of the languages.
 REJECT_DISTANCE = 0.85
@@ -114,9 +116,10 @@ class Model:
 def fit(documents: DataFrame, training: Column, label: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Train on a bounded hash sample of the rows that `training` admits; only their histograms reach the driver."""
     known = documents.filter(training & F.col(label).isNotNull() & F.col("text").isNotNull())
-    share = F.lit(0.0)
-    for r in known.groupBy(label).count().collect():
-        share = F.when(F.col(label) == r[label], F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
+    counts, share = known.groupBy(label).count().collect(), F.lit(0.0)  # a row a language
+    each = min(per_language, TOGETHER // max(len(counts), 1))
+    for r in counts:
+        share = F.when(F.col(label) == r[label], F.lit(min(1.0, each / r["count"]))).otherwise(share)
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).select(F.col(label).alias("lang"), "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,8 +44,11 @@ SECOND_PERSON = frozenset("you your yours yourself u ur tu toi te ton ta tes vou
 LOOK_ALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": None, ".": None, "-": None, "_": None})
 
 _WORD = re.compile(r"[^\W\d_]+")
-_DISGUISED = re.compile(r"(?:[^\W\d_]+[0134579@$!*._-]+)+[^\W\d_]+")
+_DISGUISED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]++[0134579@$!*._-]+)+[^\W\d_]+")
+_CAPITAL = re.compile("[A-Z\u00c0-\u00d6\u00d8-\u00de\u0386-\u03ab\u0400-\u042f]")
 FEATURES = 14
+#: Words whose weight a task remembers at most.
+KNOWN = 1 << 18
 
 
 def beginnings(word: str) -> list[str]:
@@ -53,17 +56,20 @@ def beginnings(word: str) -> list[str]:
     return [word, *(word[:k] + "~" for k in range(4, min(len(word), 8)))]
 
 
-def features(text: str | None, learned: dict[str, float]) -> list[float]:
-    text = text or ""
+def features(text: str | None, learned: dict[str, float], known: dict[str, float] | None = None) -> list[float]:
+    """The numbers of one text; known: weights of words met before, which fills up to KNOWN of them."""
+    text, known = text or "", {} if known is None else known
     low = text.lower()
     counts = Counter(_WORD.findall(low))
     n = sum(counts.values())
     insults = sum(counts[w] for w in INSULTS & counts.keys())
     hits, weight, top, kinds, hot = 0, 0.0, 0.0, 0, set()
     for w, c in counts.items():
-        v = learned.get(w, 0.0)
-        for k in range(4, min(len(w), 8)):
-            v = max(v, learned.get(w[:k] + "~", 0.0))
+        v = known.get(w)
+        if v is None:
+            v = max(learned.get(x, 0.0) for x in beginnings(w))
+            if len(known) < KNOWN:
+                known[w] = v
         if v:
             hits, weight, top, kinds = hits + c, weight + c * v, max(top, v), kinds + 1
         if v or w in INSULTS:
@@ -78,8 +84,8 @@ def features(text: str | None, learned: dict[str, float]) -> list[float]:
             far = np.minimum(np.abs(you[np.minimum(after, len(you) - 1)] - at), np.abs(at - you[np.maximum(after - 1, 0)]))
             near = float((1.0 / (1.0 + far)).sum())
     hidden = sum(1 for x in _DISGUISED.findall(low) if (y := x.translate(LOOK_ALIKE)) in INSULTS or y in learned)
-    letters = sum(map(len, counts.elements())) if n < 50 else sum(len(w) * c for w, c in counts.items())
-    capital = sum(map(str.isupper, text))
+    letters = sum(len(w) * c for w, c in counts.items())
+    capital = len(_CAPITAL.findall(text))
     marks = sum(map(text.count, "!?"))
     odd = sum(map(text.count, "*$%&#@"))
     size = max(len(text), 1)
@@ -157,11 +163,15 @@ def isotonic(s: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[np.ndar
 class Model:
     def __init__(self, learned: dict[str, float], trees: Trees | None, steps: tuple[np.ndarray, np.ndarray] | None, prior: float):
         self.learned, self.trees, self.steps, self.prior = learned, trees, steps, prior
+        self.known: dict[str, float] = {}
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "known": {}}
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.trees is None:
             return np.full(len(texts), self.prior)
-        raw = self.trees.raw(np.array([features(t, self.learned) for t in texts], float).reshape(-1, FEATURES))
+        raw = self.trees.raw(np.array([features(t, self.learned, self.known) for t in texts], float).reshape(-1, FEATURES))
         return np.clip(np.interp(raw, *self.steps), 0, 1)
 
 
@@ -193,8 +203,9 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column, column: str =
     prior = real.get(1, 0) / max(sum(real.values()), 1)
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, float] = {}
         for b in sliced(batches):
-            x = [np.array(features(t, learned)).tobytes() for t in b.column("text").to_pylist()]
+            x = [np.array(features(t, learned, known)).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column("y"), b.column("part").cast(pa.int32())], names=["x", "y", "part"])
 
     rows = sorted((bytes(r["x"]), r["y"], r["part"]) for r in sample.filter(part >= 5).select("text", "y", part.cast("int").alias("part")).mapInArrow(numbers, "x binary, y int, part int").collect())

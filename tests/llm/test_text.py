@@ -118,6 +118,27 @@ def test_items_are_found_in_any_place():
     assert got == want and ix.matches(pa.array([None, "", "a"]), 0.75) == []
 
 
+def test_parts_of_items_are_found():
+    """Three quarters of an item in one run, and the whole item in two or four places far apart."""
+    rng = np.random.default_rng(6)
+    say = lambda n: [f"w{v}" for v in rng.integers(0, 10**6, n)]
+    items = [say(int(rng.integers(30, 80))) for _ in range(150)]
+    ix = decontaminate.Index([(k, " ".join(t)) for k, t in enumerate(items)])
+    for pieces in (1, 2, 4):
+        docs = []
+        for t in items:
+            if pieces == 1:
+                need = int(np.ceil(0.76 * (len(t) - 4))) + 4
+                docs.append([*say(200), *t[:need], *say(200)])
+            else:
+                # every cut loses four shingles, so only items that keep three quarters of theirs count
+                edges = [len(t) * k // pieces for k in range(pieces + 1)]
+                docs.append([x for a, b in zip(edges, edges[1:]) for x in (*t[a:b], *say(600))])
+        want = {d for d, (t, w) in enumerate(zip(items, docs)) if len({tuple(t[k : k + 5]) for k in range(len(t) - 4)} & {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) >= 0.75 * (len(t) - 4)}
+        got = {d for d, j, *_ in ix.matches(pa.array([" ".join(w) for w in docs]), 0.75) if ix.ids[j] == d}
+        assert got <= want and len(got) >= 0.99 * len(want) and len(want) >= (150 if pieces == 1 else 60 if pieces == 2 else 20), (pieces, len(got), len(want))
+
+
 def test_isotonic_and_trees():
     at, rate = toxicity.isotonic(np.array([3.0, 1, 2, 2]), np.array([1.0, 0, 1, 0]), np.ones(4))
     assert at.tolist() == [1, 2, 3] and rate.tolist() == [0, 0.5, 1]
