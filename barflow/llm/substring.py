@@ -123,34 +123,29 @@ def _spaced(w: Words) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), begin
 
 
-def _suffixes(hot: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Kept suffixes of repeated prefixes with their words, those of hot prefixes or the others."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, limit=1 << 20):
-            w = words(b.column("text"))
-            at, place, g = minimizers(w)
-            marks = b.column("at")
-            lists = np.diff(marks.offsets.to_numpy())
-            coded = marks.flatten().to_numpy(zero_copy_only=False)
-            known = (coded >> 1) + np.repeat(w.offsets[:-1], lists)
-            known = known[(known < np.repeat(w.offsets[1:], lists)) & ((coded & 1) == hot)]
-            near = np.zeros(len(w.hash), bool)
-            near[known] = True
-            on = near[place]
-            at, place = at[on], place[on]
-            if not len(at):
-                continue
-            first = _edges((place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1))
-            windows = np.diff(np.append(first, len(at)))
-            begin = at[first]
-            raw, byte = _spaced(w)
-            text = [raw[x:y] for x, y in zip(byte[begin].tolist(), byte[begin + windows + WINDOW - 1].tolist(), strict=True)]
-            d = _owners(w, begin)
-            bounds = {"lo": np.zeros(len(d), np.int32), "hi": np.full(len(d), _REACH - 1, np.int32)} if hot else {}
-            yield _rows(g[place[first]].view(np.int64), b.column("doc_id").cast(pa.int64()).take(pa.array(d)), begin - w.offsets[d], place[first] - begin, windows, text, **bounds)
-
-    return rows
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kept suffixes of repeated prefixes with their words, and whether the prefix is hot."""
+    for b in sliced(batches, limit=1 << 20):
+        w = words(b.column("text"))
+        at, place, g = minimizers(w)
+        marks = b.column("at")
+        lists = np.diff(marks.offsets.to_numpy())
+        coded = marks.flatten().to_numpy(zero_copy_only=False)
+        known, flag = (coded >> 1) + np.repeat(w.offsets[:-1], lists), coded & 1 == 1
+        inside = known < np.repeat(w.offsets[1:], lists)
+        near, hot = np.zeros(len(w.hash), bool), np.zeros(len(w.hash), bool)
+        near[known[inside]], hot[known[inside & flag]] = True, True
+        on = near[place]
+        at, place = at[on], place[on]
+        if not len(at):
+            continue
+        first = _edges((place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1))
+        windows = np.diff(np.append(first, len(at)))
+        begin = at[first]
+        raw, byte = _spaced(w)
+        text = [raw[x:y] for x, y in zip(byte[begin].tolist(), byte[begin + windows + WINDOW - 1].tolist(), strict=True)]
+        d = _owners(w, begin)
+        yield _rows(g[place[first]].view(np.int64), b.column("doc_id").cast(pa.int64()).take(pa.array(d)), begin - w.offsets[d], place[first] - begin, windows, text, hot=hot[place[first]])
 
 
 def _rows(h: np.ndarray, doc_id: pa.Array, start: np.ndarray, lead: np.ndarray, windows: np.ndarray, text: list[bytes], **more: np.ndarray) -> pa.RecordBatch:
@@ -257,15 +252,25 @@ def repeated_in_forest(doc: np.ndarray, start: np.ndarray, lead: np.ndarray, win
     return out
 
 
+_JUDGED = "doc_id long, start int, mask int, lead int, windows int, text binary"
+
+
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Masks of suffixes that come sorted by prefix, a forest of whole prefixes at a time."""
+    """Masks of suffixes that come sorted by prefix, a forest of whole prefixes at a time; hot ones pass with their words, without a mask."""
     held: list[pa.RecordBatch] = []
 
-    def judged(t: pa.Table) -> pa.RecordBatch:
-        c = {k: t.column(k).to_numpy() for k in ("doc_id", "start", "lead", "windows")}
-        mask = repeated_in_forest(c["doc_id"], c["start"], c["lead"], c["windows"], t.column("text").combine_chunks())
-        on = mask > 0
-        return pa.RecordBatch.from_arrays([pa.array(c["doc_id"][on]), pa.array(c["start"][on]), pa.array(mask[on].astype(np.int32))], names=["doc_id", "start", "mask"])
+    def judged(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        hot = t.column("hot").to_numpy(zero_copy_only=False).astype(bool)
+        cold = t.filter(pa.array(~hot))
+        if cold.num_rows:
+            c = {k: cold.column(k).to_numpy() for k in ("doc_id", "start", "lead", "windows")}
+            mask = repeated_in_forest(c["doc_id"], c["start"], c["lead"], c["windows"], cold.column("text").combine_chunks())
+            on = mask > 0
+            none = [pa.nulls(int(on.sum()), x) for x in (pa.int32(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c["doc_id"][on]), pa.array(c["start"][on]), pa.array(mask[on].astype(np.int32)), *none], names=["doc_id", "start", "mask", "lead", "windows", "text"])
+        if hot.any():
+            rest = t.filter(pa.array(hot)).select(["doc_id", "start", "lead", "windows", "text"])
+            yield from rest.add_column(2, "mask", pa.nulls(rest.num_rows, pa.int32())).to_batches()
 
     for b in batches:
         held.append(b)
@@ -275,10 +280,16 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = t.column("h").to_numpy()
         edge = int(np.searchsorted(h, h[-1]))  # the last prefix may go on in the next batch
         if edge:
-            yield judged(t.slice(0, edge))
+            yield from judged(t.slice(0, edge))
         held = t.slice(edge).to_batches()
     if held and (t := pa.Table.from_batches(held)).num_rows:
-        yield judged(t)
+        yield from judged(t)
+
+
+def _judge(suffixes: DataFrame) -> DataFrame:
+    """Suffixes (with hot) through forests; those of hot prefixes, which go by their document, are dealt over all tasks."""
+    by = suffixes.withColumn("h", F.when(F.col("hot"), F.xxhash64("doc_id")).otherwise(F.col("h")))
+    return by.repartition("h").sortWithinPartitions("h").mapInArrow(_forests, _JUDGED)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,9 +308,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(begin, kind), pa.array(end, kind)], names=["doc_id", "begin", "end"])
 
 
-def _lengthened(marked: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """doc_id and at (start, mask) of suffixes of hot prefixes that an earlier one equals, and the others with prefixes that fit a group."""
-    rows = marked.filter(F.exists("at", lambda x: x.bitwiseAND(1) == 1)).mapInArrow(lambda batches: _parts(False)(_suffixes(True)(batches)), _PART)
+def _lengthened(hot: DataFrame) -> DataFrame:
+    """doc_id and at (start, mask) of suffixes of hot prefixes (doc_id, start, lead, windows, text) that have windows which stand earlier too."""
+    rows = hot.withColumns({"lo": F.lit(0), "hi": F.lit(_REACH - 1)}).mapInArrow(_parts(False), _PART)
     all_windows = F.expr("(1 << windows) - 1").alias("mask")
     settled, groups = [], []
     for k in range(_REACH.bit_length() + 1):  # until each part is a single window
@@ -315,11 +326,12 @@ def _lengthened(marked: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         hot = cut(left.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("h"))
         count = hot.count()
         few = sized_broadcast(hot, 16 * count)  # at most one in HOT rows
-        groups.append(left.join(few, "h", "left_anti").select(*(x.split()[0] for x in _SUFFIX.split(", "))))
+        groups.append(left.join(few, "h", "left_anti").select(*(x.split()[0] for x in _SUFFIX.split(", ")), F.lit(False).alias("hot")))
         if not count:
             break
         rows = left.join(few, "h", "left_semi")
-    return reduce(DataFrame.unionByName, settled), groups
+    found = _judge(reduce(DataFrame.unionByName, groups)).select("doc_id", F.array(F.struct("start", "mask")).alias("at"))
+    return reduce(DataFrame.unionByName, settled, found)
 
 
 def repeated_runs(documents: DataFrame) -> DataFrame:
@@ -335,14 +347,13 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
     mark = F.col("pos") * 2 + (F.col("n") > HOT).cast("int")
     near = cut(spread_join(prefixes, repeated, ["h"], "doc_id", HOT).groupBy("doc_id").agg(F.collect_list(mark).alias("at")))
     size = near.agg(64 * F.count("*") + F.coalesce(F.sum(F.size("at")), F.lit(0)) * 4).first()[0]
-    marked = docs.join(sized_broadcast(near, size), "doc_id")
-    suffixes, settled = marked.mapInArrow(_suffixes(False), _SUFFIX), None
-    if repeated.filter(F.col("n") > HOT).limit(1).count():
-        settled, groups = _lengthened(marked)
-        suffixes = reduce(DataFrame.unionByName, groups, suffixes)
-    found = suffixes.repartition("h").sortWithinPartitions("h").mapInArrow(_forests, "doc_id long, start int, mask int")
-    found = found.select("doc_id", F.array(F.struct("start", "mask")).alias("at"))
-    starts = (found.unionByName(settled) if settled else found).groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at"))
+    found = _judge(docs.join(sized_broadcast(near, size), "doc_id").mapInArrow(_suffixes, f"{_SUFFIX}, hot boolean"))
+    some_hot = repeated.filter(F.col("n") > HOT).limit(1).count() > 0
+    found = cut(found) if some_hot else found
+    at = found.filter("mask IS NOT NULL").select("doc_id", F.array(F.struct("start", "mask")).alias("at"))
+    if some_hot:
+        at = at.unionByName(_lengthened(found.filter("mask IS NULL").drop("mask")))
+    starts = at.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at"))
     whole = copies.select("doc_id", F.array(F.lit(0).cast("long")).alias("begin"), F.array("n_words").alias("end"))
     return cut(starts.join(some, "doc_id", "left_anti").mapInArrow(_runs, "doc_id long, begin array<long>, end array<long>").unionByName(whole))
 
