@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, conversations, decontaminate, langid, licenses, neardup, packing, quality, substring, topk, toxicity, urlfilter
+from . import audit, conversations, decontaminate, langid, licenses, neardup, packing, pii, quality, substring, topk, toxicity, urlfilter
 from .common import fold, table
 
 #: host, path and verdict of the URL rules that the query applies.
@@ -65,6 +65,10 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest(conversations.repair(conversations.damage(table(spark, sf_dir, "conversations"))))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -76,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_toxicity, op3_substring, op4_quality, op5_urls, op6_decontaminate, op7_langid, op8_packing, op9_neardup, op10_licenses, op11_conversations, op13_filter_audit, pipeline)}
+    return {f.__name__: f for f in (op1_topk, op2_toxicity, op3_substring, op4_quality, op5_urls, op6_decontaminate, op7_langid, op8_packing, op9_neardup, op10_licenses, op11_conversations, op12_pii, op13_filter_audit, pipeline)}
 
 
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
