@@ -14,8 +14,9 @@ the running length of the pieces between matches, summed in blocks so that time
 grows little faster than the number of matches; the patterns are written so
 that no text makes them search twice (possessive runs that start where a run of
 their characters starts), with the same leftmost matches as the plain formats.
-Texts are read twice, once for strings and once to count all places of the
-patterns in question, and never shuffled.  Joins deal hot keys over tasks.
+Texts are read once for strings and once to count all places of the patterns
+in question (those that a part of the corpus does not already prove unsure),
+and never shuffled.  Joins deal hot keys over tasks.
 
 Defined results: a null or empty text has no spans; places are in code points,
 ends exclusive; repeated rows and equal or missing doc_ids are rows of their
@@ -49,6 +50,8 @@ STRING = rf"(?<![^{_BLANK}])[^0-9@{_BLANK}]*+[0-9@][^{_BLANK}]*+(?:\x20[(+]?[0-9
 
 #: Distinct strings that a pattern needs, and trusted ones among them; share of a pattern's places and sureness of an instance that count; rounds.
 MIN_STRINGS, MIN_TRUSTED, SURE_PATTERN, SURE_INSTANCE, ROUNDS = 5, 5, 0.5, 0.6, 3
+#: One in so many documents is counted first: patterns that its places alone prove unsure are not counted further.
+FIRST_PART = 16
 #: Matches whose lengths are summed as one block.
 BLOCK = 128
 
@@ -151,8 +154,16 @@ def places(documents: DataFrame, patterns: DataFrame, count: int) -> DataFrame:
 def graph(documents: DataFrame, occurrences: DataFrame) -> DataFrame | None:
     """pattern, total, instance, seed, fits and n (occurrences) of all patterns with enough strings; None if there are none."""
     edges = cut(occurrences.groupBy("pattern", "instance", "seed", "fits").agg(F.count("*").alias("n")))
-    enough = cut(edges.groupBy("pattern").agg(F.count("*").alias("strings")).filter(F.col("strings") >= MIN_STRINGS).select("pattern", "strings", F.xxhash64("pattern").alias("key")))
+    usable = F.when((F.col("seed") >= 0) | (F.col("fits") > 0), F.col("n"))
+    enough = edges.groupBy("pattern").agg(F.count("*").alias("strings"), F.count(usable).alias("usable"), F.sum(usable).alias("times"))
+    enough = cut(enough.filter((F.col("strings") >= MIN_STRINGS) & (F.col("usable") >= MIN_TRUSTED)).withColumn("key", F.xxhash64("pattern")))
     count = enough.count()
+    if count:
+        # a pattern is sure of times / total at most, and a part of the corpus has no more places than the whole
+        least = places(documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(FIRST_PART)) == 0), enough.select("pattern", "key"), count)
+        may = F.col("times") >= SURE_PATTERN * (F.coalesce("total", F.lit(0)) + 1)
+        enough = cut(enough.join(least, "pattern", "left").filter(may).drop("total"))
+        count = enough.count()
     if not count:
         return None
     totals = cut(places(documents, enough.select("pattern", "key"), count).join(enough, "pattern").select("pattern", "total", F.col("strings").alias("n")))
