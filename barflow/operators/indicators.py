@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
+from ..functions import series
 from ..functions.ewm import ema, ewm, wilder
 
 
 def by():  # noqa: ANN201
-    """Bars of a symbol in time order."""
-    return Window.partitionBy("symbol").orderBy("ts")
+    """Bars of a symbol, or of its block inside `series.over`, in time order."""
+    return Window.partitionBy(*series.current()).orderBy("ts")
 
 
 def frame(n: int, last: int = 0):  # noqa: ANN201
@@ -51,12 +52,18 @@ def support_resistance(n: int = 20) -> dict[str, Column]:
 
 def directional(df: DataFrame) -> DataFrame:
     """tr, gain and loss (of the close, NULL at the first bar), plus_dm and minus_dm (directional moves, 0 there)."""
+    rows = series.haloed(df, 1)
+    with series.over(rows):
+        return series.own(rows.withColumns(_moves()))
+
+
+def _moves() -> dict[str, Column]:
     change = F.col("close") - F.lag("close").over(by())
     rise, fall = F.col("high") - F.lag("high").over(by()), F.lag("low").over(by()) - F.col("low")
-    return df.withColumns({
+    return {
         "tr": true_range(), "gain": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "loss": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))),
         "plus_dm": F.when((rise > fall) & (rise > 0), rise).otherwise(0.0), "minus_dm": F.when((fall > rise) & (fall > 0), fall).otherwise(0.0),
-    })
+    }
 
 
 def rsi_of(up: Column, down: Column) -> Column:
@@ -85,7 +92,7 @@ def adx(df: DataFrame, n: int = 14, name: str = "adx") -> DataFrame:
 
 
 def add_all_indicators(df: DataFrame, cfg: dict = DEFAULTS, emas: Sequence[int] = (), rsis: Sequence[int] = (), ranges: Sequence[int] = ()) -> DataFrame:
-    """The bars with all thirteen indicator columns, in two scans of averages.
+    """The bars with all thirteen indicator columns, in two scans of averages; of blocked bars (functions.series) block by block.
 
     Further periods add ema_<n>, rsi_<n>, support_<n> and resistance_<n> to the same scans.
     """
@@ -95,10 +102,13 @@ def add_all_indicators(df: DataFrame, cfg: dict = DEFAULTS, emas: Sequence[int]
         ema("close", m["ema_fast"], "ema_fast"), ema("close", m["ema_slow"], "ema_slow"), wilder("tr", x["atr_period"], "atr"), wilder("tr", x["adx_period"], "tr_w"), wilder("plus_dm", x["adx_period"], "plus_w"), wilder("minus_dm", x["adx_period"], "minus_w"),
         *[ema("close", n, f"ema_{n}") for n in emas], *[wilder(side, n, f"avg_{side}{k}") for k, n in gains.items() for side in ("gain", "loss")],
     ]
-    out = ewm(directional(df), first).withColumns({**{f"rsi{k}": rsi_of(F.col(f"avg_gain{k}"), F.col(f"avg_loss{k}")) for k in gains}, "dx": dx_of(F.col("tr_w"), F.col("plus_w"), F.col("minus_w"))})
-    out = ewm(out, [wilder("dx", x["adx_period"], "adx")])
-    spans = {f"{name}_{n}": c for n in ranges for name, c in support_resistance(n).items()}
-    out = out.withColumns({**bollinger("close", r["bb_period"], r["bb_std"]), **support_resistance(b["lookback"]), **spans, "vol_surge": volume_surge(20), "atr_pct": 100.0 * F.col("atr") / F.nullif("close", F.lit(0.0))})
+    spans = {f"{name}_{n}": (n, k) for n in ranges for k, name in enumerate(("support", "resistance"))}
+    rows = series.haloed(df, max(r["bb_period"], b["lookback"], 20, *ranges))
+    with series.over(rows):
+        levels = {n: list(support_resistance(n).values()) for n in ranges}
+        rows = rows.withColumns({**_moves(), **bollinger("close", r["bb_period"], r["bb_std"]), **support_resistance(b["lookback"]), **{name: levels[n][k] for name, (n, k) in spans.items()}, "vol_surge": volume_surge(20)})
+    out = ewm(series.own(rows), first).withColumns({**{f"rsi{k}": rsi_of(F.col(f"avg_gain{k}"), F.col(f"avg_loss{k}")) for k in gains}, "dx": dx_of(F.col("tr_w"), F.col("plus_w"), F.col("minus_w"))})
+    out = ewm(out, [wilder("dx", x["adx_period"], "adx")]).withColumn("atr_pct", 100.0 * F.col("atr") / F.nullif("close", F.lit(0.0)))
     return out.drop("tr", "gain", "loss", "plus_dm", "minus_dm", *[f"avg_{side}{k}" for k in gains for side in ("gain", "loss")], "tr_w", "plus_w", "minus_w", "dx")
 
 
@@ -106,6 +116,9 @@ def with_htf(ltf: DataFrame, htf: DataFrame, period: int = 50) -> DataFrame:
     """Each bar with the last longer bar labelled at or before it: close, average, its number, and feature inputs."""
     from .asof import asof_backward
 
-    h = ewm(htf.select("symbol", "ts", "close"), [ema("close", period, "htf_ema")])
-    h = h.select("symbol", "ts", F.col("close").alias("htf_close"), "htf_ema", F.row_number().over(by()).alias("htf_rows"), F.ln(F.col("close") / F.nullif(F.lag("close", 5).over(by()), F.lit(0.0))).alias("htf_ret_5"), F.coalesce(F.signum(F.col("htf_ema") - F.lag("htf_ema", 5).over(by())), F.lit(0.0)).alias("htf_slope_sign"))
-    return asof_backward(ltf, h, "symbol", "ts")
+    h = series.haloed(ewm(htf.select("symbol", "ts", "close", *[c for c in htf.columns if c in series.PLACE]), [ema("close", period, "htf_ema")]), 5)
+    with series.over(h):
+        h = series.own(h.withColumns({"htf_rows": series.number(h).cast("int"), "htf_ret_5": F.ln(F.col("close") / F.nullif(F.lag("close", 5).over(by()), F.lit(0.0))), "htf_slope_sign": F.coalesce(F.signum(F.col("htf_ema") - F.lag("htf_ema", 5).over(by())), F.lit(0.0))}))
+    h = h.select("symbol", "ts", F.col("close").alias("htf_close"), "htf_ema", "htf_rows", "htf_ret_5", "htf_slope_sign")
+    counted = series.is_blocked(ltf) or series.is_blocked(htf)
+    return asof_backward(ltf, h, "symbol", "ts", series.BLOCK_ROWS if counted else None)

@@ -7,14 +7,19 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import series
+
 YEAR = 252
 
 
-def equity_curve(trades: DataFrame, start: float = 100_000.0, key: str = "run_id") -> DataFrame:
-    """Steps of realised equity by exit time, seeded at the entry of the first trade to exit."""
-    order = Window.partitionBy(key).orderBy("exit_time", "seq")
-    steps = trades.select(key, F.col("exit_time").alias("ts"), F.row_number().over(order).alias("step"), (F.lit(start) + F.sum("pnl").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("equity"))
-    seed = trades.groupBy(key).agg(F.min_by("entry_time", F.struct("exit_time", "seq")).alias("ts")).select(key, "ts", F.lit(0).alias("step"), F.lit(start).alias("equity"))
+def equity_curve(trades: DataFrame, start: float = 100_000.0, key: str = "run_id", rows: int = series.BLOCK_ROWS) -> DataFrame:
+    """Steps of realised equity by exit time, seeded at the entry of the first trade to exit; a run of more trades than `rows` is summed in blocks."""
+    order = ("exit_time", "seq")
+    cut = series.blocked(trades, (key,), order, rows)
+    summed = series.running(cut, {"_sum": ("sum", "pnl")}, (key,), order)
+    step = F.col("_i") + 1 if series.is_blocked(cut) else F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    steps = summed.select(key, F.col("exit_time").alias("ts"), step.cast("long").alias("step"), (F.lit(start) + F.col("_sum")).alias("equity"))
+    seed = trades.groupBy(key).agg(F.min_by("entry_time", F.struct("exit_time", "seq")).alias("ts")).select(key, "ts", F.lit(0).cast("long").alias("step"), F.lit(start).alias("equity"))
     return seed.unionByName(steps)
 
 
@@ -41,10 +46,10 @@ def profit_factor(pnl: str = "pnl") -> Column:
     return F.when(lost > 0, won / F.nullif(lost, F.lit(0.0))).when(won > 0, F.lit(float("inf"))).otherwise(0.0)
 
 
-def drawdown(curve: DataFrame, key: str = "run_id", order: str = "day") -> DataFrame:
-    """Largest relative and absolute fall below the running peak."""
-    peak = F.max("equity").over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    d = curve.withColumn("_p", peak)
+def drawdown(curve: DataFrame, key: str = "run_id", order: str = "day", rows: int | None = None) -> DataFrame:
+    """Largest relative and absolute fall below the running peak; rows: of a run, beyond which its peak is carried from block to block (None: never, uncounted)."""
+    cut = curve if rows is None else series.blocked(curve, (key,), order, rows)
+    d = series.running(cut, {"_p": ("max", "equity")}, (key,), order)
     return d.groupBy(key).agg(F.max((F.col("_p") - F.col("equity")) / F.nullif("_p", F.lit(0.0))).alias("max_dd_pct"), F.max(F.col("_p") - F.col("equity")).alias("max_dd_abs"))
 
 
@@ -149,11 +154,26 @@ def mc_draws(spark: SparkSession, n_runs: int, n_draws: int, n_trades: int, seed
     return rows.withColumn("idx", F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % max(n_trades, 1))
 
 
-def mc_paths(draws: DataFrame, returns: DataFrame, start: float = 100_000.0, ruin: float = 0.5) -> DataFrame:
-    """run, final_equity, max_dd, ruined of additive paths.  returns: idx, r (pnl over starting equity)."""
-    order = Window.partitionBy("run").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    path = draws.join(returns, "idx").withColumn("equity", F.lit(start) + F.sum(F.col("r") * start).over(order))
-    path = path.withColumn("peak", F.greatest(F.max("equity").over(order), F.lit(start)))
+#: Draws of a run that are folded as one block.
+MC_BLOCK = 1 << 16
+
+
+def mc_paths(draws: DataFrame, returns: DataFrame, start: float = 100_000.0, ruin: float = 0.5, block: int = MC_BLOCK) -> DataFrame:
+    """run, final_equity, max_dd, ruined of additive paths.  returns: idx, r (pnl over starting equity).
+
+    A path is summed in blocks of `block` draws: each is first a row of its sum
+    and its greatest prefix, which give every block the equity and the peak
+    that enter it; falls below the peak are then taken inside the blocks.
+    """
+    rows = draws.join(returns, "idx").select("run", "k", F.floor(F.col("k") / block).alias("_block"), (F.col("r") * start).alias("step"))
+    order = Window.partitionBy("run", "_block").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("_sum", F.sum("step").over(order))
+    blocks = inside.groupBy("run", "_block").agg(F.sum("step").alias("_total"), F.max("_sum").alias("_top"))
+    before = Window.partitionBy("run").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_base", F.lit(start) + F.coalesce(F.sum("_total").over(before), F.lit(0.0)))
+    blocks = blocks.withColumn("_peak", F.greatest(F.max(F.col("_base") + F.col("_top")).over(before), F.lit(start))).select("run", "_block", "_base", "_peak")
+    path = inside.join(blocks, ["run", "_block"]).withColumn("equity", F.col("_base") + F.col("_sum"))
+    path = path.withColumn("peak", F.greatest(F.max("equity").over(order), "_peak"))
     return path.groupBy("run").agg(F.max_by("equity", "k").alias("final_equity"), F.greatest(F.max((F.col("peak") - F.col("equity")) / F.col("peak")), F.lit(0.0)).alias("max_dd"), (F.least(F.min("equity"), F.lit(start)) <= ruin * start).alias("ruined"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
+from ..functions import series
 from .indicators import add_all_indicators, by, frame, with_htf
 
 # Strategies that may trade in a regime, first preferred at equal conviction.
@@ -95,9 +96,13 @@ def breakout(cfg: dict = DEFAULTS, names: dict[str, str] | None = None) -> Colum
 def enrich(ltf: DataFrame, htf: DataFrame, cfg: dict = DEFAULTS, **more: Sequence[int]) -> DataFrame:
     """Bars with indicators (more: further periods of them), the longer bar as of each, the bar's number n (from 1) and the regime."""
     out = with_htf(add_all_indicators(ltf, cfg, **more), htf, cfg["momentum"]["htf_ema"])
-    return out.withColumns({"n": F.row_number().over(by()), "regime": regime(cfg)})
+    with series.over(out):
+        return out.withColumns({"n": series.number(out).cast("int"), "regime": regime(cfg)})
 
 
+#: Bars that a strategy may look back, windows and lags together.
+REACH = 100
+
 #: Strategies by name: each makes a signal column (NULL where it has none) from settings and, if a variant of them has its own, names of columns.
 STRATEGIES: dict[str, Callable[..., Column]] = {"momentum": momentum, "mean_reversion": mean_reversion, "breakout": breakout}
 
@@ -123,8 +128,13 @@ def select_signal(made: dict[str, Column], cfg: dict = DEFAULTS, market: Column
 
 
 def with_signals(enriched: DataFrame, cfg: dict = DEFAULTS) -> DataFrame:
-    """Each bar with the signal of every strategy and the selected one (NULL if there is none)."""
-    out = enriched.withColumns({name: make(cfg) for name, make in STRATEGIES.items()})
+    """Each bar with the signal of every strategy and the selected one (NULL if there is none).
+
+    Strategies look back REACH bars at most, or the settings' longest lookback.
+    """
+    rows = series.haloed(enriched, max(REACH, *[v for part in cfg.values() if isinstance(part, dict) for k, v in part.items() if k == "lookback"]))
+    with series.over(rows):
+        out = series.own(rows.withColumns({name: make(cfg) for name, make in STRATEGIES.items()}))
     return out.withColumn("signal", select_signal({name: F.col(name) for name in STRATEGIES}, cfg))
 
 

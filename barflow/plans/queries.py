@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, with_settings
+from ..functions import series
 from ..functions.ewm import ema, ewm
 from ..functions.status import STATUS, normalised_status
 from ..functions.timeframe import floor_to, next_close
@@ -52,6 +53,11 @@ def bars(spark: SparkSession, sf_dir: str, timeframe: str = "15m") -> DataFrame:
     return src.ticks_to_bars(src.ticks(t(spark, sf_dir, "events")), timeframe)
 
 
+def history(spark: SparkSession, sf_dir: str, timeframe: str = "15m", rows: int = series.BLOCK_ROWS) -> DataFrame:
+    """Bars cut into blocks of `rows` where a symbol has more."""
+    return series.blocked(bars(spark, sf_dir, timeframe), rows=rows)
+
+
 # ---- building blocks of the SQL forms
 
 TICKS = """tk AS (SELECT event_id, ts, event_type AS symbol, value, 200 + CAST(sum(CASE WHEN ((event_id * 7919) // 13) % 2 = 0 THEN 1 ELSE -1 END * CAST(round(value * 100) AS BIGINT))
@@ -203,64 +209,63 @@ def vendor_candles(spark, sf_dir):
 
 @query(f"{B15} SELECT symbol, ts, round({full('avg(close) OVER {}', 'close', 20)}, 7) AS sma_20 FROM b")
 def ind_sma(spark, sf_dir):
-    return rounded(bars(spark, sf_dir).select("symbol", "ts", ind.sma("close", 20).alias("sma_20")))
+    return rounded(series.windowed(history(spark, sf_dir), 20, lambda: {"sma_20": ind.sma("close", 20)}).select("symbol", "ts", "sma_20"))
 
 
 @query(f"{B15}, i AS (SELECT symbol, ts, {full('avg(close) OVER {}', 'close', 20)} AS m, {full('stddev_pop(close) OVER {}', 'close', 20)} AS s FROM b) SELECT symbol, ts, round(m, 7) AS bb_mid, round(m + 2 * s, 7) AS bb_upper, round(m - 2 * s, 7) AS bb_lower, round(4 * s / nullif(m, 0), 7) AS bb_width FROM i")
 def ind_bollinger(spark, sf_dir):
-    return rounded(bars(spark, sf_dir).select("symbol", "ts", *[c.alias(n) for n, c in ind.bollinger().items()]))
+    return rounded(series.windowed(history(spark, sf_dir), 20, ind.bollinger).select("symbol", "ts", "bb_mid", "bb_upper", "bb_lower", "bb_width"))
 
 
 @query(f"{B15}, i AS (SELECT *, lag(close) OVER {W.format('')} AS pc FROM b) SELECT symbol, ts, round(greatest(high - low, abs(high - pc), abs(low - pc)), 7) AS tr FROM i")
 def ind_true_range(spark, sf_dir):
-    return rounded(bars(spark, sf_dir).select("symbol", "ts", ind.true_range().alias("tr")))
+    return rounded(series.windowed(history(spark, sf_dir), 1, lambda: {"tr": ind.true_range()}).select("symbol", "ts", "tr"))
 
 
 @query(f"{B15} SELECT symbol, ts, round({full('volume / nullif(avg(volume) OVER {}, 0)', 'volume', 20)}, 7) AS vol_surge FROM b")
 def ind_volume_surge(spark, sf_dir):
-    return rounded(bars(spark, sf_dir).select("symbol", "ts", ind.volume_surge().alias("vol_surge")))
+    return rounded(series.windowed(history(spark, sf_dir), 20, lambda: {"vol_surge": ind.volume_surge()}).select("symbol", "ts", "vol_surge"))
 
 
 @query(f"{B15} SELECT symbol, ts, round({full('min(low) OVER {}', 'low', 20, 1)}, 7) AS support, round({full('max(high) OVER {}', 'high', 20, 1)}, 7) AS resistance FROM b")
 def ind_support_resistance(spark, sf_dir):
-    return rounded(bars(spark, sf_dir).select("symbol", "ts", *[c.alias(n) for n, c in ind.support_resistance().items()]))
+    return rounded(series.windowed(history(spark, sf_dir), 20, ind.support_resistance).select("symbol", "ts", "support", "resistance"))
 
 
 @query(f"{B15}, g AS (SELECT symbol, ts, CASE WHEN minute(ts) = 0 THEN close END AS x FROM b) SELECT symbol, ts, round(last_value(x IGNORE NULLS) OVER {W.format(' ROWS UNBOUNDED PRECEDING')}, 7) AS x FROM g")
 def ind_forward_fill(spark, sf_dir):
-    g = bars(spark, sf_dir).select("symbol", "ts", F.when(F.minute("ts") == 0, F.col("close")).alias("x"))
-    return rounded(g.withColumn("x", F.last("x", ignorenulls=True).over(ind.by().rowsBetween(Window.unboundedPreceding, 0))))
+    return rounded(series.running(history(spark, sf_dir), {"x": ("last", F.when(F.minute("ts") == 0, F.col("close")))}).select("symbol", "ts", "x"))
 
 
 @query(f"{B15} SELECT symbol, ts, round(close / nullif(lag(close) OVER {W.format('')}, 0) - 1, 7) + 0 AS pct FROM b")
 def ind_pct_change(spark, sf_dir):
-    return rounded(bars(spark, sf_dir).select("symbol", "ts", (F.col("close") / F.nullif(F.lag("close").over(ind.by()), F.lit(0.0)) - 1).alias("pct")))
+    return rounded(series.windowed(history(spark, sf_dir), 1, lambda: {"pct": F.col("close") / F.nullif(F.lag("close").over(ind.by()), F.lit(0.0)) - 1}).select("symbol", "ts", "pct"))
 
 
 @query(f"{B15} SELECT symbol, ts, round(max(close) OVER {W.format(' ROWS UNBOUNDED PRECEDING')}, 7) AS peak, round(sum(volume) OVER {W.format(' ROWS UNBOUNDED PRECEDING')}, 4) AS cum_volume FROM b")
 def ind_running_peak(spark, sf_dir):
-    w = ind.by().rowsBetween(Window.unboundedPreceding, 0)
-    return rounded(bars(spark, sf_dir).select("symbol", "ts", F.max("close").over(w).alias("peak"), F.round(F.sum("volume").over(w), 4).alias("cum_volume")))
+    out = series.running(history(spark, sf_dir), {"peak": ("max", "close"), "cum_volume": ("sum", "volume")})
+    return rounded(out.select("symbol", "ts", "peak", F.round("cum_volume", 4).alias("cum_volume")))
 
 
 @query(f"{B15}, {INDICATORS} SELECT symbol, ts, {r6('ema_fast', 'ema_slow')} FROM i")
 def ind_ema(spark, sf_dir):
-    return rounded(ewm(bars(spark, sf_dir), [ema("close", 9, "ema_fast"), ema("close", 21, "ema_slow")]).select("symbol", "ts", "ema_fast", "ema_slow"))
+    return rounded(ewm(history(spark, sf_dir), [ema("close", 9, "ema_fast"), ema("close", 21, "ema_slow")]).select("symbol", "ts", "ema_fast", "ema_slow"))
 
 
 @query(f"{B15}, {INDICATORS} SELECT symbol, ts, round(rsi, 7) AS rsi FROM i")
 def ind_rsi(spark, sf_dir):
-    return rounded(ind.rsi(bars(spark, sf_dir)).select("symbol", "ts", "rsi"))
+    return rounded(ind.rsi(history(spark, sf_dir)).select("symbol", "ts", "rsi"))
 
 
 @query(f"{B15}, {INDICATORS} SELECT symbol, ts, round(atr, 7) AS atr FROM i")
 def ind_atr(spark, sf_dir):
-    return rounded(ind.atr(bars(spark, sf_dir)).select("symbol", "ts", "atr"))
+    return rounded(ind.atr(history(spark, sf_dir)).select("symbol", "ts", "atr"))
 
 
 @query(f"{B15}, {INDICATORS} SELECT symbol, ts, round(adx, 7) AS adx FROM i")
 def ind_adx(spark, sf_dir):
-    return rounded(ind.adx(bars(spark, sf_dir)).select("symbol", "ts", "adx"))
+    return rounded(ind.adx(history(spark, sf_dir)).select("symbol", "ts", "adx"))
 
 
 _ALL = ["ema_fast", "ema_slow", "rsi", "atr", "adx", "bb_mid", "bb_upper", "bb_lower", "bb_width", "support", "resistance", "vol_surge", "atr_pct"]
@@ -268,12 +273,38 @@ _ALL = ["ema_fast", "ema_slow", "rsi", "atr", "adx", "bb_mid", "bb_upper", "bb_l
 
 @query(f"{B15}, {INDICATORS} SELECT symbol, ts, {r6(*_ALL)} FROM i")
 def ind_all(spark, sf_dir):
-    return rounded(ind.add_all_indicators(bars(spark, sf_dir)).select("symbol", "ts", *_ALL))
+    return rounded(ind.add_all_indicators(history(spark, sf_dir)).select("symbol", "ts", *_ALL))
+
+
+def gap_scan(name: str, table: str, means: list[tuple[str, str, float]]) -> str:
+    """A recursion row by row over `table` (symbol, n): each mean's value, rows since its last value, and values so far."""
+
+    def step(mean: str, x: str, a: float) -> str:
+        w = f"pow({1 - a!r}::DOUBLE, {name}.{mean}_g)"
+        return f"CASE WHEN {table}.{x} IS NULL THEN {name}.{mean} WHEN {name}.{mean} IS NULL THEN {table}.{x} ELSE ({w} * {name}.{mean} + {a!r}::DOUBLE * {table}.{x}) / ({w} + {a!r}::DOUBLE) END, CASE WHEN {table}.{x} IS NULL THEN {name}.{mean}_g + 1 ELSE 1 END, {name}.{mean}_c + CASE WHEN {table}.{x} IS NULL THEN 0 ELSE 1 END"
+
+    first = ", ".join(f"CAST({x} AS DOUBLE) AS {m}, CASE WHEN {x} IS NOT NULL THEN 1 END AS {m}_g, CASE WHEN {x} IS NULL THEN 0 ELSE 1 END AS {m}_c" for m, x, _ in means)
+    return f"{name} AS (SELECT symbol, n, {first} FROM {table} WHERE n = 1 UNION ALL SELECT {table}.symbol, {table}.n, {', '.join(step(*m) for m in means)} FROM {name} JOIN {table} ON {table}.symbol = {name}.symbol AND {table}.n = {name}.n + 1)"
+
+
+_GAPPY = f"""WITH RECURSIVE {TICKS}, {bars_sql('b0', '15 minutes')}, b AS (SELECT symbol, ts, open, high, low, CASE WHEN row_number() OVER {W.format('')} % 7 <> 0 THEN close END AS close, volume FROM b0),
+{DIRECTION.replace('CASE WHEN pc IS NULL', 'CASE WHEN close - pc IS NULL')}, {gap_scan('g1', 'x', [('ef', 'close', 0.2), ('es', 'close', 2 / 22), ('ga', 'gain', A14), ('lo', 'loss', A14), ('w', 'tr', A14), ('p', 'pdm', A14), ('m', 'mdm', A14)])},
+x2 AS (SELECT x.ts, g1.*, CASE WHEN w_c >= 14 AND p_c >= 14 THEN 100 * abs(100 * p / nullif(w, 0) - 100 * m / nullif(w, 0)) / nullif(100 * p / nullif(w, 0) + 100 * m / nullif(w, 0), 0) END AS dx FROM x JOIN g1 USING (symbol, n)),
+{gap_scan('g2', 'x2', [('a', 'dx', A14)])}"""
+
+
+@query(f"""{_GAPPY} SELECT x2.symbol, x2.ts, round(CASE WHEN ef_c >= 9 THEN ef END, 7) AS ema_fast, round(CASE WHEN es_c >= 21 THEN es END, 7) AS ema_slow, round(coalesce(CASE WHEN ga_c >= 14 AND lo_c >= 14 THEN 100 - 100 / (1 + ga / nullif(lo, 0)) END, 50), 7) AS rsi,
+  round(CASE WHEN w_c >= 14 THEN w END, 7) AS atr, round(CASE WHEN a_c >= 14 THEN a END, 7) AS adx FROM x2 JOIN g2 ON g2.symbol = x2.symbol AND g2.n = x2.n""")
+def ind_gaps(spark, sf_dir):
+    """Averages and oscillators of bars whose every seventh close is missing."""
+    n = F.row_number().over(ind.by())
+    gappy = bars(spark, sf_dir).withColumn("_n", n).withColumn("close", F.when(F.col("_n") % 7 != 0, F.col("close"))).drop("_n")
+    return rounded(ind.add_all_indicators(series.blocked(gappy)).select("symbol", "ts", "ema_fast", "ema_slow", "rsi", "atr", "adx"))
 
 
 @query(f"{B15}, {HTF} SELECT b.symbol, b.ts, {r6('htf_close', 'htf_ema', 'htf_ret_5')}, htf_rows, CAST(htf_slope_sign AS DOUBLE) AS htf_slope_sign FROM b ASOF LEFT JOIN hs ON b.symbol = hs.symbol AND b.ts >= hs.ts")
 def htf_trend_asof(spark, sf_dir):
-    out = ind.with_htf(bars(spark, sf_dir), bars(spark, sf_dir, "1h"))
+    out = ind.with_htf(history(spark, sf_dir), history(spark, sf_dir, "1h"))
     return rounded(out.select("symbol", "ts", "htf_close", "htf_ema", "htf_ret_5", F.col("htf_rows").cast("long").alias("htf_rows"), "htf_slope_sign"))
 
 
@@ -288,7 +319,7 @@ def asof_join(spark, sf_dir):
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.enrich(bars(spark, sf_dir), bars(spark, sf_dir, "1h"), CFG)
+    return signals.enrich(history(spark, sf_dir), history(spark, sf_dir, "1h"), CFG)
 
 
 def with_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,12 +328,12 @@ def with_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{B15}, {INDICATORS} SELECT symbol, ts, {REGIME} AS regime FROM i")
 def regime_labels(spark, sf_dir):
-    return ind.add_all_indicators(bars(spark, sf_dir), CFG).select("symbol", "ts", signals.regime(CFG).alias("regime"))
+    return ind.add_all_indicators(history(spark, sf_dir), CFG).select("symbol", "ts", signals.regime(CFG).alias("regime"))
 
 
 @query(f"{B15}, {INDICATORS} SELECT symbol, {REGIME} AS regime, count(*) AS n FROM i GROUP BY 1, 2")
 def regime_counts(spark, sf_dir):
-    return ind.add_all_indicators(bars(spark, sf_dir), CFG).groupBy("symbol", signals.regime(CFG).alias("regime")).agg(F.count("*").alias("n"))
+    return ind.add_all_indicators(history(spark, sf_dir), CFG).groupBy("symbol", signals.regime(CFG).alias("regime")).agg(F.count("*").alias("n"))
 
 
 def _strategy(name: str, letter: str) -> None:
@@ -587,7 +618,7 @@ def drawdown(spark, sf_dir):
 
 @query(f"{CURVE} SELECT run_id, ts, CAST(step AS INTEGER) AS step, round(equity, 7) AS equity FROM cv")
 def equity_steps(spark, sf_dir):
-    return rounded(mt.equity_curve(trades(spark, sf_dir)))
+    return rounded(mt.equity_curve(trades(spark, sf_dir)).withColumn("step", F.col("step").cast("int")))
 
 
 @query(f"{CURVE} SELECT run_id, CAST(day AS VARCHAR) AS day, {r6('equity', 'ret')} FROM dr")

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import series
 from ..functions.timeframe import seconds
 from ..schema import BAR, REQUIRED
 
@@ -47,11 +48,14 @@ def rows_to_bars(spark: SparkSession, rows: Sequence[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(c.split()[0]) for c in BAR.split(", ")) for r in rows], BAR).orderBy("ts")
 
 
-def ticks(events: DataFrame) -> DataFrame:
-    """Prices from the events table: a walk in whole cents whose steps are the values, one symbol a type."""
+def ticks(events: DataFrame, rows: int = series.BLOCK_ROWS) -> DataFrame:
+    """Prices from the events table: a walk in whole cents whose steps are the values, one symbol a type, summed in blocks of `rows`."""
     sign = F.when(F.floor(F.col("event_id") * 7919 / 13) % 2 == 0, 1).otherwise(-1)
-    walk = F.sum(sign * F.round(F.col("value") * 100).cast("long")).over(Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return events.select("event_id", "ts", F.col("event_type").alias("symbol"), (F.lit(200.0) + walk.cast("double") / 20000).alias("px"), "value")
+    cents = sign * F.round(F.col("value") * 100).cast("long")
+    order = ("ts", "event_id")
+    cut = series.blocked(events.select("event_id", "ts", "event_type", "value"), ("event_type",), order, rows)
+    walk = series.running(cut, {"walk": ("sum", cents)}, ("event_type",), order)
+    return walk.select("event_id", "ts", F.col("event_type").alias("symbol"), (F.lit(200.0) + F.col("walk").cast("double") / 20000).alias("px"), "value")
 
 
 def ticks_to_bars(rows: DataFrame, timeframe: str, price: str = "px", size: str = "value", order: str = "event_id", places: int | None = 2) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -14,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.timeframe import seconds
 from ..operators.fold import Bar, Simulator, event_frame
 from ..schema import EVENT
+from ..storage import shared_folder
 
 AVERAGES = "symbol string, ts timestamp, close double, ema_fast double, ema_slow double, cross string"
 
@@ -87,16 +87,6 @@ def live_positions(bars: DataFrame, cfg: dict[str, Any]) -> DataFrame:
     return bars.groupBy("run_id").applyInPandasWithState(step, EVENT, "sim binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, where all executors can read and write; without that setting, in the warehouse (a local session: in a temporary folder)."""
-    import tempfile
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="streams-") if spark.sparkContext.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/streams"
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 def replay(rows: list[DataFrame], name: str = "replay") -> DataFrame:
     """Batch frames as a stream of one micro-batch each, through files in the shared folder."""
     spark, path = rows[0].sparkSession, shared_folder(rows[0].sparkSession, name)

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barflow.functions.ewm import Mean, ema, ewm, ewm_gaps, wilder
+from barflow.functions.ewm import Mean, ema, ewm, wilder
 from barflow.operators import indicators as ind
 from barflow.operators import signals
 from barflow.schema import BAR
@@ -55,7 +55,7 @@ def test_gaps_follow_pandas(spark):
     x = [1.0, None, None, 4.0, 2.0, None, 3.0]
     rows = [("A", dt.datetime(2024, 1, 1, 0, k), v) for k, v in enumerate(x)]
     df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, x double")
-    got = column(ewm_gaps(df, Mean("x", 0.3, 2, "y")), "y")
+    got = column(ewm(df, [Mean("x", 0.3, 2, "y")]), "y")
     want = pd.Series(x, dtype=float).ewm(alpha=0.3, adjust=False, min_periods=2).mean()
     np.testing.assert_allclose(pd.Series(got, dtype=float), want)
 
