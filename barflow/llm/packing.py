@@ -11,14 +11,16 @@ are tried as further transitions.
 
 The operator needs no shuffle: each task packs its own partition in blocks of
 `BLOCK_TOKENS`, and a block's last, short window is cut into powers of two.
-Defined results: a null or empty text is its end token alone; repeated rows
-are packed as often as they occur; an empty table gives no rows; other
+Defined results: a null or empty text is its end token alone; texts with very
+long runs of blanks or of other characters are encoded by the exact tokenizer;
+repeated rows are packed as often as they occur; an empty table gives no rows; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -38,6 +40,22 @@ BLOCK_TOKENS = 1 << 20
 SENTENCE_COST, FORCED_COST = 4.0, 24.0
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+#: Characters in a run of blanks, or of others, from which the fast tokenizer's pattern search is not trusted (it gives way near a million).
+LONG_RUN = 100_000
+_BLANKS = re.compile(r"\s+")
+
+
+def has_long_run(text: str) -> bool:
+    if len(text) < LONG_RUN:
+        return False
+    at = 0
+    for m in _BLANKS.finditer(text):
+        if m.start() - at >= LONG_RUN or m.end() - m.start() >= LONG_RUN:
+            return True
+        at = m.end()
+    return len(text) - at >= LONG_RUN
+
+
 _CODEC: dict[str, object] = {}
 
 
@@ -59,9 +77,14 @@ class Codec:
             self.sentence_end[k] = t[-1:] in (b".", b"!", b"?", b"\n")
 
     def encode(self, text: str) -> list[int]:
-        if any(t in text for t in self.added):
+        if any(t in text for t in self.added) or has_long_run(text):
+            return self.exact.encode(text, add_special_tokens=False).ids
+        try:
+            return self.fast.encode_ordinary(text)
+        except BaseException as e:  # a panic of the fast tokenizer is no Exception
+            if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit)):
+                raise
             return self.exact.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
 
 
 def codec() -> Codec:
