@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut as cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Rows computed once and kept in the shared checkpoint folder, so a lost executor loses none of them.
-
-    The folder is that of spark.checkpoint.dir; without the setting it lies in
-    the warehouse, which all executors share, or, in a local session, in a
-    temporary folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        local = context.master.startswith("local")
-        context.setCheckpointDir(folder or (tempfile.mkdtemp(prefix="checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"))
-    return df.checkpoint()
-
-
 #: Sides of joins up to this measured size are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 128 << 20
 
