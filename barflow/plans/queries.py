@@ -21,7 +21,7 @@ from ..operators import metrics as mt
 from ..operators import ml, risk, signals, views
 from ..operators.asof import asof_backward
 from ..sources import bars as src
-from ..streaming import live, trading
+from ..streaming import live, stateful, trading
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -962,6 +962,30 @@ def stream_signals(spark, sf_dir):
     return rounded(live.run_available(live.crossing_averages(e)).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
+_SETTLED = "time_bucket(INTERVAL '1 millisecond', max({}))"
+
+
+@query(f"SELECT e.event_id, e.event_type AS symbol, e.ts, p.event_id AS last_purchase FROM events e ASOF LEFT JOIN (SELECT event_id, ts, user_id % 7 AS g FROM events WHERE event_type = 'purchase') p ON e.user_id % 7 = p.g AND e.ts >= p.ts WHERE e.ts <= (SELECT {_SETTLED.format('ts')} FROM events)")
+def stream_asof(spark, sf_dir):
+    """The as-of join of two streams: rows wait in keyed state until the watermark has passed them."""
+    e = live.event_stream(spark, sf_dir).select((F.col("user_id") % 7).alias("g"), "ts", "event_id", F.col("event_type").alias("symbol"))
+    bought = live.event_stream(spark, sf_dir).filter("event_type = 'purchase'").select((F.col("user_id") % 7).alias("g"), "ts", F.col("event_id").alias("last_purchase"))
+    return live.run_available(stateful.asof_stream(e, bought, "g", "ts")).select("event_id", "symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "last_purchase")
+
+
+@query(f"""WITH {_QUOTED}, fl AS (SELECT *, CASE WHEN event_id % 3 > 0 THEN ts + to_seconds(event_id % 60) END AS fill_ts, coalesce(bid > 0 AND ask > 0, false) AS ok FROM qt),
+z AS (SELECT event_id AS order_id, CASE WHEN NOT ok THEN 'market' WHEN fill_ts <= ts + INTERVAL 30 SECOND THEN 'filled' WHEN strategy IN ('view', 'click') THEN 'market' ELSE 'cancelled' END AS outcome,
+  CASE WHEN NOT ok THEN ts WHEN fill_ts <= ts + INTERVAL 30 SECOND THEN fill_ts ELSE ts + INTERVAL 30 SECOND END AS decided_ts, round(CASE WHEN ok THEN (bid + ask) / 2 * CASE WHEN fill_ts <= ts + INTERVAL 30 SECOND THEN CASE WHEN side = 'buy' THEN 1 - 2 / 1e4 ELSE 1 + 2 / 1e4 END ELSE 1 END END, 7) AS intended_price FROM fl)
+SELECT * FROM z WHERE decided_ts <= (SELECT {_SETTLED.format('greatest(ts, fill_ts)')} FROM fl)""")
+def stream_order_life(spark, sf_dir):
+    """The life of entries on streams of orders and fills, timeouts by event-time timers."""
+    k = F.col("event_id")
+    e = live.event_stream(spark, sf_dir).select(k.alias("order_id"), F.when(k % 2 == 0, "buy").otherwise("sell").alias("side"), F.col("event_type").alias("strategy"), F.when(k % 10 == 0, 0.0).otherwise(F.col("value") - 0.005).alias("bid"), (F.col("value") + 0.005).alias("ask"), F.col("ts").alias("submit_ts"))
+    fills = live.event_stream(spark, sf_dir).filter(k % 3 > 0).select(k.alias("order_id"), (F.col("ts") + F.make_dt_interval(secs=(k % 60).cast("double"))).alias("fill_ts"))
+    out = live.run_available(stateful.order_outcomes(e, fills, 30, ["view", "click"]))
+    return rounded(out.select("order_id", "outcome", F.col("decided_ts").cast("timestamp_ntz").alias("decided_ts"), "intended_price"))
+
+
 @query()
 def stream_positions(spark, sf_dir):
     """The batch fold's trades again, from two micro-batches with state between them."""
