@@ -10,6 +10,8 @@ from logging.handlers import RotatingFileHandler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ledger import Ledger, message_key, once
+
 TRADE_COLUMNS = ["symbol", "side", "strategy", "entry_time", "exit_time", "entry_price", "exit_price", "qty", "pnl", "r_multiple", "exit_reason"]
 log = logging.getLogger("barflow")
 
@@ -57,9 +59,20 @@ def write_sensitivity(results: DataFrame, keys: list[str], path: str) -> None:
 
 
 def append_fills(fills: DataFrame, path: str) -> None:
+    """Append to a log that no stream writes; a stream's batches go through fill_batches."""
     fill_log(fills).write.mode("append").option("header", True).csv(path)
 
 
+def fill_batches(ledger: Ledger) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that logs each batch of fills once, under the ledger's folder."""
+    return once(ledger, lambda batch, path: fill_log(batch).write.option("header", True).csv(path))
+
+
+def read_fills(ledger: Ledger) -> DataFrame:
+    """The committed fill log: its thirteen columns as text, and the batch."""
+    return ledger.spark.read.option("header", True).csv(ledger.root)
+
+
 def console(alert: dict) -> None:
     print(f"[{alert['ts']}] {alert['type']}: {alert['title']} {alert['body']}")
 
@@ -76,14 +89,21 @@ def webhook(url: str, timeout: float = 10.0) -> Callable[[dict], None]:
     return send
 
 
-def fan_out(channels: Iterable[Callable[[dict], None]], enabled: set[str] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that sends enabled alerts to every channel; a failing channel is logged and skipped."""
+def fan_out(channels: Iterable[Callable[[dict], None]], enabled: set[str] | None = None, ledger: Ledger | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that sends enabled alerts to every channel; a failing channel is logged and skipped.
+
+    With a ledger an alert goes to a channel once, however often its batch
+    runs: it is entered before it is sent.
+    """
     channels = list(channels)
 
-    def send(batch: DataFrame, _: int) -> None:
+    def send(batch: DataFrame, number: int) -> None:
         rows = batch if enabled is None else batch.filter(F.col("type").isin(*enabled))
+        seen: list[dict[str, int]] = [{} for _ in channels]
         for row in rows.toLocalIterator():
-            for channel in channels:
+            for k, channel in enumerate(channels):
+                if ledger is not None and not ledger.enter(message_key(number, k, row.asDict(), seen[k])):
+                    continue
                 try:
                     channel(row.asDict())
                 except Exception:  # a lost alert must not stop the stream

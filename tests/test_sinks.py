@@ -58,6 +58,73 @@ def test_fill_log(spark, tmp_path):
     assert first["filled"][5:9] == ("1.50000000", "100.00000000", "100.25000000", "25.00") and first["rejected"][1] is None and first["rejected"][6] is None
 
 
+def test_fill_batches_are_written_once(spark, tmp_path):
+    """A batch run twice, one that fails between write and commit, and a query that starts anew."""
+    from barflow.sources.ledger import Ledger
+
+    fills = spark.createDataFrame([(T0, T0, "S", "buy", "m", 1.5, 100.0, 100.25, 25.0, "limit", "filled", "paper", 12.4)], "submit_ts timestamp_ntz, fill_ts timestamp_ntz, symbol string, side string, strategy string, qty double, intended_price double, fill_price double, slippage_bps double, order_type string, status string, broker string, latency_ms double")
+    ledger = Ledger(spark, str(tmp_path), "fills")
+    write = sinks.fill_batches(ledger)
+    write(fills, 0)
+    write(fills, 0)
+    assert sinks.read_fills(ledger).count() == 1
+
+    def crash():
+        raise OSError("lost")
+
+    with pytest.raises(OSError, match="lost"):
+        ledger.write(1, lambda path: sinks.fill_log(fills).write.option("header", True).csv(path), crash)
+    assert sinks.read_fills(ledger).count() == 1 and not ledger.has(1)
+    again = Ledger(spark, str(tmp_path), "fills")
+    for n in (1, 1, 2):
+        sinks.fill_batches(again)(fills, n)
+    got = sinks.read_fills(again)
+    assert got.count() == 3 and len(got.columns) == 14 and {r.batch for r in got.collect()} == {0, 1, 2}
+
+
+def test_streamed_fills_survive_a_failed_batch(spark, tmp_path):
+    """The stream fails after its commit, before its checkpoint knows: the batch runs again and writes nothing."""
+    from barflow.sources.ledger import Ledger
+
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    ledger, runs = Ledger(spark, str(tmp_path), "rows"), []
+
+    def handle(batch, number):
+        ledger.write(number, lambda path: batch.write.parquet(path))
+        runs.append(number)
+        if len(runs) == 1:
+            raise OSError("lost after the commit")
+
+    for _ in range(2):
+        query = spark.readStream.schema("id long").parquet(f"{tmp_path}/in").writeStream.foreachBatch(handle).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        try:
+            query.awaitTermination()
+        except Exception:
+            assert len(runs) == 1
+    assert runs == [0, 0] and spark.read.parquet(ledger.root).count() == 5
+
+
+def test_alerts_are_sent_once(spark, tmp_path):
+    from barflow.sources.ledger import Ledger
+
+    rows = spark.createDataFrame([("EXIT", T0, "a", "b"), ("EXIT", T0, "a", "b"), ("EXIT", T0, "c", "d")], "type string, ts timestamp_ntz, title string, body string")
+    sent, other = [], []
+
+    def stops(alert):
+        sent.append(alert["title"])
+        if len(sent) == 2:
+            raise KeyboardInterrupt  # the driver goes down in the middle of the batch
+
+    send = sinks.fan_out([stops, lambda a: other.append(a["title"])], None, Ledger(spark, str(tmp_path), "alerts"))
+    with pytest.raises(KeyboardInterrupt):
+        send(rows, 7)
+    for _ in range(2):
+        sinks.fan_out([stops, lambda a: other.append(a["title"])], None, Ledger(spark, str(tmp_path), "alerts"))(rows, 7)
+    assert sorted(sent) == ["a", "a", "c"] == sorted(other)
+    send(rows, 8)
+    assert len(sent) == 6
+
+
 def test_alert_channels(spark, capsys):
     got = []
 
