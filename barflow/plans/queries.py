@@ -21,6 +21,8 @@ from ..operators import metrics as mt
 from ..operators import ml, risk, signals, views
 from ..operators.asof import asof_backward
 from ..sources import bars as src
+from ..sources.rollup import Pyramid
+from ..storage import shared_folder
 from ..streaming import live, stateful, trading
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,6 +164,18 @@ def bars_1d_orders(spark, sf_dir):
     return rounded(src.ticks_to_bars(o, "1d"))
 
 
+@query(f"WITH {TICKS}, {bars_sql('b', '15 minutes')}, c AS (SELECT symbol, time_bucket(INTERVAL '4 hours', ts) AS ts, arg_min(px, event_id) AS open, max(px) AS high, min(px) AS low, arg_max(px, event_id) AS close, round(sum(value), 2) AS volume FROM tk GROUP BY 1, 2) SELECT '15m' AS level, symbol, ts, {_OHLCV} FROM b UNION ALL SELECT '4h', symbol, ts, {_OHLCV} FROM c")
+def rollup_levels(spark, sf_dir):
+    """Stored levels of bars after all ticks came in three batches, late ones last."""
+    ticks = src.ticks(t(spark, sf_dir, "events")).persist()
+    pyramid = Pyramid(spark, shared_folder(spark, "pyramid"), ("15m", "1h", "4h", "1d"))
+    for batch, k in enumerate((1, 2, 0)):
+        pyramid.add(ticks.filter(F.col("event_id") % 3 == k), batch)
+    ticks.unpersist()
+    level = lambda tf: pyramid.bars(tf).withColumn("volume", F.round("volume", 2)).withColumn("level", F.lit(tf))
+    return rounded(level("15m").unionByName(level("4h")))
+
+
 @query(f"{B15} SELECT symbol, ts, {_OHLCV}, 'x' AS venue FROM b")
 def bars_normalized(spark, sf_dir):
     raw = bars(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("Date"), "symbol", "open", "high", "low", "close", "volume", F.lit("x").alias("venue"))
