@@ -29,6 +29,7 @@ from ..operators.backtest import fold_rows
 from ..operators.fold import Bar, Simulator, event_frame
 from ..operators.signals import enrich, with_signals
 from ..schema import BAR, EVENT
+from .gates import Calendar, gated
 from .live import stream_bars
 
 HISTORY = f"tf string, place long, {BAR}"
@@ -59,8 +60,12 @@ def fold_account(cfg: dict[str, Any], account: str) -> Callable:
     return fold
 
 
-def trade(bars: DataFrame, cfg: dict[str, Any], folder: str, short: str = "15m", long: str = "1h", history: int = 1000, stale: timedelta = timedelta(days=1), account: str = "live", asset_class: str = "crypto"):  # noqa: ANN201
-    """A stream writer that trades closed bars (see closed_bars); events are parquet under folder/out, one directory a batch."""
+def trade(bars: DataFrame, cfg: dict[str, Any], folder: str, short: str = "15m", long: str = "1h", history: int = 1000, stale: timedelta = timedelta(days=1), account: str = "live", asset_class: str = "crypto", calendar: Calendar | None = None, currencies: DataFrame | None = None, model: str | None = None):  # noqa: ANN201
+    """A stream writer that trades closed bars (see closed_bars); events are parquet under folder/out, one directory a batch.
+
+    calendar (read anew each batch) with currencies, and the path of a saved
+    model, switch on the gates of streaming.gates.
+    """
 
     def handle(batch: DataFrame, number: int) -> None:
         spark, before = batch.sparkSession, number > 0
@@ -77,7 +82,7 @@ def trade(bars: DataFrame, cfg: dict[str, Any], folder: str, short: str = "15m",
         kept = _read(spark, f"{folder}/bars/{number}", HISTORY, True)
         ltf = kept.filter(F.col("tf") == short).drop("tf")
         htf = kept.filter(F.col("tf") == long).drop("tf", "place").withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.lit(float(seconds(long)))))
-        rows = fold_rows(with_signals(enrich(ltf, htf, cfg), cfg), asset_class, F.col("place"), F.to_json("signal").alias("signal"), F.lit(account).alias("run_id"))
+        rows = fold_rows(gated(with_signals(enrich(ltf, htf, cfg), cfg), calendar, currencies, model, cfg), asset_class, F.col("place"), F.to_json("signal").alias("signal"), F.lit(account).alias("run_id"))
         known = ltf.withColumn("next", F.lead("ts").over(Window.partitionBy("symbol").orderBy("ts"))).groupBy("symbol").agg(F.max("ts").alias("last"), F.max(F.when(F.col("next").isNotNull(), F.col("ts"))).alias("ready"))
         end = known.agg(F.max("last")).first()[0]
         until = known.filter(F.col("last") >= F.lit(end - stale)).agg(F.min("ready")).first()[0] if end else None
