@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, expand_grid, faults, set_path
 from ..schema import EVENT
+from ..sources.bars import small
 from .fold import Bar, Simulator, event_frame
 from .signals import STRATEGIES, enrich, regime, select_signal, with_signals
 
@@ -81,10 +82,12 @@ def run_windows(ltf: DataFrame, htf: DataFrame, windows: list[dict], cfg: dict =
     A window's bars are a series of their own, named by window and symbol, so
     every window function is partitioned by both.
     """
-    frame = F.broadcast(ltf.sparkSession.createDataFrame([(str(w["window"]), str(w["test_start"]), str(w["test_end"])) for w in windows], "w string, a string, b string").select("w", F.col("a").cast("timestamp_ntz").alias("a"), F.col("b").cast("timestamp_ntz").alias("b")))  # as many rows as windows
+    frame = ltf.sparkSession.createDataFrame([(str(w["window"]), str(w["test_start"]), str(w["test_end"])) for w in windows], "w string, a string, b string").select("w", F.col("a").cast("timestamp_ntz").alias("a"), F.col("b").cast("timestamp_ntz").alias("b"))
+    # a row a day of each window, so that bars meet windows by equal days
+    days = small(frame.filter("a <= b").withColumn("_day", F.explode(F.sequence(F.to_date("a"), F.to_date("b")))))
 
     def inside(bars: DataFrame) -> DataFrame:
-        met = bars.join(frame, (F.col("ts") >= F.col("a")) & (F.col("ts") <= F.col("b")))
+        met = bars.withColumn("_day", F.to_date("ts")).join(days, "_day").filter((F.col("ts") >= F.col("a")) & (F.col("ts") <= F.col("b")))
         return met.select(F.concat_ws("|", "w", "symbol").alias("symbol"), *[c for c in bars.columns if c != "symbol"])
 
     rows = prepared(inside(ltf), inside(htf), cfg)

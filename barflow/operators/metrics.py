@@ -194,9 +194,9 @@ def monte_carlo(trades: DataFrame, n_runs: int = 1000, seed: int = 42, start: fl
     returns = mc_returns(trades, start)
     if n > sent:
         return mc_paths(mc_draws(spark, n_runs, n, n, seed), returns, start, ruin)
-    rows = returns.collect()
+    rows = returns.toArrow()
     array = np.zeros(n)
-    array[[r["idx"] for r in rows]] = [r["r"] for r in rows]
+    array[rows["idx"].to_numpy()] = rows["r"].to_numpy()
     held = spark.sparkContext.broadcast(array)
 
     def fold(batches):  # noqa: ANN001, ANN202
