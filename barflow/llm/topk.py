@@ -1,23 +1,29 @@
 """Exact top-k inner-product search over an impact-ordered score-at-a-time index.
 
-Components are quantised to integers.  A dimension of an index block is a
-posting list, cut into segments by quantised impact, the number of bits of a
-component: a segment holds the postings of one dimension and one level.  For a
-query, the impact of a segment is the level plus the number of bits of the
-query's own component there, so a unit more doubles what a posting can add.
-Segments of all lists are processed by descending impact and added to
-accumulators.  The search stops only on proof: what the segments of lower
-impact can still add to a vector is bounded, level by level, by
-Cauchy-Schwarz; once the k best lower bounds leave few possible members, those
-are rescored exactly.
-
-Queries and index are cut into blocks by hash; each pair of blocks is one
-bounded task, and only k rows a query and block are shuffled on.
+Components are quantised to integers.  An index block keeps a posting list for
+each dimension: the rows with a non-zero component there and its value, ordered
+by descending quantised impact, the number of bits of the value.  The postings
+of one dimension and one impact are a segment.  For a query, the impact of a
+segment is that number plus the number of bits of the query's own component, so
+a unit more doubles what a posting can add.  Segments of all lists are taken by
+descending impact and added to the accumulators of their rows; a posting that
+is not reached costs nothing.  The search stops only on proof: what the
+segments of lower impact can still add to a row is bounded, level by level, by
+Cauchy-Schwarz; rows whose upper bound is below the k-th lower bound are out,
+and as soon as scoring the possible members exactly takes fewer products than
+the postings left, they are scored exactly.
+
+Queries and index are cut by hash into groups of bounded size; each pair of
+groups is one task, and only k rows a query and group are shuffled on.  The
+index passes the shuffle once per QUERY_ROWS queries, the queries once per
+group of the index.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part; shorter vectors count as padded with zeros; equal scores go to
 the smaller id; rows sharing an id are separate candidates but never answers
-to a query of that id; empty tables give no rows.
+to a query of that id; empty tables give no rows.  Equal rows are searched
+once: of those in the index k are kept, as no query can name more, and queries
+are repeated in the result.
 """
 
 from __future__ import annotations
@@ -31,28 +37,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 64
-QUERY_BLOCK, INDEX_BLOCK = 2048, 8192
-#: Impact levels of an index at most, the lowest joined; possible members below this share of a block are rescored.
-LEVELS, FEW = 8, 0.04
-#: Queries searched together.
-TOGETHER = 64
-RESULT = "query_row long, query_id long, vec_id long, score long"
+#: Rows of an index block, whose accumulators are one array; of a group of blocks, the index side of a task, at most; of its queries.
+INDEX_BLOCK, INDEX_ROWS, QUERY_ROWS = 8192, 131_072, 131_072
+#: Impact levels of an index at most, the lowest joined.
+LEVELS = 8
+RESULT = "query_row long, query_id long, vec_id long, score long, copies long"
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """id and integer components of the vectors that take part."""
+    """id and integer components of the vectors that take part, equal rows once with their number."""
     x = F.col(vec_col)
     fit = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return vectors.filter(fit).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double"))).cast("array<long>").alias("q"))
+    rows = vectors.filter(fit).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double"))).cast("array<long>").alias("q"))
+    return rows.groupBy("id", "q").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def _pack(key: tuple, rows: pa.Table) -> pa.Table:
+    """A group as one row: ids, numbers of copies, and components in the narrowest whole-number type."""
     q = rows.column("q").combine_chunks()
     sizes = np.diff(q.offsets.to_numpy())
     dims = int(sizes.max(initial=0))
     m = np.zeros((len(sizes), dims), np.int64)
     m[np.arange(dims)[None, :] < sizes[:, None]] = q.flatten().to_numpy()
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "dims": pa.array([dims], pa.int64()), "ids": pa.array([rows.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()), "m": pa.array([m.tobytes()], pa.binary())})
+    narrow = next(t for t in (np.int16, np.int32, np.int64) if m.min(initial=0) >= np.iinfo(t).min and m.max(initial=0) <= np.iinfo(t).max)
+    whole = lambda name: pa.array([rows.column(name).to_numpy().astype(np.int64).tobytes()], pa.binary())
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "dims": pa.array([dims], pa.int64()), "kind": pa.array([np.dtype(narrow).str]), "ids": whole("id"), "copies": whole("copies"), "m": pa.array([m.astype(narrow).tobytes()], pa.binary())})
+
+
+PACKED = "block long, dims long, kind string, ids binary, copies binary, m binary"
+
+
+def _unpacked(rows: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    for x in rows.to_pylist():
+        ids = np.frombuffer(x["ids"], np.int64)
+        yield x["block"], ids, np.frombuffer(x["copies"], np.int64), np.frombuffer(x["m"], x["kind"]).reshape(len(ids), x["dims"])
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -61,86 +79,77 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Posting segments of an index block by impact level, and the norm of each vector's components of a level."""
-
-    def __init__(self, ids: bytes, m: bytes, dims: int):
-        self.ids = np.frombuffer(ids, np.int64)
-        self.m = np.frombuffer(m, np.int64).reshape(len(self.ids), dims)
-        bits = _bits(self.m)
-        found = np.unique(bits[bits > 0])
-        self.levels = found[-LEVELS:]
-        bits = np.where(bits > 0, np.maximum(bits, self.levels.min(initial=99)), 0)
-        self.most = float(np.abs(self.m).max(initial=0))
-        lists = np.ascontiguousarray(self.m.T)
-        kept = [np.where(bits.T == b, lists, 0) for b in self.levels]
-        self.segments = [x.astype(np.float64) for x in kept] if self.most >= 1 << 12 else [x.astype(np.float32) for x in kept]
-        self.norms = np.array([np.sqrt((x.astype(np.float64) ** 2).sum(axis=0)) for x in kept]).reshape(len(kept), len(self.ids))
-
-
-def search(block: Block, qs: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the positions and scores of every vector of the block that can be among its k best with a score of at least `floor`.
-
-    qs: one query a row.  A step takes the segments of one impact of all
-    queries that are not settled yet; the first takes those of impacts too high
-    to prove anything after them.
+    """Posting lists of an index block, and the norm of each row's components of an impact level."""
+
+    def __init__(self, ids: np.ndarray, m: np.ndarray):
+        self.ids, self.m = ids, m
+        n, dims = m.shape
+        bits = _bits(m)
+        self.levels = np.unique(bits[bits > 0])[-LEVELS:][::-1]
+        row, dim = np.nonzero(m)
+        level = np.searchsorted(-self.levels, -np.maximum(bits[row, dim], self.levels.min(initial=99)))
+        place = dim * max(len(self.levels), 1) + level
+        order = np.argsort(place, kind="stable")
+        self.rows = row[order]
+        self.values = m[row, dim][order].astype(np.float64)
+        #: ends[d, l]: where the postings of dimension d with the l highest impacts end
+        self.ends = np.searchsorted(place[order], np.arange(dims)[:, None] * max(len(self.levels), 1) + np.arange(len(self.levels) + 1)[None, :])
+        self.most = float(np.abs(self.values).max(initial=0))
+        squares = [np.bincount(row[level == k], m[row, dim][level == k].astype(np.float64) ** 2, n) for k in range(len(self.levels))]
+        self.norms = np.sqrt(np.array(squares)).reshape(len(self.levels), n)
+
+
+def search(block: Block, q: np.ndarray, own: int, k: int, floor: float = -math.inf) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions and scores of all rows of the block that can be among the query's k best with a score of at least `floor`, and the products made.
+
+    The first step takes the segments of all impacts too high to prove anything
+    before them, each later step those of one impact less.
     """
-    dims = min(qs.shape[1], block.m.shape[1])
-    qs, n = qs[:, :dims], len(block.ids)
-    live = [np.arange(n)] * len(qs)
-    largest = float(np.abs(qs).max(initial=0)) * block.most * max(dims, 1)
-    if 0 < largest < 2**53 and n > k:  # so that accumulators hold whole numbers exactly
-        kind = np.float32 if largest < 2**24 else np.float64
-        bits, squares = _bits(qs), qs.astype(np.float64) ** 2
-        energy = np.maximum(squares.sum(axis=1), 1e-9)
-        floats = qs.astype(kind)
-        rest = lambda rows, e: np.stack([np.where(bits[rows] < e - b, squares[rows], 0).sum(axis=1) for b in block.levels], axis=1)
-        impacts = sorted({int(a + b) for a in np.unique(bits[bits > 0]) for b in block.levels}, reverse=True)
-        start = next((e for e in impacts if (rest(slice(None), e).min(axis=1) <= 0.1 * energy).mean() > 0.5), impacts[-1])
-        open_, acc, theta = np.arange(len(qs)), np.zeros((len(qs), n), kind), np.array(floor, np.float64)
-        for e in impacts[impacts.index(start) :]:
-            for b, segment in zip(block.levels, block.segments, strict=True):
-                of_impact = bits[open_] >= e - b if e == start else bits[open_] == e - b
-                of_impact &= bits[open_] > 0
-                if of_impact.any():
-                    acc += np.where(of_impact, floats[open_], kind(0)) @ segment[:dims].astype(kind, copy=False)
-            slack = (np.sqrt(rest(open_, e)) @ block.norms) * (1 + 1e-6) + 1e-3 if e != impacts[-1] else np.zeros((len(open_), 1))
-            going = []
-            for j, i in enumerate(open_.tolist()):
-                least = (acc[j] - slack[j])[block.ids != own[i]]  # rows of the query's own id are no answers, so they bound nothing
-                if len(least) > k:
-                    theta[i] = max(theta[i], float(np.partition(least, len(least) - k)[len(least) - k]))
-                live[i] = np.flatnonzero(acc[j] + slack[j] >= theta[i])
-                if len(live[i]) > FEW * n + k:
-                    going.append(j)
-            open_, acc = open_[going], acc[going]
-            if not len(open_):
+    dims = min(len(q), block.m.shape[1])
+    q, n, spent = q[:dims].astype(np.int64), len(block.ids), 0
+    others = block.ids != own  # rows of the query's own id are no answers, so they bound nothing
+    live = np.flatnonzero(others)
+    used = np.flatnonzero(q)
+    if 0 < float(np.abs(q).max(initial=0)) * block.most * max(dims, 1) < 2**53 and len(live) > k:  # so that accumulators hold whole numbers exactly
+        bits, squares, factors = _bits(q[used]), q[used].astype(np.float64) ** 2, q[used].astype(np.float64)
+        impacts = np.unique(bits[:, None] + block.levels[None, :])[::-1]
+        rest = [np.where(bits[:, None] + block.levels[None, :] < e, squares[:, None], 0).sum(axis=0) for e in impacts]
+        start = next((s for s, r in enumerate(rest) if r.min() <= 0.1 * squares.sum()), len(rest) - 1)
+        acc, at = np.zeros(n), block.ends[used, 0].copy()
+        left = int((block.ends[used, -1] - at).sum())
+        for e, r in zip(impacts[start:], rest[start:], strict=True):
+            upto = block.ends[used, (bits[:, None] + block.levels[None, :] >= e).sum(axis=1)]
+            parts = [(slice(at[d], upto[d]), factors[d]) for d in np.flatnonzero(upto > at)]
+            if parts:
+                acc += np.bincount(np.concatenate([block.rows[p] for p, _ in parts]), np.concatenate([block.values[p] * f for p, f in parts]), n)
+            taken = int((upto - at).sum())
+            spent, left, at = spent + taken, left - taken, upto
+            slack = (np.sqrt(r) @ block.norms) * (1 + 1e-6) + 1e-3 if left else np.zeros(n)
+            least = (acc - slack)[live] if len(live) < n else acc - slack
+            floor = max(floor, float(np.partition(least, len(least) - k)[len(least) - k])) if len(least) > k else floor
+            live = live[(acc + slack)[live] >= floor]
+            if not left:
+                return live, acc[live].astype(np.int64), spent
+            if len(live) * dims <= left:
                 break
-    out = []
-    for i, at in enumerate(live):
-        scores = block.m[at, :dims] @ qs[i].astype(np.int64)
-        keep = block.ids[at] != own[i]
-        out.append((at[keep], scores[keep]))
-    return out
+    return live, block.m[live, :dims].astype(np.int64) @ q, spent + len(live) * dims
 
 
 def _search_pairs(k: int):  # noqa: ANN202
     def pair(key: tuple, index: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = []
-        blocks = [Block(*x) for x in zip(index.column("ids").to_pylist(), index.column("m").to_pylist(), index.column("dims").to_pylist(), strict=True)]
-        for number, ids, m, dims in zip(queries.column("block").to_pylist(), queries.column("ids").to_pylist(), queries.column("m").to_pylist(), queries.column("dims").to_pylist(), strict=True):
-            ids = np.frombuffer(ids, np.int64)
-            qs = np.frombuffer(m, np.int64).reshape(len(ids), dims)
-            for first in range(0, len(ids), TOGETHER):
-                own = ids[first : first + TOGETHER]
-                best, floor = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(own), np.full(len(own), -math.inf)
+        blocks = [Block(ids[s : s + INDEX_BLOCK], m[s : s + INDEX_BLOCK]) for _, ids, _, m in _unpacked(index) for s in range(0, len(ids), INDEX_BLOCK)]
+        for number, ids, copies, m in _unpacked(queries):
+            for j, (own, q) in enumerate(zip(ids, m, strict=True)):
+                vec, score, floor = np.zeros(0, np.int64), np.zeros(0, np.int64), -math.inf
                 for b in blocks:
-                    for j, (at, s) in enumerate(search(b, qs[first : first + TOGETHER], own, k, floor)):
-                        vec, score = np.concatenate([best[j][0], b.ids[at]]), np.concatenate([best[j][1], s])
-                        top = np.lexsort((vec, -score))[:k]
-                        best[j], floor[j] = (vec[top], score[top]), float(score[top][-1]) if len(top) == k else -math.inf
-                for j, (vec, score) in enumerate(best):
-                    out.append([np.full(len(vec), (number << 32) + first + j), np.full(len(vec), own[j]), vec, score])
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+                    at, s, _ = search(b, q, own, k, floor)
+                    vec, score = np.concatenate([vec, b.ids[at]]), np.concatenate([score, s])
+                    top = np.lexsort((vec, -score))[:k]
+                    vec, score = vec[top], score[top]
+                    floor = float(score[-1]) if len(top) == k else floor
+                out.append([np.full(len(vec), (number << 32) + j), np.full(len(vec), own), vec, score, np.full(len(vec), copies[j])])
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in RESULT.split(", ")])
 
     return pair
@@ -148,14 +157,16 @@ def _search_pairs(k: int):  # noqa: ANN202
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = SCALE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best other vectors of each query, ties to the smaller id."""
-    index = quantised(vectors, id_col, vec_col, scale)
-    queries = quantised(vectors.filter(is_query), id_col, vec_col, scale)
+    index = quantised(vectors, id_col, vec_col, scale).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
+    queries = quantised(vectors.filter(is_query), id_col, vec_col, scale).withColumn("copy", F.lit(1))
     n, nq = index.count(), queries.count()
-    groups, blocks = max(1, math.ceil(n / INDEX_BLOCK)), max(1, math.ceil(nq / QUERY_BLOCK))
-    packed = "block long, dims long, ids binary, m binary"
-    hashed = lambda df, parts: df.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("long")).groupBy("part").applyInArrow(_pack, packed)
+    # small tables are cut finer, so that every core has pairs to search; the result is the same
+    rows = min(INDEX_ROWS, max(INDEX_BLOCK, math.ceil(n / (2 * vectors.sparkSession.sparkContext.defaultParallelism))))
+    groups, blocks = max(1, math.ceil(n / rows)), max(1, math.ceil(nq / QUERY_ROWS))
+    hashed = lambda df, parts: df.withColumn("part", F.pmod(F.xxhash64("id", "q", "copy"), F.lit(parts)).cast("long")).groupBy("part").applyInArrow(_pack, PACKED)
     i = hashed(index, groups).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("pair", F.col("block") * blocks + F.col("other"))
     q = hashed(queries, blocks).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("pair", F.col("other") * blocks + F.col("block"))
     found = i.groupBy("pair").cogroup(q.groupBy("pair")).applyInArrow(_search_pairs(k), RESULT)
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc("vec_id")))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return best.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
