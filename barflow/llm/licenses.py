@@ -8,8 +8,12 @@ MIN_PROBABILITY and a template of the family has MIN_OVERLAP of its n-grams in
 the paragraph.  Paragraphs are lines, and runs of adjacent lines without a
 blank one between them, as a wrapped notice is torn over several: runs have
 RUN_LINES lines and RUN_WORDS words at most (more than any template has).  Of
-notices that share a line, the one with most of a template's n-grams counts,
-then the shortest, then the first.
+all sets of notices that share no line, the one that matches most n-grams of
+templates in all counts, then the one of fewest notices, then of fewest lines,
+then the one that ends first: a wrapped notice outweighs its own pieces, and
+notices on adjacent lines outweigh the run that holds them.  The set comes from
+a dynamic program along the lines whose state is the last RUN_LINES of them, so
+time grows with the number of notices, however many stand in one text.
 
 Only runs that hold a word of `gate()` are classified.  The gate follows from
 the templates and loses nothing: of each template it has so many words that
@@ -17,8 +21,9 @@ the n-grams without them are less than MIN_OVERLAP of it, so a run with none of
 its words confirms no template (tests compare with a scan of all runs).
 
 The model is small and fixed in size (it is fitted on the sentences below), so
-its tables are literals of the plan: one narrow pass, no join, no shuffle, no
-Python on the executors.  Defined results: a null or empty text has no
+its tables are literals of the plan, n-grams in buckets by crc32: one narrow
+pass, no join, no shuffle, no Python on the executors.  The default model is
+fitted once a process.  Defined results: a null or empty text has no
 paragraph; a text without a family has null license and probability 0; ties go
 to the family first by name; repeated rows each give a row; other columns are
 ignored, whatever their names.
@@ -26,7 +31,10 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -34,6 +42,8 @@ from pyspark.sql import functions as F
 
 MIN_PROBABILITY, MIN_OVERLAP = 0.5, 0.62
 RUN_LINES, RUN_WORDS = 16, 60
+#: Buckets of the table of weights.
+BUCKETS = 512
 
 # Notices of public licence families, in their usual words; each is a template and a training paragraph.
 TEMPLATES = {
@@ -159,8 +169,14 @@ class Model:
         return w, b
 
 
-def _strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+@cache
+def default_model() -> Model:
+    return Model()
+
+
+def _constant(value: object, kind: str) -> Column:
+    """The value as one literal of that type."""
+    return F.from_json(F.lit(json.dumps({"v": value})), f"v {kind}")["v"]
 
 
 def _grams(paragraph: Column) -> Column:
@@ -175,25 +191,29 @@ def _let(value: Column, use) -> Column:  # noqa: ANN001
 
 
 def _judge(paragraph: Column, model: Model) -> Column:
-    """Struct of probability, family, overlap and matched n-grams of the likeliest family of one paragraph."""
-    table = F.create_map(*[x for g, row in zip(model.vocabulary, model.weights, strict=True) for x in (F.lit(g), F.array(*[F.lit(float(round(v, 6))) for v in row]))])
-    bias = F.array(*[F.lit(float(v)) for v in model.bias])
-    templates = F.array(*[F.array(*[_strings(sorted(grams(t))) for t in TEMPLATES.get(f, [])]).cast("array<array<string>>") for f in model.families])
+    """Struct of probability, family and matched n-grams (0 without enough overlap) of the likeliest family of one paragraph."""
+    buckets: list[dict] = [{} for _ in range(BUCKETS)]
+    for g, row in zip(model.vocabulary, model.weights, strict=True):
+        buckets[zlib.crc32(g.encode()) % BUCKETS][g] = [round(float(v), 6) for v in row]
+    table = _constant(buckets, "array<map<string, array<double>>>")
+    families, bias = _constant(model.families, "array<string>"), _constant([float(v) for v in model.bias], "array<double>")
+    templates = _constant([[sorted(grams(t)) for t in TEMPLATES.get(f, [])] for f in model.families], "array<array<array<string>>>")
+    weights = lambda g: F.element_at(F.element_at(table, (F.crc32(g.cast("binary")) % BUCKETS).cast("int") + 1), g)
 
     def of_known(known: Column) -> Column:
-        total = F.aggregate(known, F.array(*[F.lit(0.0)] * len(model.families)), lambda acc, g: F.zip_with(acc, F.element_at(table, g), lambda a, b: a + b))
+        total = F.aggregate(known, F.array(*[F.lit(0.0)] * len(model.families)), lambda acc, g: F.zip_with(acc, g["w"], lambda a, b: a + b))
         size = F.sqrt(F.greatest(F.size(known), F.lit(1)).cast("double"))
-        return _let(F.zip_with(total, bias, lambda a, b: (a / size + b) * model.temperature), lambda logits: of_logits(known, logits))
+        return _let(F.zip_with(total, bias, lambda a, b: (a / size + b) * model.temperature), lambda logits: of_logits(F.transform(known, lambda g: g["g"]), logits))
 
     def of_logits(known: Column, logits: Column) -> Column:
+        matched = lambda t: _let(F.size(F.array_intersect(known, t)), lambda n: F.when(n / F.size(t) >= MIN_OVERLAP, n))
         return _let(F.array_max(logits), lambda top: _let(F.array_position(logits, top).cast("int"), lambda k: F.struct(
             (F.lit(1.0) / F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))).alias("probability"),
-            F.element_at(_strings(model.families), k).alias("family"),
-            F.coalesce(F.array_max(F.transform(F.element_at(templates, k), lambda t: F.size(F.array_intersect(known, t)) / F.size(t))), F.lit(0.0)).alias("overlap"),
-            F.coalesce(F.array_max(F.transform(F.element_at(templates, k), lambda t: _let(F.size(F.array_intersect(known, t)), lambda n: F.when(n / F.size(t) >= MIN_OVERLAP, n)))), F.lit(0)).alias("matched"),
+            F.element_at(families, k).alias("family"),
+            F.coalesce(F.array_max(F.transform(F.element_at(templates, k), matched)), F.lit(0)).alias("matched"),
         )))
 
-    return _let(F.array_intersect(_grams(paragraph), _strings(model.vocabulary)), of_known)
+    return _let(F.filter(F.transform(_grams(paragraph), lambda g: F.struct(g.alias("g"), weights(g).alias("w"))), lambda g: g["w"].isNotNull()), of_known)
 
 
 def _runs(lines: Column) -> Column:
@@ -212,20 +232,47 @@ def _runs(lines: Column) -> Column:
     return F.flatten(F.transform(near, from_line))
 
 
+def _chosen(notices: Column) -> Column:
+    """The set of notices (first, last, j; by last line, then first) that share no line and match most: number, families, likeliest one.
+
+    The fold keeps, for the lines that a later notice may begin behind, the best
+    set that ends there at the latest.
+    """
+    state = "struct<last: int, matched: int, n: int, lines: int, families: array<string>, probability: double, license: string>"
+    none = F.struct(F.lit(-1).alias("last"), *[F.lit(0).alias(c) for c in ("matched", "n", "lines")], F.array().cast("array<string>").alias("families"), F.lit(0.0).alias("probability"), F.lit(None).cast("string").alias("license")).cast(state)
+
+    def step(kept: Column, r: Column) -> Column:
+        before = F.element_at(F.filter(kept, lambda s: s["last"] < r["first"]), -1)
+        likelier = lambda s: r["j"]["probability"] > s["probability"]
+        longer = lambda s: F.struct(
+            r["last"].alias("last"), (s["matched"] + r["j"]["matched"]).alias("matched"), (s["n"] + 1).alias("n"), (s["lines"] + r["last"] - r["first"] + 1).alias("lines"),
+            F.array_union(s["families"], F.array(r["j"]["family"])).alias("families"),
+            F.when(likelier(s), r["j"]["probability"]).otherwise(s["probability"]).alias("probability"), F.when(likelier(s), r["j"]["family"]).otherwise(s["license"]).alias("license"),
+        ).cast(state)
+        worth = lambda s: F.struct(s["matched"], -s["n"], -s["lines"])
+        return _let(before, lambda p: _let(longer(p), lambda new: _let(F.element_at(kept, -1), lambda top: F.when(worth(new) <= worth(top), kept).otherwise(
+            _let(F.concat(F.filter(kept, lambda s: s["last"] < r["last"]), F.array(new)), lambda own: F.slice(own, F.greatest(F.size(own) - RUN_LINES, F.lit(1)), RUN_LINES + 1))
+        ))))
+
+    return F.element_at(F.aggregate(notices, F.array(none), step), -1)
+
+
 def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, n_paragraphs, license (likeliest confirmed), probability, licenses (all confirmed), n_notices."""
-    model = model or Model()
+    model = model or default_model()
     hot = f"(?<![a-z0-9])(?:{'|'.join(gate())})(?![a-z0-9])"
     text = F.coalesce(F.col("text"), F.lit(""))
     paragraphs = F.filter(F.split(text, r"\n+"), lambda p: F.length(F.trim(p)) > 0)
     rows = documents.select("doc_id", F.when(F.length(text) > 0, F.size(paragraphs)).otherwise(0).alias("n_paragraphs"), F.when(F.lower(text).rlike(hot), F.split(text, r"\n")).otherwise(F.array().cast("array<string>")).alias("lines"))
     rows = rows.withColumn("lines", F.transform("lines", lambda p, i: F.struct(i.alias("i"), p.alias("text"), F.size(F.regexp_extract_all(p, F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("words"), F.lower(p).rlike(hot).alias("hot"))))
     rows = rows.withColumn("runs", _runs(F.col("lines"))).drop("lines")
-    none = F.struct(F.lit(0.0).alias("probability"), F.lit("unknown").alias("family"), F.lit(0.0).alias("overlap"), F.lit(0).alias("matched"))
-    rows = rows.withColumn("judged", F.transform("runs", lambda r: _let(_judge(r["text"], model), lambda j: F.struct((-j["matched"]).alias("rank"), (r["last"] - r["first"]).alias("more"), r["first"].alias("first"), r["last"].alias("last"), j.alias("j"))))).drop("runs")
-    rows = rows.withColumn("named", F.array_sort(F.filter("judged", lambda r: (r["j"]["family"] != "unknown") & (r["j"]["probability"] >= MIN_PROBABILITY)))).drop("judged")
-    sure = F.filter("named", lambda r: r["j"]["overlap"] >= MIN_OVERLAP)
-    rows = rows.withColumn("sure", F.aggregate(sure, F.slice("named", 1, 0), lambda acc, r: F.when(F.exists(acc, lambda a: (a["first"] <= r["last"]) & (r["first"] <= a["last"])), acc).otherwise(F.concat(acc, F.array(r)))))
-    best = F.reduce(F.transform("sure", lambda r: r["j"]), none, lambda a, b: F.when(b["probability"] > a["probability"], b).otherwise(a))
-    rows = rows.select("doc_id", "n_paragraphs", best.alias("best"), F.array_sort(F.array_distinct(F.transform("sure", lambda r: r["j"]["family"]))).alias("licenses"), F.size("sure").alias("n_notices"))
-    return rows.select("doc_id", "n_paragraphs", F.when(F.col("n_notices") > 0, F.col("best.family")).alias("license"), F.round("best.probability", 6).alias("probability"), F.concat_ws(",", "licenses").alias("licenses"), "n_notices")
+    # equal runs stand together and are judged once
+    rows = rows.withColumn("runs", F.array_sort(F.transform("runs", lambda r: F.struct(r["text"].alias("text"), r["last"].alias("last"), r["first"].alias("first")))))
+    head = lambda r, i: F.when((i == 0) | (F.get("runs", i - 1)["text"] != r["text"]), i)
+    rows = rows.withColumn("heads", F.filter(F.transform("runs", head), lambda i: i.isNotNull()))
+    rows = rows.withColumn("judged", F.transform("heads", lambda i, k: F.struct(i.alias("i"), (F.coalesce(F.get("heads", k + 1), F.size("runs")) - i).alias("n"), _judge(F.get("runs", i)["text"], model).alias("j"))))
+    sure = F.filter("judged", lambda r: (r["j"]["family"] != "unknown") & (r["j"]["probability"] >= MIN_PROBABILITY) & (r["j"]["matched"] > 0))
+    rows = rows.withColumn("sure", F.flatten(F.transform(sure, lambda h: F.transform(F.slice("runs", h["i"] + 1, h["n"]), lambda r: F.struct(r["last"].alias("last"), r["first"].alias("first"), h["j"].alias("j"))))))
+    rows = rows.withColumn("sure", F.array_sort("sure")).drop("judged", "heads", "runs")
+    rows = rows.withColumn("sure", _chosen(F.col("sure")))
+    return rows.select("doc_id", "n_paragraphs", F.col("sure.license").alias("license"), F.round("sure.probability", 6).alias("probability"), F.concat_ws(",", F.array_sort("sure.families")).alias("licenses"), F.col("sure.n").alias("n_notices"))

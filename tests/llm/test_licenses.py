@@ -58,13 +58,18 @@ def brute(text, model):
             shares = [(len(known & licenses.grams(t)), len(licenses.grams(t))) for t in licenses.TEMPLATES.get(family, [])]
             matched = max((a for a, b in shares if a / b >= licenses.MIN_OVERLAP), default=0)
             if family != "unknown" and p.max() >= licenses.MIN_PROBABILITY and matched:
-                found.append((-matched, k, i, i + k - 1, family, p.max()))
-    sure = []
-    for f in sorted(found):
-        if not any(g[2] <= f[3] and f[2] <= g[3] for g in sure):
-            sure.append(f)
-    best = max(sure, key=lambda f: f[5], default=None)
-    return best and best[4], ",".join(sorted({f[4] for f in sure})), len(sure)
+                found.append((i, i + k - 1, family, p.max(), matched))
+    sets = [((0, 0, 0), [])]  # of the lines up to each one: matched, fewest notices, fewest lines; the set itself
+    for e in range(len(lines)):
+        top = sets[-1]
+        for f in sorted(x for x in found if x[1] == e):
+            (m, n, k), own = sets[f[0]]
+            if (m + f[4], n - 1, k - (f[1] - f[0] + 1)) > top[0]:
+                top = (m + f[4], n - 1, k - (f[1] - f[0] + 1)), [*own, f]
+        sets.append(top)
+    sure = sets[-1][1]
+    best = max(sure, key=lambda f: f[3], default=None)
+    return best and best[2], ",".join(sorted({f[2] for f in sure})), len(sure)
 
 
 def test_scan_against_brute_force(spark):
@@ -80,6 +85,7 @@ def test_scan_against_brute_force(spark):
             own = own[int(rng.integers(0, 3)) :] if rng.random() < 0.3 else own
             words += [*own, *rng.choice(["tree", "the", "this", "river", "work", "is", "free"], int(rng.integers(0, 4)))]
         texts.append("".join(w + ("\n" if rng.random() < 0.15 else "\n\n" if rng.random() < 0.03 else " ") for w in words))
+    texts += ["MIT License\n" * 30, "All rights\nreserved.\n" * 12, (GPL + "\n") * 3, BSD + "\n" + MIT + "\n" + APACHE, "MIT License\nISC License\n" * 5]
     texts += [texts[-1], None, "", "\n\n", "the river " * 30_000 + "\nReleased under the MIT License.\n" + "a tree " * 30_000]
     rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, lines string").repartition(4)
     got = {r.doc_id: (r.license, r.licenses, r.n_notices) for r in licenses.scan(rows, model).collect()}
@@ -107,3 +113,26 @@ def test_calibration():
     seen = {t for own in [*licenses.TEMPLATES.values(), licenses.UNKNOWN] for t in own}
     assert not seen & {t for own in licenses.HELD_OUT.values() for t in own}
     assert 0.25 < licenses.Model().temperature < 16
+
+
+def test_adjacent_notices_each_count(spark):
+    rows = spark.createDataFrame([(0, "MIT License\n" * 300), (1, "All rights reserved.\nMIT License"), (2, (GPL + "\n") * 20), (3, MIT + "\n" + MIT)], "doc_id long, text string")
+    assert {r.doc_id: r.n_notices for r in licenses.scan(rows).collect()} == {0: 300, 1: 2, 2: 20, 3: 2}
+
+
+def test_time_grows_with_the_notices(spark):
+    """A text of eight times the notices takes less than sixteen times as long."""
+    import time
+
+    def seconds(n):
+        rows = spark.createDataFrame([(1, "MIT License\nand a tree\n" * n)], "doc_id long, text string")
+        began = time.time()
+        assert licenses.scan(rows).collect()[0].n_notices == n
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(16_000) < 16 * max(seconds(2000), 0.5)
+
+
+def test_default_model_is_fitted_once():
+    assert licenses.default_model() is licenses.default_model()
