@@ -15,8 +15,8 @@ the postings left, they are scored exactly.
 
 Queries and index are cut by hash into groups of bounded size; each pair of
 groups is one task, and only k rows a query and group are shuffled on.  The
-index passes the shuffle once per QUERY_ROWS queries, the queries once per
-group of the index.
+index passes the shuffle once per QUERY_ROWS queries (a small one a few times
+more, so that every core has queries), the queries once per group of the index.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part; shorter vectors count as padded with zeros; equal scores go to
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 SCALE = 64
 #: Rows of an index block, whose accumulators are one array; of a group of blocks, the index side of a task, at most; of its queries.
-INDEX_BLOCK, INDEX_ROWS, QUERY_ROWS = 8192, 131_072, 131_072
+INDEX_BLOCK, INDEX_ROWS, QUERY_ROWS = 32_768, 131_072, 131_072
 #: Impact levels of an index at most, the lowest joined.
 LEVELS = 8
 RESULT = "query_row long, query_id long, vec_id long, score long, copies long"
@@ -110,7 +110,8 @@ def search(block: Block, q: np.ndarray, own: int, k: int, floor: float = -math.i
     others = block.ids != own  # rows of the query's own id are no answers, so they bound nothing
     live = np.flatnonzero(others)
     used = np.flatnonzero(q)
-    if 0 < float(np.abs(q).max(initial=0)) * block.most * max(dims, 1) < 2**53 and len(live) > k:  # so that accumulators hold whole numbers exactly
+    largest = float(np.abs(q).max(initial=0)) * block.most * max(dims, 1)
+    if 0 < largest < 2**53 and len(live) > k:  # so that accumulators hold whole numbers exactly
         bits, squares, factors = _bits(q[used]), q[used].astype(np.float64) ** 2, q[used].astype(np.float64)
         impacts = np.unique(bits[:, None] + block.levels[None, :])[::-1]
         rest = [np.where(bits[:, None] + block.levels[None, :] < e, squares[:, None], 0).sum(axis=0) for e in impacts]
@@ -132,7 +133,8 @@ def search(block: Block, q: np.ndarray, own: int, k: int, floor: float = -math.i
                 return live, acc[live].astype(np.int64), spent
             if len(live) * dims <= left:
                 break
-    return live, block.m[live, :dims].astype(np.int64) @ q, spent + len(live) * dims
+    exact = np.float64 if largest < 2**53 else np.int64
+    return live, (block.m[live, :dims].astype(exact) @ q.astype(exact)).astype(np.int64), spent + len(live) * dims
 
 
 def _search_pairs(k: int):  # noqa: ANN202
@@ -160,12 +162,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = SCALE,
     index = quantised(vectors, id_col, vec_col, scale).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
     queries = quantised(vectors.filter(is_query), id_col, vec_col, scale).withColumn("copy", F.lit(1))
     n, nq = index.count(), queries.count()
-    # small tables are cut finer, so that every core has pairs to search; the result is the same
-    rows = min(INDEX_ROWS, max(INDEX_BLOCK, math.ceil(n / (2 * vectors.sparkSession.sparkContext.defaultParallelism))))
-    groups, blocks = max(1, math.ceil(n / rows)), max(1, math.ceil(nq / QUERY_ROWS))
+    groups, blocks = max(1, math.ceil(n / INDEX_ROWS)), max(1, math.ceil(nq / QUERY_ROWS))
+    # small sets of queries are cut finer, so that every core has a pair to search; the result is the same
+    blocks = max(blocks, min(math.ceil(2 * vectors.sparkSession.sparkContext.defaultParallelism / groups), math.ceil(nq / 64)))
     hashed = lambda df, parts: df.withColumn("part", F.pmod(F.xxhash64("id", "q", "copy"), F.lit(parts)).cast("long")).groupBy("part").applyInArrow(_pack, PACKED)
     i = hashed(index, groups).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("pair", F.col("block") * blocks + F.col("other"))
     q = hashed(queries, blocks).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("pair", F.col("other") * blocks + F.col("block"))
+    tasks = min(groups * blocks, 32_768)
+    i, q = i.repartition(tasks, "pair"), q.repartition(tasks, "pair")
     found = i.groupBy("pair").cogroup(q.groupBy("pair")).applyInArrow(_search_pairs(k), RESULT)
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc("vec_id")))
     best = found.withColumn("rank", rank).filter(F.col("rank") <= k)
