@@ -25,10 +25,10 @@ def event_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> Dat
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{stem}[{last}].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def stream_bars(ticks: DataFrame, timeframe: str, delay: str = "0 seconds", price: str = "value", order: str = "event_id") -> DataFrame:
+def stream_bars(ticks: DataFrame, timeframe: str, delay: str = "0 seconds", price: str = "value", order: str = "event_id", size: str = "value") -> DataFrame:
     """Closed bars only: a bucket appears once the watermark has passed its end and is never revised."""
     w = F.window("ts", f"{seconds(timeframe)} seconds")
-    out = ticks.withWatermark("ts", delay).groupBy("symbol", w.alias("w")).agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.round(F.sum("value"), 2).alias("volume"))
+    out = ticks.withWatermark("ts", delay).groupBy("symbol", w.alias("w")).agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.round(F.sum(size), 2).alias("volume"))
     return out.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
