@@ -177,16 +177,35 @@ def mc_paths(draws: DataFrame, returns: DataFrame, start: float = 100_000.0, rui
     return path.groupBy("run").agg(F.max_by("equity", "k").alias("final_equity"), F.greatest(F.max((F.col("peak") - F.col("equity")) / F.col("peak")), F.lit(0.0)).alias("max_dd"), (F.least(F.min("equity"), F.lit(start)) <= ruin * start).alias("ruined"))
 
 
-#: Trades up to which their returns are sent to all tasks (32 MB), so that a run is drawn and folded where it is numbered.
-MC_SENT = 4_000_000
+#: Trades up to which a task holds all returns (1 GB), so that runs are drawn and folded where they are numbered.
+MC_HELD = 1 << 27
 
 
-def monte_carlo(trades: DataFrame, n_runs: int = 1000, seed: int = 42, start: float = 100_000.0, ruin: float = 0.5, sent: int = MC_SENT) -> DataFrame:
+def mc_blocks(returns: DataFrame) -> DataFrame:
+    """first and r: returns whose places follow one another as one row of packed doubles, an unknown one as 0."""
+
+    def pack(batches):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            idx, r = b.column("idx").to_numpy(), b.column("r").fill_null(0.0).to_numpy()
+            order = np.argsort(idx, kind="stable")
+            idx, r = idx[order], r[order]
+            edges = [0, *(np.flatnonzero(np.diff(idx) != 1) + 1).tolist(), len(idx)]
+            spans = [(x, y) for x, y in zip(edges, edges[1:], strict=False) if x < y]
+            yield pa.RecordBatch.from_arrays([pa.array([int(idx[x]) for x, _ in spans], pa.int64()), pa.array([r[x:y].tobytes() for x, y in spans], pa.binary())], names=["first", "r"])
+
+    return returns.mapInArrow(pack, "first long, r binary")
+
+
+def monte_carlo(trades: DataFrame, n_runs: int = 1000, seed: int = 42, start: float = 100_000.0, ruin: float = 0.5, sent: int = MC_HELD) -> DataFrame:
     """mc_paths of n_runs runs of as many draws as there are trades (seq, pnl).
 
-    Up to `sent` trades, counted first, a task folds whole runs over an array
-    of all returns; beyond, draws meet returns in a join and windows fold them.
-    Both draw the same.
+    Runs are dealt to tasks, and the returns, packed, are shuffled to each of
+    them once: no draw is shuffled, and a task holds the returns and one chunk
+    of draws.  Beyond `sent` trades, counted first, draws meet returns in a join
+    and windows fold them.  Both draw the same.
     """
     import numpy as np
 
@@ -194,28 +213,33 @@ def monte_carlo(trades: DataFrame, n_runs: int = 1000, seed: int = 42, start: fl
     returns = mc_returns(trades, start)
     if n > sent:
         return mc_paths(mc_draws(spark, n_runs, n, n, seed), returns, start, ruin)
-    rows = returns.toArrow()
-    array = np.zeros(n)
-    array[rows["idx"].to_numpy()] = rows["r"].to_numpy()
-    held = spark.sparkContext.broadcast(array)
+    tasks = min(n_runs, 2 * spark.sparkContext.defaultParallelism)
 
     def fold(batches):  # noqa: ANN001, ANN202
-        from hashlib import md5
-
         import pyarrow as pa
 
-        r = held.value * start
+        from ..functions.draws import draws
+
+        r, task = None, None
         for b in batches:
-            out = []
-            for run in b.column("run").to_pylist() if n else []:
-                head = f"{seed}:{run}:"
-                at = np.fromiter((int.from_bytes(md5(f"{head}{k}".encode()).digest()[:4], "big") for k in range(n)), np.int64, n) % n
-                equity = start + np.cumsum(r[at])
-                peak = np.maximum(np.maximum.accumulate(equity), start)
-                out.append((run, float(equity[-1]), max(float(((peak - equity) / peak).max()), 0.0), min(float(equity.min()), start) <= ruin * start))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.float64(), pa.float64(), pa.bool_()), strict=True)], names=["run", "final_equity", "max_dd", "ruined"])
-
-    return spark.range(n_runs).repartition(min(n_runs, 4 * spark.sparkContext.defaultParallelism)).withColumnRenamed("id", "run").mapInArrow(fold, "run long, final_equity double, max_dd double, ruined boolean")
+            r = np.zeros(n) if r is None else r
+            for task, first, packed in zip(b.column("task").to_pylist(), b.column("first").to_pylist(), b.column("r"), strict=True):
+                part = np.frombuffer(packed.as_buffer(), np.float64)
+                r[first : first + len(part)] = part * start
+        for run in range(task, n_runs, tasks) if r is not None else ():
+            total, peak, low, fall = 0.0, start, start, 0.0
+            for k in range(0, n, MC_BLOCK):
+                step = r[draws(f"{seed}:{run}:", k, min(k + MC_BLOCK, n), n)]
+                step[0] += total
+                np.cumsum(step, out=step)
+                total = step[-1]
+                equity = start + step
+                peaks = np.maximum(np.maximum.accumulate(equity), peak)
+                peak, low, fall = peaks[-1], min(low, equity.min()), max(fall, ((peaks - equity) / peaks).max())
+            yield pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), pa.array([float(start + total)]), pa.array([float(fall)]), pa.array([bool(low <= ruin * start)])], names=["run", "final_equity", "max_dd", "ruined"])
+
+    dealt = mc_blocks(returns).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(max(tasks, 1) - 1))))
+    return dealt.repartitionById(max(tasks, 1), "task").mapInArrow(fold, "run long, final_equity double, max_dd double, ruined boolean")
 
 
 def mc_summary(paths: DataFrame, start: float = 100_000.0) -> DataFrame:

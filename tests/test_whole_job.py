@@ -176,3 +176,27 @@ def test_monte_carlo_by_join_equals_monte_carlo_by_task(spark):
     assert two[0].keys() == two[1].keys() and all(a[:2] == pytest.approx(two[1][k][:2], abs=1e-6) and a[2] == two[1][k][2] for k, a in two[0].items())
     assert len({a[2] for a in two[0].values()}) == 2
     assert mt.monte_carlo(tr.filter("false"), 5).count() == 0
+
+
+def test_draws_are_those_of_hashlib():
+    from barflow.functions.draws import draws
+
+    for head in ("42:0:", "42:999:", f"{10**30}:12345:"):
+        for first, stop in ((0, 1), (0, 1200), (9_990, 10_020), (999_995, 1_000_005)):
+            want = [int(hashlib.md5(f"{head}{k}".encode()).hexdigest()[:8], 16) % 9_000_000 for k in range(first, stop)]
+            assert draws(head, first, stop, 9_000_000).tolist() == want
+
+
+def test_monte_carlo_shuffles_no_draw_and_collects_no_return(spark, monkeypatch):
+    """Beyond four million trades every draw was a shuffled row; below, all returns went through the driver."""
+    rng = random.Random(4)
+    tr = spark.createDataFrame([(k * 3, None if k == 5 else rng.gauss(0, 500)) for k in range(700)], "seq long, pnl double")
+    want = {r.run: (r.final_equity, r.max_dd, r.ruined) for r in mt.monte_carlo(tr, 37, start=9000.0, sent=0).collect()}
+    for name in ("mc_draws", "mc_paths"):
+        monkeypatch.setattr(mt, name, lambda *_: pytest.fail("draws are rows"))
+    monkeypatch.setattr(type(tr), "toArrow", lambda _: pytest.fail("returns on the driver"))
+    monkeypatch.setattr(mt, "MC_BLOCK", 64)
+    paths = mt.monte_carlo(tr, 37, start=9000.0)
+    got = {r.run: (r.final_equity, r.max_dd, r.ruined) for r in paths.collect()}
+    assert got.keys() == want.keys() and all(g[:2] == pytest.approx(want[k][:2], abs=1e-6) and g[2] == want[k][2] for k, g in got.items())
+    assert mt.MC_HELD > 9_000_000
