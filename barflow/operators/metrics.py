@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import series
+from ..functions.texts import fixed
 
 YEAR = 252
 
@@ -75,7 +76,7 @@ def with_empty_runs(metrics: DataFrame, runs: DataFrame, key: str = "run_id") ->
 
 
 def summary_text(m: Column | None = None) -> Column:
-    return F.format_string("trades %d | return %.2f%% | win %.1f%% | PF %.2f | Sharpe %.2f | Sortino %.2f | max DD %.2f%%", F.col("n_trades"), F.col("total_return_pct") * 100, F.col("win_rate") * 100, F.col("profit_factor"), F.col("sharpe"), F.col("sortino"), F.col("max_dd_pct") * 100)
+    return F.format_string("trades %d | return %s%% | win %s%% | PF %s | Sharpe %s | Sortino %s | max DD %s%%", F.col("n_trades"), fixed(F.col("total_return_pct") * 100, 2), fixed(F.col("win_rate") * 100, 1), fixed("profit_factor", 2), fixed("sharpe", 2), fixed("sortino", 2), fixed(F.col("max_dd_pct") * 100, 2))
 
 
 def add_months(d: dt.datetime, n: int) -> dt.datetime:
@@ -260,5 +261,5 @@ def sensitivity_text(keys: list[str]) -> Column:
     """Text of a row of sensitivity_summary over the parameters named."""
     own = "[" + ", ".join(repr(k) for k in keys) + "]"
     none = F.when(F.col("combos") == 0, "Sensitivity: no results.").when(F.col("sharpe_mean").isNull(), F.format_string("Sensitivity (%d configs): no completed runs.", "combos"))
-    text = F.format_string(f"Sensitivity (%d configs over {own}):\n  Sharpe        mean=%.2f  std=%.2f  min=%.2f  max=%.2f\n  Profit Factor mean=%.2f  std=%.2f\n  Stability (mean/std Sharpe): %.2f", "combos", "sharpe_mean", "sharpe_std", "sharpe_min", "sharpe_max", "pf_mean", "pf_std", "stability")
+    text = F.format_string(f"Sensitivity (%d configs over {own}):\n  Sharpe        mean=%s  std=%s  min=%s  max=%s\n  Profit Factor mean=%s  std=%s\n  Stability (mean/std Sharpe): %s", "combos", *[fixed(c, 2) for c in ("sharpe_mean", "sharpe_std", "sharpe_min", "sharpe_max", "pf_mean", "pf_std", "stability")])
     return F.coalesce(none, text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.texts import fixed
 from ..sources.bars import latest
 
 
@@ -50,11 +51,11 @@ def halt_edges(marks: DataFrame, limit: float = 0.04, *key: str) -> DataFrame:
 
 
 def entry_text() -> Column:
-    return F.format_string("ENTRY %s %s %s @ %.4f stop %.4f target %.4f", F.upper("side"), F.col("symbol"), F.col("strategy"), F.col("entry"), F.col("stop"), F.col("take_profit"))
+    return F.format_string("ENTRY %s %s %s @ %s stop %s target %s", F.upper("side"), F.col("symbol"), F.col("strategy"), fixed("entry", 4), fixed("stop", 4), fixed("take_profit", 4))
 
 
 def exit_text() -> Column:
-    return F.format_string("EXIT %s %s %s pnl %.2f (%.2fR)", F.upper("side"), F.col("symbol"), F.col("exit_reason"), F.col("pnl"), F.col("r_multiple"))
+    return F.format_string("EXIT %s %s %s pnl %s (%sR)", F.upper("side"), F.col("symbol"), F.col("exit_reason"), fixed("pnl", 2), fixed("r_multiple", 2))
 
 
 def alerts(trades: DataFrame, enabled: list[str]) -> DataFrame:
@@ -70,18 +71,18 @@ def _alert(kind: str, ts: Column, title: Column, body: Column) -> list[Column]:
 def entry_alerts(entries: DataFrame) -> DataFrame:
     """entries: symbol, side, qty, entry, stop, take_profit, strategy, conviction, ts."""
     rr = F.abs(F.col("take_profit") - F.col("entry")) / F.greatest(F.abs(F.col("entry") - F.col("stop")), F.lit(1e-9))
-    body = F.format_string("`%s` %s qty=%.4f\nEntry: %.4f  Stop: %.4f  Target: %.4f\nStrategy: %s  Conviction: %.2f\nR:R = %.2f", "symbol", "side", "qty", "entry", "stop", "take_profit", "strategy", "conviction", rr)
+    body = F.format_string("`%s` %s qty=%s\nEntry: %s  Stop: %s  Target: %s\nStrategy: %s  Conviction: %s\nR:R = %s", "symbol", "side", fixed("qty", 4), fixed("entry", 4), fixed("stop", 4), fixed("take_profit", 4), "strategy", fixed("conviction", 2), fixed(rr, 2))
     return entries.select(*_alert("ENTRY", F.col("ts"), F.format_string("%s %s entry", "symbol", "side"), body))
 
 
 def exit_alerts(trades: DataFrame) -> DataFrame:
-    body = F.format_string("`%s` %s\nEntry: %.4f  Exit: %.4f\nP&L: $%.2f  R: %.2f\nStrategy: %s  Reason: %s", F.col("symbol"), F.upper("side"), F.col("entry_price"), F.col("exit_price"), F.col("pnl"), F.col("r_multiple"), F.col("strategy"), F.col("exit_reason"))
+    body = F.format_string("`%s` %s\nEntry: %s  Exit: %s\nP&L: $%s  R: %s\nStrategy: %s  Reason: %s", F.col("symbol"), F.upper("side"), fixed("entry_price", 4), fixed("exit_price", 4), fixed("pnl", 2), fixed("r_multiple", 2), F.col("strategy"), F.col("exit_reason"))
     return trades.select(*_alert("EXIT", F.col("exit_time"), F.format_string("%s exit (%s)", "symbol", "exit_reason"), body))
 
 
 def halt_alerts(halts: DataFrame) -> DataFrame:
     """halts: ts, reason, equity, drawdown."""
-    return halts.select(*_alert("HALT", F.col("ts"), F.lit("Trading halted"), F.format_string("Reason: %s\nEquity: $%,.2f\nDrawdown: %.2f%%", F.col("reason"), F.col("equity"), F.col("drawdown") * 100)))
+    return halts.select(*_alert("HALT", F.col("ts"), F.lit("Trading halted"), F.format_string("Reason: %s\nEquity: $%s\nDrawdown: %s%%", F.col("reason"), fixed("equity", 2, grouped=True), fixed(F.col("drawdown") * 100, 2))))
 
 
 def message_alerts(messages: DataFrame, kind: str = "INFO") -> DataFrame:
@@ -91,7 +92,7 @@ def message_alerts(messages: DataFrame, kind: str = "INFO") -> DataFrame:
 
 def summary_alerts(days: DataFrame) -> DataFrame:
     """days: ts, equity, day_pnl, day_pct, trades, win_rate, open_positions."""
-    body = F.format_string("Equity: $%,.2f\nDay P&L: $%+,.2f (%+.2f%%)\nTrades today: %d  Win rate: %.1f%%\nOpen positions: %d", F.col("equity"), F.col("day_pnl"), F.col("day_pct") * 100, F.col("trades"), F.col("win_rate") * 100, F.col("open_positions"))
+    body = F.format_string("Equity: $%s\nDay P&L: $%s (%s%%)\nTrades today: %d  Win rate: %s%%\nOpen positions: %d", fixed("equity", 2, grouped=True), fixed("day_pnl", 2, grouped=True, signed=True), fixed(F.col("day_pct") * 100, 2, signed=True), F.col("trades"), fixed(F.col("win_rate") * 100, 1), F.col("open_positions"))
     return days.select(*_alert("SUMMARY", F.col("ts"), F.lit("Daily summary"), body))
 
 

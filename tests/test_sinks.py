@@ -5,6 +5,7 @@ import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +253,19 @@ def test_texts(spark):
     none = mt.sensitivity_summary(mt.compute_metrics(q.trades(spark, "/root/testdata/sf0.001").filter("false")))
     assert none.select(mt.sensitivity_text(["a"])).first()[0] == "Sensitivity: no results."
     assert views.message_alerts(row.select(F.lit(T0).alias("ts"), F.lit("x").alias("body")), "ERROR").first().title == "Error"
+
+
+def test_numbers_in_texts_are_rounded_by_their_exact_value(spark):
+    """3.945 is a little less than it says and 0.125 an exact half; format_string gave 3.95 and 0.13."""
+    from barflow.functions.texts import fixed
+
+    rng = np.random.default_rng(2)
+    values = [3.945, 1.005, 0.125, 0.375, -0.125, -0.001, 0.0, 1234567.125, -9876543.215, 1e12 + 0.125, *(float(x) for x in (rng.integers(-(10**9), 10**9, 3000) / 1000)), *(float(x) for x in rng.integers(-(10**7), 10**7, 3000) / 10000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (0, 1, 2, 4):
+        got = df.select("v", fixed("v", places), fixed("v", places, grouped=True), fixed("v", places, grouped=True, signed=True)).collect()
+        assert [tuple(r[1:]) for r in got] == [(f"{r.v:.{places}f}", f"{r.v:,.{places}f}", f"{r.v:+,.{places}f}") for r in got]
+    trade = spark.createDataFrame([("A", "long", 3.945, 0.789, "stop", T0)], "symbol string, side string, pnl double, r_multiple double, exit_reason string, exit_time timestamp")
+    assert views.alerts(trade, ["EXIT"]).first().body == "EXIT LONG A stop pnl 3.94 (0.79R)"
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "v double")
+    assert [r[0] for r in odd.select(fixed("v", 2)).collect()] == [r[0] for r in odd.select(F.format_string("%.2f", "v")).collect()]
