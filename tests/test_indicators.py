@@ -103,3 +103,33 @@ def test_regimes(spark):
     rng = np.random.default_rng(2)
     wild = 200 + np.cumsum(5 * rng.standard_normal(200))
     assert label(make(spark, wild + abs(5 * rng.standard_normal(200)), wild - abs(5 * rng.standard_normal(200)), wild)) != "trending"
+
+
+def test_returns_over_a_change_of_sign_are_no_numbers(spark):
+    """A window that holds an undefined return is undefined; it was summed without it."""
+    import datetime as dt
+    import math
+
+    from barflow.operators import ml
+
+    closes = [2.0, 1.0, -1.0, -2.0, 0.0, 3.0, 6.0, None, 6.0]
+    df = spark.createDataFrame([("A", dt.datetime(2024, 1, 1, k), c) for k, c in enumerate(closes)], "symbol string, ts timestamp_ntz, close double")
+    r = ml.log_returns((1, 2))
+    got = df.withColumn("_lr", r.pop("_lr")).select("ts", *[c.alias(n) for n, c in r.items()]).orderBy("ts").collect()
+    two = math.log(2)
+    want = [(None, None), (-two, -two), (math.nan, math.nan), (two, math.nan), (-math.inf, -math.inf), (None, -math.inf), (two, two), (None, two), (None, None)]
+    assert repr([tuple(None if x is None else round(x, 9) if math.isfinite(x) else x for x in g[1:]) for g in got]) == repr([tuple(None if x is None else round(x, 9) if math.isfinite(x) else x for x in w) for w in want])
+
+
+def test_features_may_be_there_without_being_finite(spark):
+    from pyspark.sql import functions as F
+
+    from barflow.operators import ml
+    from barflow.plans import queries as q
+
+    rows = q.with_signals(spark, "/root/testdata/sf0.01").persist()
+    whole = ml.feature_matrix(rows, q.CFG).count()
+    odd = rows.withColumn("htf_ret_5", F.lit(float("nan")))
+    assert whole > 0 and ml.feature_matrix(odd, q.CFG).count() == 0 and ml.feature_matrix(odd, q.CFG, finite=False).count() == whole
+    assert ml.feature_matrix(rows.withColumn("htf_ret_5", F.lit(None).cast("double")), q.CFG, finite=False).count() == 0
+    rows.unpersist()
