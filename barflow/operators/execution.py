@@ -84,10 +84,14 @@ def first_fills(orders: DataFrame, bars: DataFrame, bps: float = 3.0) -> DataFra
     return met.select("order_id", "symbol", "side", "type", "qty", "bar_ts", slipped(F.col("fill"), bps).alias("fill_price"))
 
 
-def limit_price(bps: float = 2.0) -> Column:
-    """A passive limit at the middle of a valid quote, less (buy) or more (sell) the offset; NULL means market."""
+def limit_price(bps: float = 2.0, valid: Column | None = None) -> Column:
+    """A passive limit at the middle of a valid quote, less (buy) or more (sell) the offset; NULL means market.
+
+    A quote is valid if both its sides are above zero; valid: another rule, for
+    instruments whose prices may be zero or less.
+    """
     mid = (F.col("bid") + F.col("ask")) / 2
-    ok = (F.col("bid") > 0) & (F.col("ask") > 0)
+    ok = (F.col("bid") > 0) & (F.col("ask") > 0) if valid is None else valid
     return F.when(ok, mid * F.when(F.col("side") == "buy", 1.0 - bps / 1e4).otherwise(1.0 + bps / 1e4))
 
 

@@ -47,3 +47,15 @@ def test_no_bars_no_orders(spark):
     bars = spark.createDataFrame([("A", START + dt.timedelta(minutes=1), 1.0, 1.0, 1.0, 1.0)], BAR)
     assert first_fills(orders, bars.limit(0)).count() == 0 and first_fills(orders.limit(0), bars).count() == 0
     assert first_fills(orders, bars).count() == 1
+
+
+def test_limit_prices_by_another_rule_of_valid_quotes(spark):
+    """A quote around zero is no missing quote where the caller says so; the default rule stays."""
+    from pyspark.sql import functions as F
+
+    from barflow.operators.execution import limit_price
+
+    df = spark.createDataFrame([("buy", -0.005, 0.005, True), ("sell", -2.0, -1.0, True), ("buy", 99.0, 101.0, True), ("buy", 0.0, 1.0, False), ("sell", None, 1.0, True)], "side string, bid double, ask double, there boolean")
+    got = df.select(limit_price(10.0, F.col("there")), limit_price(10.0)).collect()
+    assert [r[0] for r in got] == [0.0, pytest.approx(-1.5015), pytest.approx(99.9), None, None]
+    assert [r[1] for r in got] == [None, None, pytest.approx(99.9), None, None]
