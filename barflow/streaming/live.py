@@ -36,17 +36,22 @@ def dedup(stream: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFram
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def crossing_averages(bars: DataFrame, fast: int = 9, slow: int = 21) -> DataFrame:
-    """Both averages and their crossings, kept as two numbers a symbol; a bar no newer than the last is ignored."""
+def crossing_averages(bars: DataFrame, fast: int = 9, slow: int = 21, seq: str | None = None) -> DataFrame:
+    """Both averages and their crossings, kept as two numbers a symbol; a bar no newer than the last is ignored.
+
+    seq: column of whole numbers that orders rows of one time; those are then
+    rows of their own, and newer is what is later by time and seq.
+    """
 
     def step(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
-        f, s, n, last = state.get if state.exists else (None, None, 0, None)
-        rows = pd.concat(list(frames)).sort_values("ts")
+        f, s, n, *last = state.get if state.exists else (None, None, 0, None, None)
+        last = None if last[0] is None else tuple(last)
+        rows = pd.concat(list(frames)).sort_values(["ts"] if seq is None else ["ts", seq], kind="stable")
         out = []
-        for ts, close in zip(rows["ts"], rows["close"], strict=True):
-            at = int(ts.value)
+        for ts, place, close in zip(rows["ts"], [0] * len(rows) if seq is None else rows[seq], rows["close"], strict=True):
+            at = (int(ts.value), int(place))
             if last is not None and at <= last:
                 continue
             f0, s0 = f, s
@@ -57,10 +62,10 @@ def crossing_averages(bars: DataFrame, fast: int = 9, slow: int = 21) -> DataFra
             if n > slow:
                 cross = "up" if f0 <= s0 and f > s else "down" if f0 >= s0 and f < s else None
             out.append((key[0], ts, close, f if n >= fast else None, s if n >= slow else None, cross))
-        state.update((f, s, n, last))
+        state.update((f, s, n, *(last or (None, None))))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in AVERAGES.split(", ")])
 
-    return bars.groupBy("symbol").applyInPandasWithState(step, AVERAGES, "fast double, slow double, n long, last long", "append", GroupStateTimeout.NoTimeout)
+    return bars.groupBy("symbol").applyInPandasWithState(step, AVERAGES, "fast double, slow double, n long, last long, seq long", "append", GroupStateTimeout.NoTimeout)
 
 
 def live_positions(bars: DataFrame, cfg: dict[str, Any]) -> DataFrame:

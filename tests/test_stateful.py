@@ -95,3 +95,23 @@ def test_order_outcomes_equal_the_batch(spark, tmp_path, batches):
     for r in rows:
         o, at, price = want[r.order_id]
         assert (r.outcome, r.decided_ts) == (o, at) and (r.intended_price == pytest.approx(price) if price is not None else r.intended_price is None)
+
+
+def test_averages_take_every_row_of_one_time(spark, tmp_path):
+    """With seq, rows of one time are rows of their own, over a restart too, and one seen before is still ignored."""
+    from barflow.streaming.live import crossing_averages
+
+    schema = "symbol string, ts timestamp, seq long, close double"
+    made = [("A", T0 + dt.timedelta(minutes=k // 3), k, float(k * k % 17)) for k in range(60)]
+    feed = Feed(spark, str(tmp_path))
+    for part in (made[:31][::-1], made[29:]):
+        feed.add(spark.createDataFrame(part, schema))
+        out = feed.run(crossing_averages(feed.stream(schema), 2, 5, seq="seq"))
+    fast, want = None, []
+    for k, (_, ts, _, close) in enumerate(made):
+        fast = close if fast is None else fast + 2 / 3 * (close - fast)
+        want.append((ts, close, pytest.approx(fast) if k else None))
+    got = sorted((r.ts, n, r.close, r.ema_fast) for n, r in enumerate(out.collect()))
+    assert len(got) == 60 and sorted((t, c) for t, _, c, _ in got) == sorted((t, c) for t, c, _ in want)
+    rows = {(r.ts, r.close): r.ema_fast for r in out.collect()}
+    assert all(rows[t, c] == f for t, c, f in want if sum((t, c) == (u, d) for u, d, _ in want) == 1)
