@@ -115,3 +115,88 @@ def test_averages_take_every_row_of_one_time(spark, tmp_path):
     assert len(got) == 60 and sorted((t, c) for t, _, c, _ in got) == sorted((t, c) for t, c, _ in want)
     rows = {(r.ts, r.close): r.ema_fast for r in out.collect()}
     assert all(rows[t, c] == f for t, c, f in want if sum((t, c) == (u, d) for u, d, _ in want) == 1)
+
+
+class Handle:
+    """State of one key in memory."""
+
+    class Value:
+        def __init__(self):
+            self.v = None
+
+        def exists(self):
+            return self.v is not None
+
+        def get(self):
+            return self.v
+
+        def update(self, v):
+            self.v = v
+
+        def clear(self):
+            self.v = None
+
+    class Map(dict):
+        def updateValue(self, k, v):  # noqa: N802
+            self[k] = v
+
+        def getValue(self, k):  # noqa: N802
+            return self[k]
+
+        def removeKey(self, k):  # noqa: N802
+            del self[k]
+
+    def __init__(self):
+        self.timers = set()
+
+    getMapState = lambda self, *_: Handle.Map()  # noqa: E731, N815
+    getValueState = lambda self, *_: Handle.Value()  # noqa: E731, N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+
+class At:
+    def __init__(self, watermark):
+        self.getCurrentWatermarkInMs = lambda: watermark
+
+
+@pytest.mark.parametrize("kind", ["asof", "orders"])
+def test_a_key_is_settled_some_cells_at_a_time(monkeypatch, kind):
+    """All that waited under a key was one frame of the task."""
+    import pandas as pd
+
+    monkeypatch.setattr(st, "HELD_ROWS", 200, raising=False)
+    rng, seen, got = np.random.default_rng(8), [], []
+    if kind == "asof":
+        proc, n, names = st.AsOf(), 4000, ["left", "right"]
+        rows = pd.DataFrame({"side": rng.integers(0, 2, n), "at": rng.permutation(n) * 600_000_000 + 7, "row": [str(k) for k in range(n)]})
+        end = int(rows["at"].max()) // 1000 + 1
+        proc.texts = names
+    else:
+        proc, n, names = st.Orders(30, ["view"], 2.0), 3000, ["order_id", "outcome"]
+        ids = np.repeat(rng.permutation(n // 2) * 64, 2)
+        rows = pd.DataFrame({"kind": [0, 1] * (n // 2), "order_id": ids, "side": "buy", "strategy": "view", "bid": 1.0, "ask": 2.0, "at": ids * 1_000_000 + [0, 20_000_000] * (n // 2)})
+        end = int(rows["at"].max()) // 1000 + 31_000
+        proc.texts = ["outcome"]
+    proc.keys, proc.out, handle = ["g"], names, Handle()
+    proc.init(handle)
+    settle = proc.settle
+    proc.settle = lambda own, *rest: seen.append(len(own)) or settle(own, *rest)
+    for part in np.array_split(np.arange(n), 3):
+        proc.handleInputRows((1,), iter([rows.iloc[x] for x in np.array_split(part, 10)]), At(0))
+    for watermark in (end // 3, end // 2, end):
+        assert len(handle.timers) == 1
+        if min(handle.timers) <= watermark:
+            handle.timers.clear()
+            got += [tuple(r) for f in proc.handleExpiredTimer((1,), At(watermark), None) for r in f.itertuples(index=False)]
+    assert max(seen) < 500 < n and not proc.cells
+    if kind == "asof":
+        left, right = (rows[rows["side"] == k].sort_values("at") for k in (1, 0))
+        want = pd.merge_asof(left, right, on="at")
+        assert {a: b if isinstance(b, str) else None for a, b in got} == {a: b if isinstance(b, str) else None for a, b in zip(want["row_x"], want["row_y"])} and len(got) == len(left)
+    else:
+        assert sorted(got) == [(int(k), "filled") for k in sorted(set(ids))]
