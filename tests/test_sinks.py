@@ -186,6 +186,20 @@ def test_model_file_and_gate(spark, tmp_path):
         ml.train_gbt(rows.limit(50), ["a", "b"])
 
 
+def test_training_does_not_follow_partitions(spark, monkeypatch):
+    """Every round ran a task for each of the given partitions, and subsamples differed with them."""
+    from pyspark.ml import Pipeline
+
+    rows = spark.createDataFrame([(k, float(k % 7), float((k * 7919) % 101), (k * 31) % 5 // 3) for k in range(300)], "n int, a double, b double, label int")
+    fit, tasks, scores = Pipeline.fit, [], []
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df: tasks.append(df.rdd.getNumPartitions()) or fit(self, df))
+    for most, given in ((4096, rows.repartition(30)), (4096, rows.orderBy(F.desc("n")).coalesce(1)), (64, rows)):
+        monkeypatch.setattr(ml, "TRAIN_ROWS", most, raising=False)
+        model = ml.train_gbt(given, ["a", "b"], rounds=5, depth=2)
+        scores.append([r.score for r in ml.score(model, rows).orderBy("n").collect()])
+    assert tasks == [1, 1, 5] and scores[0] == scores[1] and len(set(scores[0])) > 2
+
+
 def test_folds_of_a_model(spark, caplog):
     rows = spark.createDataFrame([("S", k, float(k % 7), float((k * 7919) % 101), int(k % 7 > 3)) for k in range(300)], "symbol string, n int, a double, b double, label int")
     got = ml.cross_validated_auc(rows, ["a", "b"], rounds=3, depth=2)
